@@ -154,12 +154,12 @@ def _cell_counts(parts: DataFrame) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, k: int, at: Threshold, small: int, cells, heavy: int) -> DataFrame:
-    """(token, digest, kind): kind 0 for a subset key, 1 for a listed shingle, 2 for a shingle of a heavy cell."""
+    """(token, digest, size, kind): kind 0 for a subset key, 1 for a listed shingle, 2 for a shingle of a heavy cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = cells.value, set()
         for batch in batches:
-            tokens, owners, kinds = [], [], []
+            tokens, owners, sizes, kinds = [], [], [], []
             for _, sets in _sets(batch, k):
                 for values in sets:
                     n = len(values)
@@ -171,38 +171,45 @@ def _postings(docs: DataFrame, k: int, at: Threshold, small: int, cells, heavy:
                         keys = np.array(subset_keys(values, at), np.uint64)
                         tokens.append(keys)
                         owners.append(np.full(len(keys), digest))
+                        sizes.append(np.full(len(keys), n, np.int32))
                         kinds.append(np.zeros(len(keys), np.int8))
                     if at.most(n) > small:
                         seen_often = counts[_cell(values)]
                         first = np.lexsort((values, seen_often))[: at.prefix(n)]
                         tokens.append(values[first])
                         owners.append(np.full(len(first), digest))
+                        sizes.append(np.full(len(first), n, np.int32))
                         kinds.append(np.where(seen_often[first] > heavy, 2, 1).astype(np.int8))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners).astype(np.int64)), pa.array(np.concatenate(kinds))], names=["token", "digest", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners).astype(np.int64)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(kinds))], names=["token", "digest", "size", "kind"])
 
-    return docs.select("text").mapInArrow(run, "token long, digest long, kind byte")
+    return docs.select("text").mapInArrow(run, "token long, digest long, size int, kind byte")
 
 
-def _spokes(postings: DataFrame) -> DataFrame:
-    """(centre, member, exact): every member of a list with the list's smallest member."""
-    light = postings.filter("kind < 2").repartition("token").sortWithinPartitions("token", "digest")
+def _spokes(postings: DataFrame, at: Threshold) -> DataFrame:
+    """(centre, member, exact): every member of a list with the list's smallest member.
+
+    A list in order of size breaks where the next set is too large to link with
+    any before: pairs across the break cannot link.
+    """
+    light = postings.filter("kind < 2").repartition("token").sortWithinPartitions("token", "size", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, centre = None, None
+        last, last_size, centre = None, 0, None
         for batch in batches:
-            token, digest, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            token, digest, size, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            size = size.astype(np.int64)
             if not len(token):
                 continue
             new = np.empty(len(token), bool)
-            new[0] = token[0] != last
-            new[1:] = token[1:] != token[:-1]
+            new[0] = token[0] != last or at.den * last_size < at.num * size[0]
+            new[1:] = (token[1:] != token[:-1]) | (at.den * size[:-1] < at.num * size[1:])
             head = np.where(new, np.arange(len(token)), 0)
             np.maximum.accumulate(head, out=head)
             middle = digest[head]
             if not new[0]:
                 middle[: int(np.argmax(new)) if new.any() else len(token)] = centre
-            last, centre = token[-1], middle[-1]
+            last, last_size, centre = token[-1], size[-1], middle[-1]
             apart = middle != digest
             pairs = np.unique(np.rec.fromarrays([middle[apart], digest[apart], kind[apart]], names="a,b,k"))
             yield pa.RecordBatch.from_arrays([pa.array(pairs.a), pa.array(pairs.b), pa.array(pairs.k == 0)], names=["centre", "member", "exact"])
@@ -250,12 +257,15 @@ def _local_links(ids: list[int], sets: list[np.ndarray], left: np.ndarray, right
 
 def _verified(members: DataFrame, k: int, at: Threshold) -> DataFrame:
     """Links inside neighbourhoods (or pairs of blocks) whose members come with their texts, streamed in order of the key."""
-    ordered = members.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "member")
+    ordered = members.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "side", "member")
 
     def links(ids: list[int], sides: list[int], texts: list[str], cross: bool) -> tuple[list[int], list[int]]:
         words = words_of(pa.array(texts), lower=True)
         sets = [shingle_set(words.hash[words.of(d)], k) for d in range(len(words))]
-        side = np.array(sides)
+        # where several rows share a doc_id, only the text that the class stands for counts, and once
+        fit = [d for d in range(len(ids)) if len(sets[d]) and _digest(sets[d]) == ids[d]]
+        fit = [d for i, d in enumerate(fit) if not i or (ids[d], sides[d]) != (ids[fit[i - 1]], sides[fit[i - 1]])]
+        ids, sets, side = [ids[d] for d in fit], [sets[d] for d in fit], np.array([sides[d] for d in fit])
         left, right = (side == 0, side == 1) if cross else (side >= 0, side >= 0)
         return _local_links(ids, sets, left, right, at) if left.any() and right.any() else ([], [])
 
@@ -297,14 +307,14 @@ def link_components(docs: DataFrame, k: int = 5, at: Threshold | None = None, sc
     sizes = {r["n"]: r["c"] for r in own.filter(f"n > 0 and n <= {at.most(at.most(MOST_SMALL)) + 1}").groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     small = boundary(sizes, at)
     heavy = max(HEAVY, int(counts.sum(dtype=np.int64)) >> 17)
-    spokes = scratch.save(_spokes(_postings(docs, k, at, small, cells, heavy)))
+    spokes = scratch.save(_spokes(_postings(docs, k, at, small, cells, heavy), at))
     exact = spokes.filter("exact").select(F.col("centre").alias("u"), F.col("member").alias("v"))
     open_ = spokes.filter("not exact").select("centre", "member")
     # each neighbourhood: the centre and its members, with one text for each class
     around = open_.unionByName(open_.select("centre", F.col("centre").alias("member")).distinct())
     wanted = around.select(F.col("member").alias("digest")).distinct()
     chosen = scratch.save(own.filter("digest is not null and doc_id is not null").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
-    texts = docs.join(F.broadcast(chosen) if small_enough(chosen, BROADCAST_ROWS) else chosen, "doc_id").dropDuplicates(["doc_id"]).select(F.col("digest").alias("member"), "text")
+    texts = docs.join(F.broadcast(chosen) if small_enough(chosen, BROADCAST_ROWS) else chosen, "doc_id").select(F.col("digest").alias("member"), "text")
     large = around.groupBy("centre").agg(F.count(F.lit(1)).alias("size")).filter(f"size > {BLOCK}").select("centre", F.ceil(F.col("size") / (BLOCK // 2)).cast("int").alias("blocks"))
     placed = join_checked(around, scratch.save(large), "centre", "left", BROADCAST_ROWS).withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
     # block b meets every block, itself included
