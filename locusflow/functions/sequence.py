@@ -98,11 +98,17 @@ def shift(seq: Column | str, by: Column | int, keep_at_least: int = 1) -> Column
     return F.when(by < 0, F.concat(F.repeat(F.lit("N"), -by), seq)).otherwise(cut)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body (or a loop in it) names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def kmers(seq: Column | str, k: int, step: int = 1) -> Column:
     """Words of length k; with ``step=k`` they do not overlap.  Sequences shorter than k have none."""
-    seq = _col(seq)
-    last = F.length(seq) - k
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda i: F.substr(seq, i + 1, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    if step in (1, k):  # one pass of a pattern; cutting words by place would walk from the start for each
+        return F.regexp_extract_all(_col(seq), F.lit(f"(?s)(?=(.{{{k}}}))" if step == 1 else f"(?s)(.{{{k}}})"), F.lit(1))
+    every = F.regexp_extract_all(_col(seq), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
+    return F.filter(every, lambda w, i: i % step == 0)
 
 
 def chunks(seq: Column | str, length: int) -> Column:

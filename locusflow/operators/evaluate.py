@@ -40,13 +40,13 @@ def ridge(label: str, features: str = "features", alphas: Sequence[float] = (0.0
     """Scaled linear regression with its penalty chosen by inner cross-validation."""
     model = LinearRegression(featuresCol="scaled", labelCol=label, elasticNetParam=1.0 if lasso else 0.0, maxIter=50)
     grid = ParamGridBuilder().addGrid(model.regParam, list(alphas)).build()
-    return CrossValidator(estimator=_scaled(model, features), estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label), numFolds=folds, seed=1)
+    return CrossValidator(estimator=_scaled(model, features), estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label), numFolds=folds, seed=1, parallelism=4)
 
 
 def logistic(label: str, features: str = "features", penalties: Sequence[float] = (0.001, 0.01, 0.1), folds: int = 3) -> Estimator:
-    model = LogisticRegression(featuresCol="scaled", labelCol=label, maxIter=50)
+    model = LogisticRegression(featuresCol="scaled", labelCol=label, maxIter=20)
     grid = ParamGridBuilder().addGrid(model.regParam, list(penalties)).build()
-    return CrossValidator(estimator=_scaled(model, features), estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol=label), numFolds=folds, seed=1)
+    return CrossValidator(estimator=_scaled(model, features), estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol=label), numFolds=folds, seed=1, parallelism=4)
 
 
 def perceptron(label: str, layers: Sequence[int], features: str = "features") -> Estimator:

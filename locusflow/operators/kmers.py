@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import kmers, longest_repeat, uniformity
+from ..functions.sequence import kmers, let, longest_repeat, uniformity
 
 BASES = "ACGT"
 
@@ -57,25 +57,35 @@ def markov_both_sides(counts: DataFrame) -> DataFrame:
     return counts.filter("k % 2 = 1").withColumn("flanks", flanks).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("k", "flanks")))
 
 
-def positions(df: DataFrame, key: str, seq: str) -> DataFrame:
-    """(key, pos, base, seq, length) of every base."""
-    with_pos = df.select(key, F.col(seq).alias("seq"), F.length(seq).alias("length")).filter("length > 0")
-    return with_pos.withColumn("pos", F.explode(F.expr("sequence(0, length - 1)"))).withColumn("base", F.expr("substring(seq, pos + 1, 1)"))
+def _contexts(df: DataFrame, key: str, seq: str, context) -> DataFrame:
+    """(key, pos, base, context) of every base; ``context`` makes a text from (letters, place, length)."""
+    def each(letters: Column) -> Column:
+        return F.transform(letters, lambda c, i: F.struct(i.alias("pos"), c.alias("base"), context(letters, i, F.size(letters)).alias("context")))
+
+    return df.filter(F.length(seq) > 0).select(key, F.explode(let(F.split(seq, ""), each)).alias("c")).select(key, "c.*")
+
+
+def _word(letters: Column, start: Column, length: Column) -> Column:
+    return F.array_join(F.slice(letters, start + 1, length), "")
 
 
 def forward_scores(df: DataFrame, key: str, seq: str, table: DataFrame, order: int) -> DataFrame:
     """P of each base given up to ``order`` bases before it (shorter at the start); the model is a table joined by k-mer."""
-    words = positions(df, key, seq).select(key, "pos", "base", F.expr(f"substring(seq, greatest(pos - {order}, 0) + 1, least(pos, {order}) + 1)").alias("kmer"))
-    return words.join(table.select("kmer", "p"), "kmer", "left").select(key, "pos", "base", "p")
+    words = _contexts(df, key, seq, lambda a, i, n: _word(a, F.greatest(i - order, F.lit(0)), F.least(i, F.lit(order)) + 1))
+    return words.withColumnRenamed("context", "kmer").join(table.select("kmer", "p"), "kmer", "left").select(key, "pos", "base", "p")
 
 
 def both_sides_scores(df: DataFrame, key: str, seq: str, table: DataFrame, reach: int) -> DataFrame:
     """P of each base given ``reach`` bases on both sides (fewer near the ends), with all four bases' probabilities."""
-    side = f"least({reach}, least(pos, length - 1 - pos))"
-    words = positions(df, key, seq).withColumn("side", F.expr(side)).select(key, "pos", "base", F.expr("concat(substring(seq, pos - side + 1, side), '.', substring(seq, pos + 2, side))").alias("flanks"))
+    def flanks(a: Column, i: Column, n: Column) -> Column:
+        side = F.least(F.lit(reach), i, n - 1 - i)
+        return F.concat(_word(a, i - side, side), F.lit("."), _word(a, i + 1, side))
+
+    words = _contexts(df, key, seq, flanks).withColumnRenamed("context", "flanks")
     wide = table.withColumn("centre", F.expr("substring(kmer, k div 2 + 1, 1)")).groupBy("flanks").agg(F.map_from_entries(F.collect_list(F.struct("centre", "p"))).alias("m"))
     wide = wide.select("flanks", F.array(*(F.try_element_at("m", F.lit(b)) for b in BASES)).alias("probs"))
-    return words.join(wide, "flanks", "left").select(key, "pos", "base", "probs", F.get("probs", F.instr(F.lit(BASES), F.col("base")) - 1).alias("p"))
+    # the table has at most 4 ** (2 * reach) rows of flanks
+    return words.join(F.broadcast(wide), "flanks", "left").select(key, "pos", "base", "probs", F.get("probs", F.instr(F.lit(BASES), F.col("base")) - 1).alias("p"))
 
 
 def argmax_accuracy(scored: DataFrame) -> DataFrame:
@@ -112,9 +122,8 @@ def column_counts(aligned: DataFrame, key: str, seq: str) -> DataFrame:
 
 def motif_hits(seqs: DataFrame, key: str, seq: str, motifs: DataFrame, target: str, motif: str, k: int, include_last: bool = True) -> DataFrame:
     """(key, target, motif, start, end) of every k-mer of a sequence that is in a target's motif set."""
-    last = F.length(seq) - k - (0 if include_last else 1)
-    starts = seqs.select(key, F.col(seq).alias("_s"), F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))).alias("start"))
-    words = starts.select(key, "start", F.expr(f"substring(_s, start + 1, {k})").alias(motif))
+    every = kmers(seq, k)
+    words = seqs.select(key, F.posexplode(every if include_last else F.slice(every, F.lit(1), F.greatest(F.size(every) - 1, F.lit(0)))).alias("start", motif))
     return words.join(motifs.select(target, motif).distinct(), motif).select(key, target, motif, "start", (F.col("start") + k).alias("end"))
 
 

@@ -208,9 +208,9 @@ def masked_accuracy(spark: SparkSession, folder: str) -> DataFrame:
     return d.agg(mt.masked_accuracy("p", "quality", 0).alias("accuracy"))
 
 
-@query(f"select source, avg(r) as mean_r, count(*) as folds from (select source, lang, corr(n_chars, length(source) + doc_id % 13) as r from {L} group by 1, 2) group by 1")
+@query(f"select source, avg(r) as mean_r, count(*) as folds from (select source, lang, covar_pop(n_chars, length(source) + doc_id % 13) / nullif(stddev_pop(n_chars) * stddev_pop(length(source) + doc_id % 13), 0) as r from {L} group by 1, 2) group by 1")
 def fold_metric_mean(spark: SparkSession, folder: str) -> DataFrame:
-    d = labelled(spark, folder).groupBy("source", "lang").agg(F.corr("n_chars", F.length("source") + F.col("doc_id") % 13).alias("r"))
+    d = labelled(spark, folder).groupBy("source", "lang").agg(F.try_divide(F.covar_pop("n_chars", F.length("source") + F.col("doc_id") % 13), F.stddev_pop("n_chars") * F.stddev_pop(F.length("source") + F.col("doc_id") % 13)).alias("r"))
     return d.groupBy("source").agg(F.avg("r").alias("mean_r"), F.count(F.lit(1)).alias("folds"))
 
 

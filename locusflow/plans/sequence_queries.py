@@ -112,7 +112,7 @@ from {S} left join u using (doc_id) left join runs using (doc_id)"""
 def sequence_features(spark: SparkSession, folder: str) -> DataFrame:
     s = sequences(spark, folder)
     n = F.length("seq").cast("double")
-    ac = F.size(F.filter(sq.kmers("seq", 2), lambda w: w == "AC"))
+    ac = F.size(F.regexp_extract_all("seq", F.lit("AC"), F.lit(0)))
     return s.select("doc_id", F.when(F.length("seq") > 0, sq.uniformity("seq")).otherwise(0).alias("uniformity"), ac.alias("count_ac"), F.when(F.length("seq") > 0, sq.longest_repeat("seq", 1)).otherwise(0).alias("longest"), F.try_divide((n - F.length(F.replace("seq", F.lit("G"), F.lit("")))), n).alias("share_g"))
 
 

@@ -56,7 +56,7 @@ def semi_and_anti(spark: SparkSession, folder: str) -> DataFrame:
 @query("select s_suppkey, s_name, n_name from supplier join nation on s_nationkey = n_nationkey")
 def one_to_one(spark: SparkSession, folder: str) -> DataFrame:
     s = table(spark, folder, "supplier")
-    names = s.select("s_suppkey", F.col("s_name").alias("name")).join(F.broadcast(table(spark, folder, "nation")), s["s_nationkey"] == F.col("n_nationkey")).select("s_suppkey", "n_name")
+    names = s.select("s_suppkey", "s_nationkey").join(table(spark, folder, "nation").withColumnRenamed("n_nationkey", "s_nationkey"), "s_nationkey").select("s_suppkey", "n_name")
     return joins.one_to_one_join(s.select("s_suppkey", "s_name"), names, ["s_suppkey"])
 
 
@@ -168,8 +168,8 @@ def epoch_lengths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """with r as (select *, lag(value) over (partition by user_id order by event_id) / nullif(value, 0) as ratio from events), b as (select user_id, arg_max(event_id, ratio) as at, max(ratio) as by_ from r where ratio is not null group by 1)
-select event_id, case when event_id < at and by_ > 1 then value / by_ else value end as mended from events left join b using (user_id)"""
+    """with r as (select *, lag(value) over (partition by user_id order by event_id) / nullif(value, 0) as ratio from events), b as (select user_id, arg_max(event_id, ratio) as at_, max(ratio) as by_ from r where ratio is not null group by 1)
+select event_id, case when event_id < at_ and by_ > 1 then value / by_ else value end as mended from events left join b using (user_id)"""
 )
 def mend_scale_break(spark: SparkSession, folder: str) -> DataFrame:
     return ordered.mend_scale_break(table(spark, folder, "events"), ["user_id"], "event_id", "value").select("event_id", "mended")
