@@ -153,7 +153,7 @@ def liftover_unmapped(spark: SparkSession, folder: str) -> DataFrame:
     return iv.lift_over(intervals(spark, folder, "purchase", 3), _blocks(spark, folder), 43200)[1].select("name")
 
 
-@query(f'select b.name, coalesce(max(least(a."end", b."end") - greatest(a.start, b.start)), 0) as most_overlap from {B} b left join {A} a on a.contig = b.contig and a.start < b."end" and b.start < a."end" group by 1')
+@query(f'select b.name, coalesce(max(case when a.name is not null then least(a."end", b."end") - greatest(a.start, b.start) end), 0) as most_overlap from {B} b left join {A} a on a.contig = b.contig and a.start < b."end" and b.start < a."end" group by 1')
 def most_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return iv.most_overlap(intervals(spark, folder, "purchase", 3), intervals(spark, folder, "signup", 6), bin_size=_BIN).select("name", "most_overlap")
 
