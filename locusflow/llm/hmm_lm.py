@@ -146,9 +146,9 @@ class Model:
         return Model(np.full(k, 1 / k), step, emit / emit.sum(0))
 
     def updated(self, start: np.ndarray, step: np.ndarray, emit: np.ndarray, mass: np.ndarray) -> Model:
-        """Maximisation, each distribution smoothed by a small share of the corpus-wide one."""
+        """Maximisation; each state's emissions give the corpus-wide distribution the weight of the kinds of classes seen in it."""
         prior = mass / mass.sum()
-        weight = 0.02 * emit.sum(0) + len(mass) * 0.01
+        weight = (emit > 0.5).sum(0) + 1.0
         emit = (emit + weight * prior[:, None]) / (emit.sum(0) + weight)
         return Model((start + 0.1) / (start + 0.1).sum(), (step + 0.1) / (step + 0.1).sum(1, keepdims=True), emit)
 

@@ -52,6 +52,7 @@ class TemplateIndex:
         self.names = list(templates)
         w = _words(pa.array(list(templates.values())))
         self.words = [w.hash[w.of(d)] for d in range(len(w))]
+        self.bands = np.array([band_of(own) for own in self.words], np.int64)
         entries = []
         for d, own in enumerate(self.words):
             grams = windows(own, k)
@@ -93,13 +94,18 @@ def banded_alignment(template: np.ndarray, text: np.ndarray, diagonal: int, band
     return int(score[best]), int(first[best]), int(last[best]) + 1
 
 
-def _candidates(hit: np.ndarray, owner: np.ndarray, diagonal: np.ndarray, band: int) -> Iterator[tuple[int, int]]:
+def band_of(template: np.ndarray) -> int:
+    """Narrower for short templates, so that neighbouring copies stay apart."""
+    return min(BAND, max(1, len(template) // 4))
+
+
+def _candidates(owner: np.ndarray, diagonal: np.ndarray, bands: np.ndarray) -> Iterator[tuple[int, int]]:
     """(template, diagonal) of each cluster of hits on diagonals close to one another."""
     order = np.lexsort((diagonal, owner))
     at = 0
     while at < len(order):
         to = at + 1
-        while to < len(order) and owner[order[to]] == owner[order[at]] and diagonal[order[to]] - diagonal[order[to - 1]] <= band:
+        while to < len(order) and owner[order[to]] == owner[order[at]] and diagonal[order[to]] - diagonal[order[to - 1]] <= bands[owner[order[at]]]:
             to += 1
         yield int(owner[order[at]]), int(np.median(diagonal[order[at:to]]))
         at = to
@@ -109,10 +115,10 @@ def scan_text(index: TemplateIndex, own: np.ndarray, prints: np.ndarray, places:
     """(template, matched, first word, behind the last) of a text's licences; of overlapping ones the one with most matched words."""
     hit, entry = index.hits(prints)
     found = []
-    for t, diagonal in _candidates(hit, index.owner[entry], places[hit] - index.place[entry], BAND):
-        template = index.words[t]
-        begin = max(0, diagonal - BAND)
-        matched, a, b = banded_alignment(template, own[begin : diagonal + len(template) + BAND + 1], diagonal - begin)
+    for t, diagonal in _candidates(index.owner[entry], places[hit] - index.place[entry], index.bands):
+        template, band = index.words[t], int(index.bands[t])
+        begin = max(0, diagonal - band)
+        matched, a, b = banded_alignment(template, own[begin : diagonal + len(template) + band + 1], diagonal - begin, band)
         if matched >= coverage * len(template) and matched >= min(K, len(template)):
             found.append((t, matched, begin + a, begin + b))
     found.sort(key=lambda f: (-f[1], f[2], f[0]))

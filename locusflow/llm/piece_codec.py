@@ -84,6 +84,8 @@ class Normaliser:
                 lead = data[at]
                 width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
                 new = data[at : at + width]
+            if new == SPACE_MARK.encode():  # a space mark in the text is read as a space
+                new = b" "
             for byte in new:
                 if not (self.squeeze and byte == 32 and (not out or out[-1] == 32)):
                     out.append(byte)
@@ -215,7 +217,7 @@ class Codec:
         normal, source = self.normaliser(text)
         ends = np.cumsum(self.width[ids])
         if len(ids) and (ends[-1] != len(normal) or (ids == self.lib.unk_id()).any()):
-            proto = self.lib.encode(text, out_type="immutable_proto")  # unknown pieces: their surface decides
+            proto = self.lib.encode(text, return_type="proto")  # unknown pieces: their surface decides
             at = np.cumsum([0] + [len(x) for x in map(str.encode, text)])
             return [(int(at[p.begin]), int(at[p.end])) for p in proto.pieces]
         starts = ends - self.width[ids]
