@@ -40,13 +40,17 @@ TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "
 LIMIT, Z = 0.5, 1.645
 
 
+def _behind_scheme(url: Column) -> Column:
+    at = F.instr(url, "://")
+    return F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
+
+
 def host_of(url: Column) -> Column:
-    raw = F.regexp_extract(url, r"(?s)^(?:(?!://).)*://([^/?#]*)", 1)
-    return F.coalesce(F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    return F.translate(F.regexp_extract(_behind_scheme(url), r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)^(?:(?!://).)*://[^/?#]*([^?#]*)", 1), F.lit(""))
+    return F.regexp_extract(_behind_scheme(url), r"^[^/?#]*([^?#]*)", 1)
 
 
 def suffix_of(host: Column) -> Column:
