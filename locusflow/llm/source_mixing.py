@@ -60,9 +60,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, exponent: floa
     table = rates(docs, weights, exponent).withColumn(parts, F.greatest(F.ceil(F.col("rate") / LARGEST_MEAN).cast("int"), F.lit(1)))
     table = scratch.save(table.select(F.col("source").alias(match), parts, _distribution(F.col("rate") / F.col(parts)).alias(below)))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    drawn = lambda j: F.size(F.filter(F.col(below), lambda p: p <= uniform(F.lit(seed), name, j.cast("string"))))
+    numbers = F.transform(F.sequence(F.lit(0), F.col(parts) - 1), lambda j: uniform(F.lit(seed), name, j.cast("string")))
     # how often: the number of values whose cumulative probability is not over the uniform number
-    times = F.aggregate(F.sequence(F.lit(0), F.col(parts) - 1), F.lit(0), lambda s, j: s + drawn(j))
+    times = F.aggregate(numbers, F.lit(0), lambda s, u: s + F.size(F.filter(F.col(below), lambda p: p <= u)))
     joined = join_checked(docs, table, docs["source"].eqNullSafe(table[match]), "inner", BROADCAST_SOURCES)
     copies = joined.withColumn(key, times).filter(F.col(key) > 0).select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(0), F.col(key) - 1)).alias(replica))
     copies = copies.withColumn(key, F.xxhash64(F.lit(seed), name, F.col(replica)))
