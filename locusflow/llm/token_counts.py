@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_name, text_sub_batches
+from .common import Scratch, column_name, text_sub_batches
 from .piece_codec import SPACE_MARK, Codec, codec
 
 CHUNK_CHARS = 32_768
@@ -85,19 +85,21 @@ def count_by_widening(c: Codec, text: str, core: int, overlap: int) -> int:
             right = None
         if right is None:
             rest = _tokens_between(c, text[at:], left, None)
-            return total + (rest if rest is not None else 0)
+            # a token over the last cut: nothing before it counts, the text is encoded at once
+            return total + rest if rest is not None else len(c.encode_column(pa.array([text]))[0])
         total += more
         at, left = at + right - 1, 1  # the next chunk starts one character before the cut
 
 
-def count_tokens(docs: DataFrame, model: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, limit: int = 4096) -> DataFrame:
+def count_tokens(docs: DataFrame, model: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, limit: int = 4096, scratch: Scratch | None = None) -> DataFrame:
     """``docs`` without its text, with n_bytes, n_tokens and over_limit for every row."""
     names = {n: column_name(docs, n) for n in ("n_bytes", "n_tokens", "over_limit")}
     keep = [c for c in docs.columns if c != "text"]
     uid, size, kept = (column_name(docs, n) for n in ("uid", "size", "kept_columns"))
     rows = docs.select(F.struct(*keep, F.lit(0).alias("_")).alias(kept), F.coalesce("text", F.lit("")).alias("text")).withColumn(uid, F.monotonically_increasing_id())
     rows = rows.withColumn(size, F.length("text")).withColumn(names["n_bytes"], F.octet_length("text").cast("long"))
-    usual, huge = rows.filter(F.col(size) <= chunk_chars), rows.filter(F.col(size) > chunk_chars)
+    # huge texts are a written table: their uids must stay the same however often they are read
+    usual, huge = rows.filter(F.col(size) <= chunk_chars), (scratch or Scratch(docs.sparkSession)).save(rows.filter(F.col(size) > chunk_chars))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
