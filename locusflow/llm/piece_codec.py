@@ -36,6 +36,11 @@ SPACE_MARK = "▁"
 RUN_SEGMENTS = 256
 
 
+def space_marks(data: np.ndarray) -> np.ndarray:
+    """Where a text itself holds a space mark."""
+    return np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81))
+
+
 class CharacterMap:
     """The compiled character map: a double-array trie over UTF-8 bytes, and the replacements it points to."""
 
@@ -75,6 +80,8 @@ class Normaliser:
     def __call__(self, text: str) -> tuple[bytes, np.ndarray]:
         """Normalised bytes (a space mark is one space byte), and for each the original byte; one more entry marks the end."""
         data = text.encode()
+        if self.identity:  # nothing to look up: only space marks change
+            return self._without_map(data)
         out, source, at = bytearray(), [], 0
         while at < len(data):
             hit = self.map.longest(data, at)
@@ -101,6 +108,13 @@ class Normaliser:
         return bytes(out), np.array([*source, end], np.int64)
 
 
+    def _without_map(self, data: bytes) -> tuple[bytes, np.ndarray]:
+        marks = space_marks(np.frombuffer(data, np.uint8))
+        source = np.append(np.delete(np.arange(len(data)), np.concatenate([marks + 1, marks + 2])), len(data))
+        out = data.replace(SPACE_MARK.encode(), b" ")
+        return (b" " + out, np.append(source[:1], source)) if self.add_prefix and out else (out, source)
+
+
 class Codec:
     """A loaded model; one for each Python worker and path."""
 
@@ -133,11 +147,6 @@ class Codec:
             return b""
         return b" \xe2\x81\x87 " if p.type == kind.UNKNOWN else p.piece.replace(SPACE_MARK, " ").encode()
 
-    @staticmethod
-    def _marks(data: np.ndarray) -> np.ndarray:
-        """Where the text itself holds a space mark."""
-        return np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81))
-
     def _segments(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the segments, and the first segment of each text."""
         cut = np.zeros(len(data), bool)
@@ -145,7 +154,7 @@ class Codec:
             cut[1:] = (data[1:] == 32) & (data[:-1] != 32)
             cut[offsets[:-1][offsets[:-1] < len(data)]] = False
             if len(data) > 3:  # behind a space mark that the text itself holds nothing is cut
-                marks = self._marks(data) + 3
+                marks = space_marks(data) + 3
                 cut[marks[marks < len(data)]] = False
         full = offsets[:-1][np.diff(offsets) > 0]
         inner = np.flatnonzero(cut)
@@ -179,7 +188,7 @@ class Codec:
         flat = np.fromiter(chain.from_iterable(each), np.uint32)
         # a segment stands for one leading space and its bytes; token ends fall on segment ends
         length = uniq_end - uniq_start
-        marks = self._marks(data)
+        marks = space_marks(data)
         if len(marks):  # a space mark in the text is three bytes, its piece stands for one
             length = length - 2 * (np.searchsorted(marks, uniq_end) - np.searchsorted(marks, uniq_start))
         reach = np.cumsum(length[order] + 1)
@@ -212,16 +221,16 @@ class Codec:
         out = self.decode_bytes(ids).tobytes()
         return out[1:] if out[:1] == b" " else out
 
-    def spans(self, text: str, ids: np.ndarray) -> list[tuple[int, int]]:
-        """Original byte span of each piece."""
+    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the original byte span of each piece."""
         normal, source = self.normaliser(text)
         ends = np.cumsum(self.width[ids])
         if len(ids) and (ends[-1] != len(normal) or (ids == self.lib.unk_id()).any()):
             proto = self.lib.encode(text, return_type="proto")  # unknown pieces: their surface decides
             at = np.cumsum([0] + [len(x) for x in map(str.encode, text)])
-            return [(int(at[p.begin]), int(at[p.end])) for p in proto.pieces]
-        starts = ends - self.width[ids]
-        return [(int(a), max(int(a), int(b))) for a, b in zip(source[starts], source[ends], strict=True)]
+            return at[[p.begin for p in proto.pieces]], at[[p.end for p in proto.pieces]]
+        starts = source[ends - self.width[ids]]
+        return starts, np.maximum(starts, source[ends])
 
 
 @lru_cache(maxsize=2)
@@ -230,8 +239,12 @@ def codec(path: str) -> Codec:
 
 
 def encode_documents(docs: DataFrame, model: str, text: str = "text", with_ids: bool = False, with_spans: bool = False) -> DataFrame:
-    """Adds n_tokens, ids_sha256, decoded_sha256 (begin and end ids included), and where asked for the ids and each piece's byte span."""
-    kinds = {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+    """Adds n_tokens, ids_sha256, decoded_sha256 (begin and end ids included), spans_sha256, and where asked for the ids and each piece's byte span.
+
+    ``spans_sha256`` is the lowercase hex of start, end of each piece's span of the
+    original UTF-8 text, in order, as little-endian unsigned 64-bit integers.
+    """
+    kinds = {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string()), "spans_sha256": ("string", pa.string())}
     if with_ids:
         kinds["ids"] = ("array<int>", pa.list_(pa.int32()))
     if with_spans:
@@ -253,10 +266,12 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", with_ids:
                     rows["n_tokens"].append(len(whole))
                     rows["ids_sha256"].append(hashlib.sha256(whole.astype("<u4").tobytes()).hexdigest())
                     rows["decoded_sha256"].append(hashlib.sha256(c.decoded(own)).hexdigest())
+                    starts, ends = c.spans(column[d].as_py() or "", own)
+                    rows["spans_sha256"].append(hashlib.sha256(np.column_stack([starts, ends]).astype("<u8").tobytes()).hexdigest())
                     if with_ids:
                         rows["ids"].append(whole.astype(np.int32))
                     if with_spans:
-                        rows["spans"].append([{"start": a, "end": b} for a, b in c.spans(column[d].as_py() or "", own)])
+                        rows["spans"].append([{"start": a, "end": b} for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
                 made = [pa.array(rows[k], kinds[k][1]) for k in kinds]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *names.values()])
 

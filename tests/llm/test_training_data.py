@@ -70,6 +70,7 @@ def test_tokens_equal_the_library(spark, docs):
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
         data = (r.text or "").encode()
         assert b"".join(data[s.start : s.end] for s in r.spans) == data
+        assert r.spans_sha256 == hashlib.sha256(np.array([x for s in r.spans for x in (s.start, s.end)], "<u8").tobytes()).hexdigest()
     assert {r.back for r in piece_codec.decode_ids(spark.createDataFrame([([1, 264, 2],)], "ids array<int>"), model_path(), to="back").collect()} == {lib.decode([1, 264, 2])}
 
 
@@ -133,6 +134,9 @@ def test_url_rules_and_reputation(spark):
     assert (r[1].host, r[1].path, r[1].rule, r[1].verdict) == ("a.example.net", "/en/x", "example.net/en/", "allow")
     assert (r[2].rule, r[2].verdict) == ("net/", "block") and (r[3].host, r[3].path, r[3].rule) == ("", "", None) and r[4].host == ""
     assert r[5].verdict == "block" and r[6].rule == "org/fr/" and r[7].rule is None
+    long = [(1, "x" * 100_000), (2, "y" * 100_000 + "://H.org/" + "p" * 100_000)]
+    split = {x.page_id: x for x in url_reputation.judge_urls(spark.createDataFrame(long, "page_id long, url string"), outcomes).collect()}
+    assert split[1].host == "" and (split[2].host, split[2].path) == ("h.org", "/" + "p" * 100_000)
     assert r[8].verdict == "block" and r[9].verdict == "allow" and r[9].path == "/"
 
 
