@@ -45,6 +45,8 @@ MOST_SMALL = 16
 BLOCK = 1024
 #: A list whose cell counts more than this is split over tasks.
 HEAVY = 4096
+#: Texts with over 1 / MOST_OFTEN of all rows are joined apart.
+MOST_OFTEN = 1000
 #: Most rows of a table that is broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 
@@ -313,7 +315,8 @@ def link_components(docs: DataFrame, k: int = 5, at: Threshold | None = None, sc
     # each neighbourhood: the centre and its members, with one text for each class
     around = open_.unionByName(open_.select("centre", F.col("centre").alias("member")).distinct())
     wanted = around.select(F.col("member").alias("digest")).distinct()
-    chosen = scratch.save(own.filter("digest is not null and doc_id is not null").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
+    # copies are folded before anything is dealt by digest: one text may hold a third of all rows
+    chosen = scratch.save(own.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(wanted, "digest", "left_semi"))
     texts = docs.join(F.broadcast(chosen) if small_enough(chosen, BROADCAST_ROWS) else chosen, "doc_id").select(F.col("digest").alias("member"), "text")
     large = around.groupBy("centre").agg(F.count(F.lit(1)).alias("size")).filter(f"size > {BLOCK}").select("centre", F.ceil(F.col("size") / (BLOCK // 2)).cast("int").alias("blocks"))
     placed = join_checked(around, scratch.save(large), "centre", "left", BROADCAST_ROWS).withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
@@ -326,10 +329,16 @@ def link_components(docs: DataFrame, k: int = 5, at: Threshold | None = None, sc
     roots = connected_components(edges, scratch)
     classes = own.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
     classes = classes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").filter("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "digest"))
-    classes = scratch.save(classes.select("digest", "root", "low"))
+    classes = scratch.save(classes.select("digest", "root", "low", "copies"))
     lowest = scratch.save(classes.groupBy("root").agg(F.min("low").alias("component")))
-    named = scratch.save(classes.join(lowest, "root").select("digest", "component"))
-    return own.join(named, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    named = scratch.save(classes.join(lowest, "root").select("digest", "component", "copies"))
+    # fewer than MOST_OFTEN texts can hold over 1 / MOST_OFTEN of the rows each: they are broadcast, so that no task gets all copies of one
+    often = F.col("copies") * MOST_OFTEN > own.count()
+    heavy_texts, other_texts = named.filter(often).select("digest", "component"), named.filter(~often).select("digest", "component")
+    out = own.join(F.broadcast(heavy_texts), "digest").unionByName(
+        own.filter("digest is not null").join(F.broadcast(heavy_texts), "digest", "left_anti").join(other_texts, "digest", "left")
+    ).unionByName(own.filter("digest is null").withColumn("component", F.lit(None).cast("long")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, at: Threshold | None = None) -> DataFrame:
