@@ -2,7 +2,8 @@
 
 Base entities (email, ip, card, phone) seed the bootstrap.  Every mention of an
 identifier-like string has lexical patterns: its two left words, and its left and
-right word.  Patterns and instances form a graph.  In each round a pattern's
+right word.  Digit groups joined by single spaces are one more such string, beside
+each of their words.  Patterns and instances form a graph.  In each round a pattern's
 confidence for a kind is the share of its distinct instances that are trusted, an
 instance's confidence is the noisy-or over its patterns, and trusted instances
 count as evidence in the next round.  Mentions of instances that end above the
@@ -37,6 +38,9 @@ HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][ -]?+){16}", "
 SPACE = r"\x20\x09-\x0D"
 _CANDIDATE = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
 _CANDIDATE_HINT = r"[0-9@]"
+_GROUP = rf"[0-9]++(?:[^{SPACE}0-9A-Za-z@]++[0-9]++)*+"
+_RUN = rf"(?<![^{SPACE}])[^{SPACE}0-9A-Za-z@]*+{_GROUP}(?:\x20{_GROUP}(?![^{SPACE}0-9A-Za-z@]*+[0-9A-Za-z@]))++"
+_RUN_HINT = r"[0-9]\x20[0-9]"
 
 #: Distinct trusted instances that a pattern needs, the confidence from which patterns and instances are trusted, and rounds.
 SUPPORT, TRUST, ROUNDS = 3, 0.8, 2
@@ -87,7 +91,8 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 def mentions(docs: DataFrame) -> DataFrame:
     """Adds ``base`` and ``found``: all identifier-like mentions (kind null where the base has none) with their lexical patterns."""
-    docs = _with_matches(base_spans(docs), "_word", _CANDIDATE, _CANDIDATE_HINT)
+    docs = _with_matches(_with_matches(base_spans(docs), "_word", _CANDIDATE, _CANDIDATE_HINT), "_run", _RUN, _RUN_HINT)
+    docs = docs.withColumn("_word", F.concat("_word", "_run")).drop("_run")
     lead = lambda v: F.length(F.regexp_extract(v, "^[^A-Za-z0-9+]*", 0))
     bare = lambda v: F.regexp_replace(v, "^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$", "")
     cut = F.transform("_word", lambda s: F.struct((s["start"] + lead(s["value"])).alias("start"), (s["start"] + lead(s["value"]) + F.length(bare(s["value"]))).alias("end"), bare(s["value"]).alias("value")))
@@ -113,7 +118,7 @@ def discover(table: DataFrame, scratch: Scratch, support: int = SUPPORT, trust:
     """(uid, kind, start, end) of mentions beyond the base, from ``table(uid, found)``."""
     each = scratch.save(table.select("uid", F.explode("found").alias("m")).select("uid", "m.*"))
     edges = scratch.save(each.select(F.explode("patterns").alias("pattern"), F.lower("value").alias("instance"), "kind").filter("pattern not in ('2:', 'lr: _ ')").groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
-    seeds = edges.filter("kind is not null").groupBy("instance").agg(F.min("kind").alias("kind")).withColumn("confidence", F.lit(1.0))
+    seeds = edges.filter("kind is not null").groupBy("instance").agg(F.min("kind").alias("kind")).withColumn("confidence", F.lit(1.0)).withColumn("seed", F.lit(True))
     trusted = seeds = scratch.save(seeds)
     for _ in range(rounds):
         sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= support)
@@ -121,11 +126,13 @@ def discover(table: DataFrame, scratch: Scratch, support: int = SUPPORT, trust:
         # the added one keeps patterns with few instances from full confidence
         scored = told.filter(F.col("backed") >= support).join(sizes, "pattern").withColumn("p", F.col("weight") / (F.col("size") + 1.0)).filter(F.col("p") >= 0.5)
         scored = scratch.save(scored.select("pattern", F.col("kind").alias("as_kind"), "p"))
-        reached = edges.filter("kind is null").select("pattern", "instance").join(scored, "pattern").groupBy("instance", "as_kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("confidence"))
-        best = reached.groupBy("instance").agg(F.max(F.struct("confidence", "as_kind")).alias("b")).select("instance", F.col("b.as_kind").alias("kind"), F.col("b.confidence").alias("confidence")).filter(F.col("confidence") >= trust)
+        reached = edges.filter("kind is null").select("pattern", "instance").join(scored, "pattern").groupBy("instance", "as_kind").agg((-F.sum(F.log(1 - F.col("p")))).alias("evidence"))
+        # kinds are compared before the noisy-or, which rounds strong evidence to 1
+        best = reached.groupBy("instance").agg(F.max(F.struct("evidence", "as_kind")).alias("b"))
+        best = best.select("instance", F.col("b.as_kind").alias("kind"), (1 - F.exp(-F.col("b.evidence"))).alias("confidence"), F.lit(False).alias("seed")).filter(F.col("confidence") >= trust)
         best = scratch.save(best.join(seeds, "instance", "left_anti"))
         trusted = scratch.save(seeds.unionByName(best))
-    new = trusted.filter("confidence < 1").select("instance", F.col("kind").alias("as_kind"))
+    new = trusted.filter("not seed").select("instance", F.col("kind").alias("as_kind"))
     return each.filter("kind is null").withColumn("instance", F.lower("value")).join(new, "instance").select("uid", F.col("as_kind").alias("kind"), "start", "end")
 
 

@@ -267,6 +267,27 @@ def test_bootstrap_discovers_and_redacts(spark):
     assert clean[3] == "please write to <EMAIL> for help" == clean[100] and clean[101] == texts[-1][1]
 
 
+def test_bootstrap_keeps_the_strongest_discoveries(spark):
+    # five contexts with 200 seeds each: ten patterns at p near 0.99, so the noisy-or rounds to 1
+    seeds = [(1000 * c + i, f"context{c} write{c} user{c}x{i}@mail.org for{c} help") for c in range(5) for i in range(200)]
+    texts = seeds + [(9000 + c, f"context{c} write{c} Strong_at_990077 for{c} help") for c in range(5)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii_bootstrap.find_personal_data(d).collect()}
+    assert [spans[9000 + c] for c in range(5)] == ["email:16:32"] * 5
+    clean = {r.doc_id: r.text for r in pii_bootstrap.redact(d).collect()}
+    assert clean[9003] == "context3 write3 <EMAIL> for3 help"
+
+
+def test_bootstrap_finds_digit_groups(spark):
+    texts = [(i, f"please call to +1 555 010 {1000 + i} for help") for i in range(30)]
+    texts += [(100, "please call to 55 12 34-5 6. for help"), (101, "we sold 12 34 56 birds"), (102, "please call to 12 34 for help"), (103, "please call to 123 4567 8th for help")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii_bootstrap.find_personal_data(d).collect()}
+    assert spans[100] == "phone:15:27" and spans[101] == spans[102] == ""
+    found = {r.doc_id: [m.value for m in r.found or []] for r in pii_bootstrap.mentions(d.filter("doc_id > 99")).collect()}
+    assert found == {100: ["55 12 34-5 6"], 101: ["12 34 56"], 102: [], 103: ["123 4567"]}
+
+
 def test_pipeline_stages_are_whole(spark):
     import corpus_pipeline as cp
 
