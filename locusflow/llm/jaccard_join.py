@@ -19,7 +19,8 @@ with one set are one class throughout.
 
 Defined results: null and empty texts have no shingles and link with nothing (a
 component of their own); repeated rows are copies; a null doc_id takes part like
-any other but is never the smallest.  Sets are compared by 64-bit hashes.
+any other but is never the smallest.  Every row has a written key of its own, so
+that one doc_id may stand for several texts.  Sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_checked, small_enough, text_sub_batches
+from .common import Scratch, column_name, join_checked, small_enough, text_sub_batches
 from .components import connected_components
 from .textarrays import mix, shingle_set, windows, words_of
 
@@ -116,11 +117,11 @@ def _cell(values: np.ndarray) -> np.ndarray:
 
 
 def _summaries(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of two kinds: (doc_id, digest, n) of each document, and partial cell counts of each task."""
+    """Rows of two kinds: (uid, doc_id, digest, n) of each of ``docs(uid, doc_id, text)``, and partial cell counts of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int32)
-        schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n", pa.int64()), ("row", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("n", pa.int64()), ("row", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             for part, sets in _sets(batch, k):
                 full = [s for s in sets if len(s)]
@@ -128,14 +129,14 @@ def _summaries(docs: DataFrame, k: int) -> DataFrame:
                     cells += np.bincount(_cell(np.concatenate(full)), minlength=CELLS).astype(np.int32)
                 n = len(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([_digest(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema
+                    [part.column(0), part.column(1), pa.array([_digest(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema
                 )
         if cells.any():
             rows = cells.reshape(-1, CELLS_A_ROW)
             n = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array([r.tobytes() for r in rows], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) for _ in range(4)), pa.array(np.arange(n, dtype=np.int32)), pa.array([r.tobytes() for r in rows], pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, digest long, n long, row int, counts binary")
+    return docs.mapInArrow(run, "uid long, doc_id long, digest long, n long, row int, counts binary")
 
 
 def _cell_counts(parts: DataFrame) -> np.ndarray:
@@ -264,10 +265,7 @@ def _verified(members: DataFrame, k: int, at: Threshold) -> DataFrame:
     def links(ids: list[int], sides: list[int], texts: list[str], cross: bool) -> tuple[list[int], list[int]]:
         words = words_of(pa.array(texts), lower=True)
         sets = [shingle_set(words.hash[words.of(d)], k) for d in range(len(words))]
-        # where several rows share a doc_id, only the text that the class stands for counts, and once
-        fit = [d for d in range(len(ids)) if len(sets[d]) and _digest(sets[d]) == ids[d]]
-        fit = [d for i, d in enumerate(fit) if not i or (ids[d], sides[d]) != (ids[fit[i - 1]], sides[fit[i - 1]])]
-        ids, sets, side = [ids[d] for d in fit], [sets[d] for d in fit], np.array([sides[d] for d in fit])
+        side = np.array(sides)
         left, right = (side == 0, side == 1) if cross else (side >= 0, side >= 0)
         return _local_links(ids, sets, left, right, at) if left.any() and right.any() else ([], [])
 
@@ -297,13 +295,11 @@ def _verified(members: DataFrame, k: int, at: Threshold) -> DataFrame:
     return ordered.mapInArrow(run, "u long, v long")
 
 
-def link_components(docs: DataFrame, k: int = 5, at: Threshold | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``."""
-    at, spark = at or Threshold(), docs.sparkSession
-    scratch = scratch or Scratch(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _linked(docs: DataFrame, k: int, at: Threshold, scratch: Scratch) -> DataFrame:
+    """(uid, doc_id, n, component, first) for every row of the written ``docs(uid, doc_id, text)``; of rows with a link or copies, ``first`` is the uid of the row with the smallest doc_id in their component."""
+    spark = docs.sparkSession
     summaries = scratch.save(_summaries(docs, k))
-    own = summaries.filter("row is null").select("doc_id", "digest", "n")
+    own = summaries.filter("row is null").select("uid", "doc_id", "digest", "n")
     counts = _cell_counts(summaries.filter("row is not null").select("row", "counts"))
     cells = spark.sparkContext.broadcast(counts)
     sizes = {r["n"]: r["c"] for r in own.filter(f"n > 0 and n <= {at.most(at.most(MOST_SMALL)) + 1}").groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
@@ -316,8 +312,8 @@ def link_components(docs: DataFrame, k: int = 5, at: Threshold | None = None, sc
     around = open_.unionByName(open_.select("centre", F.col("centre").alias("member")).distinct())
     wanted = around.select(F.col("member").alias("digest")).distinct()
     # copies are folded before anything is dealt by digest: one text may hold a third of all rows
-    chosen = scratch.save(own.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(wanted, "digest", "left_semi"))
-    texts = docs.join(F.broadcast(chosen) if small_enough(chosen, BROADCAST_ROWS) else chosen, "doc_id").select(F.col("digest").alias("member"), "text")
+    chosen = scratch.save(own.filter("digest is not null").groupBy("digest").agg(F.min("uid").alias("uid")).join(wanted, "digest", "left_semi"))
+    texts = docs.join(F.broadcast(chosen) if small_enough(chosen, BROADCAST_ROWS) else chosen, "uid").select(F.col("digest").alias("member"), "text")
     large = around.groupBy("centre").agg(F.count(F.lit(1)).alias("size")).filter(f"size > {BLOCK}").select("centre", F.ceil(F.col("size") / (BLOCK // 2)).cast("int").alias("blocks"))
     placed = join_checked(around, scratch.save(large), "centre", "left", BROADCAST_ROWS).withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
     # block b meets every block, itself included
@@ -327,23 +323,32 @@ def link_components(docs: DataFrame, k: int = 5, at: Threshold | None = None, sc
     found = _verified(cells_of.join(texts, "member").select("centre", "i", "j", "member", "side", "text"), k, at)
     edges = scratch.save(exact.unionByName(found).distinct())
     roots = connected_components(edges, scratch)
-    classes = own.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    classes = own.filter("digest is not null").groupBy("digest").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "uid")).alias("low"), F.count(F.lit(1)).alias("copies"))
     classes = classes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").filter("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "digest"))
     classes = scratch.save(classes.select("digest", "root", "low", "copies"))
-    lowest = scratch.save(classes.groupBy("root").agg(F.min("low").alias("component")))
-    named = scratch.save(classes.join(lowest, "root").select("digest", "component", "copies"))
+    lowest = scratch.save(classes.groupBy("root").agg(F.min("low").alias("low")).select("root", F.col("low.doc_id").alias("component"), F.col("low.uid").alias("first")))
+    named = scratch.save(classes.select("digest", "root", "copies").join(lowest, "root").select("digest", "component", "first", "copies"))
     # fewer than MOST_OFTEN texts can hold over 1 / MOST_OFTEN of the rows each: they are broadcast, so that no task gets all copies of one
     often = F.col("copies") * MOST_OFTEN > own.count()
-    heavy_texts, other_texts = named.filter(often).select("digest", "component"), named.filter(~often).select("digest", "component")
+    heavy_texts, other_texts = named.filter(often).drop("copies"), named.filter(~often).drop("copies")
     out = own.join(F.broadcast(heavy_texts), "digest").unionByName(
         own.filter("digest is not null").join(F.broadcast(heavy_texts), "digest", "left_anti").join(other_texts, "digest", "left")
-    ).unionByName(own.filter("digest is null").withColumn("component", F.lit(None).cast("long")))
+    ).unionByName(own.filter("digest is null").withColumn("component", F.lit(None).cast("long")).withColumn("first", F.lit(None).cast("long")))
+    return out.select("uid", "doc_id", "n", "component", "first")
+
+
+def link_components(docs: DataFrame, k: int = 5, at: Threshold | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    keyed = scratch.save(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    out = _linked(keyed, k, at or Threshold(), scratch)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, at: Threshold | None = None) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component (and rows without shingles); of rows with one doc_id, one stays."""
-    groups = link_components(docs, k, at)
-    gone = Scratch(docs.sparkSession).save(groups.filter("doc_id <> component_id").select("doc_id").distinct())
-    left = docs.join(F.broadcast(gone), "doc_id", "left_anti") if small_enough(gone, BROADCAST_ROWS) else docs.join(gone, "doc_id", "left_anti")
-    return left.select(*docs.columns)
+    """One row of each component of ``docs``, that with the smallest doc_id (and all rows without shingles); of repeated rows, one stays."""
+    scratch, key = Scratch(docs.sparkSession), column_name(docs, "row_key")
+    keyed = scratch.save(docs.withColumn(key, F.monotonically_increasing_id()))
+    rows = _linked(keyed.select(F.col(key).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), k, at or Threshold(), scratch)
+    gone = scratch.save(rows.filter("uid <> first").select(F.col("uid").alias(key)))
+    return keyed.join(F.broadcast(gone) if small_enough(gone, BROADCAST_ROWS) else gone, key, "left_anti").select(*docs.columns)

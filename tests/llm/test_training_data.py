@@ -180,6 +180,19 @@ def test_jaccard_components(spark, docs):
     assert jaccard_join.link_components(docs).count() == docs.count()
 
 
+def test_one_row_of_each_group_stays(spark):
+    words = lambda p, n=60: " ".join(f"{p}{j}" for j in range(n))
+    a, b, c, near = words("a"), words("b"), words("c"), words("c", 59)
+    texts = [(3, a), (7, a), (7, b), (5, words("e")), (5, words("e")), (None, words("f")), (None, words("f")), (None, c), (None, near), (9, near + " end"), (None, ""), (None, ""), (None, words("g"))]
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    left = Counter((r.doc_id, r.text) for r in jaccard_join.one_of_each_group(d).collect())
+    assert left == Counter([(3, a), (7, b), (5, words("e")), (None, words("f")), (9, near + " end"), (None, ""), (None, ""), (None, words("g"))])
+    # a set that only rows with a null doc_id hold links the sets around it
+    chain = [(1, words("h", 100)), (None, words("h", 84)), (2, words("h", 70))]
+    out = jaccard_join.link_components(spark.createDataFrame(chain, "doc_id long, text string")).collect()
+    assert [r.component_id for r in out] == [1, 1, 1]
+
+
 @pytest.mark.parametrize("block,heavy", [(4, 4096), (1024, 0)])
 def test_jaccard_blocks_and_heavy_lists(spark, monkeypatch, block, heavy):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
