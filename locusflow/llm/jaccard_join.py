@@ -2,7 +2,8 @@
 
 The join is aware of set sizes.  *Small* sets list their fixed-size subsets: two
 sets of sizes a <= b link just when they share a subset of the needed overlap, so
-equal subset keys are links with nothing left to verify.  *Large* sets go into
+a subset key that a set of size a and another one list is a link with nothing left
+to verify (two sets of the larger size b alone may share too little).  *Large* sets go into
 inverted lists: with the rarest shingles first, linked sets share one of their
 first ``size - ceil(0.8 size) + 1`` shingles.  The boundary between the two is the
 size for which the estimated work, from the histogram of sizes, is least.
@@ -89,15 +90,16 @@ def boundary(sizes: dict[int, int], at: Threshold) -> int:
     return min(work, key=lambda x: (work[x], x))
 
 
-def subset_keys(values: np.ndarray, at: Threshold) -> list[int]:
-    """Keys of the subsets that a small set shares with every set that links to it."""
-    n, keys = len(values), []
+def subset_keys(values: np.ndarray, at: Threshold) -> tuple[list[int], list[int]]:
+    """Keys of the subsets that a small set shares with every set that links to it, and their kinds: 0 where the set has the smaller size of the key, 3 where it has the larger."""
+    n, keys, kinds = len(values), [], []
     for other in range(at.least(n), at.most(n) + 1):
         a, b = min(n, other), max(n, other)
         tag = np.uint64((a << 32) | b)
         for part in combinations(values, at.overlap(a, b)):
             keys.append(mix(windows(np.array([tag, *part], np.uint64), len(part) + 1))[0])
-    return keys
+            kinds.append(0 if n == a else 3)
+    return keys, kinds
 
 
 def _digest(values: np.ndarray) -> np.int64:
@@ -157,7 +159,7 @@ def _cell_counts(parts: DataFrame) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, k: int, at: Threshold, small: int, cells, heavy: int) -> DataFrame:
-    """(token, digest, size, kind): kind 0 for a subset key, 1 for a listed shingle, 2 for a shingle of a heavy cell."""
+    """(token, digest, size, kind): kind 0 or 3 for a subset key, 1 for a listed shingle, 2 for a shingle of a heavy cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = cells.value, set()
@@ -171,11 +173,11 @@ def _postings(docs: DataFrame, k: int, at: Threshold, small: int, cells, heavy:
                     if len(seen) < 1_000_000:
                         seen.add(digest)
                     if n <= small:
-                        keys = np.array(subset_keys(values, at), np.uint64)
-                        tokens.append(keys)
+                        keys, roles = subset_keys(values, at)
+                        tokens.append(np.array(keys, np.uint64))
                         owners.append(np.full(len(keys), digest))
                         sizes.append(np.full(len(keys), n, np.int32))
-                        kinds.append(np.zeros(len(keys), np.int8))
+                        kinds.append(np.array(roles, np.int8))
                     if at.most(n) > small:
                         seen_often = counts[_cell(values)]
                         first = np.lexsort((values, seen_often))[: at.prefix(n)]
@@ -193,12 +195,13 @@ def _spokes(postings: DataFrame, at: Threshold) -> DataFrame:
     """(centre, member, exact): every member of a list with the list's smallest member.
 
     A list in order of size breaks where the next set is too large to link with
-    any before: pairs across the break cannot link.
+    any before: pairs across the break cannot link.  The list of a subset key that
+    no set of the smaller size is in has no spokes.
     """
-    light = postings.filter("kind < 2").repartition("token").sortWithinPartitions("token", "size", "digest")
+    light = postings.filter("kind <> 2").repartition("token").sortWithinPartitions("token", "size", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_size, centre = None, 0, None
+        last, last_size, centre, role = None, 0, None, 0
         for batch in batches:
             token, digest, size, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             size = size.astype(np.int64)
@@ -209,13 +212,14 @@ def _spokes(postings: DataFrame, at: Threshold) -> DataFrame:
             new[1:] = (token[1:] != token[:-1]) | (at.den * size[:-1] < at.num * size[1:])
             head = np.where(new, np.arange(len(token)), 0)
             np.maximum.accumulate(head, out=head)
-            middle = digest[head]
+            middle, first_kind = digest[head], kind[head]
             if not new[0]:
-                middle[: int(np.argmax(new)) if new.any() else len(token)] = centre
-            last, last_size, centre = token[-1], size[-1], middle[-1]
-            apart = middle != digest
-            pairs = np.unique(np.rec.fromarrays([middle[apart], digest[apart], kind[apart]], names="a,b,k"))
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.a), pa.array(pairs.b), pa.array(pairs.k == 0)], names=["centre", "member", "exact"])
+                goes_on = int(np.argmax(new)) if new.any() else len(token)
+                middle[:goes_on], first_kind[:goes_on] = centre, role
+            last, last_size, centre, role = token[-1], size[-1], middle[-1], first_kind[-1]
+            apart = (middle != digest) & (first_kind != 3)
+            pairs = np.unique(np.rec.fromarrays([middle[apart], digest[apart], kind[apart] != 1], names="a,b,exact"))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.a), pa.array(pairs.b), pa.array(pairs.exact)], names=["centre", "member", "exact"])
 
     spokes = light.mapInArrow(run, "centre long, member long, exact boolean")
     # lists of heavy cells may hold a large part of all rows: a partial minimum finds their centre, and a join gives it to the members

@@ -180,6 +180,22 @@ def test_jaccard_components(spark, docs):
     assert jaccard_join.link_components(docs).count() == docs.count()
 
 
+def test_jaccard_links_of_small_sets_are_true(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "boundary", lambda sizes, at: 16)
+    text = lambda p, n, changed=0: " ".join(f"{p}{j}" if j < n - changed else f"{p}x{j}" for j in range(n))
+    # n + 4 words have n shingles; a changed last word leaves n - 1 of n + 1 in common, a longer text n of n + 1
+    texts = [(100 * n + i, t) for n in range(1, 17) for i, t in enumerate([text(f"a{n}q", n + 4), text(f"a{n}q", n + 4, 1), text(f"b{n}q", n + 4), text(f"b{n}q", n + 5), text(f"c{n}q", n + 4), text(f"c{n}q", n + 4, 2), text(f"c{n}q", n + 3)])]
+    sets = {i: frozenset(tuple(t.split()[j : j + 5]) for j in range(max(len(t.split()) - 4, 1))) for i, t in texts}
+    component = {i: i for i in sets}
+    for _ in sets:
+        for n in range(1, 17):
+            group = [100 * n + i for i in range(7)]
+            for x in group:
+                component[x] = min(component[y] for y in group if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]))
+    out = {r.doc_id: r.component_id for r in jaccard_join.link_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert out == component and out[501] == 501
+
+
 def test_one_row_of_each_group_stays(spark):
     words = lambda p, n=60: " ".join(f"{p}{j}" for j in range(n))
     a, b, c, near = words("a"), words("b"), words("c"), words("c", 59)
