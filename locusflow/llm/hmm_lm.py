@@ -1,23 +1,30 @@
-"""A hidden Markov language model over word classes, with exact sequence likelihoods.
+"""A hidden Markov language model over words, with exact likelihoods of whole texts.
 
-Every distinct word of the corpus is counted.  The most frequent words are
-classes of their own; all others fall into a fixed number of classes by hash, in
-which a word has its smoothed share of the class (unseen words included).  States
-emit classes.  Baum-Welch counts of all training texts are summed across
-partitions in each round; training sequences are pieces of ``PIECE`` tokens, so
-that pieces of all texts advance together.
+Latent states emit words.  Every word that training texts hold at least twice has
+emissions of its own; words seen once, and unseen ones, share one class, inside
+which a word has its smoothed share.  All of this, and the smoothing, comes from
+training counts alone.  With one state the model is the smoothed unigram base.
 
-Likelihoods are exact for whole texts: each piece becomes a K x K operator by
-the scaled forward recursion from every state at once, and the operators of a
-text are applied one after another.
+The vocabulary is never held in one place.  Texts are kept in blocks, each with
+the sorted hashes of its own words; hash ranges of the vocabulary are shards.  In
+a Baum-Welch round every block sends its expected counts to the shards, which add
+them up and send each block the new counts of the words it holds: two shuffles,
+each in proportion to the distinct words of the blocks.  Blocks are written once,
+bucketed by block, so that texts are not shuffled again.
+
+Recursions run over whole texts.  A text of over ``PIECE`` tokens is worked on in
+pieces side by side: a piece is a K x K operator, operators applied in order give
+the exact state distribution at each border, forwards and backwards, and with
+these messages the pieces' counts and likelihoods are those of the whole text.
 
 Defined results: null and empty texts hold the end token only; repeated rows are
 scored one by one; a null doc_id counts as empty text for the fold; with no
-training text at all every word is unknown.
+training text at all every word is unseen.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,10 +36,13 @@ from pyspark.sql import functions as F
 from .common import Scratch, crc_remainder, text_sub_batches
 from .textarrays import mix, words_of
 
-STATES, ROUNDS, PIECE = 4, 3, 128
-#: Words with a class of their own, and classes of all others; together they fit 16 bits.
-OWN_CLASSES, SHARED_CLASSES = 60_000, 4_096
-_COLUMNS_A_ROW = 4096
+STATES, ROUNDS = 4, 4
+#: Tokens of a piece, a unit of work only; tokens worked on at once.
+PIECE, AT_ONCE = 1024, 1_000_000
+#: Text of one block, and listed words of one shard (of all blocks together).
+BLOCK_BYTES, SHARD_WORDS = 32_000_000, 2_000_000
+#: Training counts from which a word has emissions of its own.
+OWN_FROM = 2
 END = mix(np.array([0x656E64], np.uint64))[0]
 
 
@@ -47,280 +57,438 @@ def _token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n_all, n_train) of ``docs(text, train)``, words as hashes."""
+# -- the model and its recursions ----------------------------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_sub_batches(batch):
-                tokens, first = _token_hashes(part.column(0))
-                train = np.repeat(part.column(1).to_numpy(zero_copy_only=False), np.diff(first))
-                word, inverse = np.unique(tokens, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.bincount(inverse)), pa.array(np.bincount(inverse, train).astype(np.int64))], names=["word", "n_all", "n_train"])
 
-    return docs.select("text", "train").mapInArrow(run, "word long, n_all long, n_train long").groupBy("word").agg(F.sum("n_all").alias("n_all"), F.sum("n_train").alias("n_train"))
+@dataclass
+class Model:
+    start: np.ndarray  # K
+    step: np.ndarray  # K x K
+    emit: np.ndarray  # words x K
 
 
 @dataclass
-class Classes:
-    """Sorted hashes of words with their own class and their training counts; smoothed mass of all classes; corpus totals."""
+class Pieces:
+    """Pieces of texts: where each begins in the flat tokens, its length, text, and number within the text."""
 
-    words: np.ndarray
-    counts: np.ndarray
-    mass: np.ndarray
-    total: int
-    distinct: int
+    begin: np.ndarray
+    length: np.ndarray
+    owner: np.ndarray
+    number: np.ndarray
 
-    @property
-    def denominator(self) -> float:
-        return self.total + 0.5 * (self.distinct + 1)
-
-    def of(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(class, whether it is the word's own) of each token."""
-        at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
-        own = self.words[at] == tokens
-        return np.where(own, at, len(self.words) + (tokens % np.uint64(SHARED_CLASSES)).astype(np.int64)).astype(np.uint16), own
-
-
-def make_classes(counts: DataFrame) -> tuple[Classes, DataFrame]:
-    """The classes, and the table of all words that share one."""
-    top = counts.orderBy(F.desc("n_all"), "word").limit(OWN_CLASSES)
-    rows = top.collect()  # bounded by OWN_CLASSES
-    words = np.array([r["word"] for r in rows] + [np.array([END]).view(np.int64)[0]], np.int64).view(np.uint64)
-    seen = np.array([r["n_train"] for r in rows] + [0], np.int64)
-    order = np.argsort(words, kind="stable")
-    words, seen = words[order], seen[order]
-    words, where = np.unique(words, return_index=True)
-    seen = seen[where]
-    spark = counts.sparkSession
-    own = spark.createDataFrame(pa.table({"word": pa.array(words.view(np.int64))})) if len(words) else counts.select("word").limit(0)
-    rare = counts.join(F.broadcast(own), "word", "left_anti")
-    share = F.pmod(F.col("word"), F.lit(SHARED_CLASSES)).alias("share")
-    shares = rare.groupBy(share).agg(F.sum("n_train").alias("n"), F.count(F.when(F.col("n_train") > 0, 1)).alias("v")).collect()
-    mass = np.concatenate([seen + 0.5, np.full(SHARED_CLASSES, 0.5)])
-    for r in shares:
-        mass[len(words) + r["share"]] += r["n"] + 0.5 * r["v"]
-    all_ = counts.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n"), F.count(F.when(F.col("n_train") > 0, 1)).alias("v")).first()
-    return Classes(words, seen, mass, all_["n"], all_["v"]), rare
-
-
-def class_table(docs: DataFrame, shared) -> DataFrame:
-    """Each row's class sequence, the sums that need no join, and its tokens in shared classes."""
+    @staticmethod
+    def of(first: np.ndarray, piece: int) -> Pieces:
+        size = np.diff(first)
+        many = -(-size // piece)
+        owner = np.repeat(np.arange(len(size)), many)
+        number = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return Pieces(first[owner] + number * piece, np.minimum(piece, size[owner] - number * piece), owner, number)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Classes = shared.value
-        log_mass, log_own, low = np.log10(c.mass), np.log10(c.counts + 0.5), np.log10(c.denominator)
-        for batch in batches:
-            for part in text_sub_batches(batch):
-                tokens, first = _token_hashes(part.column(0))
-                classes, own = c.of(tokens)
-                at = np.where(own, classes, 0)
-                sums = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[first])
-                base = sums(np.where(own, log_own[at], 0.0)) - low * np.diff(first)
-                share = -sums(np.where(own, 0.0, log_mass[classes]))
-                known = sums(own & (c.counts[at] > 0))
-                rare_first = np.concatenate([[0], np.cumsum(~own)])[first]
-                rare = pa.ListArray.from_arrays(pa.array(rare_first.astype(np.int32)), pa.array(tokens[~own].view(np.int64)))
-                raw, bounds = classes.tobytes(), first * 2
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(2), part.column(1), pa.array([raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary()), pa.array(np.diff(first).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(share), rare],
-                    names=["doc_id", "train", "classes", "n_tokens", "known", "base", "share", "rare"],
-                )
 
-    shape = "doc_id long, train boolean, classes binary, n_tokens long, known long, base double, share double, rare array<long>"
-    return docs.select("text", "train", "doc_id").mapInArrow(run, shape).withColumn("uid", F.monotonically_increasing_id())
+def _longest_first(length: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Groups of pieces in order of falling length, each of about ``most`` tokens."""
+    order = np.argsort(-length, kind="stable")
+    total = np.cumsum(length[order])
+    at = 0
+    while at < len(order):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield order[at:to]
+        at = to
+
+
+def _active(length: np.ndarray) -> list[int]:
+    """How many of the pieces (longest first) reach each place."""
+    return np.searchsorted(-length, -np.arange(length[0]), "left").tolist()
+
+
+def _operators(m: Model, flat: np.ndarray, p: Pieces, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Operators of pieces, as rows of sum one and the logs of their sums; the first piece of a text applies no transition before its first token."""
+    k = len(m.start)
+    out, logs = np.zeros((len(which), k, k)), np.zeros((len(which), k))
+    for rows in _longest_first(p.length[which], AT_ONCE // k):
+        own = which[rows]
+        begin, active = p.begin[own], _active(p.length[own])
+        head = np.where((p.number[own] == 0)[:, None, None], np.eye(k), m.step)
+        now, log = head * m.emit[flat[begin]][:, None, :], np.zeros((len(own), k))
+        for t, a in enumerate(active):
+            if t:
+                now[:a] = (now[:a] @ m.step) * m.emit[flat[begin[:a] + t]][:, None, :]
+            if t % 16 == 15 or t + 1 == len(active) or active[t + 1] < a:
+                total = now[:a].sum(2)
+                total[total == 0] = 1.0
+                now[:a] /= total[:, :, None]
+                log[:a] += np.log(total)
+        out[rows], logs[rows] = now, log
+    return out, logs
 
 
 @dataclass
-class Model:
-    start: np.ndarray  # K
-    step: np.ndarray  # K x K
-    emit: np.ndarray  # classes x K
+class Messages:
+    """At the borders of pieces: the state distribution before each, the weight of what follows each, and the log-likelihood of texts of several pieces (0 for others)."""
+
+    before: np.ndarray
+    behind: np.ndarray
+    likelihood: np.ndarray
+
+
+def messages(m: Model, flat: np.ndarray, first: np.ndarray, p: Pieces) -> Messages:
+    k = len(m.start)
+    out = Messages(np.tile(m.start, (len(p.begin), 1)), np.ones((len(p.begin), k)), np.zeros(len(first) - 1))
+    which = np.flatnonzero(np.diff(first)[p.owner] > p.length) if len(p.begin) else np.zeros(0, np.int64)
+    if not len(which):
+        return out
+    operator, logs = _operators(m, flat, p, which)
+    high = logs.max(1)
+    operator = operator * np.exp(logs - high[:, None])[:, :, None]
+    rank = np.argsort(p.number[which], kind="stable")
+    steps = np.split(rank, np.flatnonzero(np.diff(p.number[which][rank])) + 1)
+    state = np.tile(m.start, (len(first) - 1, 1))
+    for rows in steps:
+        own = which[rows]
+        out.before[own] = state[p.owner[own]]
+        now = np.einsum("pk,pkl->pl", state[p.owner[own]], operator[rows])
+        total = now.sum(1)
+        state[p.owner[own]] = now / total[:, None]
+        out.likelihood[p.owner[own]] += np.log(total) + high[rows]
+    weight = np.ones((len(first) - 1, k))
+    for rows in reversed(steps):
+        own = which[rows]
+        out.behind[own] = weight[p.owner[own]]
+        now = np.einsum("pkl,pl->pk", operator[rows], weight[p.owner[own]])
+        weight[p.owner[own]] = now / now.sum(1, keepdims=True)
+    return out
 
-    @staticmethod
-    def initial(mass: np.ndarray, k: int, seed: int = 5) -> Model:
-        """States that differ a little in every class and last for a while."""
-        emit = (mass / mass.sum())[:, None] * np.random.default_rng(seed).uniform(0.5, 1.5, (len(mass), k))
-        step = np.full((k, k), 0.1 / max(k - 1, 1))
-        np.fill_diagonal(step, 0.9 if k > 1 else 1.0)
-        return Model(np.full(k, 1 / k), step, emit / emit.sum(0))
-
-    def updated(self, start: np.ndarray, step: np.ndarray, emit: np.ndarray, mass: np.ndarray) -> Model:
-        """Maximisation; each state's emissions give the corpus-wide distribution the weight of the kinds of classes seen in it."""
-        prior = mass / mass.sum()
-        weight = (emit > 0.5).sum(0) + 1.0
-        emit = (emit + weight * prior[:, None]) / (emit.sum(0) + weight)
-        return Model((start + 0.1) / (start + 0.1).sum(), (step + 0.1) / (step + 0.1).sum(1, keepdims=True), emit)
-
-
-def _pieces(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces of all sequences as rows (padded), longest first; their lengths and owners (in order within each owner)."""
-    owner = np.concatenate([np.full(-(-len(s) // PIECE), i) for i, s in enumerate(sequences)])
-    length = np.concatenate([np.minimum(PIECE, len(s) - np.arange(0, len(s), PIECE)) for s in sequences])
-    flat = np.concatenate(sequences)
-    begin = np.cumsum(length) - length
-    order = np.argsort(-length, kind="stable")
-    grid = np.zeros((len(length), int(length.max())), np.int64)
-    for row, i in enumerate(order):
-        grid[row, : length[i]] = flat[begin[i] : begin[i] + length[i]]
-    return grid, length[order], owner[order]
-
-
-def _groups(batches: Iterator[pa.RecordBatch], most: int = 400_000) -> Iterator[tuple[list, list[np.ndarray]]]:
-    ids, held, n = [], [], 0
-    for batch in batches:
-        for uid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids.append(uid)
-            held.append(np.frombuffer(raw, np.uint16).astype(np.int64))
-            n += len(held[-1])
-            if n >= most:
-                yield ids, held
-                ids, held, n = [], [], 0
-    if held:
-        yield ids, held
-
-
-def expected_counts(m: Model, sequences: list[np.ndarray], into: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-    """Adds the expected starts, steps and emissions of sequences (each piece on its own) by the scaled forward-backward recursion."""
-    grid, length, _ = _pieces(sequences)
-    k, (n, t_max) = len(m.start), grid.shape
-    active = np.searchsorted(-length, -np.arange(t_max), "left")  # pieces longer than t come first
-    alpha, scale = np.zeros((t_max, n, k)), np.ones((t_max, n))
-    now = m.start * m.emit[grid[:, 0]]
-    for t in range(t_max):
-        a = active[t]
-        if t:
-            now = (alpha[t - 1, :a] @ m.step) * m.emit[grid[:a, t]]
-        scale[t, :a] = now[:a].sum(1)
-        alpha[t, :a] = now[:a] / scale[t, :a, None]
-    start, step, emit = into
-    beta, counts, gammas = np.ones((n, k)), np.zeros((k, k)), np.zeros((t_max, n, k))
-    for t in range(t_max - 1, -1, -1):
-        a = active[t]
-        gamma = alpha[t, :a] * beta[:a]
-        gamma /= gamma.sum(1, keepdims=True)
-        gammas[t, :a] = gamma
-        if t == 0:
-            start += gamma.sum(0)
-        else:
-            weighted = beta[:a] * m.emit[grid[:a, t]] / scale[t, :a, None]
-            counts += alpha[t - 1, :a].T @ weighted
-            beta[:a] = weighted @ m.step.T
-    step += counts * m.step
-    seen = grid.T.ravel()
-    for j in range(k):  # padding has no weight
-        emit[:, j] += np.bincount(seen, gammas[:, :, j].ravel(), minlength=len(emit))
-
-
-def log_likelihoods(m: Model, sequences: list[np.ndarray], longest: int = 2048) -> np.ndarray:
-    """Exact natural-log likelihood of each whole sequence; those over ``longest`` tokens by operators of pieces."""
-    size = np.array([len(s) for s in sequences])
-    out = np.zeros(len(sequences))
-    order = np.argsort(-size, kind="stable")
-    few, many = order[size[order] <= longest], order[size[order] > longest]
-    if len(many):
-        out[many] = _by_operators(m, [sequences[i] for i in many])
-    if len(few):
-        length = size[few]
-        begin, flat = np.cumsum(length) - length, np.concatenate([sequences[i] for i in few])
-        active = np.searchsorted(-length, -np.arange(length[0]), "left")
-        now, logs = np.zeros((len(few), len(m.start))), np.zeros(len(few))
-        for t in range(length[0]):
+
+def expected_counts(m: Model, flat: np.ndarray, first: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected starts, steps and emissions of whole texts by the scaled forward-backward recursion."""
+    k = len(m.start)
+    start, step, emit = np.zeros(k), np.zeros((k, k)), np.zeros(m.emit.shape)
+    p = Pieces.of(first, piece)
+    if not len(p.begin):
+        return start, step, emit
+    at = messages(m, flat, first, p)
+    for own in _longest_first(p.length, AT_ONCE):
+        begin, active, heads = p.begin[own], _active(p.length[own]), p.number[own] == 0
+        alpha, scale = np.empty((len(active), len(own), k)), np.empty((len(active), len(own), 1))
+        now = np.where(heads[:, None], m.start, at.before[own] @ m.step) * m.emit[flat[begin]]
+        for t, a in enumerate(active):
+            if t:
+                now = (alpha[t - 1, :a] @ m.step) * m.emit[flat[begin[:a] + t]]
+            np.sum(now, axis=1, keepdims=True, out=scale[t, :a])
+            np.divide(now, scale[t, :a], out=alpha[t, :a])
+        beta, done = at.behind[own], 0
+        for t in range(len(active) - 1, -1, -1):
             a = active[t]
-            now = (now[:a] @ m.step if t else m.start) * m.emit[flat[begin[:a] + t]]
-            if t % 16 == 15 or t + 1 == length[0] or active[t + 1] < a:
+            if a > done:  # pieces that end here
+                beta[done:a] /= (alpha[t, done:a] * beta[done:a]).sum(1, keepdims=True)
+                done = a
+            weighted = beta[:a] * m.emit[flat[begin[:a] + t]] / scale[t, :a]
+            before = alpha[t - 1, :a] if t else at.before[own]
+            alpha[t, :a] *= beta[:a]  # from here on the posterior
+            if t:
+                step += before.T @ weighted
+                beta[:a] = weighted @ m.step.T
+            else:
+                start += alpha[0, heads].sum(0)
+                step += before[~heads].T @ weighted[~heads]
+        reach = np.arange(len(own)) < np.array(active)[:, None]
+        tokens = flat[(begin + np.arange(len(active))[:, None])[reach]]
+        for j in range(k):
+            emit[:, j] += np.bincount(tokens, alpha[:, :, j][reach], minlength=len(emit))
+    return start, step * m.step, emit
+
+
+def log_likelihoods(m: Model, flat: np.ndarray, first: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """Exact natural-log likelihood of each whole text."""
+    p = Pieces.of(first, piece)
+    out = messages(m, flat, first, p).likelihood
+    alone = np.flatnonzero(np.diff(first)[p.owner] == p.length)
+    for rows in _longest_first(p.length[alone], AT_ONCE):
+        own = alone[rows]
+        begin, active = p.begin[own], _active(p.length[own])
+        now, logs = m.start * m.emit[flat[begin]], np.zeros(len(own))
+        for t, a in enumerate(active):
+            if t:
+                now = (now[:a] @ m.step) * m.emit[flat[begin[:a] + t]]
+            if t % 16 == 15 or t + 1 == len(active) or active[t + 1] < a:
                 total = now.sum(1)
                 now = now / total[:, None]
                 logs[:a] += np.log(total)
-        out[few] = logs
+        out[p.owner[own]] = logs
     return out
 
 
-def _by_operators(m: Model, sequences: list[np.ndarray]) -> np.ndarray:
-    grid, length, owner = _pieces(sequences)
-    k, (n, t_max) = len(m.start), grid.shape
-    active = np.searchsorted(-length, -np.arange(t_max), "left")
-    # operator[p] maps the state before piece p to the state behind it; its first step applies the transition too
-    operator, logs = np.tile(np.eye(k), (n, 1, 1)), np.zeros((n, k))
-    for t in range(t_max):
-        a = active[t]
-        now = (operator[:a] @ m.step) * m.emit[grid[:a, t]][:, None, :]
-        if t % 16 == 15 or t == t_max - 1 or a < active[t - 1]:
-            total = now.sum(2)
-            now /= total[:, :, None]
-            logs[:a] += np.log(total)
-        operator[:a] = now
-    total = operator.sum(2)  # pieces that ended between two scalings
-    logs, operator = logs + np.log(total), operator / total[:, :, None]
-    rank = np.argsort(owner, kind="stable")
-    # pieces of one owner keep their order: full ones come first, the shorter last one behind them
-    number = np.arange(n) - np.searchsorted(owner[rank], owner[rank])
-    # the first step starts from the start distribution: solve it as a state before the text
-    state, out = np.tile(m.start @ np.linalg.pinv(m.step), (len(sequences), 1)), np.zeros(len(sequences))
-    for j in range(int(number.max()) + 1 if n else 0):
-        p = rank[number == j]
-        who = owner[p]
-        high = logs[p].max(1)
-        weight = np.exp(logs[p] - high[:, None])
-        now = np.einsum("pk,pk,pkl->pl", state[who], weight, operator[p])
-        total = now.sum(1)
-        state[who] = now / total[:, None]
-        out[who] += np.log(total) + high
-    return out
+@dataclass
+class Corpus:
+    """Training totals: tokens, distinct words and the words seen once."""
+
+    tokens: int
+    words: int
+    once: int
+
+    @property
+    def denominator(self) -> float:
+        return self.tokens + 0.5 * (self.words + 1)
+
+    @property
+    def rare_mass(self) -> float:
+        return 1.5 * self.once + 0.5
+
+
+@dataclass
+class Shared:
+    """What every task needs of a model: K, K x K and K numbers, whatever the vocabulary."""
+
+    start: np.ndarray
+    step: np.ndarray
+    rare: np.ndarray
+    total: np.ndarray
+    corpus: Corpus
+
+    def model(self, counts: np.ndarray) -> Model:
+        """With the expected counts (words x K) of some words; the last row of the emissions is the class of rare words.
+
+        Each state has a half count for every word, split over the states, so that one state alone is the base.
+        """
+        k = len(self.start)
+        emit = np.concatenate([counts + 0.5 / k, [self.rare + 0.5 / k * (self.corpus.once + 1)]])
+        return Model(self.start, self.step, emit / (self.total + 0.5 / k * (self.corpus.words + 1)))
+
+    @staticmethod
+    def initial(corpus: Corpus, k: int) -> Shared:
+        step = np.full((k, k), 0.1 / max(k - 1, 1))
+        np.fill_diagonal(step, 0.9 if k > 1 else 1.0)
+        return Shared(np.full(k, 1 / k), step, np.full(k, corpus.once / k), np.full(k, corpus.tokens / k), corpus)
+
+    def updated(self, start: np.ndarray, step: np.ndarray, rare: np.ndarray, total: np.ndarray) -> Shared:
+        return Shared((start + 0.1) / (start + 0.1).sum(), (step + 0.1) / (step + 0.1).sum(1, keepdims=True), rare, total, self.corpus)
+
+
+def first_counts(counts: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
+    """Counts of words split over the states unevenly, by a hash of word and state, so that the states differ."""
+    shares = np.stack([mix(seeds.astype(np.uint64) * np.uint64(k) + np.uint64(j)).astype(np.float64) for j in range(k)], 1) / 2.0**64 + 0.5
+    return counts[:, None] * shares / shares.sum(1, keepdims=True)
+
+
+# -- the jobs ------------------------------------------------------------------------------------------------------
+
+_LISTS = "doc_id array<long>, train array<boolean>, length array<long>"
+
+
+def _text_blocks(docs: DataFrame) -> DataFrame:
+    """One row for each block of ``docs(text, train, doc_id)``: its rows in order, the sorted hashes of its words, their training counts, and all tokens as places among the words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def block() -> pa.RecordBatch:
+            tokens = np.concatenate([h[0] for h in held])
+            length, train = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+            ids = pa.concat_arrays([h[3] for h in held])
+            held.clear()
+            words, place = np.unique(tokens, return_inverse=True)
+            seen = np.bincount(place, np.repeat(train, length), minlength=len(words)).astype(np.int32)
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            return pa.RecordBatch.from_arrays(
+                [one(ids), one(pa.array(train)), one(pa.array(length)), *(pa.array([x.tobytes()], pa.binary()) for x in (words, seen, place.astype(np.int32)))],
+                names=["doc_id", "train", "length", "words", "seen", "tokens"],
+            )
+
+        size = 0
+        for batch in batches:
+            for part in text_sub_batches(batch):
+                tokens, first = _token_hashes(part.column(0))
+                held.append((tokens, np.diff(first).astype(np.int64), part.column(1).to_numpy(zero_copy_only=False).astype(bool), part.column(2)))
+                size += part.column(0).nbytes
+                if size >= BLOCK_BYTES:
+                    yield block()
+                    size = 0
+        if held:
+            yield block()
+
+    made = docs.select("text", "train", "doc_id").mapInArrow(run, f"{_LISTS}, words binary, seen binary, tokens binary")
+    return made.withColumn("block", F.monotonically_increasing_id()).withColumn("distinct", F.length("words") / 8)
+
+
+def _shard_edges(shards: int) -> np.ndarray:
+    """Shards are ranges of word hashes; edge i ends shard i."""
+    return np.array([(i + 1) * 2**64 // shards - 1 for i in range(shards)], np.uint64)
+
+
+def _word_counts(blocks: DataFrame, shards: int) -> DataFrame:
+    """For each shard and block: the training counts of the block's words, the places of its own words in the shard, and (once for each shard) totals."""
+    edges = _shard_edges(shards)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, words, seen in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                cut = np.concatenate([[0], np.searchsorted(np.frombuffer(words, np.uint64), edges, "right")]).tolist()
+                parts = [(s, a, b) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s for s, _, _ in parts], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([words[8 * a : 8 * b] for _, a, b in parts], pa.binary()), pa.array([seen[4 * a : 4 * b] for _, a, b in parts], pa.binary())],
+                    names=["shard", "block", "words", "seen"],
+                )
 
+    def add(t: pa.Table) -> pa.Table:
+        words = [np.frombuffer(x, np.uint64) for x in t.column("words").to_pylist()]
+        seen = np.concatenate([np.frombuffer(x, np.int32) for x in t.column("seen").to_pylist()])
+        every, place = np.unique(np.concatenate(words), return_inverse=True)
+        total = np.bincount(place, seen, minlength=len(every)).astype(np.int64)
+        own = total >= OWN_FROM
+        at = np.where(own, np.cumsum(own) - 1, -1).astype(np.int32)[place]
+        ends = np.cumsum([len(w) for w in words])
+        rows, zeros = [], [0] * (len(words) - 1)
+        for a, b in zip((ends - [len(w) for w in words]).tolist(), ends.tolist(), strict=True):
+            here = at[a:b]
+            rows.append((np.minimum(total[place[a:b]], 2**31 - 1).astype(np.int32).tobytes(), here[here >= 0].tobytes()))
+        return pa.table({
+            "shard": t.column("shard").combine_chunks(), "block": t.column("block").combine_chunks(), "counts": pa.array([r[0] for r in rows], pa.binary()), "places": pa.array([r[1] for r in rows], pa.binary()),
+            "own": pa.array([int(own.sum())] * len(words), pa.int64()), "n_tokens": pa.array([int(total.sum()), *zeros], pa.int64()), "n_words": pa.array([int((total > 0).sum()), *zeros], pa.int64()), "n_once": pa.array([int((total == 1).sum()), *zeros], pa.int64()),
+        })
+
+    parts = blocks.select("block", "words", "seen").mapInArrow(listed, "shard int, block long, words binary, seen binary")
+    return parts.groupBy("shard").applyInArrow(add, "shard int, block long, counts binary, places binary, own long, n_tokens long, n_words long, n_once long")
+
+
+def _by_shard(t: pa.Table, column: str, kind) -> np.ndarray:
+    """A block's arrays from all shards, in order of the shards."""
+    parts = sorted(zip(t.column("shard").to_pylist(), t.column(column).to_pylist(), strict=True))
+    return np.concatenate([np.frombuffer(x, kind) for _, x in parts]) if parts else np.zeros(0, kind)
+
+
+def _settled(blocks: DataFrame, counts: DataFrame, corpus: Corpus) -> DataFrame:
+    """Blocks whose tokens are places among own words (behind them: the class of rare ones), with each row's sums that need no states."""
+
+    def settle(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = left.to_pylist()[0]
+        c, words = _by_shard(right, "counts", np.int32).astype(np.int64), np.frombuffer(rows["words"], np.uint64)
+        own = c >= OWN_FROM
+        shards = sorted((s, int((np.frombuffer(x, np.int32) >= OWN_FROM).sum())) for s, x in zip(right.column("shard").to_pylist(), right.column("counts").to_pylist(), strict=True))
+        tokens = np.frombuffer(rows["tokens"], np.int32)
+        first = np.concatenate([[0], np.cumsum(rows["length"])]).astype(np.int64)
+        sums = lambda of_word: np.diff(np.concatenate([[0], np.cumsum(of_word[tokens])])[first])
+        log = np.log10(c + 0.5)
+        base = sums(log - np.log10(corpus.denominator))
+        share = sums(np.where(own, 0.0, log - np.log10(corpus.rare_mass)))
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        return pa.table({
+            "block": left.column("block").combine_chunks(), "doc_id": left.column("doc_id").combine_chunks(), "train": left.column("train").combine_chunks(), "length": left.column("length").combine_chunks(),
+            "known": one(pa.array(sums((c > 0).astype(np.int64)))), "base": one(pa.array(base)), "share": one(pa.array(share)),
+            "tokens": pa.array([np.where(own, np.cumsum(own) - 1, own.sum()).astype(np.int32)[tokens].tobytes()], pa.binary()),
+            "counts": pa.array([c[own].astype(np.int32).tobytes()], pa.binary()), "seeds": pa.array([(words[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()], pa.binary()),
+            "shards": one(pa.array([s for s, _ in shards], pa.int32())), "sizes": one(pa.array([n for _, n in shards], pa.int32())),
+        })
+
+    shape = f"block long, {_LISTS}, known array<long>, base array<double>, share array<double>, tokens binary, counts binary, seeds binary, shards array<int>, sizes array<int>"
+    left = blocks.select("block", "doc_id", "train", "length", "words", "tokens")
+    return left.groupBy("block").cogroup(counts.select("block", "shard", "counts").groupBy("block")).applyInArrow(settle, shape)
+
+
+class _Buckets:
+    """A table written in buckets of blocks, so that joins by block read it as it lies; dropped with its name."""
+
+    def __init__(self, df: DataFrame, scratch: Scratch):
+        self.spark, self.name = df.sparkSession, f"hmm_blocks_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").option("compression", "zstd").option("path", f"{scratch.top}/{self.name}").bucketBy(buckets, "block").saveAsTable(self.name)
+        self.table = self.spark.table(self.name)
+
+
+def _sequences(row: dict, train_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(flat tokens, first token of each text) of a block's rows."""
+    tokens, length = np.frombuffer(row["tokens"], np.int32), np.array(row["length"], np.int64)
+    if train_only:
+        keep = np.array(row["train"], bool)
+        tokens, length = tokens[np.repeat(keep, length)], length[keep]
+    return tokens, np.concatenate([[0], np.cumsum(length)])
+
+
+def _counts_of(row: dict, right: pa.Table | None, k: int) -> np.ndarray:
+    if right is None:
+        return first_counts(np.frombuffer(row["counts"], np.int32).astype(np.float64), np.frombuffer(row["seeds"], np.uint32), k)
+    return _by_shard(right, "sums", np.float32).astype(np.float64).reshape(-1, k)
+
+
+def _expected(row: dict, right: pa.Table | None, shared: Shared) -> pa.Table:
+    """Expected counts of a block: a row for each shard, and one (shard -1) with starts, steps, rare words and totals."""
+    k = len(shared.start)
+    start, step, emit = expected_counts(shared.model(_counts_of(row, right, k)), *_sequences(row, True))
+    sums = emit[:-1].astype(np.float32)
+    ends = np.cumsum(row["sizes"]).astype(np.int64).tolist()
+    shards = [(s, sums[e - n : e].tobytes(), None) for s, n, e in zip(row["shards"], row["sizes"], ends, strict=True)]
+    shards.append((-1, b"", np.concatenate([start, step.ravel(), emit[-1], emit.sum(0)]).tolist()))
+    return pa.table({
+        "shard": pa.array([s[0] for s in shards], pa.int32()), "block": pa.array([row["block"]] * len(shards), pa.int64()),
+        "sums": pa.array([s[1] for s in shards], pa.binary()), "totals": pa.array([s[2] for s in shards], pa.list_(pa.float64())),
+    })
+
+
+def _added(places: pa.Table, sums: pa.Table, k: int) -> pa.Table:
+    """A shard's counts summed over all blocks, and for each block those of its words."""
+    at = dict(zip(places.column("block").to_pylist(), (np.frombuffer(x, np.int32) for x in places.column("places").to_pylist()), strict=True))
+    own = places.column("own")[0].as_py() if places.num_rows else 0
+    total = np.zeros((own, k))
+    for block, x in zip(sums.column("block").to_pylist(), sums.column("sums").to_pylist(), strict=True):
+        total[at[block]] += np.frombuffer(x, np.float32).reshape(-1, k)
+    total = total.astype(np.float32)
+    shard = places.column("shard")[0].as_py() if places.num_rows else 0
+    return pa.table({"shard": pa.array([shard] * len(at), pa.int32()), "block": pa.array(list(at), pa.int64()), "sums": pa.array([total[x].tobytes() for x in at.values()], pa.binary())})
+
+
+def _train(table: DataFrame, counts: DataFrame, corpus: Corpus, k: int, rounds: int, scratch: Scratch) -> tuple[Shared, DataFrame | None]:
+    """Baum-Welch over all training texts: what tasks share of the model, and each block's counts of its own words (none before the first round)."""
+    shared, values = Shared.initial(corpus, k), None
+    columns = [c for c in table.columns if c not in ("doc_id", "known", "base", "share")]
+    shape = "shard int, block long, sums binary, totals array<double>"
+    places = counts.select("shard", "block", "places", "own")
+    def expect(shared: Shared, values: DataFrame | None) -> DataFrame:
+        def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    yield from _expected(row, None, shared).to_batches()
+
+        def go_on(left: pa.Table, right: pa.Table) -> pa.Table:
+            return _expected(left.to_pylist()[0], right, shared)
+
+        own = table.select(columns)
+        return own.mapInArrow(begin, shape) if values is None else own.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(go_on, shape)
 
-def train(table: DataFrame, mass: np.ndarray, k: int = STATES, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all training rows of ``table(classes, train)``."""
-    spark, model = table.sparkSession, Model.initial(mass, k)
-    rows = table.filter("train").select("uid", "classes")
-    n = len(mass)
-    blocks = -(-n // _COLUMNS_A_ROW)
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
-
-        def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            start, step, emit = np.zeros(k), np.zeros((k, k)), np.zeros((n, k))
-            for _, sequences in _groups(batches):
-                expected_counts(shared.value, sequences, (start, step, emit))
-            if emit.any():
-                parts = [np.concatenate([start, step.ravel()])] + [emit[b * _COLUMNS_A_ROW : (b + 1) * _COLUMNS_A_ROW].ravel() for b in range(blocks)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, blocks, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "sums"])
-
-        def add(t: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x) for x in t.column("sums").to_pylist())
-            return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
-
-        # sums by block of classes, first over a few partitions each, so that no task holds a row of every partition
-        some = rows.mapInArrow(expect, "block int, sums binary").groupBy("block", (F.spark_partition_id() % 16).alias("salt")).applyInArrow(add, "block int, sums binary")
-        sums = {r["block"]: np.frombuffer(r["sums"]) for r in some.groupBy("block").applyInArrow(add, "block int, sums binary").collect()}
-        shared.destroy()
-        if sums:
-            emit = np.concatenate([sums[b] for b in range(blocks)]).reshape(n, k)
-            model = model.updated(sums[-1][:k], sums[-1][k:].reshape(k, k), emit, mass)
-    return model
+        sums = scratch.save(expect(shared, values))
+        totals = sums.filter("shard = -1").agg(*(F.sum(F.col("totals")[j]) for j in range(k * k + 3 * k))).first()  # one row, K * K + 3 K numbers
+        t = np.array([x or 0.0 for x in totals])
+        shared = shared.updated(t[:k], t[k : k + k * k].reshape(k, k), t[-2 * k : -k], t[-k:])
+        old = values
+        added = places.groupBy("shard").cogroup(sums.filter("shard >= 0").select("shard", "block", "sums").groupBy("shard")).applyInArrow(lambda a, b: _added(a, b, k), "shard int, block long, sums binary")
+        values = scratch.save(added)
+        scratch.drop(sums, *([old] if old is not None else []))
+    return shared, values
 
 
 def score_documents(docs: DataFrame, k: int = STATES, rounds: int = ROUNDS, fold: int = 1, folds: int = 5, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs(doc_id, text)``."""
-    spark, scratch = docs.sparkSession, scratch or Scratch(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("train", crc_remainder("doc_id", folds) != fold)
-    counts = scratch.save(word_counts(docs))
-    classes, rare_words = make_classes(counts)
-    shared = spark.sparkContext.broadcast(classes)
-    table = scratch.save(class_table(docs, shared))
-    model = spark.sparkContext.broadcast(train(table, classes.mass, k, rounds))
-
-    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sequences in _groups(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(log_likelihoods(model.value, sequences) / np.log(10))], names=["uid", "class_score"])
-
-    scored = table.select("uid", "classes").mapInArrow(forward, "uid long, class_score double")
-    rare = table.select("uid", F.explode("rare").alias("word")).groupBy("uid", "word").agg(F.count(F.lit(1)).alias("times"))
-    seen = rare_words.select("word", F.col("n_train").alias("c"))
-    sums = rare.join(seen, "word").groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.col("c") + 0.5)).alias("rare_sum"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"))
-    out = table.drop("classes", "rare").join(scored, "uid").join(sums, "uid", "left")
-    more = F.coalesce("rare_sum", F.lit(0.0))
-    return out.select(
-        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(int(classes.total)).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("class_score") + F.col("share") + more).alias("score"),
-    )
+    blocks = scratch.save(_text_blocks(docs))
+    listed = blocks.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    counts = scratch.save(_word_counts(blocks, max(1, int(-(-listed // SHARD_WORDS)))))
+    whole = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_tokens", "n_words", "n_once"))).first()
+    corpus = Corpus(*whole)
+    table = _Buckets(_settled(blocks, counts, corpus), scratch).table
+    scratch.drop(blocks)
+    shared, values = _train(table, counts, corpus, k, rounds, scratch)
+
+    def finish(left: pa.Table, right: pa.Table | None) -> pa.Table:
+        row = left.to_pylist()[0]
+        flat, first = _sequences(row, False)
+        score = log_likelihoods(shared.model(_counts_of(row, right, k)), flat, first) / np.log(10) + np.array(row["share"])
+        n = len(score)
+        return pa.table({
+            "doc_id": pa.array(row["doc_id"], pa.int64()), "held_out": pa.array([not x for x in row["train"]]), "n_tokens": pa.array(row["length"], pa.int64()), "n_known": pa.array(row["known"], pa.int64()),
+            "train_tokens": pa.array([corpus.tokens] * n, pa.int64()), "base_score": pa.array(row["base"], pa.float64()), "score": pa.array(score),
+        })
+
+    shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    if values is None:
+        return table.groupBy("block").applyInArrow(lambda t: finish(t, None), shape)
+    return table.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(finish, shape)

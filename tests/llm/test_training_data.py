@@ -233,25 +233,98 @@ def test_language_model(spark, docs):
 
 
 def test_states_help_on_held_out_texts(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    total = lambda k: hmm_lm.score_documents(docs, k).filter("held_out").agg(F.sum("score")).first()[0]
-    assert total(4) > total(1)
-
-
-def test_forward_recursion_is_exact():
+    for sf, gain in (("0.001", 0.03), ("0.01", 0.05)):
+        docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+        score, base = hmm_lm.score_documents(docs).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+        assert score > base * (1 - gain)
+
+
+def _brute(m, s):
+    """Log-likelihood and expected starts, steps and emissions of one sequence, with every state path's weight from unscaled recursions in high precision."""
+    from fractions import Fraction as Q
+
+    k = len(m.start)
+    start, step, emit = [Q(x) for x in m.start], [[Q(x) for x in r] for r in m.step], [[Q(x) for x in r] for r in m.emit]
+    alpha = [[start[i] * emit[s[0]][i] for i in range(k)]]
+    for x in s[1:]:
+        alpha.append([sum(alpha[-1][i] * step[i][j] for i in range(k)) * emit[x][j] for j in range(k)])
+    beta = [[Q(1)] * k]
+    for x in reversed(s[1:]):
+        beta.append([sum(step[i][j] * emit[x][j] * beta[-1][j] for j in range(k)) for i in range(k)])
+    beta.reverse()
+    total = sum(alpha[-1])
+    gamma = np.array([[float(a * b / total) for a, b in zip(x, y)] for x, y in zip(alpha, beta)])
+    steps = np.array([[float(sum(alpha[t][i] * step[i][j] * emit[s[t + 1]][j] * beta[t + 1][j] for t in range(len(s) - 1)) / total) for j in range(k)] for i in range(k)])
+    emits = np.zeros(m.emit.shape)
+    np.add.at(emits, s, gamma)
+    return np.log(float(total * 2 ** (8 * len(s)))) - 8 * len(s) * np.log(2), gamma[0], steps, emits
+
+
+@pytest.mark.parametrize("singular", [False, True])
+def test_recursions_are_exact_for_every_piece_length(singular):
     rng = np.random.default_rng(1)
-    m = hmm_lm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(20), 3).T)
-    seqs = [rng.integers(0, 20, n) for n in (1, 2, 127, 128, 129, 700)]
-
-    def brute(s):
-        a, total = m.start * m.emit[s[0]], 0.0
-        for x in s[1:]:
-            total += np.log(a.sum())
-            a = (a / a.sum() @ m.step) * m.emit[x]
-        return total + np.log(a.sum())
-
-    for longest in (1, 100, 2048):
-        assert np.allclose(hmm_lm.log_likelihoods(m, seqs, longest), [brute(s) for s in seqs])
+    step = rng.dirichlet(np.ones(3), 3)
+    if singular:
+        step[1] = step[0]
+    m = hmm_lm.Model(rng.dirichlet(np.ones(3)), step, rng.dirichlet(np.ones(9), 3).T)
+    seqs = [rng.integers(0, 9, n) for n in (1, 2, 7, 8, 9, 40, 41, 3, 120)]
+    wanted = [_brute(m, s.tolist()) for s in seqs]
+    flat, first = np.concatenate(seqs), np.cumsum([0, *map(len, seqs)])
+    for piece in (1, 2, 7, 40, 1024):
+        assert np.allclose(hmm_lm.log_likelihoods(m, flat, first, piece), [w[0] for w in wanted])
+        got = hmm_lm.expected_counts(m, flat, first, piece)
+        for j in range(3):
+            assert np.allclose(got[j], sum(w[j + 1] for w in wanted))
+
+
+def _plain_model(texts, k, rounds):
+    """The whole model on a few training token lists, word by word; gives a scorer of token lists."""
+    c = Counter(t for ts in texts for t in ts)
+    own = sorted(w for w in c if c[w] >= 2)
+    place = {w: i for i, w in enumerate(own)}
+    corpus = hmm_lm.Corpus(sum(c.values()), len(c), sum(n == 1 for n in c.values()))
+    shared = hmm_lm.Shared.initial(corpus, k)
+    seeds = np.array([w & 0xFFFFFFFF for w in own], np.uint32)
+    counts = hmm_lm.first_counts(np.array([c[w] for w in own], float), seeds, k)
+    for _ in range(rounds):
+        m = shared.model(counts)
+        sums = [_brute(m, [place.get(t, len(own)) for t in ts])[1:] for ts in texts]
+        start, step, emit = (sum(s[j] for s in sums) for j in range(3))
+        shared, counts = shared.updated(start, step, emit[-1], emit.sum(0)), emit[:-1]
+    m = shared.model(counts)
+    rare = lambda t: np.log10((c[t] + 0.5) / corpus.rare_mass) if t not in place else 0.0
+    return lambda ts: _brute(m, [place.get(t, len(own)) for t in ts])[0] / np.log(10) + sum(map(rare, ts))
+
+
+def test_training_over_blocks_and_shards_equals_a_plain_one(spark, monkeypatch):
+    monkeypatch.setattr(hmm_lm, "BLOCK_BYTES", 60)
+    monkeypatch.setattr(hmm_lm, "SHARD_WORDS", 9)
+    monkeypatch.setattr(hmm_lm, "PIECE", 5)
+    import pyarrow as pa
+
+    words = ["aa b aa cc dd", "b x y z b b aa", "", "dd dd q", "cc aa b new words here", "aa " * 20 + "b", "b cc dd aa q unseen x", "one aa two b"]
+    rows = [(i, t) for i, t in enumerate(words * 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = {r.doc_id: r.held_out for r in hmm_lm.score_documents(d).collect()}
+    assert 0 < sum(held.values()) < len(held)
+    tokens = {i: hmm_lm._token_hashes(pa.array([t]))[0].tolist() for i, t in rows}
+    score = _plain_model([tokens[i] for i, _ in rows if not held[i]], 3, 2)
+    got = {r.doc_id: r.score for r in hmm_lm.score_documents(d, 3, 2).collect()}
+    assert all(abs(got[i] - score(tokens[i])) < 1e-4 * abs(score(tokens[i])) for i, _ in rows)
+    # held-out texts teach nothing: with others in their place no training text's score moves
+    other = spark.createDataFrame([(i, "aa b totally other words aa aa" if held[i] else t) for i, t in rows], "doc_id long, text string")
+    again = {r.doc_id: r.score for r in hmm_lm.score_documents(other, 3, 2).collect()}
+    assert all(abs(got[i] - again[i]) < 1e-5 * abs(got[i]) for i, _ in rows if not held[i])
+
+
+def test_one_state_is_the_base_and_long_texts_are_whole(spark):
+    long = " ".join(f"w{(i * i) % 97}" for i in range(30_000))
+    rows = [(i, f"some words {i} and w{i % 97} more w{i % 7}") for i in range(60)] + [(100, long), (101, long), (102, None), (102, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in hmm_lm.score_documents(d, 1, 1).collect():
+        assert abs(r.score - r.base_score) < 1e-5 * abs(r.base_score)
+    out = [(r.doc_id, r.n_tokens, r.score) for r in hmm_lm.score_documents(d).collect() if r.doc_id in (100, 101, 102)]
+    assert sorted(n for _, n, _ in out) == [1, 1, 30_001, 30_001] and len({s for i, _, s in out if i != 102}) == 1
 
 
 def test_licences(spark):
