@@ -1,13 +1,20 @@
 """Personal data: base patterns, and bootstrapped contextual extraction; DataFrame functions only.
 
-Base entities (email, ip, card, phone) seed the bootstrap.  Every mention of an
-identifier-like string has lexical patterns: its two left words, and its left and
-right word.  Digit groups joined by single spaces are one more such string, beside
-each of their words.  Patterns and instances form a graph.  In each round a pattern's
-confidence for a kind is the share of its distinct instances that are trusted, an
-instance's confidence is the noisy-or over its patterns, and trusted instances
-count as evidence in the next round.  Mentions of instances that end above the
-limit are reported beside the base spans.
+Base entities (email, ip, card, phone) seed the bootstrap, and so do secrets: quoted
+values that a text assigns to a key such as ``token`` in the plainest form.  Every
+mention of a seed and of any other identifier-like string (a word with ``@``, with
+five digits, or digit groups joined by single spaces) has patterns: the two words
+left of it, the left and the right word alone and together, the key that a ``=`` or
+``:`` assigns it to, and the shape of the string itself.  Words are lower-cased,
+digits in them count as 0.  Only whole words that end within ``WINDOW`` characters
+of the mention are contexts; longer ones give no pattern.
+
+Patterns and instances form a graph.  In each round a pattern's confidence for a
+kind is the share of its distinct instances that are trusted, shrunk towards the
+kind's share of all instances; an instance's confidence is the noisy-or over its
+confident patterns, of which one at least must be a context; trusted instances count
+as evidence in the next round.  Mentions of instances that end above the limit are
+reported beside the seeds.
 
 Positions come from splitting a text at the matches of a pattern and summing the
 lengths of gaps and matches, in code points.  All loops of the patterns are
@@ -25,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, column_name
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds with seeds; those beyond the base are listed behind it.
+ALL_KINDS = (*KINDS, "secret")
 # the guards only stop a search from starting inside a run that was already tried
 _CLASS = r"[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -42,8 +51,14 @@ _GROUP = rf"[0-9]++(?:[^{SPACE}0-9A-Za-z@]++[0-9]++)*+"
 _RUN = rf"(?<![^{SPACE}])[^{SPACE}0-9A-Za-z@]*+{_GROUP}(?:\x20{_GROUP}(?![^{SPACE}0-9A-Za-z@]*+[0-9A-Za-z@]))++"
 _RUN_HINT = r"[0-9]\x20[0-9]"
 
-#: Distinct trusted instances that a pattern needs, the confidence from which patterns and instances are trusted, and rounds.
-SUPPORT, TRUST, ROUNDS = 3, 0.8, 2
+#: The plainest assignment of a secret: a lower-case key and a quoted value of 16 characters or more that stands alone.
+_SECRET = r"(?<![A-Za-z0-9_-])(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)\x20?[:=]\x20?\"[A-Za-z0-9+/=_-]{16,}+\"(?![^" + SPACE + "])"
+_SECRET_HINT = r'(?:password|passwd|secret|token|key)\x20?[:=]\x20?"'
+
+#: Distinct trusted instances that a pattern needs, the confidence from which patterns and instances are trusted, the weight of the prior share, and rounds.
+SUPPORT, TRUST, PRIOR, ROUNDS = 3, 0.8, 10.0, 2
+#: Characters beside a mention in which its context words must lie.
+WINDOW = 64
 _NO_SPANS = "cast(array() as array<struct<start:bigint,end:bigint,value:string>>)"
 
 
@@ -89,9 +104,36 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return docs.withColumn("base", F.concat(*map(tagged, KINDS))).drop(*(f"_{k}" for k in KINDS))
 
 
+def _contexts(text: Column, s: Column) -> Column:
+    """The patterns of one mention; null where it has none of a kind."""
+    first = F.greatest(s["start"] - WINDOW, F.lit(0))
+    zero = lambda c: F.translate(F.lower(c), "123456789", "000000000")
+    # a blank stands for the text's start and end, so that only whole words are taken
+    left = F.concat(F.when(s["start"] <= WINDOW, " ").otherwise(""), zero(F.substr(text, (first + 1).cast("int"), (s["start"] - first).cast("int"))))
+    right = F.concat(zero(F.substr(text, (s["end"] + 1).cast("int"), F.lit(WINDOW))), F.when(F.length(text) <= s["end"] + WINDOW, " ").otherwise(""))
+    two = F.regexp_extract(left, rf"[{SPACE}]([^{SPACE}]++[{SPACE}]++[^{SPACE}]++)[{SPACE}]++[^{SPACE}]*+$", 1)
+    one = F.regexp_extract(left, rf"[{SPACE}]([^{SPACE}]++)[{SPACE}]++[^{SPACE}]*+$", 1)
+    after = F.regexp_extract(right, rf"^[^{SPACE}]*+[{SPACE}]++([^{SPACE}]++)[{SPACE}]", 1)
+    key = F.regexp_extract(left, rf"[^a-z0-9_-]([a-z][a-z0-9_-]*+)[{SPACE}\"']*+[:=]++[{SPACE}\"']*+$", 1)
+    value = F.lower(s["value"])
+    shape = (
+        F.when(value.rlike("^[0-9]+$"), F.concat(F.lit("digits:"), F.length(value)))
+        .when(value.rlike("^[0-9a-f]+$"), F.concat(F.lit("hex:"), F.length(value)))
+        .when(value.rlike("^[0-9a-z]+$"), F.concat(F.lit("alnum:"), F.length(value)))
+        .otherwise(F.regexp_replace(F.regexp_replace(value, "[0-9]+", "9"), "[a-z]+", "a"))
+    )
+    given = lambda name, c: F.when(c != "", F.concat(F.lit(name), c))
+    both = F.when((one != "") & (after != ""), F.concat(F.lit("lr:"), one, F.lit(" _ "), after))
+    return F.array(given("l2:", F.regexp_replace(two, rf"[{SPACE}]+", " ")), given("l1:", one), given("r1:", after), both, given("key:", key), F.concat(F.lit("shape:"), shape))
+
+
 def mentions(docs: DataFrame) -> DataFrame:
-    """Adds ``base`` and ``found``: all identifier-like mentions (kind null where the base has none) with their lexical patterns."""
-    docs = _with_matches(_with_matches(base_spans(docs), "_word", _CANDIDATE, _CANDIDATE_HINT), "_run", _RUN, _RUN_HINT)
+    """Adds ``base``, ``seeds`` (base and secrets) and ``found``: all identifier-like mentions (kind null where no seed is) with their patterns."""
+    docs = _with_matches(base_spans(docs), "_secret", _SECRET, _SECRET_HINT)
+    inner = lambda v: F.regexp_extract(v, '"([^"]+)"$', 1)
+    secret = F.transform("_secret", lambda s: F.struct(F.lit("secret").alias("kind"), (s["end"] - 1 - F.length(inner(s["value"]))).alias("start"), (s["end"] - 1).alias("end"), inner(s["value"]).alias("value")))
+    docs = docs.withColumn("seeds", F.concat("base", secret)).drop("_secret")
+    docs = _with_matches(_with_matches(docs, "_word", _CANDIDATE, _CANDIDATE_HINT), "_run", _RUN, _RUN_HINT)
     docs = docs.withColumn("_word", F.concat("_word", "_run")).drop("_run")
     lead = lambda v: F.length(F.regexp_extract(v, "^[^A-Za-z0-9+]*", 0))
     bare = lambda v: F.regexp_replace(v, "^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$", "")
@@ -100,44 +142,42 @@ def mentions(docs: DataFrame) -> DataFrame:
     like = F.filter(
         "_word",
         lambda s: (s["value"].contains("@") | (F.length(F.regexp_replace(s["value"], "[^0-9]", "")) >= 5))
-        & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
+        & ~F.exists("seeds", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
     )
     docs = docs.withColumn("_word", F.transform(like, lambda s: F.struct(F.lit(None).cast("string").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))))
-    text = F.col("text")
-    left = lambda s: F.lower(F.substr(text, (F.greatest(s["start"] - 64, F.lit(0)) + 1).cast("int"), (s["start"] - F.greatest(s["start"] - 64, F.lit(0))).cast("int")))
-    right = lambda s: F.lower(F.substr(text, (s["end"] + 1).cast("int"), F.lit(48)))
-    two = lambda s: F.regexp_extract(left(s), rf"([^{SPACE}]+[{SPACE}]+[^{SPACE}]+)[{SPACE}]*$", 1)
-    one = lambda s: F.regexp_extract(left(s), rf"([^{SPACE}]+)[{SPACE}]*$", 1)
-    after = lambda s: F.regexp_extract(right(s), rf"^[^{SPACE}]*[{SPACE}]+([^{SPACE}]+)", 1)
-    patterns = lambda s: F.array(F.concat(F.lit("2:"), two(s)), F.concat(F.lit("lr:"), one(s), F.lit(" _ "), after(s)))
-    found = F.transform(F.concat("base", "_word"), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), patterns(s).alias("patterns")))
-    return docs.withColumn("found", F.when((F.size("base") > 0) | (F.size("_word") > 0), found)).drop("_word")
+    found = F.transform(F.concat("seeds", "_word"), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _contexts(F.col("text"), s).alias("patterns")))
+    return docs.withColumn("found", F.when((F.size("seeds") > 0) | (F.size("_word") > 0), found)).drop("_word")
 
 
 def discover(table: DataFrame, scratch: Scratch, support: int = SUPPORT, trust: float = TRUST, rounds: int = ROUNDS) -> DataFrame:
-    """(uid, kind, start, end) of mentions beyond the base, from ``table(uid, found)``."""
-    each = scratch.save(table.select("uid", F.explode("found").alias("m")).select("uid", "m.*"))
-    edges = scratch.save(each.select(F.explode("patterns").alias("pattern"), F.lower("value").alias("instance"), "kind").filter("pattern not in ('2:', 'lr: _ ')").groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
-    seeds = edges.filter("kind is not null").groupBy("instance").agg(F.min("kind").alias("kind")).withColumn("confidence", F.lit(1.0)).withColumn("seed", F.lit(True))
-    trusted = seeds = scratch.save(seeds)
+    """(uid, kind, start, end) of mentions beyond the seeds, from ``table(uid, found)``."""
+    each = scratch.save(table.select("uid", F.explode("found").alias("m")).select("uid", "m.*").withColumn("instance", F.lower("value")))
+    edges = scratch.save(each.select(F.explode("patterns").alias("pattern"), "instance", "kind").filter("pattern is not null").groupBy("pattern", "instance").agg(F.min("kind").alias("kind")))
+    instances = scratch.save(each.groupBy("instance").agg(F.min("kind").alias("kind")))
+    seeds = scratch.save(instances.filter("kind is not null").select("instance", "kind", F.lit(1.0).alias("confidence"), F.lit(True).alias("seed")))
+    # one row for each kind: its share of all instances
+    share = F.count(F.lit(1)) / F.greatest(F.lit(float(instances.count())), F.lit(1.0))
+    prior = scratch.save(seeds.groupBy("kind").agg(share.alias("prior")))
+    sizes = scratch.save(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= support))
+    trusted = seeds
     for _ in range(rounds):
-        sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= support)
         told = edges.select("pattern", "instance").join(trusted, "instance").groupBy("pattern", "kind").agg(F.sum("confidence").alias("weight"), F.count(F.lit(1)).alias("backed"))
-        # the added one keeps patterns with few instances from full confidence
-        scored = told.filter(F.col("backed") >= support).join(sizes, "pattern").withColumn("p", F.col("weight") / (F.col("size") + 1.0)).filter(F.col("p") >= 0.5)
+        told = told.filter(F.col("backed") >= support).join(F.broadcast(prior), "kind").join(sizes, "pattern")
+        scored = told.withColumn("p", (F.col("weight") + PRIOR * F.col("prior")) / (F.col("size") + PRIOR)).filter(F.col("p") >= trust)
         scored = scratch.save(scored.select("pattern", F.col("kind").alias("as_kind"), "p"))
-        reached = edges.filter("kind is null").select("pattern", "instance").join(scored, "pattern").groupBy("instance", "as_kind").agg((-F.sum(F.log(1 - F.col("p")))).alias("evidence"))
+        reached = edges.filter("kind is null").select("pattern", "instance").join(scored, "pattern").groupBy("instance", "as_kind")
+        reached = reached.agg((-F.sum(F.log(1 - F.col("p")))).alias("evidence"), F.max(~F.col("pattern").startswith("shape:")).alias("in_context")).filter("in_context")
         # kinds are compared before the noisy-or, which rounds strong evidence to 1
         best = reached.groupBy("instance").agg(F.max(F.struct("evidence", "as_kind")).alias("b"))
         best = best.select("instance", F.col("b.as_kind").alias("kind"), (1 - F.exp(-F.col("b.evidence"))).alias("confidence"), F.lit(False).alias("seed")).filter(F.col("confidence") >= trust)
         best = scratch.save(best.join(seeds, "instance", "left_anti"))
         trusted = scratch.save(seeds.unionByName(best))
     new = trusted.filter("not seed").select("instance", F.col("kind").alias("as_kind"))
-    return each.filter("kind is null").withColumn("instance", F.lower("value")).join(new, "instance").select("uid", F.col("as_kind").alias("kind"), "start", "end")
+    return each.filter("kind is null").join(new, "instance").select("uid", F.col("as_kind").alias("kind"), "start", "end")
 
 
 def _searched(docs: DataFrame, keep: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """A written table of ``docs`` with uid, base and (apart) what the bootstrap adds to each uid."""
+    """A written table of ``docs`` with uid, base, all seeds and (apart) what the bootstrap adds to each uid."""
     rows = docs.select(F.struct(*(docs[c] for c in keep), F.lit(0).alias("_")).alias("kept"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     table = scratch.save(mentions(rows).drop("text").withColumn("uid", F.monotonically_increasing_id()))
     new = discover(table.filter("found is not null").select("uid", "found"), scratch)
@@ -146,7 +186,7 @@ def _searched(docs: DataFrame, keep: list[str], scratch: Scratch) -> tuple[DataF
 
 
 def _joined(spans: Column) -> Column:
-    order = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))))
+    order = F.create_map(*(x for i, k in enumerate(ALL_KINDS) for x in (F.lit(k), F.lit(i))))
     keyed = F.sort_array(F.transform(spans, lambda s: F.struct(order[s["kind"]].alias("o"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     return F.concat_ws(",", F.transform(keyed, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
@@ -159,20 +199,20 @@ _EMPTY = "cast(array() as array<struct<kind:string,start:bigint,end:bigint>>)"
 
 
 def find_personal_data(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """``docs`` without its text, with the base counts n_<kind>, base_sha256, and ``spans`` (base and discovered)."""
+    """``docs`` without its text, with the base counts n_<kind>, base_sha256, ``spans`` (base, secrets and discovered) and their number n_spans."""
     scratch = scratch or Scratch(docs.sparkSession)
     keep = [c for c in docs.columns if c != "text"]
     table, added = _searched(docs, keep, scratch)
-    out = table.join(added, "uid", "left").withColumn("all", F.concat(_plain("base"), F.coalesce("added", F.expr(_EMPTY))))
+    out = table.join(added, "uid", "left").withColumn("all", F.concat(_plain("seeds"), F.coalesce("added", F.expr(_EMPTY))))
     counts = [F.size(F.expr(f"filter(base, s -> s.kind = '{k}')")).cast("long").alias(column_name(docs, f"n_{k}")) for k in KINDS]
-    return out.select(*(F.col("kept")[c].alias(c) for c in keep), *counts, F.sha2(_joined(_plain("base")), 256).alias(column_name(docs, "base_sha256")), _joined(F.col("all")).alias(column_name(docs, "spans")))
+    return out.select(*(F.col("kept")[c].alias(c) for c in keep), *counts, F.sha2(_joined(_plain("base")), 256).alias(column_name(docs, "base_sha256")), _joined(F.col("all")).alias(column_name(docs, "spans")), F.size("all").cast("long").alias(column_name(docs, "n_spans")))
 
 
 def redact(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``docs`` with every found span replaced by its kind in angle brackets (overlapping spans as one, named by the first)."""
     scratch = scratch or Scratch(docs.sparkSession)
     table, added = _searched(docs, docs.columns, scratch)
-    out = table.join(added, "uid", "left").withColumn("all", F.array_sort(F.transform(F.concat(_plain("base"), F.coalesce("added", F.expr(_EMPTY))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
+    out = table.join(added, "uid", "left").withColumn("all", F.array_sort(F.transform(F.concat(_plain("seeds"), F.coalesce("added", F.expr(_EMPTY))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
     # each span starts behind the furthest end before it, or is swallowed
     ends = F.expr("transform(all, (s, i) -> case when i = 0 then 0L else array_max(transform(slice(all, 1, i), x -> x.end)) end)")
     pieces = F.expr(
