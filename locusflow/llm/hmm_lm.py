@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ STATES, ROUNDS = 4, 4
 #: Tokens of a piece, a unit of work only; tokens worked on at once.
 PIECE, AT_ONCE = 1024, 1_000_000
 #: Text of one block, and listed words of one shard (of all blocks together).
-BLOCK_BYTES, SHARD_WORDS = 32_000_000, 2_000_000
+BLOCK_BYTES, SHARD_WORDS = 16_000_000, 2_000_000
 #: Training counts from which a word has emissions of its own.
 OWN_FROM = 2
 END = mix(np.array([0x656E64], np.uint64))[0]
@@ -272,42 +273,57 @@ def first_counts(counts: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
 
 # -- the jobs ------------------------------------------------------------------------------------------------------
 
-_LISTS = "doc_id array<long>, train array<boolean>, length array<long>"
+_ROWS = "block long, doc_id long, train boolean, length long, tokens binary, words binary, seen binary"
 
 
 def _text_blocks(docs: DataFrame) -> DataFrame:
-    """One row for each block of ``docs(text, train, doc_id)``: its rows in order, the sorted hashes of its words, their training counts, and all tokens as places among the words."""
+    """Rows of two kinds: each of ``docs(text, train, doc_id)`` with its block and its tokens as places among the block's words, and for each block one with the sorted hashes of its words and their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def block() -> pa.RecordBatch:
-            tokens = np.concatenate([h[0] for h in held])
-            length, train = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-            ids = pa.concat_arrays([h[3] for h in held])
+        held, made = [], 0
+        task = TaskContext.get().partitionId() << 32
+
+        def block() -> Iterator[pa.RecordBatch]:
+            words, place = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            place = place.astype(np.int32)
+            seen, at = np.zeros(len(words)), 0
+            for tokens, first, train, ids in held:
+                own, n = place[at : at + len(tokens)], len(ids)
+                at += len(tokens)
+                seen += np.bincount(own, np.repeat(train, np.diff(first)), minlength=len(words))
+                lists = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((first * 4).astype(np.int32)), pa.py_buffer(own)])
+                none = pa.nulls(n, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([task + made] * n, pa.int64()), ids, pa.array(train), pa.array(np.diff(first)), lists, none, none], names=_NAMES)
+            one = [pa.array([task + made], pa.int64()), *(pa.nulls(1, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.binary())), pa.array([words.tobytes()], pa.binary()), pa.array([seen.astype(np.int32).tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(one, names=_NAMES)
             held.clear()
-            words, place = np.unique(tokens, return_inverse=True)
-            seen = np.bincount(place, np.repeat(train, length), minlength=len(words)).astype(np.int32)
-            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            return pa.RecordBatch.from_arrays(
-                [one(ids), one(pa.array(train)), one(pa.array(length)), *(pa.array([x.tobytes()], pa.binary()) for x in (words, seen, place.astype(np.int32)))],
-                names=["doc_id", "train", "length", "words", "seen", "tokens"],
-            )
 
         size = 0
         for batch in batches:
             for part in text_sub_batches(batch):
                 tokens, first = _token_hashes(part.column(0))
-                held.append((tokens, np.diff(first).astype(np.int64), part.column(1).to_numpy(zero_copy_only=False).astype(bool), part.column(2)))
+                held.append((tokens, first.astype(np.int64), part.column(1).to_numpy(zero_copy_only=False).astype(bool), part.column(2)))
                 size += part.column(0).nbytes
                 if size >= BLOCK_BYTES:
-                    yield block()
-                    size = 0
+                    yield from block()
+                    size, made = 0, made + 1
         if held:
-            yield block()
+            yield from block()
+
+    return docs.select("text", "train", "doc_id").mapInArrow(run, _ROWS)
+
+
+_NAMES = [x.split()[0] for x in _ROWS.split(", ")]
+
+
+class _Buckets:
+    """A table written in buckets of blocks, so that joins by block read it as it lies."""
 
-    made = docs.select("text", "train", "doc_id").mapInArrow(run, f"{_LISTS}, words binary, seen binary, tokens binary")
-    return made.withColumn("block", F.monotonically_increasing_id()).withColumn("distinct", F.length("words") / 8)
+    def __init__(self, df: DataFrame, scratch: Scratch):
+        spark, name = df.sparkSession, f"hmm_blocks_{uuid.uuid4().hex}"
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").option("compression", "zstd").option("path", f"{scratch.top}/{name}").bucketBy(buckets, "block").saveAsTable(name)
+        self.table = spark.table(name)
 
 
 def _shard_edges(shards: int) -> np.ndarray:
@@ -316,7 +332,7 @@ def _shard_edges(shards: int) -> np.ndarray:
 
 
 def _word_counts(blocks: DataFrame, shards: int) -> DataFrame:
-    """For each shard and block: the training counts of the block's words, the places of its own words in the shard, and (once for each shard) totals."""
+    """For each shard and block: the training counts and seeds of the block's words, the places of its own words in the shard, and (once for each shard) totals."""
     edges = _shard_edges(shards)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,122 +352,87 @@ def _word_counts(blocks: DataFrame, shards: int) -> DataFrame:
         total = np.bincount(place, seen, minlength=len(every)).astype(np.int64)
         own = total >= OWN_FROM
         at = np.where(own, np.cumsum(own) - 1, -1).astype(np.int32)[place]
-        ends = np.cumsum([len(w) for w in words])
+        count = np.minimum(total, 2**31 - 1).astype(np.int32)[place]
+        ends = np.cumsum([len(w) for w in words]).tolist()
         rows, zeros = [], [0] * (len(words) - 1)
-        for a, b in zip((ends - [len(w) for w in words]).tolist(), ends.tolist(), strict=True):
-            here = at[a:b]
-            rows.append((np.minimum(total[place[a:b]], 2**31 - 1).astype(np.int32).tobytes(), here[here >= 0].tobytes()))
-        return pa.table({
-            "shard": t.column("shard").combine_chunks(), "block": t.column("block").combine_chunks(), "counts": pa.array([r[0] for r in rows], pa.binary()), "places": pa.array([r[1] for r in rows], pa.binary()),
-            "own": pa.array([int(own.sum())] * len(words), pa.int64()), "n_tokens": pa.array([int(total.sum()), *zeros], pa.int64()), "n_words": pa.array([int((total > 0).sum()), *zeros], pa.int64()), "n_once": pa.array([int((total == 1).sum()), *zeros], pa.int64()),
-        })
-
-    parts = blocks.select("block", "words", "seen").mapInArrow(listed, "shard int, block long, words binary, seen binary")
-    return parts.groupBy("shard").applyInArrow(add, "shard int, block long, counts binary, places binary, own long, n_tokens long, n_words long, n_once long")
-
-
-def _by_shard(t: pa.Table, column: str, kind) -> np.ndarray:
-    """A block's arrays from all shards, in order of the shards."""
-    parts = sorted(zip(t.column("shard").to_pylist(), t.column(column).to_pylist(), strict=True))
-    return np.concatenate([np.frombuffer(x, kind) for _, x in parts]) if parts else np.zeros(0, kind)
-
-
-def _settled(blocks: DataFrame, counts: DataFrame, corpus: Corpus) -> DataFrame:
-    """Blocks whose tokens are places among own words (behind them: the class of rare ones), with each row's sums that need no states."""
-
-    def settle(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = left.to_pylist()[0]
-        c, words = _by_shard(right, "counts", np.int32).astype(np.int64), np.frombuffer(rows["words"], np.uint64)
-        own = c >= OWN_FROM
-        shards = sorted((s, int((np.frombuffer(x, np.int32) >= OWN_FROM).sum())) for s, x in zip(right.column("shard").to_pylist(), right.column("counts").to_pylist(), strict=True))
-        tokens = np.frombuffer(rows["tokens"], np.int32)
-        first = np.concatenate([[0], np.cumsum(rows["length"])]).astype(np.int64)
-        sums = lambda of_word: np.diff(np.concatenate([[0], np.cumsum(of_word[tokens])])[first])
-        log = np.log10(c + 0.5)
-        base = sums(log - np.log10(corpus.denominator))
-        share = sums(np.where(own, 0.0, log - np.log10(corpus.rare_mass)))
-        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        for w, b in zip(words, ends, strict=True):
+            here, c = at[b - len(w) : b], count[b - len(w) : b]
+            rows.append((c.tobytes(), (w[here >= 0] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), here[here >= 0].tobytes()))
+        column = lambda j: pa.array([r[j] for r in rows], pa.binary())
         return pa.table({
-            "block": left.column("block").combine_chunks(), "doc_id": left.column("doc_id").combine_chunks(), "train": left.column("train").combine_chunks(), "length": left.column("length").combine_chunks(),
-            "known": one(pa.array(sums((c > 0).astype(np.int64)))), "base": one(pa.array(base)), "share": one(pa.array(share)),
-            "tokens": pa.array([np.where(own, np.cumsum(own) - 1, own.sum()).astype(np.int32)[tokens].tobytes()], pa.binary()),
-            "counts": pa.array([c[own].astype(np.int32).tobytes()], pa.binary()), "seeds": pa.array([(words[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()], pa.binary()),
-            "shards": one(pa.array([s for s, _ in shards], pa.int32())), "sizes": one(pa.array([n for _, n in shards], pa.int32())),
+            "shard": t.column("shard").combine_chunks(), "block": t.column("block").combine_chunks(), "counts": column(0), "seeds": column(1), "places": column(2), "n_own": pa.array([int(own.sum())] * len(words), pa.int64()),
+            "n_tokens": pa.array([int(total.sum()), *zeros], pa.int64()), "n_words": pa.array([int((total > 0).sum()), *zeros], pa.int64()), "n_once": pa.array([int((total == 1).sum()), *zeros], pa.int64()),
         })
 
-    shape = f"block long, {_LISTS}, known array<long>, base array<double>, share array<double>, tokens binary, counts binary, seeds binary, shards array<int>, sizes array<int>"
-    left = blocks.select("block", "doc_id", "train", "length", "words", "tokens")
-    return left.groupBy("block").cogroup(counts.select("block", "shard", "counts").groupBy("block")).applyInArrow(settle, shape)
-
+    parts = blocks.filter("words is not null").select("block", "words", "seen").mapInArrow(listed, "shard int, block long, words binary, seen binary")
+    return parts.groupBy("shard").applyInArrow(add, "shard int, block long, counts binary, seeds binary, places binary, n_own long, n_tokens long, n_words long, n_once long")
 
-class _Buckets:
-    """A table written in buckets of blocks, so that joins by block read it as it lies; dropped with its name."""
 
-    def __init__(self, df: DataFrame, scratch: Scratch):
-        self.spark, self.name = df.sparkSession, f"hmm_blocks_{uuid.uuid4().hex}"
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        df.write.format("parquet").option("compression", "zstd").option("path", f"{scratch.top}/{self.name}").bucketBy(buckets, "block").saveAsTable(self.name)
-        self.table = self.spark.table(self.name)
+def _arrays(t: pa.Table, column: str, kind) -> list[np.ndarray]:
+    """A block's arrays, one for each shard, in order of the shards."""
+    return [np.frombuffer(x, kind) for _, x in sorted(zip(t.column("shard").to_pylist(), t.column(column).to_pylist(), strict=True))]
 
 
-def _sequences(row: dict, train_only: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(flat tokens, first token of each text) of a block's rows."""
-    tokens, length = np.frombuffer(row["tokens"], np.int32), np.array(row["length"], np.int64)
-    if train_only:
-        keep = np.array(row["train"], bool)
-        tokens, length = tokens[np.repeat(keep, length)], length[keep]
-    return tokens, np.concatenate([[0], np.cumsum(length)])
+def _joined(arrays: list[np.ndarray], kind=np.int64) -> np.ndarray:
+    return np.concatenate(arrays) if arrays else np.zeros(0, kind)
 
 
-def _counts_of(row: dict, right: pa.Table | None, k: int) -> np.ndarray:
-    if right is None:
-        return first_counts(np.frombuffer(row["counts"], np.int32).astype(np.float64), np.frombuffer(row["seeds"], np.uint32), k)
-    return _by_shard(right, "sums", np.float32).astype(np.float64).reshape(-1, k)
+def _texts(t: pa.Table, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens as places among the block's words, the same among its own words, first token of each text); behind the own words comes the class of rare ones."""
+    tokens = _joined([np.frombuffer(x, np.int32) for x in t.column("tokens").to_pylist()], np.int32)
+    first = np.concatenate([[0], np.cumsum(t.column("length").to_numpy())]).astype(np.int64)
+    return tokens, np.where(own, np.cumsum(own) - 1, own.sum()).astype(np.int32)[tokens], first
 
 
-def _expected(row: dict, right: pa.Table | None, shared: Shared) -> pa.Table:
-    """Expected counts of a block: a row for each shard, and one (shard -1) with starts, steps, rare words and totals."""
+def _expected(texts: pa.Table, words: pa.Table, shared: Shared, begin: bool) -> pa.Table:
+    """Expected counts of a block's training texts: a row for each shard, and one (shard -1) with starts, steps, rare words and totals."""
     k = len(shared.start)
-    start, step, emit = expected_counts(shared.model(_counts_of(row, right, k)), *_sequences(row, True))
+    if begin:
+        counts = _arrays(words, "counts", np.int32)
+        own = [c >= OWN_FROM for c in counts]
+        weights = first_counts(_joined([c[o] for c, o in zip(counts, own, strict=True)]).astype(np.float64), _joined(_arrays(words, "seeds", np.uint32), np.uint32), k)
+    else:
+        own = [o.astype(bool) for o in _arrays(words, "own", np.uint8)]
+        weights = _joined(_arrays(words, "sums", np.float32), np.float32).astype(np.float64).reshape(-1, k)
+    _, flat, first = _texts(texts, _joined(own, bool))
+    start, step, emit = expected_counts(shared.model(weights), flat, first)
     sums = emit[:-1].astype(np.float32)
-    ends = np.cumsum(row["sizes"]).astype(np.int64).tolist()
-    shards = [(s, sums[e - n : e].tobytes(), None) for s, n, e in zip(row["shards"], row["sizes"], ends, strict=True)]
-    shards.append((-1, b"", np.concatenate([start, step.ravel(), emit[-1], emit.sum(0)]).tolist()))
+    sizes = [int(o.sum()) for o in own]
+    rows = [(s, sums[e - n : e].tobytes(), None) for s, n, e in zip(sorted(words.column("shard").to_pylist()), sizes, np.cumsum(sizes).tolist(), strict=True)]
+    rows.append((-1, b"", np.concatenate([start, step.ravel(), emit[-1], emit.sum(0)]).tolist()))
     return pa.table({
-        "shard": pa.array([s[0] for s in shards], pa.int32()), "block": pa.array([row["block"]] * len(shards), pa.int64()),
-        "sums": pa.array([s[1] for s in shards], pa.binary()), "totals": pa.array([s[2] for s in shards], pa.list_(pa.float64())),
+        "shard": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([texts.column("block")[0].as_py() if texts.num_rows else -1] * len(rows), pa.int64()),
+        "sums": pa.array([r[1] for r in rows], pa.binary()), "totals": pa.array([r[2] for r in rows], pa.list_(pa.float64())),
     })
 
 
 def _added(places: pa.Table, sums: pa.Table, k: int) -> pa.Table:
     """A shard's counts summed over all blocks, and for each block those of its words."""
-    at = dict(zip(places.column("block").to_pylist(), (np.frombuffer(x, np.int32) for x in places.column("places").to_pylist()), strict=True))
-    own = places.column("own")[0].as_py() if places.num_rows else 0
-    total = np.zeros((own, k))
+    blocks = places.column("block").to_pylist()
+    at = dict(zip(blocks, (np.frombuffer(x, np.int32) for x in places.column("places").to_pylist()), strict=True))
+    total = np.zeros((places.column("n_own")[0].as_py() if blocks else 0, k))
     for block, x in zip(sums.column("block").to_pylist(), sums.column("sums").to_pylist(), strict=True):
-        total[at[block]] += np.frombuffer(x, np.float32).reshape(-1, k)
+        if block in at:
+            total[at[block]] += np.frombuffer(x, np.float32).reshape(-1, k)
     total = total.astype(np.float32)
-    shard = places.column("shard")[0].as_py() if places.num_rows else 0
-    return pa.table({"shard": pa.array([shard] * len(at), pa.int32()), "block": pa.array(list(at), pa.int64()), "sums": pa.array([total[x].tobytes() for x in at.values()], pa.binary())})
+    own = [(np.frombuffer(x, np.int32) >= OWN_FROM).astype(np.uint8).tobytes() for x in places.column("counts").to_pylist()]
+    return pa.table({"shard": places.column("shard").combine_chunks(), "block": places.column("block").combine_chunks(), "sums": pa.array([total[at[b]].tobytes() for b in blocks], pa.binary()), "own": pa.array(own, pa.binary())})
 
 
 def _train(table: DataFrame, counts: DataFrame, corpus: Corpus, k: int, rounds: int, scratch: Scratch) -> tuple[Shared, DataFrame | None]:
     """Baum-Welch over all training texts: what tasks share of the model, and each block's counts of its own words (none before the first round)."""
     shared, values = Shared.initial(corpus, k), None
-    columns = [c for c in table.columns if c not in ("doc_id", "known", "base", "share")]
-    shape = "shard int, block long, sums binary, totals array<double>"
-    places = counts.select("shard", "block", "places", "own")
+    texts = table.filter("train").select("block", "length", "tokens")
+    places = counts.select("shard", "block", "counts", "places", "n_own")
+
     def expect(shared: Shared, values: DataFrame | None) -> DataFrame:
-        def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    yield from _expected(row, None, shared).to_batches()
+        begin = values is None
 
-        def go_on(left: pa.Table, right: pa.Table) -> pa.Table:
-            return _expected(left.to_pylist()[0], right, shared)
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            return _expected(left, right, shared, begin)
 
-        own = table.select(columns)
-        return own.mapInArrow(begin, shape) if values is None else own.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(go_on, shape)
+        words = counts.select("shard", "block", "counts", "seeds") if values is None else values
+        return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(run, "shard int, block long, sums binary, totals array<double>")
 
     for _ in range(rounds):
         sums = scratch.save(expect(shared, values))
@@ -459,7 +440,7 @@ def _train(table: DataFrame, counts: DataFrame, corpus: Corpus, k: int, rounds:
         t = np.array([x or 0.0 for x in totals])
         shared = shared.updated(t[:k], t[k : k + k * k].reshape(k, k), t[-2 * k : -k], t[-k:])
         old = values
-        added = places.groupBy("shard").cogroup(sums.filter("shard >= 0").select("shard", "block", "sums").groupBy("shard")).applyInArrow(lambda a, b: _added(a, b, k), "shard int, block long, sums binary")
+        added = places.groupBy("shard").cogroup(sums.filter("shard >= 0").select("shard", "block", "sums").groupBy("shard")).applyInArrow(lambda a, b: _added(a, b, k), "shard int, block long, sums binary, own binary")
         values = scratch.save(added)
         scratch.drop(sums, *([old] if old is not None else []))
     return shared, values
@@ -469,26 +450,33 @@ def score_documents(docs: DataFrame, k: int = STATES, rounds: int = ROUNDS, fold
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs(doc_id, text)``."""
     scratch = scratch or Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("train", crc_remainder("doc_id", folds) != fold)
-    blocks = scratch.save(_text_blocks(docs))
-    listed = blocks.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
-    counts = scratch.save(_word_counts(blocks, max(1, int(-(-listed // SHARD_WORDS)))))
-    whole = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_tokens", "n_words", "n_once"))).first()
-    corpus = Corpus(*whole)
-    table = _Buckets(_settled(blocks, counts, corpus), scratch).table
-    scratch.drop(blocks)
+    table = _Buckets(_text_blocks(docs), scratch).table
+    listed = table.filter("words is not null").agg(F.coalesce(F.sum(F.length("seen")), F.lit(0)) / 4).first()[0]
+    counts = scratch.save(_word_counts(table, max(1, int(-(-listed // SHARD_WORDS)))))
+    corpus = Corpus(*counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_tokens", "n_words", "n_once"))).first())
     shared, values = _train(table, counts, corpus, k, rounds, scratch)
+    begin = values is None
+    # a block's words come with their counts and what the rounds made of them
+    words = counts.select("shard", "block", "counts", "seeds")
+    words = words.withColumn("sums", F.lit(None).cast("binary")) if begin else words.join(values.select("shard", "block", "sums"), ["shard", "block"])
 
-    def finish(left: pa.Table, right: pa.Table | None) -> pa.Table:
-        row = left.to_pylist()[0]
-        flat, first = _sequences(row, False)
-        score = log_likelihoods(shared.model(_counts_of(row, right, k)), flat, first) / np.log(10) + np.array(row["share"])
-        n = len(score)
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        c = _joined(_arrays(right, "counts", np.int32), np.int32).astype(np.int64)
+        own = c >= OWN_FROM
+        if begin:
+            weights = first_counts(c[own].astype(np.float64), _joined(_arrays(right, "seeds", np.uint32), np.uint32), k)
+        else:
+            weights = _joined(_arrays(right, "sums", np.float32), np.float32).astype(np.float64).reshape(-1, k)
+        tokens, flat, first = _texts(left, own)
+        sums = lambda of_word: np.diff(np.concatenate([[0], np.cumsum(of_word[tokens])])[first])
+        log = np.log10(c + 0.5)
+        share = sums(np.where(own, 0.0, log - np.log10(corpus.rare_mass)))
+        score = log_likelihoods(shared.model(weights), flat, first) / np.log(10) + share
         return pa.table({
-            "doc_id": pa.array(row["doc_id"], pa.int64()), "held_out": pa.array([not x for x in row["train"]]), "n_tokens": pa.array(row["length"], pa.int64()), "n_known": pa.array(row["known"], pa.int64()),
-            "train_tokens": pa.array([corpus.tokens] * n, pa.int64()), "base_score": pa.array(row["base"], pa.float64()), "score": pa.array(score),
+            "doc_id": left.column("doc_id").combine_chunks(), "held_out": pa.array([not x for x in left.column("train").to_pylist()]), "n_tokens": left.column("length").combine_chunks(), "n_known": pa.array(sums((c > 0).astype(np.int64))),
+            "train_tokens": pa.array([corpus.tokens] * len(score), pa.int64()), "base_score": pa.array(sums(log - np.log10(corpus.denominator))), "score": pa.array(score),
         })
 
     shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    if values is None:
-        return table.groupBy("block").applyInArrow(lambda t: finish(t, None), shape)
-    return table.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(finish, shape)
+    texts = table.filter("tokens is not null").select("block", "doc_id", "train", "length", "tokens")
+    return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(finish, shape)
