@@ -390,6 +390,89 @@ def test_bootstrap_finds_digit_groups(spark):
     assert found == {100: ["55 12 34-5 6"], 101: ["12 34 56"], 102: [], 103: ["123 4567"]}
 
 
+def _contexts(t, start, end, value):
+    """The patterns of a mention, word by word."""
+    zero = lambda x: re.sub("[1-9]", "0", x.lower())
+    words = [(m.start(), m.end()) for m in re.finditer(WORD, t)]
+    low = start - pii_bootstrap.WINDOW
+    # what is glued to the mention is no context
+    before = [zero(t[a:b]) for a, b in words if b < start and a >= (0 if low <= 0 else low + 1)]
+    last = next((b for a, b in words if a < end <= b), end)
+    after = [zero(t[a:b]) for a, b in words if a > last and b < end + pii_bootstrap.WINDOW + (b == len(t))]
+    after = after if next((b for a, b in words if a > last), 0) < end + pii_bootstrap.WINDOW + 1 else []
+    out = []
+    if len(before) > 1:
+        out.append(f"l2:{before[-2]} {before[-1]}")
+    if before:
+        out.append(f"l1:{before[-1]}")
+    if after:
+        out.append(f"r1:{after[0]}")
+    if before and after:
+        out.append(f"lr:{before[-1]} _ {after[0]}")
+    if m := re.search(r"(?:^|[^a-z0-9_-])([a-z][a-z0-9_-]*)[\x20\t-\r\"']*[:=]+[\x20\t-\r\"']*$", zero(t[:start])):
+        out.append(f"key:{m[1]}")
+    v = value.lower()
+    kind = next((k for k, p in (("digits", "[0-9]+"), ("hex", "[0-9a-f]+"), ("alnum", "[0-9a-z]+")) if re.fullmatch(p, v)), None)
+    out.append("shape:" + (f"{kind}:{len(v)}" if kind else re.sub("[a-z]+", "a", re.sub("[0-9]+", "9", v))))
+    return out
+
+
+def test_bootstrap_equals_brute_force(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: str(rng.choice(["the", "of", "mail", "id", "no9", "x" * 70, "call", "é", "sent"]))
+    values = [("write to", "a%d@b%d.org"), ("id no9", "1.2.%d.%d"), ("reach me:", "+1 555 %d 90%d"), ("sent by", "token = \"abcdef%dghijklm%dnop\""), ("sent by", "Token=\"abcdef%dghijklm%dnop\"!"), ("write to", "user%d%d77777"), ("", "90%d88%d7")]
+
+    def text():
+        lead, value = values[rng.choice(7, p=[0.25, 0.1, 0.2, 0.3, 0.05, 0.05, 0.05])]
+        return " ".join([word() for _ in range(rng.integers(0, 3))] + [lead, value % tuple(rng.integers(0, 200, 2))] + [word() for _ in range(rng.integers(0, 3))])
+
+    texts = [text() for _ in range(400)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    mentions = [(r.doc_id, m.kind, m.start, m.end, m.value, [p for p in m.patterns if p]) for r in pii_bootstrap.mentions(d).collect() for m in r.found or []]
+    for i, _, start, end, v, patterns in mentions:
+        assert texts[i][start:end] == v and sorted(patterns) == sorted(_contexts(texts[i], start, end, v)), (texts[i], v, patterns)
+    # every word with five digits or an @ is a mention, and every base span and secret is a seed
+    for i, t in enumerate(texts):
+        spans = [(a, b) for j, _, a, b, _, _ in mentions if j == i]
+        for m in re.finditer(WORD, t):
+            if "@" in m.group() or len(re.sub("[^0-9]", "", m.group())) >= 5:
+                assert any(a < m.end() and m.start() < b for a, b in spans), t
+    edges = {(p, v.lower()) for *_, v, patterns in mentions for p in patterns}
+    kinds = {}
+    for _, k, _, _, v, _ in mentions:
+        if k:
+            kinds[v.lower()] = min(k, kinds.get(v.lower(), k))
+    every = {v.lower() for *_, v, _ in mentions}
+    prior = {k: n / len(every) for k, n in Counter(kinds.values()).items()}
+    members = {}
+    for p, v in edges:
+        members.setdefault(p, set()).add(v)
+    trusted = {v: (k, 1.0) for v, k in kinds.items()}
+    for _ in range(pii_bootstrap.ROUNDS):
+        strong = {}
+        for p, vs in members.items():
+            for k in prior:
+                told = [trusted[v][1] for v in vs if v in trusted and trusted[v][0] == k]
+                share = (sum(told) + pii_bootstrap.PRIOR * prior[k]) / (len(vs) + pii_bootstrap.PRIOR)
+                if len(told) >= pii_bootstrap.SUPPORT and share >= pii_bootstrap.TRUST:
+                    strong[p, k] = share
+        found = {}
+        for v in every - set(kinds):
+            for k in prior:
+                own = [(p, strong[p, k]) for p, vs in members.items() if v in vs and (p, k) in strong]
+                if any(not p.startswith("shape:") for p, _ in own):
+                    sure = 1 - np.prod([1 - x for _, x in own])
+                    if sure >= pii_bootstrap.TRUST:
+                        found[v] = max(found.get(v, (0, "")), (sure, k))
+        trusted = {v: (k, 1.0) for v, k in kinds.items()} | {v: (k, c) for v, (c, k) in found.items()}
+    wanted = {i: set() for i in range(len(texts))}
+    for i, k, a, b, v, _ in mentions:
+        if k or v.lower() in found:
+            wanted[i].add(f"{k or trusted[v.lower()][0]}:{a}:{b}")
+    got = {r.doc_id: set(r.spans.split(",")) - {""} for r in pii_bootstrap.find_personal_data(d).collect()}
+    assert got == wanted and sum(len(x) for x in got.values()) > sum(k is not None for _, k, *_ in mentions)
+
+
 def test_pipeline_stages_are_whole(spark):
     import corpus_pipeline as cp
 
