@@ -19,15 +19,17 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
     for _ in range(most_rounds):
         # large star: the larger neighbours of u go to the smallest node around u
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
+        # written first: a join of two tables is one whose hot keys Spark splits
+        low = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low")))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u <> v").distinct()
         large = scratch.save(large)
         # small star: the smaller neighbours of u, and u, go to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
+        scratch.drop(low)
+        low = scratch.save(large.groupBy("u").agg(F.min("v").alias("low")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(low.select("u", F.col("low").alias("v"))).filter("u <> v").distinct()
         small = scratch.save(small)
         n, same = small.count(), small.intersect(at).count()
-        scratch.drop(at, large)
+        scratch.drop(at, large, low)
         at = small
         if n == same and at.select("v").intersect(at.select("u")).isEmpty():
             break

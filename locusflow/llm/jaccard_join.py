@@ -14,9 +14,10 @@ the lists short although passages and whole documents are shared by many.
 
 Lists are not expanded into pairs.  Each list names its smallest member as its
 centre; all lists with one centre form a neighbourhood (every pair that shares a
-list meets in it), which is verified by scanning the local inverted lists of the
-members' full sets.  Large neighbourhoods are cut into pairs of blocks.  Copies
-with one set are one class throughout.
+list meets in it).  Members are verified against their centre first.  Those linked to
+it are connected already, so only the others are verified against all members, by
+scanning the local inverted lists of the members' full sets; large neighbourhoods are
+cut into pairs of blocks of like sizes.  Copies with one set are one class throughout.
 
 Defined results: null and empty texts have no shingles and link with nothing (a
 component of their own); repeated rows are copies; a null doc_id takes part like
@@ -191,7 +192,7 @@ def _postings(docs: DataFrame, k: int, at: Threshold, small: int, cells, heavy:
     return docs.select("text").mapInArrow(run, "token long, digest long, size int, kind byte")
 
 
-def _spokes(postings: DataFrame, at: Threshold) -> DataFrame:
+def _spokes(postings: DataFrame, at: Threshold, scratch: Scratch) -> DataFrame:
     """(centre, member, exact): every member of a list with the list's smallest member.
 
     A list in order of size breaks where the next set is too large to link with
@@ -222,13 +223,18 @@ def _spokes(postings: DataFrame, at: Threshold) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pairs.a), pa.array(pairs.b), pa.array(pairs.exact)], names=["centre", "member", "exact"])
 
     spokes = light.mapInArrow(run, "centre long, member long, exact boolean")
-    # lists of heavy cells may hold a large part of all rows: a partial minimum finds their centre, and a join gives it to the members
-    many = postings.filter("kind = 2")
-    centres = many.groupBy("token").agg(F.min("digest").alias("centre"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("token", "centre")
-    heavy = join_checked(many, centres, "token", "inner", BROADCAST_ROWS).filter("centre <> digest").select("centre", F.col("digest").alias("member"), F.lit(False).alias("exact"))
+    # lists of heavy cells may hold a large part of all rows: each falls into one list for every two neighbouring classes of size, a partial minimum finds its centre, and a join gives it to the members
+    many = postings.filter("kind = 2").withColumn("class", F.explode(F.array(_size_class(F.col("size"), at), _size_class(F.col("size"), at) - 1)))
+    centres = many.groupBy("token", "class").agg(F.min("digest").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("token", "class", "centre")
+    heavy = join_checked(many, scratch.save(centres), ["token", "class"], "inner", BROADCAST_ROWS).filter("centre <> digest").select("centre", F.col("digest").alias("member"), F.lit(False).alias("exact"))
     return spokes.unionByName(heavy).groupBy("centre", "member").agg(F.max("exact").alias("exact"))
 
 
+def _size_class(size, at: Threshold):
+    """Classes of set sizes: linked sets are in the same or in neighbouring ones."""
+    return F.floor(F.log(size.cast("double")) / F.log(F.lit(at.den / at.num)) + 1e-9).cast("int")
+
+
 def _local_links(ids: list[int], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, at: Threshold) -> tuple[list[int], list[int]]:
     """A forest of the links between sets on the left and sets on the right (masks over ``ids``), by scanning inverted lists."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -262,15 +268,37 @@ def _local_links(ids: list[int], sets: list[np.ndarray], left: np.ndarray, right
     return us, vs
 
 
+def _starred(rows: DataFrame, k: int, at: Threshold) -> DataFrame:
+    """(centre, member, size, linked): members against their centre, whose row (``lead`` 0) comes first in each ``(centre, salt)``; nothing but the centre's set is held."""
+    ordered = rows.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "lead")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = np.zeros(0, np.uint64)
+        for batch in batches:
+            lead, out, at_row = batch.column(batch.schema.get_field_index("lead")).to_numpy(zero_copy_only=False), [], 0
+            for part, sets in _sets(batch, k):
+                for d, own in enumerate(sets):
+                    if not lead[at_row + d]:
+                        centre = own
+                    else:
+                        common = int((centre[np.minimum(np.searchsorted(centre, own), len(centre) - 1)] == own).sum())
+                        out.append((at_row + d, len(own), bool(at.links(common, len(centre), len(own)))))
+                at_row += len(sets)
+            some = batch.take(pa.array([o[0] for o in out], pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.bool_())], names=["centre", "member", "size", "linked"])
+
+    return ordered.select("centre", "member", "lead", "text").mapInArrow(run, "centre long, member long, size int, linked boolean")
+
+
 def _verified(members: DataFrame, k: int, at: Threshold) -> DataFrame:
-    """Links inside neighbourhoods (or pairs of blocks) whose members come with their texts, streamed in order of the key."""
-    ordered = members.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "side", "member")
+    """Links between the two sides of each ``cell`` of a neighbourhood (side 2 is on both), whose members come with their texts, streamed in order of the key."""
+    ordered = members.repartition("centre", "cell").sortWithinPartitions("centre", "cell")
 
-    def links(ids: list[int], sides: list[int], texts: list[str], cross: bool) -> tuple[list[int], list[int]]:
+    def links(ids: list[int], sides: list[int], texts: list[str]) -> tuple[list[int], list[int]]:
         words = words_of(pa.array(texts), lower=True)
         sets = [shingle_set(words.hash[words.of(d)], k) for d in range(len(words))]
         side = np.array(sides)
-        left, right = (side == 0, side == 1) if cross else (side >= 0, side >= 0)
+        left, right = side != 1, side != 0
         return _local_links(ids, sets, left, right, at) if left.any() and right.any() else ([], [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,14 +306,14 @@ def _verified(members: DataFrame, k: int, at: Threshold) -> DataFrame:
 
         def flush() -> pa.RecordBatch | None:
             if len(ids) > 1:
-                us, vs = links(ids, sides, texts, key[1] != key[2])
+                us, vs = links(ids, sides, texts)
                 if us:
                     return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
             return None
 
         for batch in batches:
             for r in batch.to_pylist():
-                now = (r["centre"], r["i"], r["j"])
+                now = (r["centre"], r["cell"])
                 if now != key:
                     if (made := flush()) is not None:
                         yield made
@@ -296,7 +324,28 @@ def _verified(members: DataFrame, k: int, at: Threshold) -> DataFrame:
         if (made := flush()) is not None:
             yield made
 
-    return ordered.mapInArrow(run, "u long, v long")
+    return ordered.select("centre", "cell", "member", "side", "text").mapInArrow(run, "u long, v long")
+
+
+def _open_cells(stars: DataFrame, at: Threshold, scratch: Scratch) -> DataFrame:
+    """(centre, cell, member, side): pairs that the centres leave open.  Members linked to one centre are connected, so only a member that is not meets all others: in one cell, or in large neighbourhoods in pairs of blocks of neighbouring size classes."""
+    around = stars.groupBy("centre").agg(F.count(F.lit(1)).alias("size_"), F.count_if(~F.col("linked")).alias("apart")).filter("apart > 0 and size_ > 1").select("centre", "size_")
+    some = join_checked(stars, scratch.save(around), "centre", "inner", BROADCAST_ROWS)
+    few = some.filter(F.col("size_") <= BLOCK).select("centre", F.lit("").alias("cell"), "member", F.when(F.col("linked"), 1).otherwise(2).alias("side"))
+    many = scratch.save(some.filter(F.col("size_") > BLOCK).withColumn("class", _size_class(F.col("size"), at)))
+    half = BLOCK // 2
+    groups = many.groupBy("centre", "class", "linked").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias("blocks"))
+    placed = join_checked(many, scratch.save(groups), ["centre", "class", "linked"], "inner", BROADCAST_ROWS).withColumn("b", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")).select("centre", "member", "class", "linked", "b")
+    block = groups.select("centre", "class", "linked", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+    name = lambda c: F.concat_ws(":", F.col(f"{c}class").cast("string"), F.col(f"{c}linked").cast("string"), F.col(f"{c}b").cast("string"))
+    other = block.select("centre", *(F.col(c).alias(f"o_{c}") for c in ("class", "linked", "b")))
+    pairs = block.filter("not linked").join(other, "centre").filter(F.abs(F.col("class") - F.col("o_class")) <= 1).withColumn("x", name("")).withColumn("y", name("o_"))
+    # each pair of blocks of unlinked members once
+    pairs = scratch.save(pairs.filter(F.col("o_linked") | (F.col("x") <= F.col("y"))).select("centre", "x", "y", F.concat_ws("|", "x", "y").alias("cell")))
+    ends = pairs.select("centre", F.col("x").alias("block"), "cell", F.when(F.col("x") == F.col("y"), 2).otherwise(0).alias("side"))
+    ends = ends.unionByName(pairs.filter("x <> y").select("centre", F.col("y").alias("block"), "cell", F.lit(1).alias("side")))
+    cut = placed.withColumn("block", name("")).join(ends, ["centre", "block"]).select("centre", "cell", "member", "side")
+    return few.unionByName(cut)
 
 
 def _linked(docs: DataFrame, k: int, at: Threshold, scratch: Scratch) -> DataFrame:
@@ -308,24 +357,23 @@ def _linked(docs: DataFrame, k: int, at: Threshold, scratch: Scratch) -> DataFra
     cells = spark.sparkContext.broadcast(counts)
     sizes = {r["n"]: r["c"] for r in own.filter(f"n > 0 and n <= {at.most(at.most(MOST_SMALL)) + 1}").groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     small = boundary(sizes, at)
-    heavy = max(HEAVY, int(counts.sum(dtype=np.int64)) >> 17)
-    spokes = scratch.save(_spokes(_postings(docs, k, at, small, cells, heavy), at))
+    postings = scratch.save(_postings(docs, k, at, small, cells, HEAVY))
+    spokes = scratch.save(_spokes(postings, at, scratch))
+    scratch.drop(postings)
     exact = spokes.filter("exact").select(F.col("centre").alias("u"), F.col("member").alias("v"))
     open_ = spokes.filter("not exact").select("centre", "member")
-    # each neighbourhood: the centre and its members, with one text for each class
-    around = open_.unionByName(open_.select("centre", F.col("centre").alias("member")).distinct())
-    wanted = around.select(F.col("member").alias("digest")).distinct()
+    wanted = open_.select(F.explode(F.array("centre", "member")).alias("digest")).distinct()
     # copies are folded before anything is dealt by digest: one text may hold a third of all rows
     chosen = scratch.save(own.filter("digest is not null").groupBy("digest").agg(F.min("uid").alias("uid")).join(wanted, "digest", "left_semi"))
     texts = docs.join(F.broadcast(chosen) if small_enough(chosen, BROADCAST_ROWS) else chosen, "uid").select(F.col("digest").alias("member"), "text")
-    large = around.groupBy("centre").agg(F.count(F.lit(1)).alias("size")).filter(f"size > {BLOCK}").select("centre", F.ceil(F.col("size") / (BLOCK // 2)).cast("int").alias("blocks"))
-    placed = join_checked(around, scratch.save(large), "centre", "left", BROADCAST_ROWS).withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
-    # block b meets every block, itself included
-    cells_of = placed.select("centre", "member", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select(
-        "centre", "member", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side")
-    )
-    found = _verified(cells_of.join(texts, "member").select("centre", "i", "j", "member", "side", "text"), k, at)
-    edges = scratch.save(exact.unionByName(found).distinct())
+    # members against their centre first, large neighbourhoods in several tasks
+    around = open_.groupBy("centre").agg(F.count(F.lit(1)).alias("size")).select("centre", F.ceil(F.col("size") / BLOCK).cast("int").alias("salts"))
+    salted = join_checked(open_, scratch.save(around.filter("salts > 1")), "centre", "left", BROADCAST_ROWS)
+    salted = salted.select("centre", F.pmod(F.xxhash64("member"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), "member", F.lit(1).alias("lead"))
+    leads = salted.select("centre", "salt").distinct().select("centre", "salt", F.col("centre").alias("member"), F.lit(0).alias("lead"))
+    stars = scratch.save(_starred(salted.unionByName(leads).join(texts, "member").select("centre", "salt", "member", "lead", "text"), k, at))
+    found = _verified(_open_cells(stars, at, scratch).join(texts, "member").select("centre", "cell", "member", "side", "text"), k, at)
+    edges = scratch.save(exact.unionByName(stars.filter("linked").select(F.col("centre").alias("u"), F.col("member").alias("v"))).unionByName(found).distinct())
     roots = connected_components(edges, scratch)
     classes = own.filter("digest is not null").groupBy("digest").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "uid")).alias("low"), F.count(F.lit(1)).alias("copies"))
     classes = classes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").filter("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "digest"))

@@ -218,6 +218,22 @@ def test_jaccard_blocks_and_heavy_lists(spark, monkeypatch, block, heavy):
     assert all(out[i] == 0 for i in range(30)) and out[100] == 100
 
 
+@pytest.mark.parametrize("block,heavy", [(4, 0), (4, 4096), (1024, 4096)])
+def test_jaccard_members_that_their_centre_leaves_open(spark, monkeypatch, block, heavy):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "HEAVY", heavy)
+    # windows that drift: near ones link, far ones only meet
+    texts = [(100 * g + i, " ".join(f"g{g}w{j}" for j in range((3 + g) * i, (3 + g) * i + 60 + (i * 7) % 23))) for g in range(4) for i in range(40)]
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in texts}
+    component = {i: i for i in sets}
+    links = [(x, y) for x in sets for y in sets if x < y and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])]
+    for _ in sets:
+        for x, y in links:
+            component[x] = component[y] = min(component[x], component[y])
+    out = {r.doc_id: r.component_id for r in jaccard_join.link_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert out == component and 4 < len(set(out.values())) < len(out)
+
+
 def test_language_model(spark, docs):
     import zlib
 
