@@ -117,12 +117,20 @@ def test_nearest_neighbours(spark):
     assert ann_mih.search(v.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_neighbours_are_ranked_row_by_row(spark):
+    # two rows with one id are two queries and two candidates; ties go to the smaller id
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (7, [1.0, 0.0]), (3, [1.0, 0.0]), (5, [-1.0, 0.0]), (9, [1.0, 2.0, 3.0])]
+    out = ann_mih.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.expr("vec_id = 0"), k=3).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out) == [(0, 1, 0, 0.0), (0, 1, 3, 1.0), (0, 2, 3, 0.0), (0, 2, 7, 1.0), (0, 3, 0, 0.0), (0, 3, 5, 0.0)]
+
+
 def test_multi_index_finds_every_code_within_the_radius():
-    codes = np.random.default_rng(0).integers(0, 2**63, 500, dtype=np.uint64)
-    codes[:50] = codes[0] ^ (np.uint64(1) << np.arange(50, dtype=np.uint64))
+    codes = np.random.default_rng(0).integers(0, 2**63, (500, 2), dtype=np.uint64)
+    codes[:50, 0] = codes[0, 0] ^ (np.uint64(1) << np.arange(50, dtype=np.uint64))
+    codes[:50, 1] = codes[0, 1]
     index = ann_mih.MultiIndex(codes)
-    for r in (0, 2, 9, 24, 40):
-        assert set(index.within(codes[7], r)) == set(np.flatnonzero(np.bitwise_count(codes ^ codes[7]) <= r))
+    for r in (0, 2, 17, 40, 60, 128):
+        assert set(index.within(codes[7], r)) == set(np.flatnonzero(np.bitwise_count(codes ^ codes[7]).sum(1) <= r))
 
 
 def test_url_rules_and_reputation(spark):
