@@ -2,15 +2,19 @@
 
 Words are lower-cased runs of letters, digits and other non-ASCII characters.
 Every template's word k-grams are winnowed (the least hash of each window of
-``WINDOW`` k-grams) into an inverted index of fingerprint -> (template, place);
-a text's own winnowed fingerprints are looked up in it, and any shared run of
-``K + WINDOW - 1`` words is sure to meet.  Hits of one template on nearby
-diagonals are one candidate; a banded alignment around its diagonal gives the
-matched words, coverage of the template and the span in code points.
+``WINDOW`` k-grams) into an inverted index of fingerprint -> (template, place); every
+k-gram of a text is looked up in it, so a shared run of ``K + WINDOW - 1`` words is
+sure to meet.  Hits of one template that advance in both are chained, past insertions
+of up to half the template; the text around a chain is aligned with the template in
+a band over all diagonals of its hits and ``BAND`` more.  This gives the matched words, coverage of the template and the span in code points.
+
+Of overlapping finds the one with most matched words less skipped text words stays.
+In templates of under ``SHORT`` words every word with a digit, and every word that
+under a third of them hold, must be matched, so that no licence is taken for another.
 
 Defined results: null, empty and unlicensed texts have no row; repeated rows are
-scanned one by one; a template shorter than K + WINDOW - 1 words is one
-fingerprint window and needs K equal words; an empty table gives an empty table.
+scanned one by one; equal finds (ties) go to the first licence by name; a template
+shorter than K words is never found; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,7 +29,9 @@ from .common import text_sub_batches
 from .license_templates import TEMPLATES
 from .textarrays import Words, code_points, windows, words_of
 
-K, WINDOW, BAND, COVERAGE = 3, 3, 8, 0.8
+K, WINDOW, BAND, COVERAGE, SHORT = 3, 3, 8, 0.8, 20
+#: Most templates; they are part of every task.
+MOST_TEMPLATES = 20_000
 _BETWEEN = np.ones(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _BETWEEN[_a:_b] = False
@@ -48,11 +54,16 @@ def winnow(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
 class TemplateIndex:
     """Inverted index over the templates, which are a parameter and small."""
 
-    def __init__(self, templates: dict[str, str], k: int = K):
-        self.names = list(templates)
-        w = _words(pa.array(list(templates.values())))
+    def __init__(self, templates: list[tuple[str, str]], k: int = K):
+        templates = sorted(templates)
+        self.names = [name for name, _ in templates]
+        w = _words(pa.array([text for _, text in templates], pa.string()))
         self.words = [w.hash[w.of(d)] for d in range(len(w))]
-        self.bands = np.array([band_of(own) for own in self.words], np.int64)
+        numbered = np.array([any(48 <= c < 58 for c in w.text(i)) for i in range(len(w.hash))], bool)
+        short = [np.unique(own) for own in self.words if len(own) < SHORT]
+        word, held = np.unique(np.concatenate(short or [np.zeros(0, np.uint64)]), return_counts=True)
+        telling = word[3 * held < len(short)]
+        self.must = [(numbered[w.of(d)] | np.isin(own, telling)) & (len(own) < SHORT) for d, own in enumerate(self.words)]
         entries = []
         for d, own in enumerate(self.words):
             grams = windows(own, k)
@@ -70,58 +81,83 @@ class TemplateIndex:
         return np.repeat(np.arange(len(prints)), width), np.repeat(a - (ends - width), width) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def banded_alignment(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """(matched words, first text word, behind the last) of the best alignment with text place - template place within ``band`` of the diagonal."""
-    m, width = len(template), 2 * band + 1
-    # best[j]: (matches, first, last) with the template read up to i and the text up to i + diagonal - band + j
-    score = np.zeros(width, np.int64)
-    first, last = np.full(width, -1), np.full(width, -1)
-    for i in range(m):
-        at = i + diagonal - band + np.arange(width)
-        inside = (at >= 0) & (at < len(text))
-        same = inside & (text[np.clip(at, 0, len(text) - 1)] == template[i])
-        # take the word on the same diagonal, or skip the template's word (one diagonal up)
-        up_score, up_first, up_last = np.append(score[1:], -1), np.append(first[1:], -1), np.append(last[1:], -1)
-        new_score = score + same
-        new_first = np.where(same & (first < 0), at, first)
-        new_last = np.where(same, at, last)
-        skip = up_score > new_score
-        score, first, last = np.where(skip, up_score, new_score), np.where(skip, up_first, new_first), np.where(skip, up_last, new_last)
-        for j in range(1, width):  # skip words of the text
-            if score[j - 1] > score[j]:
-                score[j], first[j], last[j] = score[j - 1], first[j - 1], last[j - 1]
-    best = int(np.argmax(score))
-    return int(score[best]), int(first[best]), int(last[best]) + 1
-
-
-def band_of(template: np.ndarray) -> int:
-    """Narrower for short templates, so that neighbouring copies stay apart."""
-    return min(BAND, max(1, len(template) // 4))
-
-
-def _candidates(owner: np.ndarray, diagonal: np.ndarray, bands: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(template, diagonal) of each cluster of hits on diagonals close to one another."""
-    order = np.lexsort((diagonal, owner))
-    at = 0
-    while at < len(order):
-        to = at + 1
-        while to < len(order) and owner[order[to]] == owner[order[at]] and diagonal[order[to]] - diagonal[order[to - 1]] <= bands[owner[order[at]]]:
-            to += 1
-        yield int(owner[order[at]]), int(np.median(diagonal[order[at:to]]))
-        at = to
+def banded_alignment(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the matched words in the template and in the text, of an alignment with most matches on the diagonals (text place - template place) from ``low`` to ``high``; of equal ones the earliest in the text."""
+    m, n, width = len(template), len(text), high - low + 1
+    none = np.zeros(0, np.int64)
+    if not m or not n:
+        return none, none
+    # best[i][j]: matches of the first i template words with the first i + low + j text words
+    best = np.zeros((m + 1, width), np.int32)
+    for i in range(1, m + 1):
+        at = i + low + np.arange(width)  # text words read
+        hit = (at >= 1) & (at <= n) & (text[np.clip(at - 1, 0, n - 1)] == template[i - 1])
+        best[i] = np.maximum.accumulate(np.maximum(best[i - 1] + hit, np.append(best[i - 1][1:], 0)))
+    i, j = m, width - 1
+    a, b = [], []
+    while i > 0 and best[i][j]:
+        if j > 0 and best[i][j] == best[i][j - 1]:
+            j -= 1  # a text word is skipped
+        elif j + 1 < width and best[i][j] == best[i - 1][j + 1]:
+            i, j = i - 1, j + 1  # a template word is skipped
+        else:
+            if best[i][j] > best[i - 1][j]:
+                a.append(i - 1)
+                b.append(i + low + j - 1)
+            i -= 1
+    return np.array(a[::-1], np.int64), np.array(b[::-1], np.int64)
+
+
+def _chains(text_place: np.ndarray, place: np.ndarray, size: int) -> Iterator[list[int]]:
+    """Chains of hits (in order of text place) that advance in text and template, with at most half the template of text inserted in one gap; best first, each hit in one chain."""
+    reach = size + max(BAND, size // 2)
+    n = len(text_place)
+    score, back = np.ones(n), np.full(n, -1)
+    for i in range(n):
+        first = int(np.searchsorted(text_place, text_place[i] - reach))
+        step, move = text_place[i] - text_place[first:i], place[i] - place[first:i]
+        # hits on one diagonal are worth most: a gap costs a little for each word that it differs by
+        worth = np.where((step > 0) & (move > 0) & (step - move <= max(BAND, size // 2)), score[first:i] - 0.01 * np.abs(step - move), -1.0)
+        if len(worth) and worth.max() > 0:
+            back[i] = first + int(np.argmax(worth))
+            score[i] += worth.max()
+    used = np.zeros(n, bool)
+    for i in np.argsort(-score, kind="stable").tolist():
+        chain, at = [], i
+        while at >= 0 and not used[at]:
+            chain.append(at)
+            used[at] = True
+            at = int(back[at])
+        if chain:
+            yield chain[::-1]
+
+
+def align_chain(template: np.ndarray, text: np.ndarray, text_place: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matched places in template and text of the alignment around a chain of hits: forwards from its first hit in a band over all their diagonals, and backwards from there."""
+    p, q = int(text_place[0]), int(place[0])
+    diagonal = (text_place - p) - (place - q)
+    end = int(text_place[-1] + len(template) - place[-1]) + BAND
+    a, b = banded_alignment(template[q:], text[p:end], int(diagonal.min()) - BAND, int(diagonal.max()) + BAND)
+    c, d = banded_alignment(template[:q][::-1], text[max(0, p - q - BAND) : p][::-1], -BAND, BAND)
+    return np.concatenate([q - 1 - c[::-1], a + q]), np.concatenate([p - 1 - d[::-1], b + p])
 
 
 def scan_text(index: TemplateIndex, own: np.ndarray, prints: np.ndarray, places: np.ndarray, coverage: float) -> list[tuple[int, int, int, int]]:
-    """(template, matched, first word, behind the last) of a text's licences; of overlapping ones the one with most matched words."""
+    """(template, matched, first word, behind the last) of a text's licences; of overlapping ones the one with most matched less skipped words."""
     hit, entry = index.hits(prints)
+    owner = index.owner[entry]
     found = []
-    for t, diagonal in _candidates(index.owner[entry], places[hit] - index.place[entry], index.bands):
-        template, band = index.words[t], int(index.bands[t])
-        begin = max(0, diagonal - band)
-        matched, a, b = banded_alignment(template, own[begin : diagonal + len(template) + band + 1], diagonal - begin, band)
-        if matched >= coverage * len(template) and matched >= min(K, len(template)):
-            found.append((t, matched, begin + a, begin + b))
-    found.sort(key=lambda f: (-f[1], f[2], f[0]))
+    for t in np.unique(owner).tolist():
+        template, mine = index.words[t], owner == t
+        text_place, place = places[hit[mine]], index.place[entry[mine]]
+        order = np.lexsort((place, text_place))
+        text_place, place = text_place[order], place[order]
+        for chain in _chains(text_place, place, len(template)):
+            a, b = align_chain(template, own, text_place[chain], place[chain])
+            if len(a) >= coverage * len(template) and not (index.must[t] & ~np.isin(np.arange(len(template)), a)).any():
+                found.append((t, len(a), int(b[0]), int(b[-1]) + 1))
+    # matched less skipped words of the text; then the first by name
+    found.sort(key=lambda f: (-(2 * f[1] - (f[3] - f[2])), f[2], index.names[f[0]]))
     kept: list[tuple[int, int, int, int]] = []
     for f in found:
         if all(f[3] <= o[2] or o[3] <= f[2] for o in kept):
@@ -129,9 +165,17 @@ def scan_text(index: TemplateIndex, own: np.ndarray, prints: np.ndarray, places:
     return sorted(kept, key=lambda f: f[2])
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
+def template_table(templates: DataFrame, most: int = MOST_TEMPLATES) -> list[tuple[str, str]]:
+    """Templates from a table (name, text) of at most ``most`` rows; rows without a text are left out."""
+    rows = templates.select("name", "text").filter("name is not null and text is not null").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} templates")
+    return [(r["name"], r["text"]) for r in rows]
+
+
+def scan(docs: DataFrame, templates: DataFrame | list[tuple[str, str]] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, license, matched_words, template_words, coverage, span_start, span_end) of every licence found in ``docs(doc_id, text)``."""
-    templates = TEMPLATES if templates is None else templates
+    templates = TEMPLATES if templates is None else template_table(templates) if isinstance(templates, DataFrame) else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = TemplateIndex(templates)
@@ -147,8 +191,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                 for d in texts.tolist():
                     own = w.hash[w.of(d)]
                     h = windows(own, K)
-                    # short templates have one window only: every k-gram of the text is looked up, as winnowing would drop some in a longer neighbourhood
-                    places = np.union1d(winnow(h), np.flatnonzero(np.isin(h, wanted)))
+                    places = np.flatnonzero(np.isin(h, wanted))
                     starts = None
                     for t, matched, a, b in scan_text(index, own, h[places], places, coverage):
                         if starts is None:

@@ -1,12 +1,37 @@
 """Licence texts that the scan looks for: the notices by which works name a licence, and short licences in full (fixed values, as published)."""
 
-TEMPLATES = {
-    "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "mit-line": "Released under the MIT License.",
-    "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "cc-by-sa-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+#: Names under which licences are cited (fixed values, as published).
+NAMES = {
+    "apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0"),
+    "mit": ("MIT License",),
+    "gpl-2.0": ("GNU General Public License, version 2", "GNU General Public License v2", "GPL-2.0"),
+    "gpl-3.0": ("GNU General Public License, version 3", "GNU General Public License v3", "GPL-3.0"),
+    "lgpl-2.1": ("GNU Lesser General Public License, version 2.1", "LGPL-2.1"),
+    "lgpl-3.0": ("GNU Lesser General Public License, version 3", "LGPL-3.0"),
+    "agpl-3.0": ("GNU Affero General Public License, version 3", "AGPL-3.0"),
+    "mpl-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL-2.0"),
+    "epl-2.0": ("Eclipse Public License, version 2.0", "Eclipse Public License 2.0", "EPL-2.0"),
+    "bsd-2-clause": ("BSD 2-Clause License",),
+    "bsd-3-clause": ("BSD 3-Clause License",),
+    "isc": ("ISC License",),
+    "bsl-1.0": ("Boost Software License, Version 1.0",),
+    "artistic-2.0": ("Artistic License 2.0",),
+    "cc0-1.0": ("CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal License"),
+    "cc-by-4.0": ("CC BY 4.0", "Creative Commons Attribution 4.0 International License"),
+    "cc-by-sa-4.0": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "cc-by-nc-4.0": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "cc-by-nd-4.0": ("CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    "cc-by-nc-sa-4.0": ("CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+}
+PHRASES = ("Licensed under the {}", "Licensed under {}", "Released under the {}", "This work is licensed under the {}", "This work is licensed under a {}", "Distributed under the terms of the {}", "SPDX-License-Identifier: {}")
+
+
+def lines() -> list[tuple[str, str]]:
+    """(licence, notice) for every name in every phrase."""
+    return [(f"{key}-line", phrase.format(name)) for key, names in NAMES.items() for name in names for phrase in PHRASES]
+
+
+TEXTS = {
     "apache-2.0-notice": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
@@ -44,4 +69,34 @@ TEMPLATES = {
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
         "and/or other materials provided with the distribution."
     ),
+    "bsd-3-clause-condition": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission."
+    ),
+    "bsd-disclaimer": (
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE '
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+        "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS "
+        "OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+        "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "mpl-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+        "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the "
+        "use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+        "redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote "
+        "the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or "
+        "altered from any source distribution."
+    ),
 }
+
+#: What the scan looks for unless it is given a table of its own.
+TEMPLATES = [*lines(), *TEXTS.items()]

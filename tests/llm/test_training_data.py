@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusflow.llm import ann_mih, hmm_lm, jaccard_join, license_scan, piece_codec, pii_bootstrap, quality_cascade, source_mixing, token_counts, url_reputation
-from locusflow.llm.license_templates import TEMPLATES
+from locusflow.llm.license_templates import TEXTS
 from locusflow.llm.queries import model_path
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -352,15 +352,50 @@ def test_one_state_is_the_base_and_long_texts_are_whole(spark):
 
 
 def test_licences(spark):
-    mit = TEMPLATES["mit"].split()
+    mit = TEXTS["mit"].split()
     edited = " ".join(w for i, w in enumerate(mit) if i % 37 != 5)
+    pushed = " ".join(mit[:80] + [f"inserted{i}" for i in range(12)] + mit[80:])
     texts = [(1, "Some é words. Licensed under the Apache License, Version 2.0. More words."), (2, "before " + edited + " after"), (3, "plain text about the license of things"), (4, None), (5, "Released under the MIT License.\nReleased under the MIT License.")]
-    got = license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    texts += [(6, pushed), (7, "This work is licensed under the GNU General Public License, version 2."), (8, "This work is licensed under the GNU Lesser General Public License, version 3"), (9, ""), (10, "x y " * 30_000 + TEXTS["mit"] + " z" * 30_000), (11, "This work is licensed under the GNU General Public License, version 9.")]
+    got = license_scan.scan(spark.createDataFrame(texts + texts[:1], "doc_id long, text string")).collect()
     found = {(r.doc_id, r.license) for r in got}
-    assert found == {(1, "apache-2.0-line"), (2, "mit"), (5, "mit-line")}
+    assert found == {(1, "apache-2.0-line"), (2, "mit"), (5, "mit-line"), (6, "mit"), (7, "gpl-2.0-line"), (8, "lgpl-3.0-line"), (10, "mit")}
     a = next(r for r in got if r.doc_id == 1)
     assert texts[0][1][a.span_start : a.span_end] == "Licensed under the Apache License, Version 2.0" and a.coverage == 1
-    assert next(r for r in got if r.doc_id == 2).coverage > 0.9 and sum(r.doc_id == 5 for r in got) == 2
+    assert next(r for r in got if r.doc_id == 2).coverage > 0.9 and sum(r.doc_id == 5 for r in got) == 2 and sum(r.doc_id == 1 for r in got) == 2
+    whole = next(r for r in got if r.doc_id == 6)
+    assert whole.coverage == 1 and pushed[whole.span_start : whole.span_end] == pushed.rstrip(".")
+    own = spark.createDataFrame([("house", "only for use in this house by its owner"), ("house", None)], "name string, text string")
+    mine = license_scan.scan(spark.createDataFrame([(1, "It is ONLY for use in this house, by its owner!")], "doc_id long, text string"), own).collect()
+    assert [(r.license, r.span_start, r.span_end) for r in mine] == [("house", 6, 46)]
+
+
+def test_alignment_equals_the_full_matrix():
+    def lcs(x, y):
+        best = np.zeros((len(x) + 1, len(y) + 1), int)
+        for i in range(len(x)):
+            for j in range(len(y)):
+                best[i + 1, j + 1] = best[i, j] + 1 if x[i] == y[j] else max(best[i, j + 1], best[i + 1, j])
+        return best[-1, -1]
+
+    rng = np.random.default_rng(2)
+    index = license_scan.TemplateIndex([(k, t) for k, t in TEXTS.items()])
+    for t, template in enumerate(index.words):
+        for edits in (0, 3, 8):
+            text = template.tolist()
+            for _ in range(edits * len(template) // 100):
+                at = int(rng.integers(0, len(text)))
+                kind = rng.integers(0, 3)
+                text[at : at + (kind != 1)] = [int(x) for x in rng.integers(0, 99, (0, 5, 1)[kind])]
+            own = np.array([7, 8] * 20 + text + [9] * 40, np.uint64)
+            h = license_scan.windows(own, license_scan.K)
+            places = np.flatnonzero(np.isin(h, index.prints))
+            found = [f for f in license_scan.scan_text(index, own, h[places], places, 0.6) if f[0] == t]
+            assert len(found) == 1 and 0 <= lcs(template, own) - found[0][1] <= 1, (index.names[t], edits)
+    for _ in range(50):  # a band over everything is the full matrix
+        x, y = rng.integers(0, 4, rng.integers(0, 12)), rng.integers(0, 4, rng.integers(0, 12))
+        a, b = license_scan.banded_alignment(x, y, -30, 30)
+        assert len(a) == lcs(x, y) and (x[a] == y[b]).all() and (np.diff(a) > 0).all() and (np.diff(b) > 0).all()
 
 
 def test_personal_data(spark, docs):
