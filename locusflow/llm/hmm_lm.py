@@ -39,7 +39,7 @@ from .textarrays import mix, words_of
 
 STATES, ROUNDS = 4, 4
 #: Tokens of a piece, a unit of work only; tokens worked on at once.
-PIECE, AT_ONCE = 1024, 1_000_000
+PIECE, AT_ONCE = 512, 300_000
 #: Text of one block, and listed words of one shard (of all blocks together).
 BLOCK_BYTES, SHARD_WORDS = 16_000_000, 2_000_000
 #: Training counts from which a word has emissions of its own.
@@ -87,12 +87,11 @@ class Pieces:
 
 
 def _longest_first(length: np.ndarray, most: int) -> Iterator[np.ndarray]:
-    """Groups of pieces in order of falling length, each of about ``most`` tokens."""
+    """Groups of pieces in order of falling length, each of at most ``most`` tokens with all pieces as long as its first."""
     order = np.argsort(-length, kind="stable")
-    total = np.cumsum(length[order])
     at = 0
     while at < len(order):
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        to = at + max(1, most // int(length[order[at]]))
         yield order[at:to]
         at = to
 
