@@ -42,6 +42,7 @@ STATES, ROUNDS = 4, 4
 PIECE, AT_ONCE = 512, 300_000
 #: Text of one block, and listed words of one shard (of all blocks together).
 BLOCK_BYTES, SHARD_WORDS = 16_000_000, 2_000_000
+MOST_BUCKETS = 50_000
 #: Training counts from which a word has emissions of its own.
 OWN_FROM = 2
 END = mix(np.array([0x656E64], np.uint64))[0]
@@ -320,7 +321,8 @@ class _Buckets:
 
     def __init__(self, df: DataFrame, scratch: Scratch):
         spark, name = df.sparkSession, f"hmm_blocks_{uuid.uuid4().hex}"
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # as many as the input has partitions, so that a bucket's size does not follow the input
+        buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions()), MOST_BUCKETS)
         df.write.format("parquet").option("compression", "zstd").option("path", f"{scratch.top}/{name}").bucketBy(buckets, "block").saveAsTable(name)
         self.table = spark.table(name)
 

@@ -2,11 +2,16 @@
 
 A text of up to ``chunk_chars`` code points is encoded at once.  A longer one is
 cut into chunks that overlap; every chunk is encoded by its own task with token
-offsets.  Two neighbours are spliced at the first stable boundary in their
-overlap: a space behind another character, where both encodings have a token
-boundary (no piece of the vocabulary reaches over it).  Where the overlap holds
-no such place, the chunk pair is aligned again with an overlap twice as wide,
-as often as needed, in the end with the whole rest of the text.
+offsets.  Two neighbours are spliced at the first stable boundary in their overlap:
+a space behind another character, where both encodings must have a token boundary
+(no piece of the vocabulary reaches over it).  Where an overlap holds no such place
+it is widened, twofold each time, in the end to the whole rest of the text.  Should
+a token reach over a cut all the same, that text alone is encoded again with wider
+overlaps.
+
+The boundary is proven for vocabularies that ``Codec.splits_at_spaces`` accepts.
+With any other model, and with tokenizers in ``.json`` files, every text is encoded
+at once.
 
 Defined results: a null or empty text has no bytes and no tokens; repeated rows
 are counted one by one; an empty table gives an empty table.
@@ -58,13 +63,21 @@ def _tokens_between(c: Codec, text: str, a: int, b: int | None) -> int | None:
     return last - first
 
 
-def _chunk_rows(c: Codec, text: str, is_first: bool, is_last: bool, core: int) -> tuple[int | None, int | None, int | None]:
-    """(left cut, right cut, tokens between) of one chunk; cuts are relative to the chunk's start."""
-    left = 0 if is_first else stable_boundary(text, 0)
-    right = None if is_last else stable_boundary(text, core)
-    if left is None or (right is None and not is_last):
-        return None, None, None
-    return left, right, _tokens_between(c, text, left, right)
+def cut_chunks(text: str, core: int, overlap: int) -> list[tuple[int, int, int, int | None]]:
+    """(start, end, left cut, right cut) of overlapping chunks, cuts relative to the start; the last right cut is None."""
+    cuts = [0]
+    for at in range(core, len(text), core):
+        if at < cuts[-1]:
+            continue  # a widened overlap reached over this chunk
+        wide = overlap
+        while (cut := stable_boundary(text[at : at + wide], 0)) is None and at + wide < len(text):
+            wide *= 2
+        if cut is None:
+            break
+        cuts.append(at + cut)
+    ends = [*cuts[1:], None]
+    starts = [max(0, c - 1) for c in cuts]  # the character before a cut is part of what is seen
+    return [(s, len(text) if e is None else e + overlap, c - s, None if e is None else e - s) for s, c, e in zip(starts, cuts, ends, strict=True)]
 
 
 def count_by_widening(c: Codec, text: str, core: int, overlap: int) -> int:
@@ -98,47 +111,56 @@ def count_tokens(docs: DataFrame, model: str, chunk_chars: int = CHUNK_CHARS, ov
     uid, size, kept = (column_name(docs, n) for n in ("uid", "size", "kept_columns"))
     rows = docs.select(F.struct(*keep, F.lit(0).alias("_")).alias(kept), F.coalesce("text", F.lit("")).alias("text")).withColumn(uid, F.monotonically_increasing_id())
     rows = rows.withColumn(size, F.length("text")).withColumn(names["n_bytes"], F.octet_length("text").cast("long"))
+    counter = _whole_counter(model)
+    proven = not model.endswith(".json") and codec(model).splits_at_spaces
     # huge texts are a written table: their uids must stay the same however often they are read
-    usual, huge = rows.filter(F.col(size) <= chunk_chars), (scratch or Scratch(docs.sparkSession)).save(rows.filter(F.col(size) > chunk_chars))
+    usual = rows.filter(F.col(size) <= chunk_chars) if proven else rows
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
+        count = counter()
         for batch in batches:
             for part in text_sub_batches(batch):
-                _, first, _ = c.encode_column(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(first).astype(np.int64))], names=["kept", "n_bytes", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(count(part.column(1)), pa.int64())], names=["kept", "n_bytes", "n_tokens"])
+
+    done = f"kept {rows.schema[kept].dataType.simpleString()}, n_bytes long, n_tokens long"
+    out = usual.select(kept, "text", names["n_bytes"]).mapInArrow(whole, done)
+    if proven:
+        huge = (scratch or Scratch(docs.sparkSession)).save(rows.filter(F.col(size) > chunk_chars))
+        out = out.unionByName(_huge(huge.select(F.col(kept).alias("kept"), F.col(uid).alias("uid"), "text", F.col(names["n_bytes"]).alias("n_bytes")), model, chunk_chars, overlap_chars, done))
+    return out.select(*(F.col("kept")[c].alias(c) for c in keep), F.col("n_bytes").alias(names["n_bytes"]), F.col("n_tokens").alias(names["n_tokens"]), (F.col("n_tokens") > limit).alias(names["over_limit"]))
+
+
+def _whole_counter(model: str):
+    """Makes, in a task, a function from a column of texts to their token counts."""
+    if not model.endswith(".json"):
+        return lambda: lambda column: np.diff(codec(model).encode_column(column)[1]).astype(np.int64)
 
-    kept_type = rows.schema[kept].dataType.simpleString()
-    done = f"kept {kept_type}, n_bytes long, n_tokens long"
-    counted = usual.select(kept, "text", names["n_bytes"]).mapInArrow(whole, done)
+    def load():
+        from tokenizers import Tokenizer
 
-    chunks = huge.select(
-        uid, size, "text", F.explode(F.sequence(F.lit(0), F.expr(f"cast((`{size}` - 1) div {chunk_chars} as int)"))).alias("chunk")
-    ).select(
-        uid, "chunk", (F.col("chunk") == 0).alias("is_first"), ((F.col("chunk") + 1) * chunk_chars >= F.col(size)).alias("is_last"),
-        F.expr(f"substring(text, chunk * {chunk_chars} + 1, {chunk_chars + overlap_chars})").alias("text"),
-    ).repartition(uid, "chunk")
+        t = Tokenizer.from_file(model)
+        t.encode_special_tokens = True  # their strings in a text are ordinary text
+        t.no_truncation()
+        t.no_padding()
+        return lambda column: np.array([len(e.ids) for e in t.encode_batch([x or "" for x in column.to_pylist()], add_special_tokens=False)], np.int64)
+
+    return load
+
+
+def _huge(huge: DataFrame, model: str, chunk_chars: int, overlap_chars: int, done: str) -> DataFrame:
+    """(kept, n_bytes, n_tokens) of the written ``huge(kept, uid, text, n_bytes)``."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for a, b, left, right in cut_chunks(text, chunk_chars, overlap_chars):
+                    yield pa.RecordBatch.from_arrays([pa.array([uid], pa.int64()), pa.array([a], pa.int64()), pa.array([left], pa.int64()), pa.array([right], pa.int64()), pa.array([text[a:b]])], names=["uid", "start", "left_cut", "right_cut", "text"])
 
     def encode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for batch in batches:
-            made = [_chunk_rows(c, r["text"], r["is_first"], r["is_last"], chunk_chars) for r in batch.to_pylist()]
-            at = [k * chunk_chars for k in batch.column(1).to_pylist()]
-            cut = lambda j: pa.array([None if m[j] is None else m[j] + a for m, a in zip(made, at, strict=True)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), cut(0), cut(1), pa.array([m[2] for m in made], pa.int64())], names=["uid", "chunk", "is_last", "left_cut", "right_cut", "tokens"])
-
-    encoded = chunks.mapInArrow(encode_chunks, "uid long, chunk int, is_last boolean, left_cut long, right_cut long, tokens long")
-    ordered = F.sort_array(F.collect_list(F.struct("chunk", "is_last", "left_cut", "right_cut", "tokens")))
-    spliced = encoded.groupBy("uid").agg(ordered.alias("parts")).select(
-        F.col("uid").alias(uid),
-        F.expr(
-            "forall(parts, p -> p.tokens is not null) and forall(sequence(1, greatest(size(parts) - 1, 1)), "
-            "i -> i >= size(parts) or coalesce(parts[i - 1].right_cut = parts[i].left_cut, false))"
-        ).alias("aligned"),
-        F.expr("aggregate(parts, 0L, (s, p) -> s + coalesce(p.tokens, 0L))").alias("spliced_tokens"),
-    )
-    # the cut lists hold a few numbers for each chunk; only texts whose chunks did not align are encoded again
-    joined = huge.join(spliced, uid)
+            tokens = [_tokens_between(c, r["text"], r["left_cut"], r["right_cut"]) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64())], names=["uid", "tokens"])
 
     def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
@@ -146,7 +168,9 @@ def count_tokens(docs: DataFrame, model: str, chunk_chars: int = CHUNK_CHARS, ov
             tokens = [count_by_widening(c, t, chunk_chars, 2 * overlap_chars) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tokens, pa.int64())], names=["kept", "n_bytes", "n_tokens"])
 
-    aligned = joined.filter("aligned").select(F.col(kept).alias("kept"), F.col(names["n_bytes"]).alias("n_bytes"), F.col("spliced_tokens").alias("n_tokens"))
-    again = joined.filter("not aligned").select(kept, "text", names["n_bytes"]).mapInArrow(widen, done)
-    out = counted.unionByName(aligned).unionByName(again)
-    return out.select(*(F.col("kept")[c].alias(c) for c in keep), F.col("n_bytes").alias(names["n_bytes"]), F.col("n_tokens").alias(names["n_tokens"]), (F.col("n_tokens") > limit).alias(names["over_limit"]))
+    chunks = huge.select("uid", "text").mapInArrow(cut, "uid long, start long, left_cut long, right_cut long, text string").repartition("uid", "start")
+    encoded = chunks.mapInArrow(encode_chunks, "uid long, tokens long")
+    spliced = encoded.groupBy("uid").agg(F.sum("tokens").alias("n_tokens"), (F.count("tokens") == F.count(F.lit(1))).alias("aligned"))
+    joined = huge.join(spliced, "uid")
+    again = joined.filter("not aligned").select("kept", "text", "n_bytes").mapInArrow(widen, done)
+    return joined.filter("aligned").select("kept", "n_bytes", "n_tokens").unionByName(again)

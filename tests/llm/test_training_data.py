@@ -63,6 +63,14 @@ def test_tokens_equal_the_library(spark, docs):
     for chunk, overlap in ((32768, 512), (100, 8), (37, 3)):
         got = token_counts.count_tokens(rows, model_path(), chunk, overlap).collect()
         assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == wanted
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = Tokenizer.from_file(path)
+    other.encode_special_tokens = True
+    got = token_counts.count_tokens(rows, path, 100, 8).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((r.doc_id, len(other.encode(r.text or "", add_special_tokens=False).ids)) for r in rows.collect())
     enc = piece_codec.encode_documents(rows, model_path(), with_ids=True, with_spans=True).collect()
     for r in enc:
         ids = lib.encode(r.text or "", add_bos=True, add_eos=True)
@@ -74,6 +82,15 @@ def test_tokens_equal_the_library(spark, docs):
     assert {r.back for r in piece_codec.decode_ids(spark.createDataFrame([([1, 264, 2],)], "ids array<int>"), model_path(), to="back").collect()} == {lib.decode([1, 264, 2])}
 
 
+def test_chunks_overlap_at_every_cut():
+    text = "word " * 40 + "x" * 500 + " tail" * 30
+    chunks = token_counts.cut_chunks(text, 50, 4)
+    assert len(chunks) > 5 and chunks[-1][3] is None
+    for (a, b, _, right), (c, _, left, _) in zip(chunks, chunks[1:]):
+        assert a + right == c + left and c < a + right < b and text[a + right] == " " != text[a + right - 1]
+    assert token_counts.cut_chunks("y" * 999, 50, 4) == [(0, 999, 0, None)]
+
+
 def test_character_map_projects_to_source_bytes():
     # a hand-made double array with one entry: "ﬁ" (EF AC 81) -> "fi"
     key, units = "ﬁ".encode(), np.zeros(1024, np.uint32)
