@@ -3,7 +3,9 @@
 Normalisation follows the compiled character map of the model: at each place the
 longest prefix that the map knows is replaced, and every normalised byte keeps
 the original byte it came from, so that each piece projects to a byte span of
-the source.  A space becomes the model's space mark.
+the source.  A space becomes the model's space mark.  With a model that has a map the
+library only sees what the map made of a text; a model whose map is empty changes
+nothing but space marks.
 
 No piece of a vocabulary checked by ``splits_at_spaces`` holds a space mark
 behind another character.  A merge can then never cross the place where a space
@@ -125,12 +127,19 @@ class Codec:
         self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
         self.normaliser = Normaliser(proto.normalizer_spec)
         pieces = [p.piece for p in proto.pieces]
+        user_defined = any(p.type == model_pb2.ModelProto.SentencePiece.USER_DEFINED for p in proto.pieces)
+        #: Encodes text that is normalised already; None where the map is empty or pieces of the user's are matched before it.
+        self.plain = None
+        if not (self.normaliser.identity or user_defined or proto.trainer_spec.treat_whitespace_as_suffix):
+            proto.normalizer_spec.precompiled_charsmap, proto.normalizer_spec.normalization_rule_tsv = b"", ""
+            proto.normalizer_spec.add_dummy_prefix = proto.normalizer_spec.remove_extra_whitespaces = False
+            self.plain = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.bos, self.eos = self.lib.bos_id(), self.lib.eos_id()
         #: Ordinary pieces are all that a text can hold: nothing user defined that could reach over a boundary.
         self.splits_at_spaces = (
             self.normaliser.identity and self.normaliser.add_prefix
             and not any(re.search(f"[^{SPACE_MARK}]{SPACE_MARK}", p) for p in pieces)
-            and not any(p.type == model_pb2.ModelProto.SentencePiece.USER_DEFINED for p in proto.pieces)
+            and not user_defined
         )
         surface = [self._surface(p) for p in proto.pieces]
         self.width = np.array([len(x) for x in surface], np.int64)
@@ -169,7 +178,8 @@ class Codec:
         """(ids of all texts, first id of each text, text bytes) of a column of whole texts."""
         data, offsets = string_buffers(column)
         if not self.splits_at_spaces:
-            each = self.lib.encode([x or "" for x in column.to_pylist()], num_threads=1)
+            texts = [x or "" for x in column.to_pylist()]
+            each = self.lib.encode(texts, num_threads=1) if self.plain is None else self.plain.encode([self.normaliser(x)[0].decode() for x in texts], num_threads=1)
             return np.array([i for x in each for i in x], np.uint32), np.cumsum([0, *map(len, each)]), data
         start, end, first = self._segments(data, offsets)
         _, where, inverse = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
@@ -226,9 +236,11 @@ class Codec:
         normal, source = self.normaliser(text)
         ends = np.cumsum(self.width[ids])
         if len(ids) and (ends[-1] != len(normal) or (ids == self.lib.unk_id()).any()):
-            proto = self.lib.encode(text, return_type="proto")  # unknown pieces: their surface decides
-            at = np.cumsum([0] + [len(x) for x in map(str.encode, text)])
-            return at[[p.begin for p in proto.pieces]], at[[p.end for p in proto.pieces]]
+            seen = text if self.plain is None else normal.decode()  # unknown pieces: their surface decides
+            proto = (self.plain or self.lib).encode(seen, return_type="proto")
+            at = np.cumsum([0] + [len(x) for x in map(str.encode, seen)])
+            begin, end = at[[p.begin for p in proto.pieces]], at[[p.end for p in proto.pieces]]
+            return (begin, end) if self.plain is None else (source[begin], np.maximum(source[begin], source[end]))
         starts = source[ends - self.width[ids]]
         return starts, np.maximum(starts, source[ends])
 

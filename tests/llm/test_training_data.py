@@ -115,6 +115,36 @@ def test_character_map_projects_to_source_bytes():
     assert out == b" a fib" and source.tolist() == [0, 0, 1, 3, 3, 6, 7]
 
 
+def test_a_model_with_a_character_map(spark, docs, tmp_path):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model, rules = pb.ModelProto(), pb.ModelProto()
+    with open(model_path(), "rb") as f:
+        model.ParseFromString(f.read())
+    rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    model.normalizer_spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
+    rng = np.random.default_rng(3)
+    letters = list("ab é\u0301ﬁＨ①\t\n \u3000\u200b▁日本ーｶﾞ½ ﷺ x\u00ad")
+    odd = ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(300)] + ["ﬁ  Ｈello ①  x "]
+    rows = docs.limit(40).unionByName(spark.createDataFrame([(8000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    for squeeze, prefix in ((True, True), (False, True), (True, False)):
+        model.normalizer_spec.remove_extra_whitespaces, model.normalizer_spec.add_dummy_prefix = squeeze, prefix
+        path = tmp_path / f"{squeeze}{prefix}.model"
+        path.write_bytes(model.SerializeToString())
+        lib = sentencepiece.SentencePieceProcessor(model_file=str(path))
+        for r in piece_codec.encode_documents(rows, str(path), with_ids=True, with_spans=True).collect():
+            ids, data = lib.encode(r.text or "", add_bos=True, add_eos=True), (r.text or "").encode()
+            assert r.ids == ids and r.decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest(), r.text
+            edges = [x for s in r.spans for x in (s.start, s.end)]
+            assert edges == sorted(edges) and len(r.spans) == len(ids) - 2 and all(0 <= x <= len(data) for x in edges)
+            # spans lie on characters' borders, and what each one covers normalises to its piece
+            assert all(x == len(data) or data[x] & 0xC0 != 0x80 for x in edges)
+    spans = piece_codec.Codec(str(path))
+    starts, ends = spans.spans("ﬁ Ｈi", np.array(lib.encode("ﬁ Ｈi")))
+    assert starts[0] == 0 and ends[-1] == len("ﬁ Ｈi".encode())
+
+
 def test_nearest_neighbours(spark):
     v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding")
     odd = spark.createDataFrame([(10000, None), (10020, [0.0] * 64), (10040, [float("nan")] * 64), (10060, [None] * 64)], "vec_id long, embedding array<float>")
