@@ -1,18 +1,20 @@
 """Quality rules as a short-circuit cascade.
 
-Rules are plain measures with a limit.  Each rule's cost and rejection rate are
-estimated on a bounded sample; rules then run in the order of rejections per
-second, and a text that one rule rejects is not shown to the next.  The verdict
-does not depend on the order: a text is kept when no rule rejects it.
+Rules are plain measures with a limit.  Each rule's cost (the array elements that it
+visits) and its rejection rate are estimated on a bounded sample chosen by hashes of
+the rows; rules then run in the order of rejections by cost, and a text that one rule
+rejects is not shown to the next.  So the order, and the rule named for a rejected
+text, are the same in every run.  The verdict does not depend on the order: a text
+is kept when no rule rejects it.
 
 Defined results: a null text counts as empty; an empty text has no words and is
-rejected by ``few_words``; repeated rows are judged one by one; an empty table
-gives an empty table; other columns are passed through untouched.
+rejected by ``few_words``; repeated rows are judged one by one; rules that tie run in
+the order of their names; an empty table gives an empty table; other columns are
+passed through untouched.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -20,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from .common import column_name, text_sub_batches
 from .textarrays import Words, code_points, span_hashes, windows, words_of
@@ -28,6 +31,8 @@ from .textarrays import Words, code_points, span_hashes, windows, words_of
 SAMPLE_ROWS = 2000
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\v\f\r")] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _LETTER = _UPPER.copy()
@@ -35,9 +40,10 @@ _LETTER[97:123] = True
 
 
 def _per_text(words: Words, flags: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=sums[1:])
-    return np.diff(sums[words.offsets])
+    out, full = np.zeros(len(words), np.int64), np.diff(words.offsets) > 0
+    if full.any():  # texts follow each other, so each full one ends where the next begins
+        out[full] = np.add.reduceat(flags.view(np.uint8), words.offsets[:-1][full], dtype=np.int64)
+    return out
 
 
 def n_words(w: Words) -> np.ndarray:
@@ -46,8 +52,7 @@ def n_words(w: Words) -> np.ndarray:
 
 def word_chars(w: Words) -> np.ndarray:
     starts = code_points(w.data)
-    space = np.isin(w.data, np.frombuffer(b" \t\n\v\f\r", np.uint8))
-    return _per_text(w, starts & ~space)
+    return _per_text(w, starts & ~_BLANK[w.data])
 
 
 def n_symbols(w: Words) -> np.ndarray:
@@ -115,54 +120,48 @@ MEASURES: dict[str, Callable[[Words], np.ndarray]] = {f.__name__: f for f in (n_
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects the texts for which ``rejects(words)`` is true."""
+    """Rejects the texts for which ``rejects(words)`` is true; ``cost(words)`` is how many array elements that visits."""
 
     name: str
     rejects: Callable[[Words], np.ndarray]
+    cost: Callable[[Words], int]
 
 
 BASE_RULES = (
-    Rule("few_words", lambda w: n_words(w) < 50),
-    Rule("repeated_windows", lambda w: 100 * n_repeat_words(w) > 50 * n_words(w)),
+    Rule("few_words", lambda w: w.measured(n_words) < 50, len),
+    # three look-ups for each window, and a sort
+    Rule("repeated_windows", lambda w: 100 * w.measured(n_repeat_words) > 50 * w.measured(n_words), lambda w: len(w.hash) * (3 + int(np.log2(len(w.hash) + 2)))),
 )
 #: Limits are far from ordinary prose: a symbol for every fourth word, half the letters in capitals, half the lines repeated, words of 1 or of over 16 characters.
 MORE_RULES = (
-    Rule("symbols", lambda w: 4 * n_symbols(w) > n_words(w)),
-    Rule("capitals", lambda w: 2 * n_upper(w) > n_letters(w) + 1),
-    Rule("repeated_lines", lambda w: 2 * n_dup_lines(w) > n_lines(w)),
-    Rule("word_length", lambda w: (word_chars(w) < 2 * n_words(w)) | (word_chars(w) > 16 * n_words(w))),
+    Rule("symbols", lambda w: 4 * w.measured(n_symbols) > w.measured(n_words), lambda w: len(w.data)),
+    Rule("capitals", lambda w: 2 * w.measured(n_upper) > w.measured(n_letters) + 1, lambda w: 2 * len(w.data)),
+    Rule("repeated_lines", lambda w: 2 * w.measured(n_dup_lines) > w.measured(n_lines), lambda w: 4 * len(w.data)),
+    Rule("word_length", lambda w: (w.measured(word_chars) < 2 * w.measured(n_words)) | (w.measured(word_chars) > 16 * w.measured(n_words)), lambda w: 2 * len(w.data)),
 )
 RULES = BASE_RULES + MORE_RULES
 
 
-def _subset(batch: pa.RecordBatch, column: str, keep: np.ndarray) -> Words:
-    return words_of(batch.column(batch.schema.get_field_index(column)).take(pa.array(np.flatnonzero(keep))))
-
-
-def estimate_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[str]:
-    """Rule names by rejections per second on a sample of at most ``sample_rows`` texts, best first."""
+def estimate_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[str]:
+    """Rule names by rejections per cost on a sample of at most ``sample_rows`` texts, best first."""
     total = docs.count()
-    sample = docs.select("text").sample(min(1.0, 1.2 * sample_rows / max(total, 1)), seed).limit(sample_rows)
+    atomic = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (ArrayType, MapType, StructType))]
+    share = min(1.0, 0.8 * sample_rows / max(total, 1))
+    sample = docs.filter(F.pmod(F.xxhash64(*atomic), F.lit(1_000_000)) < int(share * 1_000_000)).select("text").limit(sample_rows)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spent, thrown, seen = np.zeros(len(rules)), np.zeros(len(rules), np.int64), 0
+        spent, thrown = np.zeros(len(rules), np.int64), np.zeros(len(rules), np.int64)
         for batch in batches:
             for part in text_sub_batches(batch):
                 words = words_of(part.column(0))
-                seen += len(words)
                 for k, rule in enumerate(rules):
-                    began = time.perf_counter()
                     thrown[k] += int(rule.rejects(words).sum())
-                    spent[k] += time.perf_counter() - began
-        yield pa.RecordBatch.from_pydict({"rule": [r.name for r in rules], "cost": spent, "rejected": thrown, "seen": np.full(len(rules), seen)})
+                    spent[k] += rule.cost(words)
+        yield pa.RecordBatch.from_pydict({"rule": [r.name for r in rules], "cost": spent, "rejected": thrown})
 
-    found = (
-        sample.mapInArrow(measure, "rule string, cost double, rejected long, seen long")
-        .groupBy("rule").agg(F.sum("cost").alias("cost"), F.sum("rejected").alias("rejected"), F.sum("seen").alias("seen"))
-        .collect()
-    )  # one row per rule
-    per = {r["rule"]: (r["rejected"] + 0.5) / (r["cost"] + 1e-6 * max(r["seen"], 1)) for r in found}
-    return sorted((r.name for r in rules), key=lambda n: -per.get(n, 0.0))
+    found = sample.mapInArrow(measure, "rule string, cost long, rejected long").groupBy("rule").agg(F.sum("cost").alias("cost"), F.sum("rejected").alias("rejected")).collect()  # one row per rule
+    per = {r["rule"]: (r["rejected"] + 0.5) / (r["cost"] + 1) for r in found}
+    return sorted((r.name for r in rules), key=lambda n: (-per.get(n, 0.0), n))
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[str] | None = None, measures: bool = False) -> DataFrame:
@@ -177,8 +176,8 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[str] | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_sub_batches(batch):
-                column = part.column(part.schema.get_field_index("text"))
-                whole = words = words_of(column)
+                whole = words = words_of(part.column(part.schema.get_field_index("text")))
+                made = [pa.array(whole.measured(f).astype(np.int64)) for _, f in extra]
                 left = np.arange(len(words))
                 failed = np.full(len(words), -1)
                 for k, rule in enumerate(ranked):
@@ -187,10 +186,9 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[str] | N
                     bad = rule.rejects(words)
                     failed[left[bad]] = k
                     if bad.any():
-                        left = left[~bad]
-                        words = words_of(column.take(pa.array(left)))
+                        left, words = left[~bad], words.take(~bad)
                 names = np.array([r.name for r in ranked] + [None], object)[failed]
-                columns = list(part.columns) + [pa.array(failed < 0), pa.array(names.tolist(), pa.string())] + [pa.array(f(whole).astype(np.int64)) for _, f in extra]
+                columns = list(part.columns) + [pa.array(failed < 0), pa.array(names.tolist(), pa.string())] + made
                 yield pa.RecordBatch.from_arrays(columns, names=list(part.schema.names) + [kept_col, rule_col] + [n for n, _ in extra])
 
     return docs.mapInArrow(run, out)

@@ -10,7 +10,8 @@ text.  Equality of words and of word windows is decided by these hashes.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,24 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    #: What has been measured of every text, by name.
+    memo: dict[str, np.ndarray] = field(default_factory=dict)
+
+    def measured(self, measure: Callable[[Words], np.ndarray]) -> np.ndarray:
+        """One number for each text, worked out once."""
+        if measure.__name__ not in self.memo:
+            self.memo[measure.__name__] = measure(self)
+        return self.memo[measure.__name__]
+
+    def take(self, keep: np.ndarray) -> Words:
+        """The texts that a mask keeps, without looking at their words again."""
+        size, count = np.diff(self.offsets), np.diff(self.first)
+        moved = np.repeat(np.cumsum(np.where(keep, 0, size)), count)
+        of_kept = np.repeat(keep, count)
+        ends = lambda n: np.concatenate([[0], np.cumsum(n[keep])])
+        return Words(
+            self.data[np.repeat(keep, size)], ends(size), (self.start - moved)[of_kept], (self.end - moved)[of_kept], self.hash[of_kept], ends(count), {k: v[keep] for k, v in self.memo.items()}
+        )
 
     def __len__(self) -> int:
         return len(self.offsets) - 1

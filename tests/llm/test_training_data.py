@@ -51,6 +51,7 @@ def test_quality_measures_and_verdict(spark, docs):
     out = quality_cascade.judge(docs, measures=True).collect()
     for r in out:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(r.text)
+    assert [(r.doc_id, r.failed_rule) for r in out] == [(r.doc_id, r.failed_rule) for r in quality_cascade.judge(docs).collect()]
     other = quality_cascade.judge(docs, order=[r.name for r in reversed(quality_cascade.RULES)]).collect()
     assert Counter((r.doc_id, r.kept) for r in out) == Counter((r.doc_id, r.kept) for r in other)  # the order changes no verdict
 
