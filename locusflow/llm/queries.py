@@ -90,7 +90,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   not (base_failed or 4 * n_symbols > n_words or 2 * n_upper > n_letters + 1 or 2 * n_dup_lines > n_lines or word_chars < 2 * n_words or word_chars > 16 * n_words) as kept
 from judged"""
 
-_SUFFIXES = ", ".join(f"'{s}'" for s in url_reputation.TWO_LABEL_SUFFIXES)
+_SUFFIXES = ", ".join(f"'{s}'" for s in url_reputation.SUFFIXES)
 
 
 def _url_rule(field: str) -> str:
@@ -112,10 +112,11 @@ parts as (
   select page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from split),
 labelled as (select doc_id as page_id, max((quality = 0 or toxic = 1)::int) as bad from labels where doc_id is not null group by 1),
-labels_of as (select array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') as two, * from parts left join labelled using (page_id)),
+named as (select *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '[.]+$', '') as name from parts),
+labels_of as (select array_to_string(list_slice(string_split(name, '.'), -2, -1), '.') as two, regexp_matches(name, '^[0-9]+([.][0-9]+){{3}}$') or starts_with(name, '[') as address, * from named left join labelled using (page_id)),
 hosts as (
-  select host, case when two in ({_SUFFIXES}) then array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') else two end as domain,
-    case when two in ({_SUFFIXES}) then two else string_split(host, '.')[-1] end as suffix, count(bad) as n, coalesce(sum(bad), 0)::double as bad
+  select host, case when address then name when two in ({_SUFFIXES}) then array_to_string(list_slice(string_split(name, '.'), -3, -1), '.') else two end as domain,
+    case when address then name when two in ({_SUFFIXES}) then two else string_split(name, '.')[-1] end as suffix, count(bad) as n, coalesce(sum(bad), 0)::double as bad
   from labels_of group by all),
 world as (select least(greatest(coalesce(sum(bad) / nullif(sum(n), 0), 0), 1e-6), 1 - 1e-6) as world from hosts),
 s as (select suffix, sum(n)::double as n, sum(bad) as bad, any_value(world) as world from hosts, world group by 1),

@@ -196,6 +196,21 @@ def test_url_rules_and_reputation(spark):
     assert r[8].verdict == "block" and r[9].verdict == "allow" and r[9].path == "/"
 
 
+def test_domains_and_odd_pages(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "u:p@x.example.com:8080": ("example.com", "com"), "www.example.org.": ("example.org", "org"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "[::1]:80": ("[::1]", "[::1]"), "com": ("com", "com"), "": ("", ""), "co.uk": ("co.uk", "co.uk")}
+    d = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", url_reputation.domain_of(F.col("h")).alias("d"), url_reputation.suffix_of(F.col("h")).alias("s"))
+    assert {r.h: (r.d, r.s) for r in d.collect()} == hosts
+    own = spark.createDataFrame([("a.b.c.d.e",)], "h string").select(url_reputation.domain_of(F.col("h"), ["c.d.e"]).alias("d")).first()
+    assert own.d == "b.c.d.e"
+    outcomes = spark.createDataFrame([(1, True)], "page_id long, bad boolean")
+    assert url_reputation.judge_urls(spark.createDataFrame([], "page_id long, url string"), outcomes).count() == 0
+    assert url_reputation.judge_urls(spark.createDataFrame([(1, "http://a.io/")], "page_id long, url string"), outcomes.limit(0)).first().verdict == "allow"
+    odd = spark.createDataFrame([(1, "http://a.io/x", "h", "v"), (1, "http://a.io/x", "h", "v"), (None, None, None, None)], "page_id long, url string, host string, verdict string")
+    out = url_reputation.judge_urls(odd, outcomes)
+    assert out.columns == ["page_id", "host", "verdict", "host_", "path", "rule", "verdict_", "bad_rate", "bad_rate_low"]
+    assert sorted(str(r.host_) for r in out.collect()) == ["", "a.io", "a.io"]
+
+
 def test_mixing_reaches_its_targets(spark):
     rows = [(i, "a" if i % 10 else "b") for i in range(20000)] + [(None, None)]
     d = spark.createDataFrame(rows, "doc_id long, source string")
@@ -588,3 +603,18 @@ def test_pipeline_stages_are_whole(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality_cascade.judge(docs).filter("kept").collect()}
     out = cp.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and [n for n, _ in cp.STAGES][0] == "quality rules"
+
+
+@pytest.mark.parametrize("name", ["op3_quality_cascade", "op6_url_reputation", "op7_source_mixing", "op9_jaccard_join"])
+def test_query_matches_sql(spark, name):
+    import duckdb
+
+    from locusflow.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "labels"):
+        con.sql(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    got, wanted = QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), con.sql(ORACLE_SQL[name]).df()
+    assert sorted(got.columns) == sorted(wanted.columns)
+    plain = lambda df: Counter(tuple(None if v is None or v != v else v for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
+    assert plain(got) == plain(wanted)
