@@ -21,13 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         held = spark.sparkContext.getCheckpointDir()
     return held
 
 
 class Scratch:
-    """Tables that cut lineage: written as Parquet to the shared folder and read again."""
+    """Tables that cut lineage: written as Parquet to the shared folder and read again; they go when the driver's JVM ends, or sooner by ``drop``."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.top = spark, f"{shared_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
@@ -38,6 +40,9 @@ class Scratch:
         path = f"{self.top}/{self._n}"
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        if self._n == 1:
+            top = self.spark._jvm.org.apache.hadoop.fs.Path(self.top)
+            top.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(top)
         again = self.spark.read.schema(df.schema).parquet(path)
         again._scratch_path = path
         return again

@@ -5,15 +5,19 @@ inverse of a Poisson distribution at that number says how often it is written;
 the mean is its source's target share over its present share.  Replicas are then
 shuffled globally by a hash of seed, id and replica.
 
-Defined results: null sources are one source of their own; a null doc_id hashes
-like an empty one; repeated rows get equal counts; texts play no part; an empty
-table gives an empty table; other columns pass through.
+The order is random across and within partitions: a row's partition and its place in
+it both come from that hash.
+
+Defined results: null sources are one source of their own; rows with a null doc_id
+are hashed by their other columns; repeated rows get equal counts; long texts play no
+other part; an empty table gives an empty table; other columns pass through.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from .common import Scratch, column_name, join_checked
 
@@ -59,7 +63,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, exponent: floa
     parts, below, match = (column_name(docs, n) for n in ("rate_parts", "rate_below", "rate_source"))
     table = rates(docs, weights, exponent).withColumn(parts, F.greatest(F.ceil(F.col("rate") / LARGEST_MEAN).cast("int"), F.lit(1)))
     table = scratch.save(table.select(F.col("source").alias(match), parts, _distribution(F.col("rate") / F.col(parts)).alias(below)))
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    plain = [docs[f.name] for f in docs.schema.fields if not isinstance(f.dataType, (ArrayType, MapType, StructType))]
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.xxhash64(*plain).cast("string")))
     numbers = F.transform(F.sequence(F.lit(0), F.col(parts) - 1), lambda j: uniform(F.lit(seed), name, j.cast("string")))
     # how often: the number of values whose cumulative probability is not over the uniform number
     times = F.aggregate(numbers, F.lit(0), lambda s, u: s + F.size(F.filter(F.col(below), lambda p: p <= u)))

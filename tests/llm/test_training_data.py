@@ -216,6 +216,11 @@ def test_mixing_reaches_its_targets(spark):
     d = spark.createDataFrame(rows, "doc_id long, source string")
     got = Counter(r.source for r in source_mixing.mix(d, {"a": 0.25, "b": 0.75}).select("source").collect())
     assert abs(got["a"] / 20001 - 0.25) < 0.02 and abs(got["b"] / 20001 - 0.75) < 0.03  # a rate of 7.5 for b
+    bare = spark.createDataFrame([(None, "a" if i % 10 else "b", i) for i in range(20000)], "doc_id long, source string, place long")
+    got = Counter(r.source for r in source_mixing.mix(bare, {"a": 0.25, "b": 0.75}).select("source").collect())
+    assert abs(got["a"] / 20000 - 0.25) < 0.02 and abs(got["b"] / 20000 - 0.75) < 0.03
+    same = source_mixing.mix(spark.createDataFrame([(1, "a")] * 5 + [(2, "b")] * 5, "doc_id long, source string")).groupBy("doc_id").count().collect()
+    assert all(r["count"] % 5 == 0 for r in same)
     few = spark.createDataFrame([(i, "r" if i < 2 else "s") for i in range(3000)], "doc_id long, source string")
     assert abs(Counter(r.source for r in source_mixing.mix(few, {"r": 0.5, "s": 0.5}).collect())["r"] - 1500) < 200  # means over one part
 
