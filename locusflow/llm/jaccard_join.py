@@ -45,7 +45,7 @@ CELLS, CELLS_A_ROW = 1 << 20, 1 << 13
 #: Largest size whose subsets may be listed.
 MOST_SMALL = 16
 #: Members of one block of a neighbourhood.
-BLOCK = 1024
+BLOCK = 512
 #: A list whose cell counts more than this is split over tasks.
 HEAVY = 4096
 #: Texts with over 1 / MOST_OFTEN of all rows are joined apart.
@@ -199,12 +199,20 @@ def _spokes(postings: DataFrame, at: Threshold, scratch: Scratch) -> DataFrame:
     any before: pairs across the break cannot link.  The list of a subset key that
     no set of the smaller size is in has no spokes.
     """
-    light = postings.filter("kind <> 2").repartition("token").sortWithinPartitions("token", "size", "digest")
+    # postings are worked out once: those of heavy cells, whose lists may hold a large part of all rows, are dealt over tasks and pass through
+    salt = F.when(F.col("kind") == 2, F.pmod("digest", F.lit(4096))).otherwise(0)
+    dealt = postings.withColumn("salt", salt).repartition("token", "salt").sortWithinPartitions("token", "salt", "size", "digest").drop("salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_size, centre, role = None, 0, None, 0
         for batch in batches:
             token, digest, size, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            often = kind == 2
+            if often.any():
+                rows = batch.filter(pa.array(often))
+                none = pa.nulls(rows.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, rows.column(1), pa.nulls(rows.num_rows, pa.bool_()), rows.column(0), rows.column(2)], names=names)
+                token, digest, size, kind = (x[~often] for x in (token, digest, size, kind))
             size = size.astype(np.int64)
             if not len(token):
                 continue
@@ -220,14 +228,15 @@ def _spokes(postings: DataFrame, at: Threshold, scratch: Scratch) -> DataFrame:
             last, last_size, centre, role = token[-1], size[-1], middle[-1], first_kind[-1]
             apart = (middle != digest) & (first_kind != 3)
             pairs = np.unique(np.rec.fromarrays([middle[apart], digest[apart], kind[apart] != 1], names="a,b,exact"))
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.a), pa.array(pairs.b), pa.array(pairs.exact)], names=["centre", "member", "exact"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.a), pa.array(pairs.b), pa.array(pairs.exact), pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int32())], names=names)
 
-    spokes = light.mapInArrow(run, "centre long, member long, exact boolean")
-    # lists of heavy cells may hold a large part of all rows: each falls into one list for every two neighbouring classes of size, a partial minimum finds its centre, and a join gives it to the members
-    many = postings.filter("kind = 2").withColumn("class", F.explode(F.array(_size_class(F.col("size"), at), _size_class(F.col("size"), at) - 1)))
+    names = ["centre", "member", "exact", "token", "size"]
+    made = scratch.save(dealt.mapInArrow(run, "centre long, member long, exact boolean, token long, size int"))
+    # a heavy list falls into one list for every two neighbouring classes of size; a partial minimum finds its centre, and a join gives it to the members
+    many = made.filter("centre is null").select("token", F.col("member").alias("digest"), F.explode(F.array(_size_class(F.col("size"), at), _size_class(F.col("size"), at) - 1)).alias("class"))
     centres = many.groupBy("token", "class").agg(F.min("digest").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("token", "class", "centre")
     heavy = join_checked(many, scratch.save(centres), ["token", "class"], "inner", BROADCAST_ROWS).filter("centre <> digest").select("centre", F.col("digest").alias("member"), F.lit(False).alias("exact"))
-    return spokes.unionByName(heavy).groupBy("centre", "member").agg(F.max("exact").alias("exact"))
+    return made.filter("centre is not null").select("centre", "member", "exact").unionByName(heavy).groupBy("centre", "member").agg(F.max("exact").alias("exact"))
 
 
 def _size_class(size, at: Threshold):
@@ -357,22 +366,26 @@ def _linked(docs: DataFrame, k: int, at: Threshold, scratch: Scratch) -> DataFra
     cells = spark.sparkContext.broadcast(counts)
     sizes = {r["n"]: r["c"] for r in own.filter(f"n > 0 and n <= {at.most(at.most(MOST_SMALL)) + 1}").groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     small = boundary(sizes, at)
-    postings = scratch.save(_postings(docs, k, at, small, cells, HEAVY))
-    spokes = scratch.save(_spokes(postings, at, scratch))
-    scratch.drop(postings)
+    spokes = scratch.save(_spokes(_postings(docs, k, at, small, cells, HEAVY), at, scratch))
     exact = spokes.filter("exact").select(F.col("centre").alias("u"), F.col("member").alias("v"))
     open_ = spokes.filter("not exact").select("centre", "member")
-    wanted = open_.select(F.explode(F.array("centre", "member")).alias("digest")).distinct()
+    wanted = scratch.save(open_.select(F.explode(F.array("centre", "member")).alias("digest")).distinct())
     # copies are folded before anything is dealt by digest: one text may hold a third of all rows
     chosen = scratch.save(own.filter("digest is not null").groupBy("digest").agg(F.min("uid").alias("uid")).join(wanted, "digest", "left_semi"))
-    texts = docs.join(F.broadcast(chosen) if small_enough(chosen, BROADCAST_ROWS) else chosen, "uid").select(F.col("digest").alias("member"), "text")
+    chosen = chosen.withColumnRenamed("digest", "member")
+
+    def with_texts(rows: DataFrame) -> DataFrame:
+        """Rows with the text of their member; a text is only moved to where it is compared."""
+        placed = scratch.save(rows.join(chosen, "member"))
+        return docs.select("uid", "text").join(F.broadcast(placed) if small_enough(placed, BROADCAST_ROWS) else placed, "uid")
+
     # members against their centre first, large neighbourhoods in several tasks
     around = open_.groupBy("centre").agg(F.count(F.lit(1)).alias("size")).select("centre", F.ceil(F.col("size") / BLOCK).cast("int").alias("salts"))
     salted = join_checked(open_, scratch.save(around.filter("salts > 1")), "centre", "left", BROADCAST_ROWS)
     salted = salted.select("centre", F.pmod(F.xxhash64("member"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), "member", F.lit(1).alias("lead"))
     leads = salted.select("centre", "salt").distinct().select("centre", "salt", F.col("centre").alias("member"), F.lit(0).alias("lead"))
-    stars = scratch.save(_starred(salted.unionByName(leads).join(texts, "member").select("centre", "salt", "member", "lead", "text"), k, at))
-    found = _verified(_open_cells(stars, at, scratch).join(texts, "member").select("centre", "cell", "member", "side", "text"), k, at)
+    stars = scratch.save(_starred(with_texts(salted.unionByName(leads)).select("centre", "salt", "member", "lead", "text"), k, at))
+    found = _verified(with_texts(_open_cells(stars, at, scratch)).select("centre", "cell", "member", "side", "text"), k, at)
     edges = scratch.save(exact.unionByName(stars.filter("linked").select(F.col("centre").alias("u"), F.col("member").alias("v"))).unionByName(found).distinct())
     roots = connected_components(edges, scratch)
     classes = own.filter("digest is not null").groupBy("digest").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "uid")).alias("low"), F.count(F.lit(1)).alias("copies"))
