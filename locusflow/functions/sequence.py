@@ -112,10 +112,8 @@ def kmers(seq: Column | str, k: int, step: int = 1) -> Column:
 
 
 def chunks(seq: Column | str, length: int) -> Column:
-    """Neighbouring pieces of a fixed length, the last one shorter."""
-    seq = _col(seq)
-    starts = F.sequence(F.lit(0), F.greatest(F.length(seq) - 1, F.lit(0)), F.lit(length))
-    return F.when(F.length(seq) > 0, F.transform(starts, lambda i: F.substr(seq, i + 1, F.lit(length)))).otherwise(F.array().cast("array<string>"))
+    """Neighbouring pieces of a fixed length, the last one shorter; one pass of a pattern."""
+    return F.regexp_extract_all(_col(seq), F.lit(f"(?s)(.{{1,{length}}})"), F.lit(1))
 
 
 def overlapping_chunks(seq: Column | str, length: int, overlap: int) -> Column:
@@ -160,9 +158,21 @@ def match_places(seq: Column | str, motif: Column | str) -> Column:
     """Places of all matches of a motif that do not overlap, from the left."""
     seq, motif = _col(seq), _col(motif)
     gaps = F.transform(F.split(seq, F.concat(F.lit(r"\Q"), motif, F.lit(r"\E")), -1), lambda g: F.length(g))
-    # each gap ends where a match begins, but for the last
-    ends = F.transform(gaps, lambda g, i: F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda s, x: s + x) + i * F.length(motif))
-    return F.slice(ends, F.lit(1), F.size(ends) - 1)
+    stretch = 256  # lengths are summed by stretches, so that the work for n matches stays near n
+
+    def places(g: Column) -> Column:
+        width = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x + F.length(motif))
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(g) - 1) / stretch).cast("int")), lambda j: width(F.slice(g, j * stretch + 1, F.lit(stretch))))
+
+        def ends(s: Column) -> Column:
+            at = lambda i: (i / stretch).cast("int")
+            before = lambda i: F.when(i >= stretch, F.aggregate(F.slice(s, F.lit(1), at(i)), F.lit(0), lambda t, x: t + x)).otherwise(F.lit(0))
+            return F.transform(g, lambda x, i: before(i) + width(F.slice(g, at(i) * stretch + 1, i % stretch + 1)) - F.length(motif))
+
+        # each gap ends where a match begins, but for the last
+        return F.slice(let(sums, ends), F.lit(1), F.size(g) - 1)
+
+    return let(gaps, places)
 
 
 def motif_mask(seq: Column | str, motif: Column | str, mark: int = 1) -> Column:

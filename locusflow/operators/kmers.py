@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +19,39 @@ def domain(k: int) -> list[str]:
     return ["".join(p) for p in product(BASES, repeat=k)]
 
 
-def kmer_counts(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
-    """(key, kmer, n) of the k-mers that occur; those with other characters than A, C, G, T are left out."""
-    words = df.select(key, F.explode(kmers(seq, k)).alias("kmer"))
-    return words.filter(F.col("kmer").rlike("^[ACGT]+$")).groupBy(key, "kmer").agg(F.count(F.lit(1)).alias("n"))
+def kmer_counts(df: DataFrame, key: str, seq: str, k: int, unique_key: bool = False) -> DataFrame:
+    """(key, kmer, n) of the k-mers that occur; those with other characters than A, C, G, T are left out.
+
+    Each sequence is counted where it lies, as numbers to base 4; only counts are
+    shuffled, and nothing is where every key has one row (``unique_key``).
+    """
+    if k > 31:
+        raise ValueError("k-mers of over 31 bases do not fit 64 bits")
+    code = np.full(256, 4, np.int64)
+    code[list(BASES.encode())] = np.arange(4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = [(np.zeros(0, np.int64),) * 3]
+            for i in range(batch.num_rows):
+                text = batch.column(1)[i].as_py() or ""
+                digits = code[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+                if len(digits) < k:
+                    continue
+                n = len(digits) - k + 1
+                value, known = np.zeros(n, np.int64), np.ones(n, bool)
+                for j in range(k):
+                    value = value * 4 + digits[j : j + n]
+                    known &= digits[j : j + n] < 4
+                found, count = np.unique(value[known], return_counts=True)
+                every.append((np.full(len(found), i), found, count))
+            row, value, count = (np.concatenate(x) for x in zip(*every, strict=True))
+            letters = np.frombuffer(BASES.encode(), np.uint8)[(value[:, None] >> (2 * np.arange(k - 1, -1, -1))) & 3]
+            words = pa.Array.from_buffers(pa.string(), len(value), [None, pa.py_buffer((np.arange(len(value) + 1) * k).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(letters))])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), words, pa.array(count.astype(np.int64))], names=["key", "kmer", "n"])
+
+    counts = df.select(F.col(key).alias("key"), seq).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, kmer string, n long").withColumnRenamed("key", key)
+    return counts if unique_key else counts.groupBy(key, "kmer").agg(F.sum("n").alias("n"))
 
 
 def kmer_vector(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
@@ -127,6 +158,50 @@ def motif_hits(seqs: DataFrame, key: str, seq: str, motifs: DataFrame, target: s
     return words.join(motifs.select(target, motif).distinct(), motif).select(key, target, motif, "start", (F.col("start") + k).alias("end"))
 
 
+def hits_inside(hits: DataFrame, key: str, target: str, intervals: DataFrame) -> DataFrame:
+    """Hits (key, target, start, end) that lie fully inside an interval (key, target, start, end) of their target; each once."""
+    inside = hits.alias("h").join(intervals.select(key, target, F.col("start").alias("_a"), F.col("end").alias("_b")).alias("i"), [key, target])
+    return inside.filter((F.col("_a") <= F.col("start")) & (F.col("end") <= F.col("_b"))).select(*hits.columns).distinct()
+
+
+def repeat_runs(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
+    """(key, kmer, run): for every k-mer that occurs, the most times that it follows itself directly, in any frame."""
+    words = df.select(key, F.posexplode(kmers(seq, k)).alias("pos", "kmer")).filter(F.col("kmer").rlike("^[ACGT]+$"))
+    # places of one k-mer in one frame fall into islands where their distance is k
+    frame = Window.partitionBy(key, "kmer", F.col("pos") % k).orderBy("pos")
+    island = words.withColumn("island", F.floor(F.col("pos") / k) - F.row_number().over(frame)).groupBy(key, "kmer", (F.col("pos") % k).alias("frame"), "island").agg(F.count(F.lit(1)).alias("n"))
+    return island.groupBy(key, "kmer").agg(F.max("n").cast("int").alias("run"))
+
+
+def minimal_feature_table(df: DataFrame, key: str, seq: str) -> DataFrame:
+    """One row for each key: base shares, dinucleotide counts and shares, the longest run of each base and each dinucleotide (0 where it does not occur), and uniformity."""
+    runs = repeat_runs(df, key, seq, 1).unionByName(repeat_runs(df, key, seq, 2))
+    wide = runs.groupBy(key).agg(*(F.coalesce(F.max(F.when(F.col("kmer") == w, F.col("run"))), F.lit(0)).alias(f"run_{w}") for w in [*domain(1), *domain(2)]))
+    plain = df.select(key, *(c for c in minimal_features(seq)))
+    out = plain.join(wide, key, "left").drop("repeat_1", "repeat_2")
+    return out.fillna(0, [f"run_{w}" for w in [*domain(1), *domain(2)]])
+
+
+def depth_at(columns: DataFrame, variants: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Variants (keys, ref, alt) beside their alignment column (counts A, C, G, T and depth from ``column_counts``): how deep it is, and how often ref and alt are there."""
+    joined = variants.join(columns.select(*keys, *BASES, "depth"), list(keys), "left")
+    share = lambda allele: F.try_divide(by_value(allele, {b: F.col(b) for b in BASES}).cast("double"), F.col("depth").cast("double"))
+    return joined.withColumn("ref_share", share("ref")).withColumn("alt_share", share("alt")).drop(*BASES)
+
+
+def by_value(name: str, columns: dict[str, Column]) -> Column:
+    """The column that a row's own value names (null where it names none)."""
+    out = F.lit(None)
+    for value, column in columns.items():
+        out = F.when(F.col(name) == value, column).otherwise(out)
+    return out
+
+
+def token_lengths(df: DataFrame, tokens: str, length: str, at: int) -> DataFrame:
+    """Most tokens of a row, and the mean length of the sequences that have exactly ``at`` tokens."""
+    return df.agg(F.max(F.size(tokens)).alias("most_tokens"), F.avg(F.when(F.size(tokens) == at, F.col(length))).alias("mean_length"))
+
+
 def token_base_probabilities(tokens: DataFrame, keys: Sequence[str], token: str, p: str, k: int) -> DataFrame:
     """Probabilities of whole tokens summed to those of each base at each offset."""
     each = tokens.select(*keys, p, F.explode(F.expr(f"sequence(0, {k - 1})")).alias("offset"), F.col(token).alias("_t"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import let
+
 #: Two-sided 95 % normal quantile, and Student t quantiles for 1 to 30 degrees of freedom (fixed values).
 Z95 = 1.959963984540054
 T95 = (12.7062, 4.3027, 3.1824, 2.7764, 2.5706, 2.4469, 2.3646, 2.3060, 2.2622, 2.2281, 2.2010, 2.1788, 2.1604, 2.1448, 2.1314, 2.1199, 2.1098, 2.1009, 2.0930, 2.0860, 2.0796, 2.0739, 2.0687, 2.0639, 2.0595, 2.0555, 2.0518, 2.0484, 2.0452, 2.0423)
@@ -54,19 +59,26 @@ def roc_auc(df: DataFrame, groups: Sequence[str], score: str, label: str, weight
     return out.withColumn("auc", F.try_divide(F.col("_w"), F.col("n_pos") * F.col("n_neg"))).drop("_w")
 
 
-def global_roc_auc(df: DataFrame, score: str, label: str, partitions: int = 200) -> DataFrame:
-    """AUC of all rows with no window over a single partition: distinct scores are range-partitioned, partitions' totals give each its offset.
+def ranged_roc_auc(df: DataFrame, groups: Sequence[str], score: str, label: str, partitions: int = 200, weight: Column | None = None) -> DataFrame:
+    """AUC of groups of any size, with no window over a whole group: distinct scores are range-partitioned, totals of partitions give each its offset.
 
     The counts are written to the checkpoint folder, so that both passes see one partitioning.
     """
-    counts = score_counts(df, [], score, label).repartitionByRange(partitions, "score").checkpoint().withColumn("part", F.spark_partition_id())
-    inside = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    totals = counts.groupBy("part").agg(F.sum("neg").alias("part_neg"))
-    # one row for each partition
-    offsets = totals.withColumn("before", F.coalesce(F.sum("part_neg").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("part_neg")
-    wins = counts.withColumn("own", F.coalesce(F.sum("neg").over(inside), F.lit(0.0))).join(F.broadcast(offsets), "part")
-    out = wins.agg(F.sum(F.col("pos") * (F.col("before") + F.col("own") + F.col("neg") / 2)).alias("w"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return out.select(F.try_divide(F.col("w"), F.col("n_pos") * F.col("n_neg")).alias("auc"), "n_pos", "n_neg")
+    counts = score_counts(df, groups, score, label, weight).repartitionByRange(partitions, *groups, "score").checkpoint().withColumn("part", F.spark_partition_id())
+    inside = Window.partitionBy("part", *groups).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each partition and group in it: at most partitions + groups
+    totals = counts.groupBy("part", *groups).agg(F.sum("neg").alias("part_neg"))
+    sofar = Window.partitionBy(*groups).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("before", F.coalesce(F.sum("part_neg").over(sofar), F.lit(0.0))).drop("part_neg")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in groups]
+    wins = counts.withColumn("own", F.coalesce(F.sum("neg").over(inside), F.lit(0.0))).alias("a").join(offsets.alias("b"), [F.col("a.part") == F.col("b.part"), *same]).select("a.*", "b.before")
+    out = wins.groupBy(*groups).agg(F.sum(F.col("pos") * (F.col("before") + F.col("own") + F.col("neg") / 2)).alias("w"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    return out.select(*groups, F.try_divide(F.col("w"), F.col("n_pos") * F.col("n_neg")).alias("auc"), "n_pos", "n_neg")
+
+
+def global_roc_auc(df: DataFrame, score: str, label: str, partitions: int = 200) -> DataFrame:
+    """AUC of all rows."""
+    return ranged_roc_auc(df, [], score, label, partitions)
 
 
 def roc_curve(df: DataFrame, groups: Sequence[str], score: str, label: str) -> DataFrame:
@@ -126,28 +138,95 @@ def best_name(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Dat
     return df.select(*keys, F.get(F.filter(pairs, lambda p: p["v"] == best), F.lit(0))["name"].alias("best"))
 
 
-def poisson_weight(key: Column, replicate: Column, mean: Column | float = 1.0, most: int = 12) -> Column:
-    """A Poisson draw from the md5 of key and replicate: how often a row is in a bootstrap resample."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), replicate.cast("string"))), 1, 13), 16, 10).cast("long") / F.lit(4503599627370496.0)
-    mean = mean if isinstance(mean, Column) else F.lit(float(mean))
-    p, total, weight = F.exp(-mean), F.exp(-mean), F.lit(0.0)
-    for k in range(1, most + 1):
-        weight = weight + (u >= total).cast("double")
-        p = p * mean / k
-        total = total + p
-    return weight
+#: Largest mean of a Poisson draw.
+LARGEST_MEAN = 500.0
 
 
-def bootstrap_auc(df: DataFrame, groups: Sequence[str], key: str, score: str, label: str, replicates: int = 100, mean: Column | float = 1.0) -> DataFrame:
-    """AUC on the full data, and the half-width of the 95 % percentile interval over Poisson resamples.
+def poisson_weight(key: Column, replicate: Column, mean: Column | float = 1.0) -> Column:
+    """A Poisson draw from the md5 of key and replicate: how often a row is in a bootstrap resample.  The distribution is summed as far as the mean needs; a mean over ``LARGEST_MEAN`` is an error."""
+    u = _uniform(key, replicate)
+    return let(_poisson_steps(mean if isinstance(mean, Column) else F.lit(float(mean))), lambda below: F.size(F.filter(below, lambda p: p <= u)).cast("double"))
 
-    Each replicate needs only weighted counts of distinct scores, which are combined before the shuffle.
-    """
+
+def _uniform(key: Column, replicate: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), replicate.cast("string"))), 1, 13), 16, 10).cast("long") / F.lit(4503599627370496.0)
+
+
+def _poisson_steps(mean: Column) -> Column:
+    """P(X <= 0), P(X <= 1), ..., beyond what 52 bits can tell from 1."""
+    last = F.ceil(mean + 12 * F.sqrt(mean) + 24).cast("int")
+    checked = F.when(mean > LARGEST_MEAN, F.raise_error(F.lit(f"a mean over {LARGEST_MEAN}")).cast("int")).otherwise(last)
+
+    def step(s: Column, k: Column) -> Column:
+        p = s["p"] * mean / k
+        return F.struct(p.alias("p"), (s["sum"] + p).alias("sum"), F.concat(s["all"], F.array(s["sum"] + p)).alias("all"))
+
+    first = F.exp(-mean)
+    return F.aggregate(F.sequence(F.lit(1), checked), F.struct(first.alias("p"), first.alias("sum"), F.array(first).alias("all")), step, lambda s: s["all"])
+
+
+def bootstrap_metric(df: DataFrame, groups: Sequence[str], key: str, metric, replicates: int = 1000, mean: Column | float = 1.0) -> DataFrame:
+    """Any metric over Poisson resamples: ``metric(df, groups, weight)`` gives a table of the groups with ``value``; half_width of the 95 % percentile interval over replicates."""
     each = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    weighed = each.withColumn("_w", poisson_weight(F.col(key), F.col("replicate"), mean)).filter("_w > 0")
-    draws = roc_auc(weighed, [*groups, "replicate"], score, label, F.col("_w"))
-    spread = draws.groupBy(*groups).agg(F.percentile("auc", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg("auc").alias("replicate_mean"))
-    return roc_auc(df, groups, score, label).join(spread, list(groups)).withColumn("half_width", (F.col("q")[1] - F.col("q")[0]) / 2).drop("q")
+    draws = metric(each.withColumn("_w", poisson_weight(F.col(key), F.col("replicate"), mean)).filter("_w > 0"), [*groups, "replicate"], F.col("_w"))
+    return _spread(draws, groups, "value")
+
+
+def _spread(draws: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    spread = draws.groupBy(*groups).agg(F.percentile(value, F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg(value).alias("replicate_mean"))
+    return spread.withColumn("half_width", (F.col("q")[1] - F.col("q")[0]) / 2).drop("q")
+
+
+def bootstrap_auc(df: DataFrame, groups: Sequence[str], key: str, score: str, label: str, replicates: int = 1000, mean: Column | float = 1.0) -> DataFrame:
+    """AUC on the full data, and the half-width of the 95 % percentile interval over Poisson resamples (null labels and scores left out).
+
+    Rows carry their random numbers of all replicates and are range-partitioned by group and
+    score.  Each partition gives, for each group and replicate, the weights of both
+    classes and the wins inside it; what lies before a partition is added afterwards,
+    so that no row is repeated for a replicate.
+    """
+    ok = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull())
+    group = F.struct(*groups, F.lit(0).alias("_"))
+    numbers = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: _uniform(F.col(key), r))
+    below = _poisson_steps(mean if isinstance(mean, Column) else F.lit(float(mean)))
+    drawn = ok.select(group.alias("g"), F.col(score).cast("double").alias("score"), (F.col(label) == 1).alias("positive"), numbers.alias("numbers"), below.alias("below"))
+    ordered = drawn.repartitionByRange("g", "score").sortWithinPartitions("g", "score")
+    kind = drawn.schema["g"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, made = None, []
+
+        def close() -> None:
+            g, pos, neg, wins, tie_pos, tie_neg, _ = held
+            made.append((g, pos + tie_pos, neg + tie_neg, wins + tie_pos * (neg + tie_neg / 2)))
+
+        part = TaskContext.get().partitionId()
+        for batch in batches:
+            gs, scores, positive = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            numbers, below = batch.column(3).flatten().to_numpy().reshape(-1, replicates), batch.column(4)
+            for i, (g, x) in enumerate(zip(gs, scores, strict=True)):
+                if held is None or held[0] != g:
+                    if held is not None:
+                        close()
+                    held = [g, *(np.zeros(replicates) for _ in range(5)), x]
+                elif held[6] != x:  # a tie ends: its positives win over all negatives before it
+                    held[3] += held[4] * (held[2] + held[5] / 2)
+                    held[1] += held[4]
+                    held[2] += held[5]
+                    held[4], held[5], held[6] = np.zeros(replicates), np.zeros(replicates), x
+                held[4 if positive[i] else 5] += np.searchsorted(below[i].values.to_numpy(), numbers[i], "right")
+        if held is not None:
+            close()
+        for g, pos, neg, wins in made:
+            n = np.arange(1, replicates + 1, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([g] * replicates, batch.schema.field(0).type), pa.array([part] * replicates, pa.int32()), pa.array(n), pa.array(pos), pa.array(neg), pa.array(wins)], names=["g", "part", "replicate", "pos", "neg", "wins"])
+
+    parts = ordered.mapInArrow(run, f"g {kind}, part int, replicate int, pos double, neg double, wins double")
+    # one row for each partition, group and replicate
+    before = F.coalesce(F.sum("neg").over(Window.partitionBy("g", "replicate").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    whole = parts.withColumn("wins", F.col("wins") + F.col("pos") * before).groupBy("g", "replicate").agg(*(F.sum(c).alias(c) for c in ("pos", "neg", "wins")))
+    draws = whole.select(*(F.col("g")[c].alias(c) for c in groups), F.try_divide(F.col("wins"), F.col("pos") * F.col("neg")).alias("auc"))
+    return roc_auc(df, groups, score, label).join(_spread(draws, groups, "auc"), list(groups))
 
 
 def reference_weights(df: DataFrame, label: str, category: str, reference: DataFrame) -> DataFrame:
@@ -223,4 +302,5 @@ def flip_low(columns: Sequence[str], digits: int = 3) -> dict[str, Column]:
 
 
 def score_text(score: Column, error: Column) -> Column:
-    return F.format_string("%.3f±%.3f", score, error)
+    """Score and error in one cell; null when either is null."""
+    return F.when(score.isNotNull() & error.isNotNull(), F.format_string("%.3f±%.3f", score, error))

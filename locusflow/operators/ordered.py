@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -49,13 +50,30 @@ def mend_scale_break(df: DataFrame, keys: Sequence[str], order: str, value: str)
 
 
 def moving_average(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, beta: float = 0.98) -> DataFrame:
-    """Bias-corrected exponential moving average, as the fold over the ordered values up to each row."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    n = F.row_number().over(w)
-    # in closed form sum(x_i * beta^(t - i)) = beta^t * sum(x_i * beta^-i); the fold stays finite for long series
-    values = F.collect_list(F.col(value).cast("double")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    fold = F.aggregate(values, F.lit(0.0), lambda s, x: s * beta + x * (1 - beta))
-    return df.withColumn("ema", fold / (1 - F.pow(F.lit(beta), n)))
+    """Bias-corrected exponential moving average, as the fold over the ordered values up to each row (a null value adds nothing).
+
+    A key's rows are numbered and cut into stretches.  The fold is linear, so that the rows
+    of a stretch only need the fold of those before: decay by length, plus its own sum.
+    What is carried is a window over the stretches, one row each.
+    """
+    if not 0 < beta < 1:
+        raise ValueError("beta lies between 0 and 1")
+    numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    # beta^-i stays finite and exact enough within a stretch of rows
+    stretch = max(1, int(-8 / math.log10(beta)))
+    inside = numbered.withColumn("_at", (F.col("_n") - 1) % stretch).withColumn("_part", F.floor((F.col("_n") - 1) / stretch))
+    raised = F.coalesce(F.col(value).cast("double"), F.lit(0.0)) * (1 - beta) * F.pow(F.lit(beta), -F.col("_at"))
+    w = Window.partitionBy(*keys, "_part").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    own = inside.withColumn("_own", F.sum(raised).over(w) * F.pow(F.lit(beta), F.col("_at")))
+    # one row for each part: what it leaves at its end, and how far that has decayed
+    ends = own.groupBy(*keys, "_part").agg(F.max_by("_own", "_n").alias("_left"), F.count(F.lit(1)).alias("_rows"))
+    # a stretch has decayed to 1e-8 at the end of the next, so that three of them hold all that a double can tell
+    last = Window.partitionBy(*keys).orderBy("_part").rowsBetween(-3, -1)
+    parts = F.collect_list(F.struct(F.col("_left"), F.col("_rows"))).over(last)
+    carried = ends.withColumn("_carried", F.aggregate(parts, F.lit(0.0), lambda s, p: s * F.pow(F.lit(beta), p["_rows"]) + p["_left"])).select(*keys, "_part", "_carried")
+    out = own.join(carried, [*keys, "_part"])
+    fold = F.col("_own") + F.col("_carried") * F.pow(F.lit(beta), F.col("_at") + 1)
+    return out.withColumn("ema", fold / (1 - F.pow(F.lit(beta), F.col("_n")))).select(*df.columns, "ema")
 
 
 def interleaved_folds(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], folds: int) -> DataFrame:

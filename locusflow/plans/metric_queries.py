@@ -80,7 +80,7 @@ def odds_ratio_bands(spark: SparkSession, folder: str) -> DataFrame:
     return mt.odds_ratio(d, ["lang"], "quality", F.col("in_top"), F.col("in_bottom"))
 
 
-def _poisson_sql(key: str, replicate: str, most: int = 12) -> str:
+def _poisson_sql(key: str, replicate: str, most: int = 38) -> str:
     u = f"(('0x' || substr(md5({key} || ':' || {replicate}), 1, 13))::bigint / 4503599627370496.0)"
     return f"len(list_filter({_cumulated(most)}, lambda x: x <= {u}))"
 
@@ -96,13 +96,13 @@ def _cumulated(most: int) -> str:
 
 
 @query(
-    f"""with r as (select lang, quality, score, rep, {_poisson_sql('doc_id', 'rep')} as w from {L}, (select unnest(range(1, 21)) as rep)),
+    f"""with r as (select lang, quality, score, rep, {_poisson_sql('doc_id', 'rep')} as w from {L}, (select unnest(range(1, 1001)) as rep)),
 a as (select lang, rep, auc from {_auc('(select * from r where w > 0)', 'lang, rep', weight='w')}),
 q as (select lang, avg(auc) as replicate_mean, (quantile_cont(auc, 0.975) - quantile_cont(auc, 0.025)) / 2 as half_width from a group by 1)
 select lang, n_pos, n_neg, auc, replicate_mean, half_width from {_auc(L, 'lang')} join q using (lang)"""
 )
 def bootstrap_auc(spark: SparkSession, folder: str) -> DataFrame:
-    return mt.bootstrap_auc(labelled(spark, folder), ["lang"], "doc_id", "score", "quality", 20)
+    return mt.bootstrap_auc(labelled(spark, folder), ["lang"], "doc_id", "score", "quality", 1000)
 
 
 @query(
@@ -193,12 +193,12 @@ def mean_student_ci(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     """select event_type, count(*) as n, max(value) as most, avg(value) as mean, median(value) as middle, count(distinct user_id) as users, avg((value > 100)::int) as share_high,
-  quantile_cont(value, [0.1, 0.9]) as bands, count(*) / count(distinct user_id)::double as per_user from events group by 1"""
+  quantile_cont(value, 0.1) as band_low, quantile_cont(value, 0.9) as band_high, count(*) / count(distinct user_id)::double as per_user from events group by 1"""
 )
 def group_summary(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"), F.max("value").alias("most"), F.avg("value").alias("mean"), F.median("value").alias("middle"), F.countDistinct("user_id").alias("users"),
-        F.avg(F.when(F.col("value") > 100, 1).otherwise(0)).alias("share_high"), F.percentile("value", F.array(F.lit(0.1), F.lit(0.9))).alias("bands"), (F.count(F.lit(1)) / F.countDistinct("user_id")).alias("per_user"),
+        F.avg(F.when(F.col("value") > 100, 1).otherwise(0)).alias("share_high"), F.percentile("value", 0.1).alias("band_low"), F.percentile("value", 0.9).alias("band_high"), (F.count(F.lit(1)) / F.countDistinct("user_id")).alias("per_user"),
     )
 
 

@@ -42,7 +42,7 @@ def _kmers_sql(k: int) -> str:
 
 @query(f"select doc_id, kmer, count(*) as n from {_kmers_sql(3)} group by 1, 2")
 def kmer_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return km.kmer_counts(sequences(spark, folder), "doc_id", "seq", 3)
+    return km.kmer_counts(sequences(spark, folder), "doc_id", "seq", 3, unique_key=True)
 
 
 @query(
@@ -229,17 +229,17 @@ def href_extract(spark: SparkSession, folder: str) -> DataFrame:
     return links(table(spark, folder, "pages").select("page_id", "html"))
 
 
-_MOTIFS = "(select distinct 'M' || (item_id % 5) as target, kmer from (select item_id, substr(s, i, 6) as kmer from (select item_id, s, unnest(range(1, least(length(s) - 4, 9))) as i from (select item_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') as s from benchmark))) where length(kmer) = 6)"
+_MOTIFS = "(select distinct 'M' || (item_id % 5) as target, kmer from (select item_id, substr(s, i, 6) as kmer from (select item_id, s, unnest(range(1, length(s) - 4)) as i from (select item_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') as s from benchmark))) where length(kmer) = 6)"
 
 
 def _motifs(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "benchmark").select(F.concat(F.lit("M"), (F.col("item_id") % 5).cast("string")).alias("target"), sq.as_bases("text").alias("seq"))
-    return items.select("target", F.explode(F.slice(sq.kmers("seq", 6), 1, 8)).alias("motif")).distinct()
+    return items.select("target", F.explode(sq.kmers("seq", 6)).alias("motif")).distinct()
 
 
 @query(f"select doc_id, target, count(*) as hits, count(distinct kmer) as motifs, min(i) - 1 as first_start from (select doc_id, substr(seq, i, 6) as kmer, i from (select doc_id, seq, unnest(range(1, length(seq) - 4)) as i from {S})) join {_MOTIFS} using (kmer) group by 1, 2")
 def motif_hits(spark: SparkSession, folder: str) -> DataFrame:
-    hits = km.motif_hits(sequences(spark, folder), "doc_id", "seq", F.broadcast(_motifs(spark, folder)), "target", "motif", 6)
+    hits = km.motif_hits(sequences(spark, folder), "doc_id", "seq", _motifs(spark, folder), "target", "motif", 6)
     return hits.groupBy("doc_id", "target").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("motif").alias("motifs"), F.min("start").alias("first_start"))
 
 
