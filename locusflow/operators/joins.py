@@ -83,3 +83,20 @@ def mismatches(df: DataFrame, observed: str, declared: str) -> tuple[DataFrame,
     """(consistent rows, one-row count of the others)."""
     same = F.upper(observed).eqNullSafe(F.upper(declared))
     return df.filter(same), df.agg(F.count_if(~same).alias("mismatches"), F.count(F.lit(1)).alias("rows"))
+
+
+def variant_scores(variants: DataFrame, exact: DataFrame, by_position: DataFrame, position: Sequence[str] = ("contig", "pos"), alleles: Sequence[str] = ("ref", "alt")) -> DataFrame:
+    """Variants with the scores of exactly their alleles, and with those of their position; null where there are none."""
+    return variants.join(exact, [*position, *alleles], "left").join(by_position, list(position), "left")
+
+
+def rows_with_vectors(rows: DataFrame, vectors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that have a vector, one row of counts: rows, vectors, both)."""
+    both = rows.join(vectors, key)
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return both, n(rows, "n_rows").join(n(vectors, "n_vectors")).join(n(both, "n_both"))
+
+
+def shard_contents(shards: DataFrame, sequences: DataFrame, key: str, shard: str, order: str) -> DataFrame:
+    """Sequences beside the shard that lists them, in the shard's order; write with ``partitionBy(shard)``."""
+    return shards.select(shard, key, order).join(sequences, key).repartition(shard).sortWithinPartitions(shard, order)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rules import by_value
 from ..functions.sequence import kmers, let, longest_repeat, uniformity
 
 BASES = "ACGT"
@@ -189,14 +190,6 @@ def depth_at(columns: DataFrame, variants: DataFrame, keys: Sequence[str]) -> Da
     return joined.withColumn("ref_share", share("ref")).withColumn("alt_share", share("alt")).drop(*BASES)
 
 
-def by_value(name: str, columns: dict[str, Column]) -> Column:
-    """The column that a row's own value names (null where it names none)."""
-    out = F.lit(None)
-    for value, column in columns.items():
-        out = F.when(F.col(name) == value, column).otherwise(out)
-    return out
-
-
 def token_lengths(df: DataFrame, tokens: str, length: str, at: int) -> DataFrame:
     """Most tokens of a row, and the mean length of the sequences that have exactly ``at`` tokens."""
     return df.agg(F.max(F.size(tokens)).alias("most_tokens"), F.avg(F.when(F.size(tokens) == at, F.col(length))).alias("mean_length"))
