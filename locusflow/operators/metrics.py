@@ -145,15 +145,20 @@ LARGEST_MEAN = 500.0
 def poisson_weight(key: Column, replicate: Column, mean: Column | float = 1.0) -> Column:
     """A Poisson draw from the md5 of key and replicate: how often a row is in a bootstrap resample.  The distribution is summed as far as the mean needs; a mean over ``LARGEST_MEAN`` is an error."""
     u = _uniform(key, replicate)
-    return let(_poisson_steps(mean if isinstance(mean, Column) else F.lit(float(mean))), lambda below: F.size(F.filter(below, lambda p: p <= u)).cast("double"))
+    return let(_poisson_steps(mean), lambda below: F.size(F.filter(below, lambda p: p <= u)).cast("double"))
 
 
 def _uniform(key: Column, replicate: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), replicate.cast("string"))), 1, 13), 16, 10).cast("long") / F.lit(4503599627370496.0)
 
 
-def _poisson_steps(mean: Column) -> Column:
-    """P(X <= 0), P(X <= 1), ..., beyond what 52 bits can tell from 1."""
+def _poisson_steps(mean: Column | float) -> Column:
+    """P(X <= 0), P(X <= 1), ..., beyond what 52 bits can tell from 1; literals where the mean is a number."""
+    if not isinstance(mean, Column):
+        if mean > LARGEST_MEAN:
+            raise ValueError(f"a mean over {LARGEST_MEAN}")
+        p = np.cumprod(np.concatenate([[np.exp(-mean)], mean / np.arange(1, int(mean + 12 * np.sqrt(mean) + 25))]))
+        return F.array(*map(F.lit, np.cumsum(p).tolist()))
     last = F.ceil(mean + 12 * F.sqrt(mean) + 24).cast("int")
     checked = F.when(mean > LARGEST_MEAN, F.raise_error(F.lit(f"a mean over {LARGEST_MEAN}")).cast("int")).otherwise(last)
 
@@ -188,7 +193,7 @@ def bootstrap_auc(df: DataFrame, groups: Sequence[str], key: str, score: str, la
     ok = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull())
     group = F.struct(*groups, F.lit(0).alias("_"))
     numbers = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: _uniform(F.col(key), r))
-    below = _poisson_steps(mean if isinstance(mean, Column) else F.lit(float(mean)))
+    below = _poisson_steps(mean)
     drawn = ok.select(group.alias("g"), F.col(score).cast("double").alias("score"), (F.col(label) == 1).alias("positive"), numbers.alias("numbers"), below.alias("below"))
     ordered = drawn.repartitionByRange("g", "score").sortWithinPartitions("g", "score")
     kind = drawn.schema["g"].dataType.simpleString()

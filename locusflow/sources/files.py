@@ -191,3 +191,29 @@ def write_shards(df: DataFrame, path: str, shard: str) -> None:
     df.repartition(shard).write.partitionBy(shard).parquet(path)
 
 
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """What ``write_config`` wrote: one row of parameters (null ones are left out)."""
+    return {k: v for k, v in spark.read.json(path).first().asDict(recursive=True).items() if v is not None}
+
+
+def rename_map(spark: SparkSession, path: str) -> DataFrame:
+    """(old, new) of a file with two names on a line, between white space."""
+    parts = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).filter(F.trim("value") != "").select(parts[0].alias("old"), F.get(parts, F.lit(1)).alias("new"))
+
+
+def renamed(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """Values of a column renamed by a table (old, new); those that it lacks stay."""
+    out = df.join(names.select(F.col("old").alias(column), F.col("new").alias("_new")), column, "left")
+    return out.select(*(F.coalesce("_new", c).alias(c) if c == column else F.col(c) for c in df.columns))
+
+
+def listed_files(spark: SparkSession, metadata: DataFrame, path: str, schema: str) -> DataFrame:
+    """The files that a metadata table lists (one path a row), one under the other, beside the row of the table; paths are few, rows are not."""
+    paths = [r[0] for r in metadata.select(path).distinct().limit(100_001).collect()]
+    if len(paths) > 100_000:
+        raise ValueError("more than 100,000 listed files")
+    rows = tsv(spark, paths, schema).withColumn("_file", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1))
+    return rows.join(metadata.withColumn("_file", F.regexp_extract(path, r"([^/]+)$", 1)), "_file").drop("_file")
