@@ -142,14 +142,15 @@ def masked_tokens(df: DataFrame, key: str, tokens: str, share: float = 0.15, see
     n = F.size(tokens)
     chosen = F.ceil(n * F.lit(share)).cast("int")
     scored = F.array_sort(F.transform(tokens, lambda t, i: F.struct(F.md5(F.concat_ws(":", F.col(key).cast("string"), i.cast("string"), F.lit(str(seed)))).alias("h"), i.alias("i"))))
-    order = F.transform(scored, lambda s: s["i"])
-    out = df.withColumn("_order", F.slice(order, F.lit(1), chosen))
-    rank = lambda i: F.array_position("_order", i)
-    masked, changed = F.floor(F.size("_order") * 0.8), F.floor(F.size("_order") * 0.9)
+    # the rank of every place, in order of the places: sorted twice instead of searched for each
+    ranks = F.transform(F.array_sort(F.transform(scored, lambda s, r: F.struct(s["i"].alias("i"), (r + 1).alias("r")))), lambda x: x["r"])
+    out = df.withColumn("_ranks", ranks)
+    rank = lambda i: F.get("_ranks", i)
+    masked, changed = F.floor(chosen * 0.8), F.floor(chosen * 0.9)
     other = lambda t, i: (t + 1 + F.pmod(F.hash(F.col(key), i, F.lit(seed)), F.lit(classes - 1))) % classes
-    new = F.transform(tokens, lambda t, i: F.when(rank(i) == 0, t).when(rank(i) <= masked, F.lit(mask)).when(rank(i) <= changed, other(t, i)).otherwise(t))
-    labels = F.transform(tokens, lambda t, i: F.when(rank(i) > 0, t).otherwise(F.lit(-100)))
-    return out.withColumn("masked", new).withColumn("labels", labels).drop("_order")
+    new = F.transform(tokens, lambda t, i: F.when(rank(i) > chosen, t).when(rank(i) <= masked, F.lit(mask)).when(rank(i) <= changed, other(t, i)).otherwise(t))
+    labels = F.transform(tokens, lambda t, i: F.when(rank(i) <= chosen, t).otherwise(F.lit(-100)))
+    return out.withColumn("masked", new).withColumn("labels", labels).drop("_ranks")
 
 
 def spread_mask(mask: Column | str, before: int = 3, behind: int = 2) -> Column:

@@ -56,10 +56,12 @@ def perceptron(label: str, layers: Sequence[int], features: str = "features") ->
 
 def out_of_fold(df: DataFrame, fold: str, folds: Sequence[int], estimator: Callable[[], Estimator], keep: Sequence[str], score: str = "prediction") -> DataFrame:
     """Every row's prediction by the model trained on all other folds; ``score``: prediction, or probability of class 1."""
-    df = df.persist()
+    held = df.persist()
+    models = [estimator().fit(held.filter(F.col(fold) != k)) for k in folds]
+    held.unpersist()
     parts = []
-    for k in folds:
-        test = estimator().fit(df.filter(F.col(fold) != k)).transform(df.filter(F.col(fold) == k))
+    for k, model in zip(folds, models, strict=True):
+        test = model.transform(df.filter(F.col(fold) == k))
         if score == "probability":
             from pyspark.ml.functions import vector_to_array
 
@@ -73,7 +75,9 @@ def out_of_fold(df: DataFrame, fold: str, folds: Sequence[int], estimator: Calla
 def bagged(df: DataFrame, group: str, rounds: int, estimator: Callable[[], Estimator], test: DataFrame, key: str) -> DataFrame:
     """Mean prediction of models each trained on a bag of groups."""
     bags = bag_groups(df, group, rounds).persist()
-    parts = [estimator().fit(bags.filter(F.col("round") == r)).transform(test).select(key, "prediction") for r in range(1, rounds + 1)]
+    models = [estimator().fit(bags.filter(F.col("round") == r)) for r in range(1, rounds + 1)]
+    bags.unpersist()
+    parts = [m.transform(test).select(key, "prediction") for m in models]
     return reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.avg("prediction").alias("prediction"))
 
 

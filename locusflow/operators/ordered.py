@@ -133,11 +133,14 @@ def within_tolerances(df: DataFrame, keys: Sequence[str], gap: str, tolerances:
 def cluster_by_anchor(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Clusters of intervals that overlap the cluster's first one, its anchor; ``anchor`` is that interval's name.
 
-    Sequential along the contig: each contig is one group, and only names and bounds travel.
+    A cluster never reaches over a place that no interval covers, so each such island is a group of its own.
     """
     import pandas as pd
 
-    shape = df.select(*keys, "name", "start", "end").withColumn("anchor", F.col("name"))
+    from .intervals import with_island
+
+    islands = with_island(df.select(*keys, "name", "start", "end"), keys)
+    shape = islands.withColumn("anchor", F.col("name"))
 
     def mark(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values(["start", "end", "name"])
@@ -148,4 +151,4 @@ def cluster_by_anchor(df: DataFrame, keys: Sequence[str]) -> DataFrame:
             anchors.append(anchor)
         return table.assign(anchor=anchors)
 
-    return shape.groupBy(*keys).applyInPandas(mark, shape.schema)
+    return shape.groupBy(*keys, "island").applyInPandas(mark, shape.schema).drop("island")

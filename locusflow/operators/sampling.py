@@ -30,11 +30,20 @@ def sample_at_most(df: DataFrame, key: str, n: int, seed: str | int = 0) -> Data
     return df.orderBy(hash_order(key, seed), key).limit(n)
 
 
+def _below(wanted: Column, size: Column) -> Column:
+    """A share of a group's hashes that is sure to hold the wanted number of smallest ones: ten deviations more than needed."""
+    return F.least((wanted + 10 * F.sqrt(wanted) + 50) / size, F.lit(1.0))
+
+
 def matched_sample(positives: DataFrame, negatives: DataFrame, match: Sequence[str], key: str, seed: str | int = 0) -> DataFrame:
-    """For each matching key as many negatives as there are positives (all, if fewer)."""
-    wanted = positives.groupBy(*match).agg(F.count(F.lit(1)).alias("_n"))
+    """For each matching key as many negatives as there are positives (all, if fewer).
+
+    Only rows whose hash is under their group's share are ranked, so that a group's rank is over about as many rows as it needs.
+    """
+    wanted = positives.groupBy(*match).agg(F.count(F.lit(1)).alias("_n")).join(negatives.groupBy(*match).agg(F.count(F.lit(1)).alias("_size")), list(match))
+    near = negatives.join(wanted.withColumn("_below", _below(F.col("_n"), F.col("_size"))), list(match)).filter(hash_fraction(key, seed) <= F.col("_below"))
     order = Window.partitionBy(*match).orderBy(hash_order(key, seed), key)
-    return negatives.join(wanted, list(match)).withColumn("_r", F.row_number().over(order)).filter("_r <= _n").drop("_r", "_n")
+    return near.withColumn("_r", F.row_number().over(order)).filter("_r <= _n").drop("_r", "_n", "_size", "_below")
 
 
 def upsample_to_balance(df: DataFrame, label: str, key: str, seed: str | int = 0) -> DataFrame:
@@ -48,10 +57,17 @@ def upsample_to_balance(df: DataFrame, label: str, key: str, seed: str | int = 0
 
 
 def pool_for_splits(splits: DataFrame, split: str, size: str, pool: DataFrame, key: str) -> DataFrame:
-    """A sample of one common pool for each split (``splits(split, size)``): the split is the seed, the same row may serve several."""
-    pairs = pool.crossJoin(F.broadcast(splits))
-    order = Window.partitionBy(split).orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col(split).cast("string"))), key)
-    return pairs.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= F.col(size)).drop("_r", size)
+    """A sample of one common pool for each split (``splits(split, size)``, few rows): the split is the seed, the same row may serve several.
+
+    A row meets the splits where it lies and stays only where its hash for the split is under the split's share.
+    """
+    n = pool.agg(F.count(F.lit(1)).alias("_pool"))
+    shares = splits.join(F.broadcast(n)).withColumn("_below", _below(F.col(size).cast("double"), F.greatest(F.col("_pool"), F.lit(1)))).drop("_pool")
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col(split).cast("string")))
+    fraction = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(4503599627370496.0)
+    near = pool.join(F.broadcast(shares), fraction <= F.col("_below"))
+    order = Window.partitionBy(split).orderBy(digest, key)
+    return near.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= F.col(size)).drop("_r", "_below", size)
 
 
 def bag_groups(df: DataFrame, group: str, rounds: int, seed: str | int = 0) -> DataFrame:
