@@ -7,6 +7,8 @@ alignment's rows, which are few; everything else is column work.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ def gap_blocks(rows: DataFrame, reference: str) -> DataFrame:
 
 
 def chain_fragments(rows: DataFrame, key: str, most_gap: int = 50) -> DataFrame:
-    """Rows (key, block, width, species, contig, start, size, strand, seq) of an alignment, in block order, as chains (key, species, chain, seq).
+    """Rows (key, block, width, species, contig, start, size, strand, seq) of an alignment, in block order, as chains (key, species, chain, seq, contig, start, end).
 
     A fragment goes on the chain of its species, contig and strand whose end is nearest before it, less than ``most_gap`` away; else it
     opens a chain that is padded with gaps on the left.  Chains without a fragment in a block get gaps of the block's width.
@@ -58,12 +60,12 @@ def chain_fragments(rows: DataFrame, key: str, most_gap: int = 50) -> DataFrame:
                 if i not in used:
                     c["seq"].append("-" * width)
             done += width
-        made = [(c["species"], n, "".join(c["seq"])) for n, c in enumerate(chains)]
-        out = pd.DataFrame(made, columns=["species", "chain", "seq"])
+        made = [(c["species"], n, "".join(c["seq"]), c["contig"], c["start"], c["end"]) for n, c in enumerate(chains)]
+        out = pd.DataFrame(made, columns=["species", "chain", "seq", "contig", "start", "end"])
         out.insert(0, key, table[key].iloc[0])
         return out
 
-    return rows.groupBy(key).applyInPandas(chain, f"{key} {rows.schema[key].dataType.simpleString()}, species string, chain long, seq string")
+    return rows.groupBy(key).applyInPandas(chain, f"{key} {rows.schema[key].dataType.simpleString()}, species string, chain long, seq string, contig string, start long, end long")
 
 
 def with_reference_distance(chains: DataFrame, key: str, reference: str) -> DataFrame:
@@ -74,23 +76,38 @@ def with_reference_distance(chains: DataFrame, key: str, reference: str) -> Data
 
 
 def net_chains(ranked: DataFrame, key: str) -> DataFrame:
-    """One row for each species: at every column the base of the best-ranked chain that has one there, else a gap."""
-    bases = ranked.select(key, "species", "rank", F.posexplode(F.split("seq", "")).alias("at", "base")).filter("base <> ''")
+    """One row for each species: at every column the base of the best-ranked chain that has one there, else a gap.
+
+    A chain that overlaps a better one of its contig is left out, so that no base of the genome is used twice.
+    """
+    bases = exclude_overlaps(ranked, [key, "species", "contig"], ["rank"]).select(key, "species", "rank", F.posexplode(F.split("seq", "")).alias("at", "base")).filter("base <> ''")
     best = bases.groupBy(key, "species", "at").agg(F.coalesce(F.min_by(F.when(F.col("base") != "-", F.col("base")), F.when(F.col("base") != "-", F.col("rank"))), F.lit("-")).alias("base"))
     return best.groupBy(key, "species").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("at", "base"))), lambda x: x["base"])).alias("seq"))
 
 
-def exclude_overlaps(alignments: DataFrame, key: str) -> DataFrame:
-    """Intervals (key, name, start, end, distance), nearest first; those that overlap one already kept are dropped."""
+def exclude_overlaps(intervals: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Intervals (start, end) of each key in an order of preference; those that overlap one already kept are dropped.
+
+    Only an interval's two neighbours among the kept ones can overlap it, so each costs one search.  Islands of
+    overlapping intervals are groups of their own.
+    """
+    from .intervals import with_island
+
+    shape = with_island(intervals, keys)
 
     def keep(table: pd.DataFrame) -> pd.DataFrame:
+        starts: list[int] = []
+        ends: list[int] = []
         kept: list[int] = []
-        for i, r in table.sort_values(["distance", "name"]).iterrows():
-            if all(r.end <= table.at[j, "start"] or table.at[j, "end"] <= r.start for j in kept):
+        for i, start, end in table.sort_values(order, kind="stable")[["start", "end"]].itertuples():
+            at = bisect_left(starts, start)
+            if (at == 0 or ends[at - 1] <= start) and (at == len(starts) or end <= starts[at]):
+                starts.insert(at, start)
+                ends.insert(at, end)
                 kept.append(i)
         return table.loc[kept]
 
-    return alignments.groupBy(key).applyInPandas(keep, alignments.schema)
+    return shape.groupBy(*keys, "island").applyInPandas(keep, shape.schema).drop("island")
 
 
 def pinned_first(df: DataFrame, is_first, *order) -> DataFrame:

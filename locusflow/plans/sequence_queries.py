@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, sequence as sq
@@ -116,12 +116,13 @@ def sequence_features(spark: SparkSession, folder: str) -> DataFrame:
     return s.select("doc_id", F.when(F.length("seq") > 0, sq.uniformity("seq")).otherwise(0).alias("uniformity"), ac.alias("count_ac"), F.when(F.length("seq") > 0, sq.longest_repeat("seq", 1)).otherwise(0).alias("longest"), F.try_divide((n - F.length(F.replace("seq", F.lit("G"), F.lit("")))), n).alias("share_g"))
 
 
-@query(f"""select a.doc_id, b.doc_id as other, len(list_filter(range(1, length(a.seq) + 1), lambda i: substr(a.seq, i, 1) <> substr(b.seq, i, 1))) as distance
-from {S} a join {S} b on a.source = b.source and length(a.seq) = length(b.seq) and a.doc_id < b.doc_id""")
+@query(f"""with p as (select doc_id, seq, lead(doc_id) over w as other, lead(seq) over w as other_seq from {S} window w as (partition by source, length(seq) order by doc_id))
+select doc_id, other, len(list_filter(range(1, length(seq) + 1), lambda i: substr(seq, i, 1) <> substr(other_seq, i, 1))) as distance from p where other is not null""")
 def hamming_same_length(spark: SparkSession, folder: str) -> DataFrame:
-    s = sequences(spark, folder).withColumn("length", F.length("seq")).select("doc_id", "source", "length", "seq")
-    o = s.select(F.col("doc_id").alias("other"), "source", "length", F.col("seq").alias("other_seq"))
-    return s.join(o, ["source", "length"]).filter("doc_id < other").select("doc_id", "other", sq.hamming("seq", "other_seq").alias("distance"))
+    """Distance to the next sequence of one source and length."""
+    w = Window.partitionBy("source", F.length("seq")).orderBy("doc_id")
+    s = sequences(spark, folder).withColumn("other", F.lead("doc_id").over(w)).withColumn("other_seq", F.lead("seq").over(w))
+    return s.filter("other is not null").select("doc_id", "other", sq.hamming("seq", "other_seq").alias("distance"))
 
 
 _CH = f"(select doc_id, length(seq) as n, seq, unnest(range(0, greatest(length(seq) - 16, 1), 112)) as s from {S})"

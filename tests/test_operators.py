@@ -101,6 +101,23 @@ def test_chaining_and_netting(spark):
     assert {(r.species, r.seq) for r in chains.collect()} == {("hg", "ACGT"), ("mm", "AGGT"), ("mm", "--G-")}
     net = alignment.net_chains(alignment.with_reference_distance(chains, "k", "hg"), "k")
     assert {(r.species, r.seq) for r in net.collect()} == {("hg", "ACGT"), ("mm", "AGGT")}
+    # the second-best chain of a contig fills gaps only where it does not overlap the best
+    own = [("x", "mm", 1, "A--T", "1", 0, 4), ("x", "mm", 2, "ACCT", "1", 2, 6), ("x", "mm", 3, "-G--", "1", 4, 8), ("x", "mm", 4, "TTTT", "2", 0, 4)]
+    ranked = spark.createDataFrame(own, "k string, species string, rank int, seq string, contig string, start long, end long")
+    assert [r.seq for r in alignment.net_chains(ranked, "k").collect()] == ["AGTT"]
+
+
+def test_overlaps_are_excluded_in_order(spark):
+    import random
+
+    random.seed(3)
+    rows = [("c", i, s, s + random.randint(1, 9)) for i, s in enumerate(random.randrange(60) for _ in range(40))]
+    kept = []
+    for _, i, a, b in rows:
+        if all(b <= x or y <= a for _, x, y in kept):
+            kept.append((i, a, b))
+    out = alignment.exclude_overlaps(spark.createDataFrame(rows, "k string, i int, start long, end long"), ["k"], ["i"])
+    assert sorted((r.i, r.start, r.end) for r in out.collect()) == sorted(kept)
 
 
 def test_gap_blocks(spark):
