@@ -610,6 +610,64 @@ def test_pipeline_stages_are_whole(spark):
     assert out.count() > 0 and [n for n, _ in cp.STAGES][0] == "quality rules"
 
 
+def test_pipeline_equals_brute_force(spark):
+    import math
+
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}x" for i in range(400)]
+    plain = [" ".join(rng.choice(vocabulary, 70)) for _ in range(30)]
+    texts = plain + [plain[0], plain[1] + " end", plain[2].replace(" ", "  ", 3), "WORDS " * 60, "too short", None, "", plain[3] + " mail a.b@c.org and 10.0.0.1 and +1 (555) 010-2030", "# * $ " * 40]
+    docs = spark.createDataFrame([(i if i != 20 else None, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = [tuple(r) for r in docs.collect()]
+
+    def good(t):
+        w = re.findall(WORD, t or "")
+        n, lines = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2)), [x for x in (t or "").split("\n") if re.search(WORD, x)]
+        covered = {i + j for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for j in range(3)}
+        letters, chars = re.findall("[A-Za-z]", t or ""), sum(map(len, w))
+        return not (len(w) < 50 or 2 * len(covered) > len(w) or 4 * len(re.findall(r"[#*$%&|<>]", t)) > len(w) or 2 * len(re.findall("[A-Z]", t)) > len(letters) + 1 or 2 * (len(lines) - len(set(lines))) > len(lines) or not 2 * len(w) <= chars <= 16 * len(w))
+
+    kept = [r for r in rows if good(r[1])]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (re.findall(WORD, r[1].lower()) for r in kept)]
+    one = []
+    for i in sorted(range(len(kept)), key=lambda i: (kept[i][0] is None, kept[i][0])):  # no chains here: a row goes if a smaller id links to it
+        if not any(100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in one):
+            one.append(i)
+    clean = []
+    for i in one:
+        text = kept[i][1]
+        for kind, p in (("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("IP", r"[0-9]+(\.[0-9]+){3}"), ("PHONE", r"\+[0-9][ ().0-9-]+[0-9]")):
+            text = re.sub(p, f"<{kind}>", text)
+        clean.append((kept[i][0], text, kept[i][2], kept[i][3], len(text)))
+    n = Counter(r[3] for r in clean)
+    goal = sum(math.sqrt(x) for x in n.values())
+    lib = piece_codec.codec(model_path()).lib
+    wanted = Counter()
+    for r in clean:
+        mean, key = math.sqrt(n[r[3]]) / goal * len(clean) / n[r[3]], r[0]
+        if key is None:
+            continue  # its number is a hash of its columns: only its presence is free
+        u = int(hashlib.md5(f"mix:{key}:0".encode()).hexdigest()[:13], 16) / 2**52
+        p = c = math.exp(-mean)
+        times = 0
+        while c <= u:
+            times += 1
+            p *= mean / times
+            c += p
+        ids = lib.encode(r[1], add_bos=True, add_eos=True)
+        wanted[(key, r[3], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())] += times
+    stages = dict(cp.STAGES)
+    out = docs
+    for name, f in stages.items():
+        before, out = out, f(spark, out, "").cache()
+        assert name == "SentencePiece" or out.columns == docs.columns
+        assert f(spark, docs.limit(0), "").count() == 0 and (name != "PII" or before.count() == out.count())
+    got = Counter((r.doc_id, r.source, r.n_tokens, r.ids_sha256) for r in out.collect() if r.doc_id is not None)
+    assert got == +wanted and len(got) > 10
+
+
 @pytest.mark.parametrize("name", ["op3_quality_cascade", "op6_url_reputation", "op7_source_mixing", "op9_jaccard_join"])
 def test_query_matches_sql(spark, name):
     import duckdb
