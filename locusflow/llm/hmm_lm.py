@@ -42,7 +42,7 @@ STATES, ROUNDS = 4, 4
 PIECE, AT_ONCE = 512, 300_000
 #: Text of one block, and listed words of one shard (of all blocks together).
 BLOCK_BYTES, SHARD_WORDS = 16_000_000, 2_000_000
-MOST_BUCKETS = 50_000
+BUCKET_BYTES, MOST_BUCKETS = 64_000_000, 50_000
 #: Training counts from which a word has emissions of its own.
 OWN_FROM = 2
 END = mix(np.array([0x656E64], np.uint64))[0]
@@ -319,10 +319,10 @@ _NAMES = [x.split()[0] for x in _ROWS.split(", ")]
 class _Buckets:
     """A table written in buckets of blocks, so that joins by block read it as it lies."""
 
-    def __init__(self, df: DataFrame, scratch: Scratch):
+    def __init__(self, df: DataFrame, size: int, scratch: Scratch):
         spark, name = df.sparkSession, f"hmm_blocks_{uuid.uuid4().hex}"
-        # as many as the input has partitions, so that a bucket's size does not follow the input
-        buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions()), MOST_BUCKETS)
+        # in proportion to the texts, so that a bucket's size does not follow the input
+        buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)), MOST_BUCKETS)
         df.write.format("parquet").option("compression", "zstd").option("path", f"{scratch.top}/{name}").bucketBy(buckets, "block").saveAsTable(name)
         self.table = spark.table(name)
 
@@ -451,7 +451,8 @@ def score_documents(docs: DataFrame, k: int = STATES, rounds: int = ROUNDS, fold
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs(doc_id, text)``."""
     scratch = scratch or Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("train", crc_remainder("doc_id", folds) != fold)
-    table = _Buckets(_text_blocks(docs), scratch).table
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    table = _Buckets(_text_blocks(docs), size, scratch).table
     listed = table.filter("words is not null").agg(F.coalesce(F.sum(F.length("seen")), F.lit(0)) / 4).first()[0]
     counts = scratch.save(_word_counts(table, max(1, int(-(-listed // SHARD_WORDS)))))
     corpus = Corpus(*counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_tokens", "n_words", "n_once"))).first())
