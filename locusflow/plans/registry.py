@@ -30,4 +30,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def with_checkpoints(spark: SparkSession) -> None:
     """Sees to a checkpoint folder: the cluster's shared one, or a local one where none is named."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
