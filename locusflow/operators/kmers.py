@@ -44,7 +44,12 @@ def kmer_counts(df: DataFrame, key: str, seq: str, k: int, unique_key: bool = Fa
                 for j in range(k):
                     value = value * 4 + digits[j : j + n]
                     known &= digits[j : j + n] < 4
-                found, count = np.unique(value[known], return_counts=True)
+                if k <= 8:  # a slot for every word
+                    slots = np.bincount(value[known], minlength=4**k)
+                    found = np.flatnonzero(slots)
+                    count = slots[found]
+                else:
+                    found, count = np.unique(value[known], return_counts=True)
                 every.append((np.full(len(found), i), found, count))
             row, value, count = (np.concatenate(x) for x in zip(*every, strict=True))
             letters = np.frombuffer(BASES.encode(), np.uint8)[(value[:, None] >> (2 * np.arange(k - 1, -1, -1))) & 3]

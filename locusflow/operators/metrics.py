@@ -192,11 +192,13 @@ def bootstrap_auc(df: DataFrame, groups: Sequence[str], key: str, score: str, la
     """
     ok = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull())
     group = F.struct(*groups, F.lit(0).alias("_"))
-    numbers = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: _uniform(F.col(key), r))
-    below = _poisson_steps(mean)
-    drawn = ok.select(group.alias("g"), F.col(score).cast("double").alias("score"), (F.col(label) == 1).alias("positive"), numbers.alias("numbers"), below.alias("below"))
-    ordered = drawn.repartitionByRange("g", "score").sortWithinPartitions("g", "score")
-    kind = drawn.schema["g"].dataType.simpleString()
+    plain = ok.select(group.alias("g"), F.col(score).cast("double").alias("score"), (F.col(label) == 1).alias("positive"), F.col(key).alias("key"), *([mean.alias("mean")] if isinstance(mean, Column) else []))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # random numbers are drawn behind the exchange, by all of its tasks
+    dealt = plain.repartitionByRange(partitions, "g", "score").sortWithinPartitions("g", "score")
+    numbers = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: _uniform(F.col("key"), r))
+    ordered = dealt.select("g", "score", "positive", numbers.alias("numbers"), _poisson_steps(F.col("mean") if isinstance(mean, Column) else mean).alias("below"))
+    kind = ordered.schema["g"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, made = None, []
