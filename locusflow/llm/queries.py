@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_mih, hmm_lm, jaccard_join, license_scan, piece_codec, pii_bootstrap, quality_cascade, source_mixing, token_counts, url_reputation
+from . import ann_mih, byte_bpe, conversation_repair, hmm_lm, jaccard_join, license_scan, piece_codec, pii_bootstrap, quality_cascade, source_mixing, token_alignment, token_counts, url_reputation
 
 
-def model_path() -> str:
+def model_path(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -62,13 +62,25 @@ def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_bootstrap.find_personal_data(_documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(_documents(spark, sf_dir, "doc_id", "text"), model_path("byte_bpe_50k.json"), model_path())
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_documents(_documents(spark, sf_dir, "doc_id", "text"), model_path("byte_bpe_multi_50k.tiktoken")).drop("text")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_multi_index_hashing, op3_quality_cascade, op4_token_counts, op5_sentencepiece, op6_url_reputation, op7_source_mixing, op8_hidden_markov_lm, op9_jaccard_join, op10_bootstrapped_pii, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_multi_index_hashing, op3_quality_cascade, op4_token_counts, op5_sentencepiece, op6_url_reputation, op7_source_mixing, op8_hidden_markov_lm, op9_jaccard_join, op10_bootstrapped_pii, op11_conversation_repair, op12_token_alignment, op13_byte_bpe, pipeline)}
 
 _W = r"[^\x20\x09-\x0D]+"
 _QUALITY = rf"""
