@@ -1,18 +1,21 @@
 """Operators on alignment blocks and per-species alignments.
 
-Two steps choose greedily in order and cannot be a set expression: chaining
-fragments and netting alignments.  They run as grouped functions over one
-alignment's rows, which are few; everything else is column work.
+Two steps choose greedily in order and cannot be a set expression: chaining fragments
+reads blocks as a sorted stream, netting alignments groups overlapping chains; everything
+else is column work.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import sorted_stream
+
 
 def gap_blocks(rows: DataFrame, reference: str) -> DataFrame:
     """Cuts every block where the reference row has gaps: one sub-block for each run of reference bases, with starts and sizes computed anew; rows without bases go."""
@@ -29,50 +32,76 @@ def gap_blocks(rows: DataFrame, reference: str) -> DataFrame:
 
 
 def chain_fragments(rows: DataFrame, key: str, most_gap: int = 50) -> DataFrame:
-    """Rows (key, block, width, species, contig, start, size, strand, seq) of an alignment, in block order, as chains (key, species, chain, seq, contig, start, end).
+    """Rows (key, block, row, width, species, contig, start, size, strand, seq) of alignments as chains (key, species, chain, seq, contig, strand, start, end).
+
+    In each block fragments go on chains of their species, contig and strand that end less
+    than ``most_gap`` before them: of all such pairs the smallest gap first (then the earlier
+    row, then the earlier chain).  A fragment left over opens a chain that is padded with
+    gaps on the left; chains without a fragment in a block get gaps of the block's width.
 
-    A fragment goes on the chain of its species, contig and strand whose end is nearest before it, less than ``most_gap`` away; else it
-    opens a chain that is padded with gaps on the left.  Chains without a fragment in a block get gaps of the block's width.
+    Blocks are read as a sorted stream: one block's rows and the ends of the alignment's
+    chains are all that is held.
     """
 
-    def chain(table: pd.DataFrame) -> pd.DataFrame:
-        chains: list[dict] = []
-        done = 0
-        for _, block in table.sort_values(["block", "row"]).groupby("block", sort=True):
-            width = int(block["width"].iloc[0])
-            used: set[int] = set()
-            for r in block.itertuples():
-                best = None
-                for i, c in enumerate(chains):
-                    if i in used or (c["species"], c["contig"], c["strand"]) != (r.species, r.contig, r.strand):
-                        continue
-                    gap = r.start - c["end"] if r.strand == "+" else c["start"] - (r.start + r.size)
-                    if 0 <= gap < most_gap and (best is None or gap < best[0]):
-                        best = gap, i
-                if best is None:
-                    chains.append({"species": r.species, "contig": r.contig, "strand": r.strand, "seq": ["-" * done], "start": r.start, "end": r.start})
-                    best = 0, len(chains) - 1
-                c = chains[best[1]]
-                used.add(best[1])
-                c["seq"].append(r.seq)
-                c["start"], c["end"] = (c["start"], r.start + r.size) if r.strand == "+" else (r.start, c["end"])
-            for i, c in enumerate(chains):
-                if i not in used:
-                    c["seq"].append("-" * width)
-            done += width
-        made = [(c["species"], n, "".join(c["seq"]), c["contig"], c["start"], c["end"]) for n, c in enumerate(chains)]
-        out = pd.DataFrame(made, columns=["species", "chain", "seq", "contig", "start", "end"])
-        out.insert(0, key, table[key].iloc[0])
-        return out
-
-    return rows.groupBy(key).applyInPandas(chain, f"{key} {rows.schema[key].dataType.simpleString()}, species string, chain long, seq string, contig string, start long, end long")
+    def assign(stream: Iterator[dict]) -> Iterator[dict]:
+        held: list[dict] = []
+        group, offset, made = None, 0, 0
+        chains: dict[tuple, list[list]] = {}
+
+        def close() -> Iterator[dict]:
+            nonlocal offset, made
+            lanes: dict[tuple, list[dict]] = {}
+            for r in held:
+                lanes.setdefault((r["species"], r["contig"], r["strand"]), []).append(r)
+            for lane, own in lanes.items():
+                known = chains.setdefault(lane, [])  # [chain, far end in the strand's direction]
+                reach = lambda r: r["start"] if lane[2] != "-" else -(r["start"] + r["size"])  # noqa: E731, B023
+                gaps = sorted((reach(r) - c[1], i, j) for i, r in enumerate(own) for j, c in enumerate(known) if 0 <= reach(r) - c[1] < most_gap)
+                used = set()
+                for _, i, j in gaps:
+                    if "chain" not in own[i] and j not in used:
+                        own[i]["chain"] = known[j][0]
+                        known[j][1] = reach(own[i]) + own[i]["size"]
+                        used.add(j)
+            for r in held:
+                if "chain" not in r:
+                    r["chain"] = made
+                    at = r["start"] if r["strand"] != "-" else -(r["start"] + r["size"])
+                    chains[(r["species"], r["contig"], r["strand"])].append([made, at + r["size"]])
+                    made += 1
+                yield r | {"offset": offset, "end": r["start"] + r["size"]}
+            offset += held[0]["width"]
+
+        for r in stream:
+            if held and (r["group"] != group or r["block"] != held[0]["block"]):
+                yield from close()
+                held = []
+            if r["group"] != group:
+                group, offset, made, chains = r["group"], 0, 0, {}
+            held.append(r)
+        if held:
+            yield from close()
+
+    kind = rows.schema[key].dataType.simpleString()
+    slim = rows.select(key, F.col("block").cast("long"), "row", F.col("width").cast("int"), "species", "contig", F.col("start").cast("long"), F.col("size").cast("long"), "strand", "seq")
+    placed = sorted_stream(slim, [key], ["block", "row"], assign, f"{key} {kind}, species string, chain long, contig string, strand string, start long, end long, offset long, width int, seq string")
+    whole = placed.groupBy(key).agg(F.max(F.col("offset") + F.col("width")).alias("_whole"))
+    parts = F.array_sort(F.collect_list(F.struct("offset", "width", "seq")))
+    chains = placed.groupBy(key, "species", "chain", "contig", "strand").agg(parts.alias("_p"), F.min("start").alias("start"), F.max("end").alias("end")).join(whole, key)
+    gaps = lambda n: F.repeat(F.lit("-"), n.cast("int"))
+    ends = lambda p: p["offset"] + p["width"]
+    filled = F.transform("_p", lambda p, i: F.concat(gaps(p["offset"] - F.when(i > 0, ends(F.get("_p", i - 1))).otherwise(0)), p["seq"]))
+    seq = F.concat(F.array_join(filled, ""), gaps(F.col("_whole") - ends(F.element_at("_p", -1))))
+    return chains.select(key, "species", "chain", seq.alias("seq"), "contig", "strand", "start", "end")
 
 
 def with_reference_distance(chains: DataFrame, key: str, reference: str) -> DataFrame:
-    """Chains with their distance to the reference row (columns that differ, ignoring case), and its rank within the species."""
+    """Chains with their distance to the reference row (columns that differ, ignoring case; an error where lengths differ), and its rank within the species."""
     ref = chains.filter((F.col("species") == reference) & (F.col("chain") == 0)).select(key, F.upper("seq").alias("_ref"))
-    differ = F.size(F.filter(F.zip_with(F.split(F.upper("seq"), ""), F.split("_ref", ""), lambda x, y: x != y), lambda d: d))
-    return chains.join(ref, key).withColumn("distance", differ).withColumn("rank", F.row_number().over(Window.partitionBy(key, "species").orderBy("distance", "chain"))).drop("_ref")
+    differ = F.when(F.length("seq") != F.length("_ref"), F.raise_error(F.lit("rows of different lengths")).cast("int")).otherwise(
+        F.size(F.filter(F.zip_with(F.split(F.upper("seq"), ""), F.split("_ref", ""), lambda x, y: x != y), lambda d: d))
+    )
+    return chains.join(ref, key).withColumn("distance", differ).withColumn("rank", F.row_number().over(Window.partitionBy(key, "species").orderBy("distance", "contig", "chain"))).drop("_ref")
 
 
 def net_chains(ranked: DataFrame, key: str) -> DataFrame:
@@ -115,6 +144,21 @@ def pinned_first(df: DataFrame, is_first, *order) -> DataFrame:
     return df.orderBy(F.when(is_first, 0).otherwise(1), *order)
 
 
+def frequencies_of_alignment(rows: DataFrame, key: str, reference: str, most_gap: int = 50) -> DataFrame:
+    """Alignment blocks to base counts and shares of each column: chained, ranked by distance to the reference, netted to one row a species, strangers as gaps, counted."""
+    from ..functions.sequence import gap_strangers
+    from .kmers import column_counts
+
+    ranked = with_reference_distance(chain_fragments(rows, key, most_gap), key, reference)
+    return column_counts(net_chains(ranked, key).withColumn("seq", gap_strangers("seq")), key, "seq")
+
+
+def stops_like_reference(rows: DataFrame, key: str, reference: str) -> DataFrame:
+    """Rows (key, species, seq, strand) of three bases with ``is_stop``, and ``like_reference``: equal, ignoring case, to the key's reference row."""
+    ref = rows.filter(F.col("species") == reference).select(key, F.upper("seq").alias("_ref"))
+    return rows.join(ref, key, "left").withColumn("is_stop", stop_codon(F.col("seq"), F.col("strand"))).withColumn("like_reference", F.coalesce(F.upper("seq") == F.col("_ref"), F.lit(False))).drop("_ref")
+
+
 def stop_codon(seq, strand) -> object:
     """Whether three bases are a stop codon as read on the strand."""
     up = F.upper(seq)

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import SPAN, numbered_islands, running
+
 
 def _bin(x: Column, size: int) -> Column:
     return F.floor(x / F.lit(size)).cast("long")
@@ -63,30 +65,31 @@ def containment_join(inner: DataFrame, outer: DataFrame, keys: Sequence[str] = (
     return overlap_join(inner, outer, keys, bin_size).filter("l_start >= r_start and l_end <= r_end")
 
 
-def last_start_containment(queries: DataFrame, regions: DataFrame, keys: Sequence[str] = ("contig",)) -> DataFrame:
+def last_start_containment(queries: DataFrame, regions: DataFrame, keys: Sequence[str] = ("contig",), span: int = SPAN) -> DataFrame:
     """Each query with the last region (by start, then name) that starts at or before it, if that region also reaches its end."""
     region = F.struct(*(F.col(c) for c in regions.columns if c not in keys))
     a = regions.select(*keys, F.col("start").alias("at"), F.lit(0).alias("side"), F.col("name").alias("tie"), region.alias("region"), F.lit(None).cast(queries.schema.simpleString()).alias("query"))
     b = queries.select(*keys, F.col("start").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("string").alias("tie"), F.lit(None).cast(a.schema["region"].dataType).alias("region"), F.struct(*queries.columns).alias("query"))
-    order = Window.partitionBy(*keys).orderBy("at", "side", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    found = a.unionByName(b).withColumn("region", F.last("region", ignorenulls=True).over(order)).filter("side = 1 and region.end >= query.end")
-    return found.select("query.*", *(F.col(f"region.{c}").alias(f"r_{c}") for c in regions.columns if c not in keys))
+    found = running(a.unionByName(b), keys, "at", ["at", "side", "tie"], {"last": ("last", F.col("region"))}, span=span).filter("side = 1 and last.end >= query.end")
+    return found.select("query.*", *(F.col(f"last.{c}").alias(f"r_{c}") for c in regions.columns if c not in keys))
+
 
+def merge_intervals(df: DataFrame, keys: Sequence[str] = ("contig",), min_gap: int = 0, span: int = SPAN) -> DataFrame:
+    """Overlapping intervals as one (touching ones too, unless ``min_gap`` is negative: then an overlap of that size is needed).
 
-def merge_intervals(df: DataFrame, keys: Sequence[str] = ("contig",), min_gap: int = 0) -> DataFrame:
-    """Overlapping intervals as one (touching ones too, unless ``min_gap`` is negative: then an overlap of that size is needed)."""
-    order = Window.partitionBy(*keys).orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(before.isNull() | (F.col("start") > before + min_gap), 1).otherwise(0)
-    marked = df.withColumn("opens", opens).withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("members")).drop("island")
+    Intervals of one start are one row before anything is ordered, so a bin has at most ``span`` rows (not so for a negative ``min_gap``).
+    """
+    plain = df.select(*keys, "start", "end")
+    if min_gap >= 0:
+        rows = plain.groupBy(*keys, "start").agg(F.max("end").alias("end"), F.count(F.lit(1)).alias("members"))
+    else:
+        rows = plain.withColumn("members", F.lit(1).cast("long"))
+    return numbered_islands(rows, keys, min_gap, span).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("members").alias("members")).drop("island")
 
 
-def with_island(df: DataFrame, keys: Sequence[str] = ("contig",), min_gap: int = -1) -> DataFrame:
+def with_island(df: DataFrame, keys: Sequence[str] = ("contig",), min_gap: int = -1, span: int = SPAN) -> DataFrame:
     """Every interval with the number of its cluster on the contig (positive overlap needed by default)."""
-    order = Window.partitionBy(*keys).orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("_o", F.when(before.isNull() | (F.col("start") > before + min_gap), 1).otherwise(0)).withColumn("island", F.sum("_o").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_o")
+    return numbered_islands(df, keys, min_gap, span)
 
 
 def subtract_intervals(regions: DataFrame, blockers: DataFrame, keys: Sequence[str] = ("contig",), bin_size: int = 4096) -> DataFrame:
@@ -112,31 +115,52 @@ def annotate(points: DataFrame, regions: DataFrame, keys: Sequence[str] = ("cont
     return points.join(names, id_column, "left").withColumn("regions", F.coalesce("regions", F.array().cast("array<string>")))
 
 
-def neighbour_counts(points: DataFrame, width: int, category: str, keys: Sequence[str] = ("contig",)) -> DataFrame:
-    """For each point and category, how many other points of the category lie less than ``width`` away (categories with none have no row).
+#: Categories that get a column each while neighbours are counted.
+MOST_CATEGORIES = 1000
 
-    A binned self-join: bins are as wide as the window, so a point meets its own and the two next bins.
-    """
-    p = points.withColumn("bin", _bin(F.col("pos"), width))
-    near = _prefixed(p.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1))), "o_", [*keys, "bin"])
-    pairs = p.join(near, [*keys, "bin"]).filter((F.abs(F.col("pos") - F.col("o_pos")) < width) & (F.col("point_id") != F.col("o_point_id")))
-    return pairs.groupBy("point_id", F.col(f"o_{category}").alias("near_category")).agg(F.count(F.lit(1)).alias("neighbours"))
 
+def neighbour_counts(points: DataFrame, width: int, category: str, keys: Sequence[str] = ("contig",), span: int = SPAN) -> DataFrame:
+    """For each point and each category that its contig has, how many other points of the category lie less than ``width`` away (0 where none does).
 
-def flanking(queries: DataFrame, candidates: DataFrame, k: int, radius: int, keys: Sequence[str] = ("contig",)) -> DataFrame:
-    """Ids of the k nearest candidates on each side within a radius (same positions left out), nearest first, missing ones -1.
-
-    Queries and candidates are points; the pairs come from a binned join and are ranked within a query and side.
+    Differences of running counts at both ends of a point's surroundings: the work follows
+    the number of different places, not the pairs of neighbours.  Positions are whole numbers.
+    """
+    names = sorted(r[0] for r in points.select(category).filter(F.col(category).isNotNull()).distinct().limit(MOST_CATEGORIES + 1).collect())
+    if len(names) > MOST_CATEGORIES:
+        raise ValueError(f"more than {MOST_CATEGORIES} categories")
+    ns = [f"n{i}" for i in range(len(names))]
+    places = points.groupBy(*keys, "pos").agg(*(F.count_if(F.col(category) == c).alias(n) for c, n in zip(names, ns, strict=True)))
+    event = lambda at, side, sign, counts: F.struct(at.alias("at"), F.lit(side).alias("side"), F.lit(sign).alias("sign"), *(c.alias(n) for n, c in zip(ns, counts, strict=True)))
+    none = [F.lit(0).cast("long")] * len(ns)
+    pos = F.col("pos")
+    events = places.select(*keys, "pos", F.explode(F.array(event(pos, 0, 0, map(F.col, ns)), event(pos + (width - 1), 1, 1, none), event(pos - width, 1, -1, none))).alias("e")).select(*keys, "pos", "e.*")
+    counted = running(events, keys, "at", ["at", "side"], {f"s{i}": ("sum", F.col(n)) for i, n in enumerate(ns)}, span=span).filter("side = 1")
+    near = counted.groupBy(*keys, "pos").agg(*(F.sum(F.col("sign") * F.col(f"s{i}")).alias(f"near{i}") for i in range(len(ns))))
+    whole = places.groupBy(*keys).agg(*(F.sum(n).alias(f"all{i}") for i, n in enumerate(ns)))
+    found = points.select("point_id", *keys, "pos", category).join(near, [*keys, "pos"]).join(whole, list(keys))
+    each = F.array(*(F.when(F.col(f"all{i}") > 0, F.struct(F.lit(c).alias("near_category"), (F.col(f"near{i}") - F.when(F.col(category) == c, 1).otherwise(0)).alias("neighbours"))) for i, c in enumerate(names)))
+    return found.select("point_id", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("point_id", "x.*")
+
+
+def flanking(queries: DataFrame, candidates: DataFrame, k: int, radius: int, keys: Sequence[str] = ("contig",), span: int = SPAN) -> DataFrame:
+    """Ids of the k nearest candidates on each side within a radius (same positions left out), nearest first (the smaller id among equals), missing ones -1.
+
+    Candidates are numbered along the contig, a query gets the number of the last one before
+    it and looks up the k numbers next to it, so a dense place costs no pairs.
     """
-    q = queries.withColumn("bin", _bin(F.col("pos"), radius))
-    c = _prefixed(candidates.withColumn("bin", _bin(F.col("pos"), radius)).withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1))), "o_", [*keys, "bin"])
-    gap = F.col("o_pos") - F.col("pos")
-    pairs = q.join(c, [*keys, "bin"]).filter((gap != 0) & (F.abs(gap) <= radius)).withColumn("side", F.when(gap < 0, "left").otherwise("right")).withColumn("gap", F.abs(gap))
-    order = Window.partitionBy("point_id", "side").orderBy("gap", "o_point_id")
-    near = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    lists = near.groupBy("point_id").agg(*(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("rank", "o_point_id")))), lambda x: x["o_point_id"]).alias(s) for s in ("left", "right")))
+    def side(name: str, toward: int) -> DataFrame:
+        # on the left nearest first means from the end: equal positions are numbered with the smallest id last
+        place = F.col("pos") * -toward
+        c = candidates.select(*keys, place.alias("at"), F.lit(1).alias("query"), (-F.col("point_id")).alias("id"), "pos", F.col("point_id").alias("other"))
+        q = queries.select(*keys, place.alias("at"), F.lit(0).alias("query"), F.col("point_id").alias("id"), "pos", F.lit(None).cast("long").alias("other"))
+        ranked = running(c.unionByName(q), keys, "at", ["at", "query", "id"], {"rank": ("sum", F.col("query"))}, span=span)
+        wanted = ranked.filter("query = 0").select(*keys, F.col("id").alias("point_id"), F.col("pos").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("nth"), "rank").withColumn("rank", F.col("rank") - F.col("nth"))
+        hits = wanted.join(ranked.filter("query = 1").select(*keys, "rank", "pos", "other"), [*keys, "rank"]).filter(F.abs(F.col("pos") - F.col("own")) <= radius)
+        return hits.groupBy("point_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "other"))), lambda x: x["other"]).alias(name))
+
     full = lambda s: F.slice(F.concat(F.coalesce(s, F.array().cast("array<bigint>")), F.array_repeat(F.lit(-1).cast("long"), k)), 1, k)
-    return queries.join(lists, "point_id", "left").withColumn("left", full("left")).withColumn("right", full("right"))
+    out = queries.join(side("left", -1), "point_id", "left").join(side("right", 1), "point_id", "left")
+    return out.withColumn("left", full(F.col("left"))).withColumn("right", full(F.col("right")))
 
 
 def neighbourhood_median(centres: DataFrame, track: DataFrame, width: int, keys: Sequence[str] = ("contig",)) -> DataFrame:

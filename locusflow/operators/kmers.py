@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import by_value
 from ..functions.sequence import kmers, let, longest_repeat, uniformity
+from .scans import running
 
 BASES = "ACGT"
 
@@ -165,9 +166,14 @@ def motif_hits(seqs: DataFrame, key: str, seq: str, motifs: DataFrame, target: s
 
 
 def hits_inside(hits: DataFrame, key: str, target: str, intervals: DataFrame) -> DataFrame:
-    """Hits (key, target, start, end) that lie fully inside an interval (key, target, start, end) of their target; each once."""
-    inside = hits.alias("h").join(intervals.select(key, target, F.col("start").alias("_a"), F.col("end").alias("_b")).alias("i"), [key, target])
-    return inside.filter((F.col("_a") <= F.col("start")) & (F.col("end") <= F.col("_b"))).select(*hits.columns).distinct()
+    """Hits (key, target, start, end) that lie fully inside an interval (key, target, start, end) of their target; each once.
+
+    A hit lies inside one exactly where some interval that starts at or before it reaches its end: a running maximum, no pairs.
+    """
+    keys = [key, target]
+    spans = intervals.groupBy(*keys, "start").agg(F.max("end").alias("reach")).select(*keys, F.col("start").alias("at"), F.lit(0).alias("side"), "reach", F.lit(None).cast(hits.schema.simpleString()).alias("hit"))
+    rows = hits.distinct().select(*keys, F.col("start").alias("at"), F.lit(1).alias("side"), F.lit(None).cast(intervals.schema["end"].dataType).alias("reach"), F.struct(*hits.columns).alias("hit"))
+    return running(spans.unionByName(rows), keys, "at", ["at", "side"], {"far": ("max", F.col("reach"))}).filter("side = 1 and far >= hit.end").select("hit.*")
 
 
 def repeat_runs(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:

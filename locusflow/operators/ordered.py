@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import sorted_stream
+
 
 def change_since(df: DataFrame, keys: Sequence[str], order: str, value: str, back: int) -> DataFrame:
     """Relative change against the value ``back`` rows before; null where there is none or it is 0."""
@@ -103,27 +105,6 @@ def stitch_chunks(df: DataFrame, key: str, order: str, values: str, shift: str)
     return parts.groupBy(key).agg(F.flatten(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["v"])).alias(values))
 
 
-def best_matches(df: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
-    """One-to-one matches of ``places`` (own) with ``others``, nearest first, from ``df(keys, place, other)``; pairs further apart than ``most`` are no candidates.
-
-    The greedy choice is sequential within a key, so a key's pairs are one small group.
-    """
-    import pandas as pd
-
-    near = df.withColumn("gap", F.abs(F.col("place") - F.col("other"))).filter(F.col("gap") <= most)
-
-    def choose(table: pd.DataFrame) -> pd.DataFrame:
-        used_a, used_b, kept = set(), set(), []
-        for i, row in table.sort_values(["gap", "place", "other"]).iterrows():
-            if row.place not in used_a and row.other not in used_b:
-                used_a.add(row.place)
-                used_b.add(row.other)
-                kept.append(i)
-        return table.loc[kept]
-
-    return near.groupBy(*keys).applyInPandas(choose, near.schema)
-
-
 def within_tolerances(df: DataFrame, keys: Sequence[str], gap: str, tolerances: Sequence[int]) -> DataFrame:
     """How many matches lie within each tolerance, and the mobility (n_R - n_0) / (n_R + 1)."""
     out = df.groupBy(*keys).agg(*(F.count_if(F.col(gap) <= r).alias(f"within_{r}") for r in (0, *tolerances)))
@@ -133,22 +114,20 @@ def within_tolerances(df: DataFrame, keys: Sequence[str], gap: str, tolerances:
 def cluster_by_anchor(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Clusters of intervals that overlap the cluster's first one, its anchor; ``anchor`` is that interval's name.
 
-    A cluster never reaches over a place that no interval covers, so each such island is a group of its own.
+    A cluster never reaches over a place that no interval covers, so each such island is a group of its own; its
+    intervals are read in order, with the anchor as all that is kept.
     """
-    import pandas as pd
-
     from .intervals import with_island
 
     islands = with_island(df.select(*keys, "name", "start", "end"), keys)
-    shape = islands.withColumn("anchor", F.col("name"))
-
-    def mark(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(["start", "end", "name"])
-        anchors, end, anchor = [], None, None
-        for row in table.itertuples():
-            if end is None or row.start >= end:
-                end, anchor = row.end, row.name
-            anchors.append(anchor)
-        return table.assign(anchor=anchors)
-
-    return shape.groupBy(*keys, "island").applyInPandas(mark, shape.schema).drop("island")
+
+    def mark(rows: Iterator[dict]) -> Iterator[dict]:
+        group, end, anchor = None, None, None
+        for row in rows:
+            if row["group"] != group or row["start"] >= end:
+                group, end, anchor = row["group"], row["end"], row["name"]
+            yield row | {"anchor": anchor}
+
+    kinds = dict(islands.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "name", "start", "end")) + f", anchor {kinds['name']}"
+    return sorted_stream(islands, [*keys, "island"], ["start", "end", "name"], mark, schema)

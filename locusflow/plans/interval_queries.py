@@ -90,21 +90,21 @@ def restricted_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _N = sql_points()
+#: Zeros count: every point meets every category that its contig has.
+_NEAR = f"""select a.point_id, a.event_type, c.event_type as near_category, count(b.point_id) as neighbours from {_N} a join (select distinct contig, event_type from {_N}) c using (contig)
+  left join {_N} b on b.contig = a.contig and b.event_type = c.event_type and abs(a.pos - b.pos) < 7200 and a.point_id <> b.point_id group by all"""
 
 
-@query(f"select a.point_id, b.event_type as near_category, count(*) as neighbours from {_N} a join {_N} b on a.contig = b.contig and abs(a.pos - b.pos) < 7200 and a.point_id <> b.point_id group by 1, 2")
+@query(f"select point_id, near_category, neighbours from ({_NEAR})")
 def neighbor_counts(spark: SparkSession, folder: str) -> DataFrame:
     return iv.neighbour_counts(points(spark, folder), 2 * HOUR, "event_type")
 
 
-@query(
-    f"""with n as (select a.point_id, a.event_type, b.event_type as near, count(*) as c from {_N} a join {_N} b on a.contig = b.contig and abs(a.pos - b.pos) < 7200 and a.point_id <> b.point_id group by 1, 2, 3)
-select event_type, near as near_category, avg(c) as mean, stddev_samp(c) as deviation from n group by 1, 2"""
-)
+@query(f"select event_type, near_category, avg(neighbours) as mean, stddev_pop(neighbours) as deviation from ({_NEAR}) group by 1, 2")
 def neighbor_matrix(spark: SparkSession, folder: str) -> DataFrame:
     p = points(spark, folder)
     n = iv.neighbour_counts(p, 2 * HOUR, "event_type").join(p.select("point_id", "event_type"), "point_id")
-    return n.groupBy("event_type", "near_category").agg(F.avg("neighbours").alias("mean"), F.stddev_samp("neighbours").alias("deviation"))
+    return n.groupBy("event_type", "near_category").agg(F.avg("neighbours").alias("mean"), F.stddev_pop("neighbours").alias("deviation"))
 
 
 @query(

@@ -87,10 +87,6 @@ def test_samples_do_not_depend_on_partitions(spark):
     assert sorted(a) == sorted(b) and len(a) == 15
 
 
-def test_best_matches_are_one_to_one(spark):
-    df = spark.createDataFrame([("s", 1, 2), ("s", 1, 9), ("s", 3, 2), ("s", 8, 9)], "k string, place int, other int")
-    assert sorted((r.place, r.other) for r in ordered.best_matches(df, ["k"], 5).collect()) == [(1, 2), (8, 9)]
-
 
 def test_chaining_and_netting(spark):
     rows = spark.createDataFrame(
