@@ -53,10 +53,14 @@ def reversed_matrix(m: Column | str) -> Column:
     return F.transform(F.reverse(_col(m)), lambda row: F.reverse(row))
 
 
-def influence(ref: Column | str, alt: Column | str) -> Column:
-    """For each position the largest change of any base's log2 odds between two probability matrices."""
-    odds = lambda p: F.log2(p / (1 - p))
-    return F.zip_with(_col(ref), _col(alt), lambda r, a: F.array_max(F.zip_with(r, a, lambda x, y: F.abs(odds(x) - odds(y)))))
+#: Added to a probability before its logarithm is taken (fixed value).
+EPSILON = 1e-14
+
+
+def influence(ref: Column | str, alt: Column | str, epsilon: float = EPSILON) -> Column:
+    """For each position the largest change of any base's log2 odds between two probability matrices, whose rows are normalised first."""
+    odds = lambda p: F.log2(p + epsilon) - F.log2(1 - p + epsilon)
+    return F.zip_with(normalised_rows(ref), normalised_rows(alt), lambda r, a: F.array_max(F.zip_with(r, a, lambda x, y: F.abs(odds(x) - odds(y)))))
 
 
 def mean_without(a: Column | str, centre: Column | int) -> Column:
@@ -70,22 +74,31 @@ def mean_around(a: Column | str, centre: Column | str | int, radius: Column | in
     return mean(F.filter(_col(a), lambda x, i: (i >= c - r) & (i < c + r) & (i != c)))
 
 
-def log_scores(p_ref: Column | str, p_alt: Column | str, epsilon: float = 1e-10) -> tuple[Column, Column, Column]:
+def log_scores(p_ref: Column | str, p_alt: Column | str, epsilon: float = EPSILON) -> tuple[Column, Column, Column]:
     """(log p_ref, -log p_alt, their sum)."""
     a, b = F.log(_col(p_ref) + epsilon), -F.log(_col(p_alt) + epsilon)
     return a, b, a + b
 
 
-def motif_scores(probs: Column | str, seq: Column | str, start: Column | str, k: int, how: str = "mean", epsilon: float = 1e-10) -> tuple[Column, Column, Column]:
-    """(reference, alternative, ratio) scores of a motif: the mean or maximum over its k positions of the reference base's log
-    probability, of minus the log of the least other base, and of their sum."""
-    rows, letters = F.slice(_col(probs), _col(start) + 1, F.lit(k)), F.split(F.substr(F.upper(_col(seq)), _col(start) + 1, F.lit(k)), "")
+def motif_scores(probs: Column | str, seq: Column | str, start: Column | str, k: int, how: str = "mean", epsilon: float = EPSILON) -> tuple[Column, Column, Column]:
+    """(reference, alternative, ratio) scores of a motif: the mean or maximum over its k positions of the reference base's
+    probability, of minus the log of the least other base's, and of the log ratio of both.
+
+    Rows are normalised over their first four values.
+    """
+    rows = F.transform(F.slice(_col(probs), _col(start) + 1, F.lit(k)), lambda row: normalised(F.slice(row, 1, 4)))
+    letters = F.split(F.substr(F.upper(_col(seq)), _col(start) + 1, F.lit(k)), "")
     at = lambda c: F.instr(F.lit("ACGT"), c) - 1
-    ref = F.zip_with(rows, letters, lambda row, c: F.log(F.get(row, at(c)) + epsilon))
-    alt = F.zip_with(rows, letters, lambda row, c: -F.log(F.array_min(F.filter(row, lambda x, i: i != at(c))) + epsilon))
-    both = F.zip_with(ref, alt, lambda x, y: x + y)
+    ref = F.zip_with(rows, letters, lambda row, c: F.get(row, at(c)))
+    least = F.zip_with(rows, letters, lambda row, c: F.array_min(F.filter(row, lambda x, i: i != at(c))))
+    both = F.zip_with(ref, least, lambda x, y: F.log(x + epsilon) - F.log(y + epsilon))
     fold = mean if how == "mean" else F.array_max
-    return fold(ref), fold(alt), fold(both)
+    return fold(ref), fold(F.transform(least, lambda y: -F.log(y + epsilon))), fold(both)
+
+
+def track_score(track: Column | str, start: Column | str, k: int) -> Column:
+    """A conservation track's score of a motif: the largest of its k values."""
+    return F.array_max(F.slice(_col(track), _col(start) + 1, F.lit(k)))
 
 
 def masked_mean(vectors: Column | str, mask: Column | str) -> Column:
@@ -112,8 +125,10 @@ def centre_window(a: Column | str, length: int) -> Column:
 
 
 def only_lower(a: Column | str, seq: Column | str) -> Column:
-    """Values at lower-case bases, null elsewhere."""
-    return F.zip_with(_col(a), F.split(_col(seq), ""), lambda x, c: F.when(c.rlike("[a-z]"), x))
+    """Values from the first to the last lower-case base; none where there is no such base."""
+    a, seq = _col(a), _col(seq)
+    first, last = F.regexp_instr(seq, F.lit("[a-z]")), F.length(F.regexp_extract(seq, "(?s)^(.*[a-z])", 1))
+    return F.slice(a, F.greatest(first, F.lit(1)), F.when(first > 0, last - first + 1).otherwise(0))
 
 
 def padded(a: Column | str, left: Column | int, right: Column | int) -> Column:
@@ -134,23 +149,28 @@ def rolling_masks(length: Column | str, stride: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(stride - 1)), lambda s: F.transform(places, lambda i: (i % stride == s).cast("int")))
 
 
-def masked_tokens(df: DataFrame, key: str, tokens: str, share: float = 0.15, seed: int = 0, mask: int = 4, classes: int = 4) -> DataFrame:
-    """Random masking with exact counts: of the ``ceil(share * n)`` places chosen by hash, 80 % become the mask, 10 % another class, 10 % stay; labels are -100 elsewhere.
+def masked_tokens(df: DataFrame, key: str, tokens: str, share: float = 0.15, seed: int = 0, mask: int = 4, classes: int = 4, frame: int = 0) -> DataFrame:
+    """Random masking with exact counts among the places inside a frame: of n places, taken in an order by hash, round(0.8 share n)
+    become the mask, the next round(0.1 share n), one at least, a random class, and the next round(0.1 share n) stay; labels are -100 elsewhere.
 
-    Ranks are taken inside each row's array, so nothing is shuffled.
+    Halves are rounded to even.  Nothing is masked where the frame leaves no place.  Ranks are taken inside each row's array, so nothing is shuffled.
     """
-    n = F.size(tokens)
-    chosen = F.ceil(n * F.lit(share)).cast("int")
-    scored = F.array_sort(F.transform(tokens, lambda t, i: F.struct(F.md5(F.concat_ws(":", F.col(key).cast("string"), i.cast("string"), F.lit(str(seed)))).alias("h"), i.alias("i"))))
+    n = F.size(tokens) - 2 * frame
+    part = lambda p: F.rint(F.lit(share * p) * n).cast("int")
+    masked = part(0.8)
+    changed = masked + F.greatest(part(0.1), F.lit(1))
+    chosen = changed + part(0.1)
+    digest = lambda i: F.md5(F.concat_ws(":", F.col(key).cast("string"), i.cast("string"), F.lit(str(seed))))
+    inside = lambda i: (i >= frame) & (i < frame + n)
+    scored = F.array_sort(F.transform(tokens, lambda t, i: F.struct((~inside(i)).alias("out"), digest(i).alias("h"), i.alias("i"))))
     # the rank of every place, in order of the places: sorted twice instead of searched for each
-    ranks = F.transform(F.array_sort(F.transform(scored, lambda s, r: F.struct(s["i"].alias("i"), (r + 1).alias("r")))), lambda x: x["r"])
-    out = df.withColumn("_ranks", ranks)
-    rank = lambda i: F.get("_ranks", i)
-    masked, changed = F.floor(chosen * 0.8), F.floor(chosen * 0.9)
-    other = lambda t, i: (t + 1 + F.pmod(F.hash(F.col(key), i, F.lit(seed)), F.lit(classes - 1))) % classes
-    new = F.transform(tokens, lambda t, i: F.when(rank(i) > chosen, t).when(rank(i) <= masked, F.lit(mask)).when(rank(i) <= changed, other(t, i)).otherwise(t))
-    labels = F.transform(tokens, lambda t, i: F.when(rank(i) <= chosen, t).otherwise(F.lit(-100)))
-    return out.withColumn("masked", new).withColumn("labels", labels).drop("_ranks")
+    ranks = F.transform(F.array_sort(F.transform(scored, lambda s, r: F.struct(s["i"].alias("i"), F.when(~s["out"], r + 1).otherwise(2_147_483_647).alias("r")))), lambda x: x["r"])
+    out = df.withColumns({"_ranks": ranks, "_cuts": F.array(masked, changed, chosen)})
+    rank, cut = (lambda i: F.get("_ranks", i)), (lambda k: F.get("_cuts", F.lit(k)))
+    other = lambda i: (F.conv(F.substring(digest(i), 14, 8), 16, 10).cast("long") % classes).cast("int")
+    new = F.transform(tokens, lambda t, i: F.when(rank(i) <= cut(0), F.lit(mask)).when(rank(i) <= cut(1), other(i)).otherwise(t))
+    labels = F.transform(tokens, lambda t, i: F.when(rank(i) <= cut(2), t).otherwise(F.lit(-100)))
+    return out.withColumn("masked", new).withColumn("labels", labels).drop("_ranks", "_cuts")
 
 
 def spread_mask(mask: Column | str, before: int = 3, behind: int = 2) -> Column:

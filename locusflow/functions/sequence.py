@@ -227,11 +227,17 @@ def pad_classes(classes: Column | str, length: int, centre: bool = False, fill:
 
 
 def variant_type(ref: Column | str, alt: Column | str) -> Column:
-    """SNP, DEL, INS or INDEL, by the lengths of the alleles."""
+    """SNP, DEL, INS or INDEL: the first three need an allele of one base on the shorter side."""
     a, b = F.length(_col(ref)), F.length(_col(alt))
     return F.when((a == 1) & (b == 1), "SNP").when((a > 1) & (b == 1), "DEL").when((a == 1) & (b > 1), "INS").otherwise("INDEL")
 
 
+def variant_type_by_change(ref: Column | str, alt: Column | str) -> Column:
+    """SNP where both alleles have one length, else DEL or INS by which is longer."""
+    a, b = F.length(_col(ref)), F.length(_col(alt))
+    return F.when(a == b, "SNP").when(a > b, "DEL").otherwise("INS")
+
+
 def same_length(ref: Column | str, alt: Column | str) -> Column:
     return F.length(_col(ref)) == F.length(_col(alt))
 
@@ -252,21 +258,23 @@ def format_value(form: Column | str, sample: Column | str, key: Column | str) ->
     return F.element_at(F.map_from_arrays(keys, F.slice(F.concat(values, F.array_repeat(F.lit(None).cast("string"), F.size(keys))), F.lit(1), F.size(keys))), _col(key))
 
 
-def allele_depth(form: Column | str, sample: Column | str, allele: Column | str) -> Column:
-    """Depth that a format such as ``AU:CU:GU:TU`` gives for an allele (first tier); -1 for alleles of several bases."""
-    allele = _col(allele)
-    depth = F.split(format_value(form, sample, F.concat(allele, F.lit("U"))), ",")[0].try_cast("int")
-    return F.when(F.length(allele) == 1, depth).otherwise(F.lit(-1))
+def allele_depths(form: Column | str, sample: Column | str, ref: Column | str, alt: Column | str) -> Column:
+    """(ref, alt) depths of a sample, first tiers: keys TAR and TIR where the format has them (indels), else the alleles' own keys such as ``AU``; -1 for both where an allele is a list."""
+    form, ref, alt = _col(form), _col(ref), _col(alt)
+    depth = lambda key: F.split(format_value(form, sample, key), ",")[0].try_cast("int")
+    indel, several = form.contains("TAR"), ref.contains(",") | alt.contains(",")
+    one = lambda key, allele: F.when(several, F.lit(-1)).otherwise(depth(F.when(indel, key).otherwise(F.concat(allele, F.lit("U")))))
+    return F.struct(one("TAR", ref).alias("ref"), one("TIR", alt).alias("alt"))
 
 
 def range_list(text: Column | str) -> Column:
-    """``1,4:8:2`` as 1, 4, 6: ranges leave out their end."""
+    """``1,4:8:2`` as 1, 4, 6, 8: ranges hold their end."""
     parts = F.split(_col(text), ",")
 
     def one(p: Column) -> Column:
         bits = F.transform(F.split(p, ":"), lambda b: F.trim(b).cast("int"))
         step = F.coalesce(F.get(bits, 2), F.lit(1))
-        return F.when(F.size(bits) == 1, bits).when(bits[1] > bits[0], F.sequence(bits[0], F.get(bits, 1) - 1, step)).otherwise(F.array().cast("array<int>"))
+        return F.when(F.size(bits) == 1, bits).when(F.get(bits, 1) >= bits[0], F.sequence(bits[0], F.get(bits, 1), step)).otherwise(F.array().cast("array<int>"))
 
     return F.flatten(F.transform(parts, one))
 

@@ -159,6 +159,36 @@ def stops_like_reference(rows: DataFrame, key: str, reference: str) -> DataFrame
     return rows.join(ref, key, "left").withColumn("is_stop", stop_codon(F.col("seq"), F.col("strand"))).withColumn("like_reference", F.coalesce(F.upper("seq") == F.col("_ref"), F.lit(False))).drop("_ref")
 
 
+def regions_of_species(rows: DataFrame, genes: DataFrame, key: str, reference: str) -> DataFrame:
+    """Where the region behind an anchor (the stop codon's alignment, a few blocks) lies in each species: (key, species, contig, start, end, strand).
+
+    ``rows(key, block, species, contig, start, size, strand, contig_length, seq)`` have starts
+    on their own strand, ``genes(key, gene_strand, length)`` the region's strand and length.
+    Blocks are put together while a row starts where the one before ended; contigs that the
+    first block lacks go.  Anchors whose reference row is no stop codon give nothing, species whose
+    row differs from it are left out, regions end at the contig's ends.
+    """
+    from .ordered import contiguous_chain
+
+    lane = [key, "species", "contig"]
+    first = Window.partitionBy(key)
+    known = rows.withColumn("_first", F.min("block").over(first)).withColumn("_opens", F.min("block").over(Window.partitionBy(*lane))).filter("_first = _opens").drop("_first", "_opens")
+    chained = contiguous_chain(known, lane, "start", "size")
+    whole = chained.groupBy(*lane).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "seq"))), lambda x: x["seq"]), "").alias("seq"),
+        F.max(F.col("start") + F.col("size")).alias("next"), F.first("strand").alias("strand"), F.first("contig_length").alias("contig_length"),
+    ).join(genes, key)
+    ref = whole.filter((F.col("species") == reference) & stop_codon(F.col("seq"), F.col("gene_strand"))).select(key, F.upper("seq").alias("_ref"))
+    same = whole.join(ref, key).filter(F.upper("seq") == F.col("_ref"))
+    forward, plus = F.col("gene_strand") == "+", F.col("strand") == "+"
+    behind = F.when(plus, F.col("next")).otherwise(F.col("contig_length") - F.col("next"))  # where the anchor ends, on the contig
+    inner = F.when(forward, behind).when(plus, behind - 3).otherwise(behind + 3)
+    grows = forward == plus
+    start = F.when(grows, inner).otherwise(F.greatest(inner - F.col("length"), F.lit(0)))
+    end = F.when(grows, F.least(inner + F.col("length"), F.col("contig_length"))).otherwise(inner)
+    return same.select(*lane, start.alias("start"), end.alias("end"), "strand")
+
+
 def stop_codon(seq, strand) -> object:
     """Whether three bases are a stop codon as read on the strand."""
     up = F.upper(seq)

@@ -186,12 +186,28 @@ def repeat_runs(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
 
 
 def minimal_feature_table(df: DataFrame, key: str, seq: str) -> DataFrame:
-    """One row for each key: base shares, dinucleotide counts and shares, the longest run of each base and each dinucleotide (0 where it does not occur), and uniformity."""
+    """One row for each key: base shares, dinucleotide counts and shares, the longest run of each base, of any base and of each dinucleotide (0 where it does not occur), and uniformity."""
     runs = repeat_runs(df, key, seq, 1).unionByName(repeat_runs(df, key, seq, 2))
+    names = [f"run_{w}" for w in [*domain(1), *domain(2)]]
     wide = runs.groupBy(key).agg(*(F.coalesce(F.max(F.when(F.col("kmer") == w, F.col("run"))), F.lit(0)).alias(f"run_{w}") for w in [*domain(1), *domain(2)]))
-    plain = df.select(key, *(c for c in minimal_features(seq)))
-    out = plain.join(wide, key, "left").drop("repeat_1", "repeat_2")
-    return out.fillna(0, [f"run_{w}" for w in [*domain(1), *domain(2)]])
+    out = df.select(key, *minimal_features(seq)).join(wide, key, "left").drop("repeat_1", "repeat_2").fillna(0, names)
+    return out.withColumn("run_any", F.greatest(*(f"run_{b}" for b in BASES)))
+
+
+def depth_at(columns: DataFrame, variants: DataFrame, keys: Sequence[str], strand: str | None = None) -> DataFrame:
+    """Variants (keys, ref, alt) beside their alignment column (counts A, C, G, T and depth from ``column_counts``): how deep it is, and how often ref and alt are there.
+
+    With ``strand``, alleles of rows on the other strand are read as their complement, for columns of the forward strand.
+    """
+    joined = variants.join(columns.select(*keys, *BASES, "depth"), list(keys), "left")
+    read = lambda allele: F.col(allele) if strand is None else F.when(F.col(strand) == "-", F.translate(allele, "ACGT", "TGCA")).otherwise(F.col(allele))
+    share = lambda allele: F.try_divide(by_value(read(allele), {b: F.col(b) for b in BASES}).cast("double"), F.col("depth").cast("double"))
+    return joined.withColumn("ref_share", share("ref")).withColumn("alt_share", share("alt")).drop(*BASES)
+
+
+def in_repeat(seq: Column | str, at: Column) -> Column:
+    """Whether the base at a place of the (soft-masked) reference is in a repeat, that is in lower case."""
+    return F.substr(F.col(seq) if isinstance(seq, str) else seq, at.cast("int") + 1, F.lit(1)).rlike("[a-z]")
 
 
 def depth_at(columns: DataFrame, variants: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import let
+from .checkpoints import checkpoints
 
 #: Two-sided 95 % normal quantile, and Student t quantiles for 1 to 30 degrees of freedom (fixed values).
 Z95 = 1.959963984540054
@@ -64,6 +65,7 @@ def ranged_roc_auc(df: DataFrame, groups: Sequence[str], score: str, label: str,
 
     The counts are written to the checkpoint folder, so that both passes see one partitioning.
     """
+    checkpoints(df.sparkSession)
     counts = score_counts(df, groups, score, label, weight).repartitionByRange(partitions, *groups, "score").checkpoint().withColumn("part", F.spark_partition_id())
     inside = Window.partitionBy("part", *groups).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     # one row for each partition and group in it: at most partitions + groups
@@ -143,13 +145,55 @@ LARGEST_MEAN = 500.0
 
 
 def poisson_weight(key: Column, replicate: Column, mean: Column | float = 1.0) -> Column:
-    """A Poisson draw from the md5 of key and replicate: how often a row is in a bootstrap resample.  The distribution is summed as far as the mean needs; a mean over ``LARGEST_MEAN`` is an error."""
-    u = _uniform(key, replicate)
+    """A Poisson draw from the hash of key and replicate: how often a row is in a bootstrap resample.  The distribution is summed as far as the mean needs; a mean over ``LARGEST_MEAN`` is an error."""
+    u = uniform(key_hash(key), replicate)
     return let(_poisson_steps(mean), lambda below: F.size(F.filter(below, lambda p: p <= u)).cast("double"))
 
 
-def _uniform(key: Column, replicate: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), replicate.cast("string"))), 1, 13), 16, 10).cast("long") / F.lit(4503599627370496.0)
+#: Step between replicates and the two factors of the hash (fixed values; products with 32 bits stay within 63).
+_STEP, _FACTORS = 2654435769, (2146121005, 1540483477)
+
+
+def key_hash(key: Column) -> Column:
+    """32 bits of the md5 of a key as text."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long")
+
+
+def uniform(hashed: Column, replicate: Column) -> Column:
+    """A number in [0, 1) from a key's hash and a replicate: 32 bits, mixed twice."""
+    low = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
+    fold = lambda x, n: x.bitwiseXOR(F.shiftright(x, n))
+    x = low(hashed + replicate.cast("long") * F.lit(_STEP))
+    for n, factor in zip((16, 13), _FACTORS, strict=True):
+        x = let(x, lambda v, n=n, factor=factor: low(fold(v, n) * F.lit(factor)))
+    return let(x, lambda v: fold(v, 16)) / F.lit(4294967296.0)
+
+
+def _uniforms(hashed: np.ndarray, replicates: int) -> np.ndarray:
+    """``uniform`` of every key (rows) and replicate from 1 (columns)."""
+    low = np.uint64(0xFFFFFFFF)
+    x = (hashed.astype(np.uint64)[:, None] + np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(_STEP)) & low
+    for n, factor in zip((16, 13), _FACTORS, strict=True):
+        x = ((x ^ (x >> np.uint64(n))) * np.uint64(factor)) & low
+    return (x ^ (x >> np.uint64(16))) / 4294967296.0
+
+
+def _draws(hashed: np.ndarray, means: np.ndarray | float, replicates: int) -> np.ndarray:
+    """Poisson draws of keys (rows) in replicates (columns): how many steps of the distribution lie at or below the key's number."""
+    u = _uniforms(hashed, replicates)
+    if isinstance(means, float):
+        k = np.arange(1, int(means + 12 * np.sqrt(means) + 25))
+        return np.searchsorted(np.cumsum(np.cumprod(np.concatenate([[np.exp(-means)], means / k]))), u, "right").astype(np.float64)
+    means = means[:, None]
+    if means.max(initial=0) > LARGEST_MEAN:
+        raise ValueError(f"a mean over {LARGEST_MEAN}")
+    p, drawn = np.exp(-means), np.zeros(u.shape)
+    below = p.copy()
+    for k in range(1, int(means.max(initial=0) + 12 * np.sqrt(means.max(initial=0)) + 26)):
+        drawn += below <= u
+        p = p * means / k
+        below = below + p
+    return drawn
 
 
 def _poisson_steps(mean: Column | float) -> Column:
@@ -170,10 +214,68 @@ def _poisson_steps(mean: Column | float) -> Column:
     return F.aggregate(F.sequence(F.lit(1), checked), F.struct(first.alias("p"), first.alias("sum"), F.array(first).alias("all")), step, lambda s: s["all"])
 
 
-def bootstrap_metric(df: DataFrame, groups: Sequence[str], key: str, metric, replicates: int = 1000, mean: Column | float = 1.0) -> DataFrame:
-    """Any metric over Poisson resamples: ``metric(df, groups, weight)`` gives a table of the groups with ``value``; half_width of the 95 % percentile interval over replicates."""
-    each = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    draws = metric(each.withColumn("_w", poisson_weight(F.col(key), F.col("replicate"), mean)).filter("_w > 0"), [*groups, "replicate"], F.col("_w"))
+#: Draws that are held at once (rows by replicates).
+DRAWS_AT_ONCE = 1 << 20
+
+
+def _resampled(rows: DataFrame, order: Sequence[str], replicates: int, fold: Callable[[list[np.ndarray], np.ndarray, object], None], start: Callable[[], object], parts: Callable[[object], list[np.ndarray]]) -> DataFrame:
+    """(g, part, sums): what ``fold`` gathers for each group of a range partition; rows (g, hashed, mean, ...) come in order.
+
+    A group's state is made by ``start``, fed with blocks of its rows and their draws, and
+    given away as soon as the group ends: ``parts`` are vectors over the replicates.
+    """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(partitions, "g", *order).sortWithinPartitions("g", *order)
+    kind, step = rows.schema["g"].dataType.simpleString(), max(1, DRAWS_AT_ONCE // replicates)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, state = TaskContext.get().partitionId(), None, None
+
+        def close(group: pa.Array) -> pa.RecordBatch:
+            flat = np.concatenate(parts(state))
+            return pa.RecordBatch.from_arrays([group, pa.array([part], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))], names=["g", "part", "sums"])
+
+        for batch in batches:
+            groups = batch.column(0)
+            names = groups.to_pylist()
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
+            at = 0
+            while at < len(names):
+                if held is None or held[0].as_py() != names[at]:
+                    if held is not None:
+                        yield close(held)
+                    held, state = groups.slice(at, 1), start()
+                to = at + 1
+                while to < len(names) and to - at < step and names[to] == names[at]:
+                    to += 1
+                own = [c[at:to] for c in columns]
+                fold(own, _draws(own[0], own[1], replicates), state)
+                at = to
+        if held is not None:
+            yield close(held)
+
+    return dealt.mapInArrow(run, f"g {kind}, part int, sums array<double>")
+
+
+def bootstrap_metric(df: DataFrame, groups: Sequence[str], key: str, terms: Sequence[Column], finish: Callable[[Sequence[Column]], Column], replicates: int = 1000, mean: Column | float = 1.0) -> DataFrame:
+    """Any metric that follows from sums over rows, over Poisson resamples: ``finish`` makes it from the weighted sums of the ``terms`` (null: 0).
+
+    Gives replicate_mean and the half_width of the 95 % percentile interval over replicates for
+    each group.  ``mean`` may be a column: a row's own rate (a weighted bootstrap).  Rows are not
+    repeated: a worker draws a row's numbers and adds them to its group's sums.
+    """
+    g = F.struct(*groups, F.lit(0).alias("_"))
+    names = [f"t{i}" for i in range(len(terms))]
+    rate = mean if isinstance(mean, Column) else F.lit(float(mean))
+    rows = df.select(g.alias("g"), key_hash(F.col(key)).alias("hashed"), rate.cast("double").alias("mean"), *(F.coalesce(t.cast("double"), F.lit(0.0)).alias(n) for t, n in zip(terms, names, strict=True)))
+
+    def fold(own: list[np.ndarray], drawn: np.ndarray, sums: np.ndarray) -> None:
+        sums += np.stack(own[2:]) @ drawn
+
+    partial = _resampled(rows, ["hashed"], replicates, fold, lambda: np.zeros((len(names), replicates)), list)
+    each = partial.select("g", F.posexplode("sums").alias("i", "x")).groupBy("g", "i").agg(F.sum("x").alias("x"))
+    wide = each.groupBy("g", (F.col("i") % replicates).alias("r")).agg(*(F.sum(F.when(F.floor(F.col("i") / replicates) == j, F.col("x"))).alias(n) for j, n in enumerate(names)))
+    draws = wide.select(*(F.col("g")[c].alias(c) for c in groups), finish([F.col(n) for n in names]).alias("value"))
     return _spread(draws, groups, "value")
 
 
@@ -182,67 +284,70 @@ def _spread(draws: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     return spread.withColumn("half_width", (F.col("q")[1] - F.col("q")[0]) / 2).drop("q")
 
 
+class _Wins:
+    """Weights of both classes and pairs won, over ordered scores; the tie that is open at a block's end is held apart."""
+
+    def __init__(self, replicates: int):
+        self.pos, self.neg, self.wins, self.tie_pos, self.tie_neg = (np.zeros(replicates) for _ in range(5))
+        self.score = None
+
+    def close_tie(self) -> None:
+        self.wins += self.tie_pos * (self.neg + self.tie_neg / 2)
+        self.pos, self.neg = self.pos + self.tie_pos, self.neg + self.tie_neg
+
+    def add(self, scores: np.ndarray, positive: np.ndarray, drawn: np.ndarray) -> None:
+        heads = np.concatenate([[0], np.flatnonzero(scores[1:] != scores[:-1]) + 1])
+        pos, neg = np.add.reduceat(drawn * positive[:, None], heads, axis=0), np.add.reduceat(drawn * ~positive[:, None], heads, axis=0)
+        if self.score is not None and scores[0] == self.score:
+            pos[0], neg[0] = pos[0] + self.tie_pos, neg[0] + self.tie_neg
+        elif self.score is not None:
+            self.close_tie()
+        below = np.cumsum(neg, axis=0) - neg + self.neg
+        self.wins += (pos[:-1] * (below[:-1] + neg[:-1] / 2)).sum(axis=0)
+        self.pos, self.neg = self.pos + pos[:-1].sum(axis=0), below[-1]
+        self.tie_pos, self.tie_neg, self.score = pos[-1], neg[-1], scores[-1]
+
+
 def bootstrap_auc(df: DataFrame, groups: Sequence[str], key: str, score: str, label: str, replicates: int = 1000, mean: Column | float = 1.0) -> DataFrame:
     """AUC on the full data, and the half-width of the 95 % percentile interval over Poisson resamples (null labels and scores left out).
 
-    Rows carry their random numbers of all replicates and are range-partitioned by group and
-    score.  Each partition gives, for each group and replicate, the weights of both
-    classes and the wins inside it; what lies before a partition is added afterwards,
-    so that no row is repeated for a replicate.
+    Rows are range-partitioned by group and score.  Each partition draws its rows' numbers
+    and gives, for each group and replicate, the weights of both classes and the wins inside it;
+    what lies before a partition is added afterwards, so that no row is repeated for a replicate.
     """
     ok = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull())
-    group = F.struct(*groups, F.lit(0).alias("_"))
-    plain = ok.select(group.alias("g"), F.col(score).cast("double").alias("score"), (F.col(label) == 1).alias("positive"), F.col(key).alias("key"), *([mean.alias("mean")] if isinstance(mean, Column) else []))
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # random numbers are drawn behind the exchange, by all of its tasks
-    dealt = plain.repartitionByRange(partitions, "g", "score").sortWithinPartitions("g", "score")
-    numbers = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: _uniform(F.col("key"), r))
-    ordered = dealt.select("g", "score", "positive", numbers.alias("numbers"), _poisson_steps(F.col("mean") if isinstance(mean, Column) else mean).alias("below"))
-    kind = ordered.schema["g"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, made = None, []
+    rate = mean if isinstance(mean, Column) else F.lit(float(mean))
+    rows = ok.select(F.struct(*groups, F.lit(0).alias("_")).alias("g"), key_hash(F.col(key)).alias("hashed"), rate.cast("double").alias("mean"), F.col(score).cast("double").alias("score"), (F.col(label) == 1).alias("positive"))
 
-        def close() -> None:
-            g, pos, neg, wins, tie_pos, tie_neg, _ = held
-            made.append((g, pos + tie_pos, neg + tie_neg, wins + tie_pos * (neg + tie_neg / 2)))
+    def parts(state: _Wins) -> list[np.ndarray]:
+        state.close_tie()
+        return [state.pos, state.neg, state.wins]
 
-        part = TaskContext.get().partitionId()
-        for batch in batches:
-            gs, scores, positive = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            numbers, below = batch.column(3).flatten().to_numpy().reshape(-1, replicates), batch.column(4)
-            for i, (g, x) in enumerate(zip(gs, scores, strict=True)):
-                if held is None or held[0] != g:
-                    if held is not None:
-                        close()
-                    held = [g, *(np.zeros(replicates) for _ in range(5)), x]
-                elif held[6] != x:  # a tie ends: its positives win over all negatives before it
-                    held[3] += held[4] * (held[2] + held[5] / 2)
-                    held[1] += held[4]
-                    held[2] += held[5]
-                    held[4], held[5], held[6] = np.zeros(replicates), np.zeros(replicates), x
-                held[4 if positive[i] else 5] += np.searchsorted(below[i].values.to_numpy(), numbers[i], "right")
-        if held is not None:
-            close()
-        for g, pos, neg, wins in made:
-            n = np.arange(1, replicates + 1, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([g] * replicates, batch.schema.field(0).type), pa.array([part] * replicates, pa.int32()), pa.array(n), pa.array(pos), pa.array(neg), pa.array(wins)], names=["g", "part", "replicate", "pos", "neg", "wins"])
-
-    parts = ordered.mapInArrow(run, f"g {kind}, part int, replicate int, pos double, neg double, wins double")
+    partial = _resampled(rows, ["score"], replicates, lambda own, drawn, state: state.add(own[2], own[3].astype(bool), drawn), lambda: _Wins(replicates), parts)
+    place = lambda j: F.get("sums", F.col("r") + j * replicates)
+    each = partial.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select("g", "part", "r", place(0).alias("pos"), place(1).alias("neg"), place(2).alias("wins"))
     # one row for each partition, group and replicate
-    before = F.coalesce(F.sum("neg").over(Window.partitionBy("g", "replicate").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    whole = parts.withColumn("wins", F.col("wins") + F.col("pos") * before).groupBy("g", "replicate").agg(*(F.sum(c).alias(c) for c in ("pos", "neg", "wins")))
+    before = F.coalesce(F.sum("neg").over(Window.partitionBy("g", "r").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    whole = each.withColumn("wins", F.col("wins") + F.col("pos") * before).groupBy("g", "r").agg(*(F.sum(c).alias(c) for c in ("pos", "neg", "wins")))
     draws = whole.select(*(F.col("g")[c].alias(c) for c in groups), F.try_divide(F.col("wins"), F.col("pos") * F.col("neg")).alias("auc"))
     return roc_auc(df, groups, score, label).join(_spread(draws, groups, "auc"), list(groups))
 
 
-def reference_weights(df: DataFrame, label: str, category: str, reference: DataFrame) -> DataFrame:
-    """Row weights that give every class the reference's category distribution and keep the classes' shares."""
+def reference_weights(df: DataFrame, label: str, category: str, reference: DataFrame, keep_class_share: bool = True) -> DataFrame:
+    """Row weights, of sum 1, under which each class has the category distribution that its own class has in ``reference``; with ``keep_class_share`` classes keep the share that they have in ``df``.
+
+    Categories that the class lacks in the reference weigh 0.
+    """
     n = df.groupBy(label, category).agg(F.count(F.lit(1)).alias("n"))
-    share = reference.groupBy(category).agg(F.count(F.lit(1)).alias("m"))
-    share = share.join(F.broadcast(share.agg(F.sum("m").alias("all_m")))).select(category, (F.col("m") / F.col("all_m")).alias("share"))
-    cell = n.join(share, category).withColumn("size", F.sum("n").over(Window.partitionBy(label))).withColumn("held", F.sum("share").over(Window.partitionBy(label)))
-    cell = cell.select(label, category, (F.col("size") * F.col("share") / F.col("held") / F.col("n")).alias("weight"))
+    wanted = reference.groupBy(label, category).agg(F.count(F.lit(1)).alias("m"))
+    cell = n.join(wanted, [label, category], "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    if keep_class_share:
+        by_class = cell.groupBy(label).agg((F.sum("n") / F.nullif(F.sum("m"), F.lit(0))).alias("scale"))
+        cell = cell.join(by_class, label).withColumn("mass", F.col("m") * F.coalesce("scale", F.lit(0.0)))
+    else:
+        cell = cell.withColumn("mass", F.col("m").cast("double"))
+    whole = cell.agg(F.sum("mass").alias("whole"))  # one row
+    cell = cell.crossJoin(F.broadcast(whole)).select(label, category, (F.col("mass") / F.col("n") / F.col("whole")).alias("weight"))
     return df.join(cell, [label, category], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
 
@@ -297,10 +402,58 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+#: Bins of one narrowing, and the rows among which a percentile is looked up without another one.
+PERCENTILE_BINS, PERCENTILE_ROWS = 4096, 200_000
+#: Searches that may be broadcast.
+MOST_SEARCHES = 50_000
+
+
+def group_percentiles(df: DataFrame, groups: Sequence[str], value: str, shares: Sequence[float], bins: int = PERCENTILE_BINS, rows: int = PERCENTILE_ROWS) -> DataFrame:
+    """(groups, percentiles): exact percentiles by linear interpolation, nulls and NaN left out, of groups of any size; groups without values have no row.
+
+    Distributed selection: each wanted order statistic has a range of values that holds it.
+    While a range holds more than ``rows`` values, a histogram over it, combined where the rows
+    lie, narrows it to one bin; then the values inside are counted in order.  No group meets in a task.
+    """
+    checkpoints(df.sparkSession)
+    held = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.struct(*groups, F.lit(0).alias("_")).alias("g"), F.col(value).cast("double").alias("v"))
+    sizes = held.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
+    rank = lambda q: F.lit(float(q)) * (F.col("n") - 1)
+    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(rank(q)), F.ceil(rank(q))) for q in shares))))
+    searches = sizes.select("g", "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("size"), F.explode(ranks).alias("k")).checkpoint()
+
+    def inside() -> tuple[DataFrame, bool]:
+        """Values in the ranges (each range once), and whether a range holds too many."""
+        state = searches.agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("hi") > F.col("lo"), F.col("size"))).alias("most")).first()
+        ranges = searches.select("g", "lo", "hi").distinct()
+        ranges = F.broadcast(ranges) if state.n <= MOST_SEARCHES else ranges
+        return held.join(ranges, "g").filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))), (state.most or 0) > rows
+
+    while True:
+        found, wide = inside()
+        if not wide:
+            break
+        share = F.nanvl(F.coalesce(F.try_divide(F.col("v") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2), F.lit(0.5)), F.lit(0.5))
+        # a range's ends never share a bin, so every round narrows it
+        place = F.when(F.col("v") == F.col("lo"), 0).when(F.col("v") == F.col("hi"), bins - 1).otherwise(F.least(F.floor(share * bins), F.lit(bins - 1)))
+        counts = found.groupBy("g", "lo", "hi", place.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
+        sofar = Window.partitionBy("g", "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("upto", F.sum("c").over(sofar))
+        hit = searches.join(counts, ["g", "lo", "hi"]).filter((F.col("k") >= F.col("below") + F.col("upto") - F.col("c")) & (F.col("k") < F.col("below") + F.col("upto")))
+        searches = hit.select("g", F.col("low").alias("lo"), F.col("high").alias("hi"), (F.col("below") + F.col("upto") - F.col("c")).alias("below"), F.col("c").alias("size"), "k").checkpoint()
+    counts = found.groupBy("g", "lo", "hi", "v").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(Window.partitionBy("g", "lo", "hi").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    hit = searches.join(counts, ["g", "lo", "hi"]).filter((F.col("k") >= F.col("below") + F.col("upto") - F.col("c")) & (F.col("k") < F.col("below") + F.col("upto")))
+    known = hit.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("at")).join(sizes.select("g", "n"), "g")
+    at = lambda x: F.element_at("at", x.cast("long"))
+    lerp = lambda q: at(F.floor(rank(q))) + (at(F.ceil(rank(q))) - at(F.floor(rank(q)))) * (rank(q) - F.floor(rank(q)))
+    return known.select(*(F.col("g")[c].alias(c) for c in groups), F.array(*(lerp(q) for q in shares)).alias("percentiles"))
+
+
 def percentile_flags(df: DataFrame, groups: Sequence[str], value: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """Flags for rows at or below, and at or above, their group's percentiles (linear interpolation, nulls left out)."""
-    edges = df.groupBy(*groups).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_e"))
-    return df.join(edges, list(groups)).withColumn("in_bottom", F.col(value) <= F.col("_e")[0]).withColumn("in_top", F.col(value) >= F.col("_e")[1]).drop("_e")
+    edges = group_percentiles(df, groups, value, (low, high)).select(*groups, F.col("percentiles").alias("_e"))
+    joined = df.join(edges, list(groups), "left")
+    return joined.withColumn("in_bottom", F.col(value) <= F.get("_e", F.lit(0))).withColumn("in_top", F.col(value) >= F.get("_e", F.lit(1))).drop("_e")
 
 
 def flip_low(columns: Sequence[str], digits: int = 3) -> dict[str, Column]:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checkpoints import checkpoints
+
 
 def hash_order(key: str | Column, seed: str | int = 0) -> Column:
     """A text to order by that looks random: md5 of key and seed (any engine computes the same)."""
@@ -71,14 +73,18 @@ def pool_for_splits(splits: DataFrame, split: str, size: str, pool: DataFrame, k
 
 
 def bag_groups(df: DataFrame, group: str, rounds: int, seed: str | int = 0) -> DataFrame:
-    """Rows of the groups drawn in each round: a group is in a bag with probability 1 - 1/e, as when drawn with replacement."""
+    """Rows of the groups drawn in each round, as when the labels of all N rows are drawn N times with replacement: a group of n rows is in a bag with probability 1 - (1 - n / N) ** N."""
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(group).cast("string"), F.col("round").cast("string"), F.lit(str(seed)))), 1, 13), 16, 10).cast("long") / F.lit(4503599627370496.0)
-    drawn = df.select(group).distinct().withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).filter(u >= F.exp(F.lit(-1.0)))
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    whole = sizes.agg(F.sum("_n").cast("double").alias("_whole"))  # one row
+    missed = F.pow(1 - F.col("_n") / F.col("_whole"), F.col("_whole"))
+    drawn = sizes.crossJoin(F.broadcast(whole)).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).filter(u >= missed).select(group, "round")
     return df.join(drawn, group)
 
 
 def with_global_index(df: DataFrame, key: str, seed: str | int | None = None, partitions: int = 64, index: str = "index") -> DataFrame:
     """Row numbers from 0 in order of the key (or of its hash): range partitions are numbered inside, their sizes give each its offset."""
+    checkpoints(df.sparkSession)
     order = F.col(key) if seed is None else hash_order(key, seed)
     ranged = df.withColumn("_o", order).repartitionByRange(partitions, "_o", key).withColumn("_p", F.spark_partition_id()).checkpoint()
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_s"))

@@ -127,7 +127,9 @@ def neighborhood_median(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("select median(value) as median_score from events")
 def background_median(spark: SparkSession, folder: str) -> DataFrame:
-    return points(spark, folder).agg(F.median("value").alias("median_score"))
+    from ..operators.metrics import group_percentiles
+
+    return group_percentiles(points(spark, folder), [], "value", (0.5,)).select(F.get("percentiles", F.lit(0)).alias("median_score"))
 
 
 _BLOCKS = """(select user_id as contig, (epoch_us(ts) // 1000000 // 43200) * 43200 as start, (epoch_us(ts) // 1000000 // 43200 + 1) * 43200 as "end", user_id + 1000 as to_contig,

@@ -102,7 +102,7 @@ _TWO = [a + b for a in "ACGT" for b in "ACGT"]
 pairs as (select doc_id, substr(seq, i, 2) as w from (select doc_id, seq, unnest(range(1, length(seq))) as i from {S})),
 two as (select doc_id, {', '.join(f"count(*) filter (where w = '{w}') as count_{w}" for w in _TWO)}, count(*) filter (where substr(w, 1, 1) = substr(w, 2, 1)) as u from pairs group by 1)
 select doc_id, {', '.join(f"(length(seq) - length(replace(seq, '{b}', ''))) / length(seq)::double as share_{b}" for b in 'ACGT')}, {', '.join(f"count_{w}" for w in _TWO)},
-  {', '.join(f"count_{w} / (length(seq) - 1)::double as rate_{w}" for w in _TWO)}, u as uniformity, {', '.join(f"run_{w}" for w in [*'ACGT', *_TWO])} from {S} join two using (doc_id) join wide using (doc_id)"""
+  {', '.join(f"count_{w} / (length(seq) - 1)::double as rate_{w}" for w in _TWO)}, u as uniformity, {', '.join(f"run_{w}" for w in [*'ACGT', *_TWO])}, greatest({', '.join(f"run_{b}" for b in 'ACGT')}) as run_any from {S} join two using (doc_id) join wide using (doc_id)"""
 )
 def minimal_features(spark: SparkSession, folder: str) -> DataFrame:
     return km.minimal_feature_table(sequences(spark, folder).filter("length(seq) > 1"), "doc_id", "seq")
@@ -158,10 +158,38 @@ select lang, avg(value) as replicate_mean, (quantile_cont(value, 0.975) - quanti
 )
 def bootstrap_mean(spark: SparkSession, folder: str) -> DataFrame:
     """The bootstrap with another metric: the weighted mean length."""
-    def mean(df: DataFrame, groups: list[str], weight) -> DataFrame:
-        return df.groupBy(*groups).agg((F.sum(weight * F.col("n_chars")) / F.sum(weight)).alias("value"))
+    terms = [F.col("n_chars"), F.lit(1.0)]
+    return mt.bootstrap_metric(table(spark, folder, "documents"), ["lang"], "doc_id", terms, lambda s: F.try_divide(s[0], s[1]), 100)
 
-    return mt.bootstrap_metric(table(spark, folder, "documents"), ["lang"], "doc_id", mean, 100)
+
+_BANDS = f"(select lang, doc_id, (quality = 1)::int as y, score > 600 as top, score < 300 as low from {L})"
+
+
+@query(
+    f"""with r as (select lang, rep, sum(w) filter (where top and y = 1) as a, sum(w) filter (where top and y = 0) as b, sum(w) filter (where low and y = 1) as c, sum(w) filter (where low and y = 0) as d
+  from (select *, {_poisson_sql('doc_id', 'rep')} as w from {_BANDS}, (select unnest(range(1, 101)) as rep)) group by 1, 2),
+o as (select lang, coalesce(a, 0) * coalesce(d, 0) / nullif(coalesce(b, 0) * coalesce(c, 0), 0)::double as value from r)
+select lang, avg(value) as replicate_mean, (quantile_cont(value, 0.975) - quantile_cont(value, 0.025)) / 2 as half_width from o group by 1"""
+)
+def bootstrap_odds_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    """Resampled odds ratio of two bands of scores: four sums for each replicate."""
+    positive, top, low = F.col("quality") == 1, F.col("score") > 600, F.col("score") < 300
+    cells = [(band & cls).cast("double") for band in (top, low) for cls in (positive, ~positive)]
+    return mt.bootstrap_metric(labelled(spark, folder), ["lang"], "doc_id", cells, lambda s: F.try_divide(s[0] * s[3], s[1] * s[2]), 100)
+
+
+_RATE = "((doc_id % 7) / 3.0::double)"
+
+
+@query(
+    f"""with r as (select lang, quality, score, rep, {_poisson_sql('doc_id', 'rep', mean=_RATE)} as w from {L}, (select unnest(range(1, 41)) as rep)),
+a as (select lang, rep, auc from {_auc('(select * from r where w > 0)', 'lang, rep', weight='w')}), q as (select lang, avg(auc) as replicate_mean, (quantile_cont(auc, 0.975) - quantile_cont(auc, 0.025)) / 2 as half_width from a group by 1)
+select lang, n_pos, n_neg, auc, replicate_mean, half_width from {_auc(L, 'lang')} join q using (lang)"""
+)
+def bootstrap_auc_weighted(spark: SparkSession, folder: str) -> DataFrame:
+    """The bootstrap of an AUC in which every row is drawn at its own rate."""
+    rate = (F.col("doc_id") % 7) / F.lit(3.0)
+    return mt.bootstrap_auc(labelled(spark, folder), ["lang"], "doc_id", "score", "quality", 40, rate)
 
 
 # -- jobs ------------------------------------------------------------------------------------------------------------

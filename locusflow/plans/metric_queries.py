@@ -73,16 +73,26 @@ def percentile_flags(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""select lang, a, b, c, d, (a * d)::double / nullif(b * c, 0) as odds_ratio from (
-  select lang, count(*) filter (where in_top and quality = 1) as a, count(*) filter (where in_top and quality = 0) as b, count(*) filter (where in_bottom and quality = 1) as c, count(*) filter (where in_bottom and quality = 0) as d from {_FLAGS} group by 1)"""
+  select lang, count(*) filter (where above and quality = 1) as a, count(*) filter (where above and quality = 0) as b, count(*) filter (where below and quality = 1) as c, count(*) filter (where below and quality = 0) as d
+  from (select d.*, score > hi as above, score < lo as below from {L} d join (select lang, quantile_cont(score, 0.1) as lo, quantile_cont(score, 0.9) as hi from {L} group by 1) using (lang)) group by 1)"""
 )
 def odds_ratio_bands(spark: SparkSession, folder: str) -> DataFrame:
-    d = mt.percentile_flags(labelled(spark, folder), ["lang"], "score")
-    return mt.odds_ratio(d, ["lang"], "quality", F.col("in_top"), F.col("in_bottom"))
+    """Bands lie above and below the percentiles, without the percentiles themselves."""
+    edges = mt.group_percentiles(labelled(spark, folder), ["lang"], "score", (0.1, 0.9))
+    d = labelled(spark, folder).join(edges, "lang")
+    return mt.odds_ratio(d, ["lang"], "quality", F.col("score") > F.get("percentiles", F.lit(1)), F.col("score") < F.get("percentiles", F.lit(0)))
 
 
-def _poisson_sql(key: str, replicate: str, most: int = 38) -> str:
-    u = f"(('0x' || substr(md5({key} || ':' || {replicate}), 1, 13))::bigint / 4503599627370496.0)"
-    return f"len(list_filter({_cumulated(most)}, lambda x: x <= {u}))"
+def _poisson_sql(key: str, replicate: str, most: int = 38, mean: str | None = None) -> str:
+    """A Poisson draw of mean 1, or of a row's own mean, from 32 bits of the key's md5 and the replicate."""
+    x = f"((('0x' || substr(md5({key}::varchar), 1, 8))::ubigint + {replicate}::ubigint * {mt._STEP}::ubigint) % 4294967296::ubigint)"
+    for n, factor in zip((16, 13), mt._FACTORS):
+        x = f"list_transform([{x}], lambda v: (xor(v, v >> {n}) * {factor}::ubigint) % 4294967296::ubigint)[1]"
+    u = f"(list_transform([{x}], lambda v: xor(v, v >> 16))[1] / 4294967296.0)"
+    if mean is None:
+        return f"len(list_filter({_cumulated(most)}, lambda x: x <= {u}))"
+    steps = f"list_transform(range(0, 60), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(j * ln({mean}) - {mean} - lgamma(j + 1)))))"
+    return f"case when {mean} > 0 then len(list_filter({steps}, lambda x: x <= {u})) else 0 end"
 
 
 def _cumulated(most: int) -> str:
@@ -105,22 +115,25 @@ def bootstrap_auc(spark: SparkSession, folder: str) -> DataFrame:
     return mt.bootstrap_auc(labelled(spark, folder), ["lang"], "doc_id", "score", "quality", 1000)
 
 
-@query(
-    f"""with n as (select quality, lang, count(*) as n from {L} group by 1, 2), s as (select lang, count(*) / sum(count(*)) over ()::double as share from documents group by 1),
-w as (select quality, lang, sum(n) over (partition by quality) * share / sum(share) over (partition by quality) / n as weight from n join s using (lang)) select doc_id, weight from {L} join w using (quality, lang)"""
-)
+#: Each class gets its own class's languages of the reference, and keeps its share of the rows.
+_WEIGHTED = f"""(with cur as (select * from {L} where doc_id % 2 = 0), n as (select quality, lang, count(*) as n from cur group by 1, 2), m as (select quality, lang, count(*) as m from {L} group by 1, 2),
+  w as (select doc_id, quality, score, coalesce(m, 0) / n::double as w from cur join n using (quality, lang) left join m using (quality, lang)),
+  k as (select *, w / sum(w) over (partition by quality) * count(*) over (partition by quality) as v from w) select doc_id, quality, score, v / sum(v) over () as weight from k)"""
+
+
+def _weighted(spark: SparkSession, folder: str) -> DataFrame:
+    every = labelled(spark, folder)
+    return mt.reference_weights(every.filter("doc_id % 2 = 0"), "quality", "lang", every)
+
+
+@query(f"select doc_id, weight from {_WEIGHTED}")
 def reweight_reference(spark: SparkSession, folder: str) -> DataFrame:
-    return mt.reference_weights(labelled(spark, folder), "quality", "lang", table(spark, folder, "documents").select("lang")).select("doc_id", "weight")
+    return _weighted(spark, folder).select("doc_id", "weight")
 
 
-@query(
-    f"""with n as (select quality, lang, count(*) as n from {L} group by 1, 2), s as (select lang, count(*) / sum(count(*)) over ()::double as share from documents group by 1),
-w as (select quality, lang, sum(n) over (partition by quality) * share / sum(share) over (partition by quality) / n as weight from n join s using (lang))
-select quality, sum(weight * score) / sum(weight) as mean from {L} join w using (quality, lang) group by 1"""
-)
+@query(f"select quality, sum(weight * score) / sum(weight) as mean from {_WEIGHTED} group by 1")
 def weighted_means(spark: SparkSession, folder: str) -> DataFrame:
-    w = mt.reference_weights(labelled(spark, folder), "quality", "lang", table(spark, folder, "documents").select("lang"))
-    return w.groupBy("quality").agg((F.sum(F.col("weight") * F.col("score")) / F.sum("weight")).alias("mean"))
+    return _weighted(spark, folder).groupBy("quality").agg((F.sum(F.col("weight") * F.col("score")) / F.sum("weight")).alias("mean"))
 
 
 @query(

@@ -213,14 +213,21 @@ def rolling_mask(spark: SparkSession, folder: str) -> DataFrame:
     return m.select("doc_id", "variant", F.size(F.filter("mask", lambda x: x == 1)).cast("long").alias("masked"))
 
 
-@query(
-    f"""with t as (select doc_id, i, row_number() over (partition by doc_id order by md5(doc_id || ':' || i || ':0')) as r, n from (select doc_id, length(seq) as n, unnest(range(0, length(seq))) as i from {S}))
-select doc_id, ceil(any_value(n) * 0.15)::int as chosen, min(i) filter (where r = 1)::int as first_place from t group by 1"""
-)
+#: Counts are rounded part by part, halves to even, inside a frame of five places on both sides.
+_MASKED = f"""(with s as (select doc_id, seq, length(seq) as len, length(seq) - 10 as n from {S} where seq <> ''),
+  c as (select *, round_even(0.12 * n, 0)::int as a, round_even(0.12 * n, 0)::int + greatest(round_even(0.015 * n, 0)::int, 1) as b, round_even(0.12 * n, 0)::int + greatest(round_even(0.015 * n, 0)::int, 1) + round_even(0.015 * n, 0)::int as c from s),
+  t as (select *, md5(doc_id || ':' || i || ':0') as h, (instr('ACGT', substr(seq, i::int + 1, 1)) - 1) as base from (select *, unnest(range(0, len)) as i from c)),
+  r as (select *, case when i >= 5 and i < len - 5 then row_number() over (partition by doc_id, i >= 5 and i < len - 5 order by h, i) end as r from t)
+  select doc_id, i, base, r, case when r <= a then 4 when r <= b then ('0x' || substr(h, 14, 8))::bigint % 4 else base end as masked, case when r <= c then base else -100 end as label from r)"""
+
+
+@query(f"select doc_id, md5(string_agg(masked::int, '' order by i)) as masked, md5(string_agg(label::int, '' order by i)) as labels, count(*) filter (where label >= 0) as chosen, count(*) filter (where masked = 4) as hidden from {_MASKED} group by 1")
 def mask_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    s = sequences(spark, folder).filter("seq <> ''")
-    places = F.transform(F.expr("sequence(0, length(seq) - 1)"), lambda i: F.struct(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), i.cast("string"), F.lit("0"))).alias("h"), i.alias("i")))
-    return s.select("doc_id", F.ceil(F.length("seq") * F.lit(0.15)).cast("int").alias("chosen"), F.array_min(places)["i"].alias("first_place"))
+    s = sequences(spark, folder).filter("seq <> ''").select("doc_id", sq.base_class("seq").alias("t"))
+    m = arrays.masked_tokens(s, "doc_id", "t", frame=5)
+    text = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ""))
+    count = lambda c, f: F.size(F.filter(c, f)).cast("long")
+    return m.select("doc_id", text("masked").alias("masked"), text("labels").alias("labels"), count("labels", lambda x: x >= 0).alias("chosen"), count("masked", lambda x: x == 4).alias("hidden"))
 
 
 @query("select page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"]*)\"', 1)) as href from pages")

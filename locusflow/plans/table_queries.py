@@ -235,7 +235,10 @@ def pool_per_split(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.pool_for_splits(splits, "split", "size", table(spark, folder, "customer").select("c_custkey"), "c_custkey")
 
 
-@query("select c_custkey, round from customer join (select n_nationkey as c_nationkey, unnest(range(1, 6)) as round from nation) using (c_nationkey) where ('0x' || substr(md5(c_nationkey || ':' || round || ':0'), 1, 13))::bigint / 4503599627370496.0 >= exp(-1.0)")
+@query(
+    """with n as (select c_nationkey, count(*) as n, sum(count(*)) over ()::double as whole from customer group by 1)
+select c_custkey, round from customer join (select *, unnest(range(1, 6)) as round from n) using (c_nationkey) where ('0x' || substr(md5(c_nationkey || ':' || round || ':0'), 1, 13))::bigint / 4503599627370496.0 >= power(1 - n / whole, whole)"""
+)
 def bagged_rows(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.bag_groups(table(spark, folder, "customer"), "c_nationkey", 5).select("c_custkey", F.col("round").cast("long").alias("round"))
 

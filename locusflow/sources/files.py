@@ -121,12 +121,15 @@ def links(pages: DataFrame, html: str = "html", contains: str = "") -> DataFrame
 
 
 def training_log(lines: DataFrame) -> DataFrame:
-    """Metric events of ``[time] checkpoint N - split (epoch: E; sequences: S; ...), name: x, name: y`` lines."""
+    """Metric events of lines like ``[time] checkpoint N - split (epoch: E; sequences: S; ...), loss: x, name: y`` or ``[time] epoch N - split (sequences: S; ...), loss: x``.
+
+    Metrics begin at the first ``loss``; those with ``=`` in their value have none.
+    """
     field = lambda p: F.regexp_extract("value", p, 1)
-    rows = lines.filter(F.col("value").rlike(r"checkpoint \d+ - ")).select(
-        F.to_timestamp(field(r"^\[([^\]]*)\]"), "yyyy/MM/dd-HH:mm:ss").alias("ts"), field(r"checkpoint (\d+)").cast("int").alias("checkpoint"),
-        field(r"checkpoint \d+ - (\w+)").alias("split"), field(r"epoch: (\d+)").try_cast("int").alias("epoch"), field(r"sequences: (\d+)").try_cast("long").alias("n_sequences"),
-        F.explode(F.split(field(r"\),\s*(.*)$"), r",\s*")).alias("metric"),
+    rows = lines.filter(F.col("value").rlike(r"(?:epoch|checkpoint) [0-9]+ - [A-Za-z]+")).select(
+        F.to_timestamp(field(r"^\[([^\]]*)\]"), "yyyy/MM/dd-HH:mm:ss").alias("ts"), field(r"checkpoint ([0-9]+)").try_cast("int").alias("checkpoint"),
+        field(r"(?:epoch|checkpoint) [0-9]+ - ([A-Za-z]+)").alias("split"), field(r"epoch:? ([0-9]+)").try_cast("int").alias("epoch"), field(r"sequences: ([0-9]+)").try_cast("long").alias("n_sequences"),
+        F.explode(F.split(field(r"(?:epoch|checkpoint).*(loss.*)"), r",\s*")).alias("metric"),
     )
     return rows.select("ts", "n_sequences", "epoch", "checkpoint", "split", F.trim(F.substring_index("metric", ":", 1)).alias("metric"), F.trim(F.substring_index("metric", ":", -1)).try_cast("double").alias("value"))
 

@@ -39,8 +39,12 @@ def test_small_scalars(spark):
     assert one(spark, sq.longest_repeat(F.lit("AACACACG"), 2)) == 3
     assert one(spark, sq.first_lower(F.lit("ACgT"))) == 2
     assert one(spark, sq.hamming(F.lit("ACG"), F.lit("aTG"))) == 1
-    assert one(spark, sq.range_list(F.lit("1,4:8:2"))) == [1, 4, 6]
-    assert one(spark, sq.allele_depth(F.lit("AU:CU"), F.lit("7,8:3,4"), F.lit("C"))) == 3
+    assert one(spark, sq.range_list(F.lit("1,4:8:2,3:4,9:7"))) == [1, 4, 6, 8, 3, 4]
+    depths = lambda *x: tuple(one(spark, sq.allele_depths(*map(F.lit, x))))
+    assert depths("AU:CU", "7,8:3,4", "A", "C") == (7, 3)
+    assert depths("DP:TAR:TIR", "9:5,6:2,2", "AC", "A") == (5, 2)
+    assert depths("AU:CU", "7,8:3,4", "A", "C,G") == (-1, -1)
+    assert one(spark, sq.variant_type_by_change(F.lit("AC"), F.lit("GT"))) == "SNP" and one(spark, sq.variant_type(F.lit("AC"), F.lit("GT"))) == "INDEL"
     assert one(spark, sq.info_field(F.lit("AC=1;AF=0.5"), "AF")) == "0.5"
     assert one(spark, sq.decimal_comma(F.lit("1,5"))) == 1.5
     assert one(spark, sq.finite(F.lit(float("inf")))) is None
@@ -50,9 +54,34 @@ def test_small_scalars(spark):
 
 
 def test_masked_tokens_have_exact_counts(spark):
-    df = spark.range(5).select(F.col("id").alias("k"), F.expr("transform(sequence(0, 99), i -> i % 4)").alias("t"))
-    r = arrays.masked_tokens(df, "k", "t", 0.2).collect()
-    assert all(sum(x != -100 for x in y.labels) == 20 and sum(x == 4 for x in y.masked) == 16 for y in r)
+    for n, share, frame in ((100, 0.2, 0), (7, 0.15, 0), (50, 0.15, 5), (10, 0.5, 5), (0, 0.5, 0)):
+        df = spark.range(5).select(F.col("id").alias("k"), F.expr(f"transform(sequence(1, {n}), i -> i % 4)" if n else "cast(array() as array<int>)").alias("t"))
+        inner = n - 2 * frame
+        parts = [round(share * 0.8 * inner), max(round(share * 0.1 * inner), 1), round(share * 0.1 * inner)] if inner > 0 else [0, 0, 0]
+        for r in arrays.masked_tokens(df, "k", "t", share, frame=frame).collect():
+            chosen = [i for i, x in enumerate(r.labels) if x != -100]
+            assert len(chosen) == sum(parts) and sum(x == 4 for x in r.masked) == parts[0]
+            assert all(frame <= i < n - frame and r.labels[i] == r.t[i] for i in chosen)
+            assert all(r.masked[i] == r.t[i] for i in range(n) if i not in chosen)
+
+
+def test_probability_scores(spark):
+    import math
+
+    m = F.array(*(F.array(*map(F.lit, row)) for row in ((1.0, 0.0, 0.0, 0.0), (0.5, 0.5, 1.0, 0.0), (0.1, 0.2, 0.3, 0.4))))
+    other = F.array(*(F.array(*map(F.lit, row)) for row in ((0.0, 1.0, 0.0, 0.0), (0.5, 0.5, 1.0, 0.0), (0.4, 0.3, 0.2, 0.1))))
+    odds = lambda p: math.log2(p + 1e-14) - math.log2(1 - p + 1e-14)
+    got = one(spark, arrays.influence(m, other))
+    assert got[1] == 0 and abs(got[0] - (odds(1.0) - odds(0.0))) < 1e-9 and abs(got[2] - (odds(0.4) - odds(0.1))) < 1e-9
+    scores = [one(spark, c) for c in arrays.motif_scores(m, F.lit("AGC"), F.lit(1), 2)]
+    assert abs(scores[0] - (0.5 + 0.2) / 2) < 1e-12
+    assert abs(scores[1] - (-math.log(1e-14) - math.log(0.1 + 1e-14)) / 2) < 1e-9
+    assert abs(scores[2] - (math.log(0.5) - math.log(1e-14) + math.log(0.2) - math.log(0.1)) / 2) < 1e-6
+    assert abs(one(spark, arrays.motif_scores(m, F.lit("AGC"), F.lit(1), 2, "max")[0]) - 0.5) < 1e-12
+    assert one(spark, arrays.track_score(F.array(*map(F.lit, (3.0, 1.0, 2.0))), F.lit(1), 2)) == 2.0
+    assert one(spark, arrays.only_lower(F.array(*map(F.lit, (1, 2, 3, 4, 5))), F.lit("AcGtA"))) == [2, 3, 4]
+    assert one(spark, arrays.only_lower(F.array(*map(F.lit, (1, 2))), F.lit("AC"))) == []
+    assert one(spark, kmers.in_repeat(F.lit("AcG"), F.lit(1))) is True
 
 
 def test_merge_and_subtract(spark):
@@ -139,12 +168,12 @@ def test_maf_gtf_log(spark, tmp_path):
     (tmp_path / "a.gtf").write_text('#c\n1\tx\texon\t5\t9\t.\t+\t.\tgene_name "G"; transcript_id "T";\n1\tx\tgene\t1\t9\t.\t+\t.\tgene_name "G";\n')
     assert [tuple(r) for r in files.gtf(spark, str(tmp_path / "a.gtf"), "exon").collect()] == [("1", 4, 9, "+", "G", "T")]
     (tmp_path / "log").mkdir()
-    (tmp_path / "log" / "1.txt").write_text("[2024/01/02-03:04:05] checkpoint 3 - train (epoch: 1; sequences: 20; x), loss: 0.5, total acc: 0.25\nnoise\n")
+    (tmp_path / "log" / "1.txt").write_text("[2024/01/02-03:04:05] checkpoint 3 - train (epoch: 1; sequences: 20; x), loss: 0.5, total acc: 0.25\nnoise\n[2024/01/02-04:04:05] epoch 2 - test (sequences: 40), loss: 0.75\n")
     events = files.training_log(spark.read.text(str(tmp_path / "log"))).collect()
-    assert [(e.metric, e.value, e.epoch, e.n_sequences) for e in events] == [("loss", 0.5, 1, 20), ("total acc", 0.25, 1, 20)]
+    assert [(e.metric, e.value, e.epoch, e.n_sequences) for e in events] == [("loss", 0.5, 1, 20), ("total acc", 0.25, 1, 20), ("loss", 0.75, 2, 40)]
     for _ in range(2):  # the second run finds nothing new
         streams.to_parquet(streams.log_events(spark, str(tmp_path / "log")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
 
 def test_markov_probabilities_sum_to_one(spark):
