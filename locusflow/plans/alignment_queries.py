@@ -15,7 +15,7 @@ from .registry import query, table
 
 # -- motif places of a reference sequence and of the others of its source -----------------------------------------------
 
-_MOTIFS = ("ACGTA", "CATGC")
+_MOTIFS = ("ACGGT", "CATGA")
 _PLACES = f"""(select source, doc_id, motif, spot from (select source, doc_id, seq, motif, unnest(range(0, length(seq) - 4)) as spot from {S}, (select unnest({list(_MOTIFS)}) as motif)) where substr(seq, spot + 1, 5) = motif)"""
 #: The matrix rule: every allowed pair of a place and another, the smallest gap taken, its row and column struck out, and again.
 _MATCHED = f"""with recursive places as {_PLACES}, first as (select source, min(doc_id) as doc_id from documents group by 1),
