@@ -210,13 +210,6 @@ def in_repeat(seq: Column | str, at: Column) -> Column:
     return F.substr(F.col(seq) if isinstance(seq, str) else seq, at.cast("int") + 1, F.lit(1)).rlike("[a-z]")
 
 
-def depth_at(columns: DataFrame, variants: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Variants (keys, ref, alt) beside their alignment column (counts A, C, G, T and depth from ``column_counts``): how deep it is, and how often ref and alt are there."""
-    joined = variants.join(columns.select(*keys, *BASES, "depth"), list(keys), "left")
-    share = lambda allele: F.try_divide(by_value(allele, {b: F.col(b) for b in BASES}).cast("double"), F.col("depth").cast("double"))
-    return joined.withColumn("ref_share", share("ref")).withColumn("alt_share", share("alt")).drop(*BASES)
-
-
 def token_lengths(df: DataFrame, tokens: str, length: str, at: int) -> DataFrame:
     """Most tokens of a row, and the mean length of the sequences that have exactly ``at`` tokens."""
     return df.agg(F.max(F.size(tokens)).alias("most_tokens"), F.avg(F.when(F.size(tokens) == at, F.col(length))).alias("mean_length"))

@@ -376,6 +376,12 @@ def linear_fit(df: DataFrame, groups: Sequence[str], x: str, y: str) -> DataFram
     return df.groupBy(*groups).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(x, y).alias("r"))
 
 
+def edge_bin(value: Column, edges: Sequence[float]) -> Column:
+    """Number from 0 of the bin (edge, next edge] that holds a value; null outside."""
+    above = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < value))
+    return F.when((above > 0) & (above < len(edges)), above - 1)
+
+
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, groups: Sequence[str] = ()) -> DataFrame:
     """Counts in equal bins from 1; values outside are left out, the last bin holds its upper edge."""
     inside = df.filter(F.col(value).between(low, high))

@@ -30,11 +30,12 @@ def step_rates(df: DataFrame, keys: Sequence[str], order: str, time: str, count:
     return rated.groupBy(*keys).agg(F.median("rate").alias("median_rate"))
 
 
-def epoch_lengths(df: DataFrame, keys: Sequence[str], order: str, epoch: str, count: str) -> DataFrame:
-    """Count gained from the first row of an epoch to the first of the next, by epoch."""
-    heads = df.groupBy(*keys, epoch).agg(F.min_by(count, order).alias("start"))
+def epoch_lengths(df: DataFrame, keys: Sequence[str], order: str, epoch: str, count: str, time: str | None = None) -> DataFrame:
+    """Count gained, and with ``time`` the seconds taken, from the first row of an epoch to the first of the next, by epoch."""
+    heads = df.groupBy(*keys, epoch).agg(F.min_by(count, order).alias("start"), *([F.min_by(F.unix_timestamp(F.col(time).cast("timestamp")), order).alias("_at")] if time else []))
     w = Window.partitionBy(*keys).orderBy(epoch)
-    return heads.withColumn("length", F.lead("start").over(w) - F.col("start"))
+    out = heads.withColumn("length", F.lead("start").over(w) - F.col("start"))
+    return out.withColumn("seconds", F.lead("_at").over(w) - F.col("_at")).drop("_at") if time else out
 
 
 def segment_means(df: DataFrame, keys: Sequence[str], segment: str, value: str) -> DataFrame:
