@@ -42,19 +42,16 @@ def running(df: DataFrame, keys: Sequence[str], position: str, order: Sequence[s
     ``order`` are columns, ascending, that follow ``position``: equal orders have equal bins.
     A sum over no rows is 0, the other kinds give null.
     """
-    held = df.withColumn("_bin", bin_of(position, span))
-    inside = Window.partitionBy(*keys, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    # one struct is the key of windows, totals and join alike: nothing is dealt twice, and nulls in it are equal
+    held = df.withColumn("_at", F.struct(*keys, bin_of(position, span).alias("_bin")))
+    inside = Window.partitionBy("_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    before = Window.partitionBy(*(F.col(f"_at.{k}") for k in keys)).orderBy("_at._bin").rowsBetween(Window.unboundedPreceding, -1)
     made = {name: _running(kind, value, order) for name, (kind, value) in values.items()}
-    totals = held.groupBy(*keys, "_bin").agg(*(group.alias(f"_t_{n}") for n, (_, group, _) in made.items()))
+    totals = held.groupBy("_at").agg(*(group.alias(f"_t_{n}") for n, (_, group, _) in made.items()))
     # a row for each bin of a key that has rows: at most the key's length over the span
-    carried = {n: _running("last" if kind == "last" else kind, F.col(f"_t_{n}"), ["_bin"])[0].over(before).alias(f"_c_{n}") for n, (kind, _) in values.items()}
-    carried = totals.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_bin").alias("_k_bin"), *carried.values())
+    carried = totals.select("_at", *(_running(kind, F.col(f"_t_{n}"), ["_at"])[0].over(before).alias(f"_c_{n}") for n, (kind, _) in values.items()))
     own = held.withColumns({f"_o_{n}": rows.over(inside) for n, (rows, _, _) in made.items()})
-    same = F.col("_bin") == F.col("_k_bin")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = own.join(carried, same)
+    joined = own.join(carried, "_at")
     return joined.select(*df.columns, *(both(F.col(f"_c_{n}"), F.col(f"_o_{n}")).alias(n) for n, (_, _, both) in made.items()))
 
 
