@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -14,3 +15,12 @@ def checkpoints(spark: SparkSession) -> None:
         if not named and not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, shared by driver and executors; it goes when the driver's JVM ends."""
+    checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    top.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(top)
+    return path

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sequence import chunks
+
 BED = "contig string, start long, end long, name string, score double, strand string"
 VCF = "contig string, pos long, id string, ref string, alt string, qual string, filter string, info string, format string, sample string"
 GTF = "contig string, source string, feature string, start long, end long, score string, strand string, frame string, attributes string"
@@ -67,17 +69,33 @@ def merged_species(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tiles(genome: DataFrame, size: int) -> DataFrame:
-    """A genome as tiles (contig, tile, seq), to be written once and joined by (contig, tile)."""
-    cut = genome.filter("length(seq) > 0").withColumn("tile", F.explode(F.expr(f"sequence(0, (length(seq) - 1) div {size})")))
-    return cut.select(F.col("name").alias("contig"), F.col("tile").cast("long").alias("tile"), F.expr(f"substring(seq, cast(tile * {size} + 1 as int), {size})").alias("seq"))
+    """A genome (name, seq) as tiles (contig, tile, seq), to be written once and joined by (contig, tile); one pass over each sequence."""
+    return genome.select(F.col("name").alias("contig"), F.posexplode(chunks("seq", size)).alias("tile", "seq")).withColumn("tile", F.col("tile").cast("long"))
+
+
+def write_tiles(genome: DataFrame, table: str, size: int, buckets: int = 64, path: str | None = None) -> DataFrame:
+    """Tiles as a table in buckets by (contig, tile): ``fetch`` then moves the regions to the buckets, never the genome.  Tiles are dealt by bucket first, so a bucket is one file."""
+    writer = tiles(genome, size).repartition(buckets, "contig", "tile").write.bucketBy(buckets, "contig", "tile").sortBy("contig", "tile").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return genome.sparkSession.table(table)
 
 
 def fetch(regions: DataFrame, tiled: DataFrame, size: int) -> DataFrame:
-    """Sequences of ``regions(name, contig, start, end)``: each region meets the tiles it covers; ends beyond the contig are cut."""
-    wanted = regions.filter("start < end").withColumn("tile", F.explode(F.expr(f"sequence(start div {size}, (end - 1) div {size})")))
-    parts = wanted.join(tiled, ["contig", "tile"]).groupBy("name", "contig", "start", "end").agg(F.array_sort(F.collect_list(F.struct("tile", "seq"))).alias("p"))
-    joined = F.concat_ws("", F.transform("p", lambda x: x["seq"]))
-    return parts.select("name", "contig", "start", "end", F.substr(joined, (F.col("start") - F.col("p")[0]["tile"] * size + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("seq"))
+    """Sequences of ``regions(name, contig, start, end)``: each region meets the tiles it covers, with the part of each that it needs; ends beyond the contig are cut, regions without a base get none."""
+    wanted = regions.select("name", "contig", "start", "end").filter("start < end").withColumn("tile", F.explode(F.expr(f"sequence(greatest(start, 0) div {size}, (end - 1) div {size})")))
+    low = F.greatest(F.col("start") - F.col("tile") * size, F.lit(0))
+    part = F.substr("seq", (low + 1).cast("int"), F.greatest(F.least(F.col("end") - F.col("tile") * size, F.lit(size)) - low, F.lit(0)).cast("int"))
+    parts = wanted.join(tiled, ["contig", "tile"]).select("name", "contig", "start", "end", F.struct("tile", part.alias("seq")).alias("p"))
+    joined = parts.groupBy("name", "contig", "start", "end").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["seq"]), "").alias("seq"))
+    return joined.filter("seq <> ''")
+
+
+def genome_chunks(index: DataFrame, length: int, overlap: int, least: int = 6) -> DataFrame:
+    """Overlapping pieces (chunk, name, start, end; from 1, both ends in) of sequences (name, length), named ``name:start-end``; pieces under a least length go."""
+    last = F.greatest(F.col("length") - overlap, F.lit(1)) - 1
+    starts = F.when(last >= 1, F.sequence(F.lit(1).cast("long"), last.cast("long"), F.lit(length - overlap).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    cut = index.select("name", "length", F.explode(starts).alias("start")).withColumn("end", F.least(F.col("start") + length - 1, F.col("length").cast("long"))).filter(F.col("end") - F.col("start") + 1 >= least)
+    return cut.select(F.concat("name", F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string")).alias("chunk"), "name", "start", "end")
 
 
 def maf(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from locusflow.plans import alignment_queries, interval_queries, job_queries, metric_queries, score_queries, sequence_queries, table_queries  # noqa: F401
+from locusflow.plans import alignment_queries, interval_queries, job_queries, metric_queries, score_queries, sequence_queries, source_queries, table_queries  # noqa: F401
 from locusflow.plans.registry import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
