@@ -115,3 +115,17 @@ def stratified_folds(df: DataFrame, label: str, key: str, folds: int, seed: str
 def group_folds(df: DataFrame, group: str, folds: int, seed: str | int = 0) -> DataFrame:
     """All rows of a group in one fold."""
     return df.withColumn("fold", F.floor(hash_fraction(group, seed) * folds).cast("int"))
+
+
+#: Groups that are ranked by size to deal them out evenly; beyond that a hash deals them.
+MOST_RANKED_GROUPS = 100_000
+
+
+def balanced_group_folds(df: DataFrame, group: str, folds: int, column: str = "fold") -> DataFrame:
+    """All rows of a group in one fold, folds of about equal size: groups by falling size go to the folds in turn, there and back."""
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    if sizes.limit(MOST_RANKED_GROUPS + 1).count() > MOST_RANKED_GROUPS:
+        return group_folds(df, group, folds).withColumnRenamed("fold", column)
+    turn = (F.row_number().over(Window.orderBy(F.desc("_n"), group)) - 1) % (2 * folds)
+    dealt = sizes.select(group, F.when(turn < folds, turn).otherwise(2 * folds - 1 - turn).cast("int").alias(column))
+    return df.join(F.broadcast(dealt), group)

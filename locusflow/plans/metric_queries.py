@@ -244,40 +244,54 @@ def _vectors(df: DataFrame) -> DataFrame:
     return df.withColumn("features", array_to_vector("x"))
 
 
+def _grouped(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors with a group, and folds that never part one."""
+    d = _examples(spark, folder).drop("fold").withColumn("y", F.col("label").cast("double")).withColumn("g", F.col("vec_id") % 12)
+    return _vectors(sp.balanced_group_folds(d, "g", 3))
+
+
 @query()
 def ridge_oof(spark: SparkSession, folder: str) -> DataFrame:
-    d = _vectors(_examples(spark, folder)).withColumn("y", F.col("label").cast("double"))
-    return ev.out_of_fold(d, "fold", range(3), lambda: ev.ridge("y", alphas=(0.01, 0.1)), ["vec_id", "y"])
+    """Ridge with its penalty searched over inner folds of groups, held-out predictions over outer folds of groups."""
+    return ev.out_of_fold(_grouped(spark, folder), "fold", range(3), lambda train, inner: ev.ridge("y", train, inner=inner), ["vec_id", "g", "y"], group="g")
 
 
 @query()
 def lasso_oof(spark: SparkSession, folder: str) -> DataFrame:
-    d = _vectors(_examples(spark, folder)).withColumn("y", F.col("label").cast("double"))
-    return ev.out_of_fold(d, "fold", range(3), lambda: ev.ridge("y", alphas=(0.01, 0.1), lasso=True), ["vec_id", "y"])
+    return ev.out_of_fold(_grouped(spark, folder), "fold", range(3), lambda train, inner: ev.lasso("y", inner=inner), ["vec_id", "g", "y"], group="g")
 
 
 @query()
 def logreg_oof(spark: SparkSession, folder: str) -> DataFrame:
-    return ev.out_of_fold(_vectors(_examples(spark, folder)), "fold", range(3), lambda: ev.logistic("is_high", penalties=(0.01, 0.1)), ["vec_id", "is_high"], "probability")
+    return ev.out_of_fold(_vectors(_examples(spark, folder)), "fold", range(3), lambda train, inner: ev.logistic("is_high", train, inner=inner), ["vec_id", "is_high"], "probability")
 
 
 @query()
 def mlp_oof(spark: SparkSession, folder: str) -> DataFrame:
-    return ev.out_of_fold(_vectors(_examples(spark, folder)), "fold", range(3), lambda: ev.perceptron("is_high", (64, 16, 2)), ["vec_id", "is_high"], "probability")
+    return ev.out_of_fold(_vectors(_examples(spark, folder)), "fold", range(3), lambda train, inner: ev.perceptron("is_high", (64, 16, 2)), ["vec_id", "is_high"], "probability")
+
+
+@query()
+def fold_table_oof(spark: SparkSession, folder: str) -> DataFrame:
+    """Held-out predictions over the folds of a table."""
+    d = _vectors(_examples(spark, folder).drop("fold")).withColumn("y", F.col("label").cast("double"))
+    folds = table(spark, folder, "embeddings").select("vec_id", (F.col("vec_id") % 4).cast("int").alias("fold"))
+    return ev.out_of_fold(ev.with_folds(d, folds, "vec_id"), "fold", range(4), lambda train, inner: ev.ridge("y", train, alphas=(100.0,), inner=2), ["vec_id", "y"])
 
 
 @query()
 def bagged_groups(spark: SparkSession, folder: str) -> DataFrame:
     d = _vectors(_examples(spark, folder)).withColumn("y", F.col("label").cast("double")).withColumn("g", F.col("vec_id") % 10)
-    return ev.bagged(d, "g", 3, lambda: ev._scaled(ev.LinearRegression(featuresCol="scaled", labelCol="y", regParam=0.1), "features"), d, "vec_id")
+    return ev.bagged(d, "g", 10, lambda: ev._scaled(ev.LinearRegression(featuresCol="scaled", labelCol="y", regParam=0.1), "features"), d, "vec_id")
 
 
 @query()
 def word2vec_mean(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean vectors of all words of four bases, at every place."""
     from pyspark.ml.functions import vector_to_array
 
     from ..functions.sequence import kmers
     from .frames import sequences
 
-    tokens = sequences(spark, folder).select("doc_id", kmers("seq", 4, 4).alias("tokens"))
-    return ev.word_vectors(tokens, "tokens", 16).select("doc_id", vector_to_array("vector").alias("vector"))
+    tokens = sequences(spark, folder).select("doc_id", kmers("seq", 4).alias("tokens"))
+    return ev.word_vectors(tokens, "tokens").select("doc_id", vector_to_array("vector").alias("vector"))
