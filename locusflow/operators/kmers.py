@@ -215,7 +215,26 @@ def token_lengths(df: DataFrame, tokens: str, length: str, at: int) -> DataFrame
     return df.agg(F.max(F.size(tokens)).alias("most_tokens"), F.avg(F.when(F.size(tokens) == at, F.col(length))).alias("mean_length"))
 
 
-def token_base_probabilities(tokens: DataFrame, keys: Sequence[str], token: str, p: str, k: int) -> DataFrame:
-    """Probabilities of whole tokens summed to those of each base at each offset."""
-    each = tokens.select(*keys, p, F.explode(F.expr(f"sequence(0, {k - 1})")).alias("offset"), F.col(token).alias("_t"))
-    return each.withColumn("base", F.expr("substring(_t, offset + 1, 1)")).groupBy(*keys, "offset", "base").agg(F.sum(p).alias("p"))
+def token_dictionary(vocabulary: DataFrame, token: str, k: int) -> DataFrame:
+    """(token, offset, base) of every token of k bases: which tokens have a base at an offset, listed once for a vocabulary."""
+    whole = vocabulary.filter(F.col(token).rlike(f"^[{BASES}]{{{k}}}$")).select(F.col(token).alias("token")).distinct()
+    return whole.select("token", F.posexplode(F.split("token", "")).alias("offset", "base"))
+
+
+#: Rows of a token dictionary that may be broadcast (six bases: 24,576).
+MOST_DICTIONARY = 100_000
+
+
+def token_base_probabilities(tokens: DataFrame, keys: Sequence[str], token: str, p: str, dictionary: DataFrame) -> DataFrame:
+    """Probabilities of tokens (keys, token, p) summed to those of each base at each offset: of all tokens that have the base there."""
+    listed = dictionary.withColumnRenamed("token", token)
+    listed = F.broadcast(listed) if listed.limit(MOST_DICTIONARY + 1).count() <= MOST_DICTIONARY else listed
+    return tokens.join(listed, token).groupBy(*keys, "offset", "base").agg(F.sum(p).alias("p"))
+
+
+def substituted_base_probabilities(tokens: DataFrame, keys: Sequence[str], token: str, p: str, truth: DataFrame, true_token: str) -> DataFrame:
+    """Probability of each base at each offset of a known token: that of the one token that differs from it there (or of itself); null where the tokens lack it."""
+    word = F.col(true_token)
+    places = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.transform(F.array(*map(F.lit, BASES)), lambda b: F.struct((i - 1).alias("offset"), b.alias("base"), F.concat(F.substr(word, F.lit(1), i - 1), b, F.substr(word, i + 1)).alias(token))))
+    wanted = truth.select(*keys, F.explode(F.flatten(places)).alias("x")).select(*keys, "x.*")
+    return wanted.join(tokens.select(*keys, token, p), [*keys, token], "left").select(*keys, "offset", "base", p)

@@ -204,3 +204,58 @@ def lower_window(spark: SparkSession, folder: str) -> DataFrame:
     seq = F.when(k % 5 == 0, F.repeat(F.lit("A"), F.lit(64))).otherwise(F.rpad(marked, 64, "A"))
     e = table(spark, folder, "embeddings").filter("embedding is not null")
     return e.select("vec_id", arrays.only_lower(F.transform("embedding", lambda x: x.cast("double")), seq).alias("kept"))
+
+
+# -- tokens ------------------------------------------------------------------------------------------------------------
+
+_WORDS = "(select vec_id, i, substr('ACGT', i // 16 + 1, 1) || substr('ACGT', i // 4 % 4 + 1, 1) || substr('ACGT', i % 4 + 1, 1) as token, abs(embedding[i + 1]::double) as p from (select *, unnest(range(0, 64)) as i from embeddings where embedding is not null))"
+
+
+@query(
+    f"""with w as (select * from {_WORDS}), o as (select unnest([0, 1, 2]) as off), b as (select unnest(['A', 'C', 'G', 'T']) as base),
+every as (select vec_id, off, substr(token, off + 1, 1) as base, sum(p) as p_all from w, o group by 1, 2, 3),
+truth as (select vec_id, token as t from w where i = vec_id % 64),
+single as (select t.vec_id, off, base, p as p_single from truth t, o, b join w on w.vec_id = t.vec_id and w.token = substr(t.t, 1, off) || base || substr(t.t, off + 2))
+select vec_id, off::int as "offset", base, p_all, p_single from every join single using (vec_id, off, base)"""
+)
+def token_bases(spark: SparkSession, folder: str) -> DataFrame:
+    """Token probabilities as those of single bases: over all tokens with the base at the offset, and over the one that differs from the true token there."""
+    words = [a + b + c for a in km.BASES for b in km.BASES for c in km.BASES]
+    e = table(spark, folder, "embeddings").filter("embedding is not null")
+    tokens = e.select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", "i", F.get(F.array(*map(F.lit, words)), F.col("i")).alias("token"), F.abs(F.col("x").cast("double")).alias("p"))
+    truth = tokens.filter("i = vec_id % 64").select("vec_id", F.col("token").alias("true_token"))
+    every = km.token_base_probabilities(tokens, ["vec_id"], "token", "p", km.token_dictionary(tokens, "token", 3)).withColumnRenamed("p", "p_all")
+    single = km.substituted_base_probabilities(tokens, ["vec_id"], "token", "p", truth, "true_token").withColumnRenamed("p", "p_single")
+    return every.join(single, ["vec_id", "offset", "base"]).select("vec_id", "offset", "base", "p_all", "p_single")
+
+
+@query(f"select doc_id, (doc_id % 8)::int as shard, length(seq)::double as length, (length(seq) - length(replace(replace(seq, 'C', ''), 'G', ''))) / length(seq)::double as gc from {S} where seq <> ''")
+def resumed_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """A batch scorer that is run over some shards, then over all: finished ones are kept as they are."""
+    from ..operators.checkpoints import scratch_folder
+    from ..operators.evaluate import score_missing
+
+    def scorer(batch):
+        gc = batch.seq.str.count("[CG]") / batch.seq.str.len()
+        return batch.assign(length=batch.seq.str.len().astype(float), gc=gc)[["doc_id", "shard", "length", "gc"]]
+
+    s = sequences(spark, folder).filter("seq <> ''").select("doc_id", (F.col("doc_id") % 8).cast("int").alias("shard"), "seq")
+    path, schema = scratch_folder(spark, "scores"), "doc_id long, shard int, length double, gc double"
+    score_missing(s.filter("shard < 3"), "shard", path, scorer, schema)
+    return score_missing(s, "shard", path, scorer, schema).select("doc_id", "shard", "length", "gc")
+
+
+@query(
+    """with m as (select lang, lim, n_chars::double as y, least(n_chars, lim) + doc_id % 50 as p from documents, (select unnest([200, 800, 3200]) as lim) union all select lang, null, n_chars::double, n_chars + doc_id % 50 from documents),
+r as (select lang, coalesce(lim::varchar, 'whole') as longest, corr(y, p) as r, count(*) as n from m group by 1, 2), c as (select lang, longest, format('{:.2f}±{:.2f}', r, case when n > 3 then (tanh(atanh(r) + 1.96 / sqrt(n - 3)) - tanh(atanh(r) - 1.96 / sqrt(n - 3))) / 2 end) as cell from r)
+select longest, max(cell) filter (where lang = 'en') as en, max(cell) filter (where lang = 'fr') as fr from c group by 1"""
+)
+def length_experiment(spark: SparkSession, folder: str) -> DataFrame:
+    """Pearson's r, with its interval, of predictions from sequences cut at several lengths and from whole ones, as a table of lengths by group."""
+    from ..sources.files import tagged_union
+
+    d = table(spark, folder, "documents").select("lang", F.col("n_chars").cast("double").alias("y"), "n_chars", "doc_id")
+    runs = {(str(m) if m else "whole",): d.withColumn("p", ((F.least("n_chars", F.lit(m)) if m else F.col("n_chars")) + F.col("doc_id") % 50).cast("double")) for m in (200, 800, 3200, None)}
+    r = mt.pearson_ci(tagged_union(runs, ["longest"]), ["longest", "lang"], "y", "p")
+    cell = F.format_string("%.2f±%.2f", F.col("r"), F.col("half_width"))
+    return r.withColumn("cell", cell).groupBy("longest").pivot("lang", ["en", "fr"]).agg(F.max("cell"))
