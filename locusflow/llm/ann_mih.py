@@ -99,6 +99,23 @@ class MultiIndex:
         return rows[hamming(self.codes[rows], code) <= radius]
 
 
+def best_scores(v: np.ndarray, rows: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that may be among the k best, with their inner products.
+
+    A matrix product, whose last bits depend on a row's place, only bounds the choice; what
+    it leaves is summed row by row, so that equal vectors have equal products wherever they lie.
+    """
+    if len(rows) > k:
+        rough = v[rows] @ q
+        slack = 1e-12 * (1 + np.abs(q).sum()) * (1 + np.abs(v[rows]).max())
+        rows = rows[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - slack]
+    score = (v[rows] * q).sum(axis=1)
+    if len(rows) > k:  # everything that ties with the k-th stays for the choice by id
+        edge = np.partition(score, len(score) - k)[len(score) - k]
+        rows, score = rows[score >= edge], score[score >= edge]
+    return rows, score
+
+
 def search(vectors: DataFrame, queries, k: int = 20, recall: float = 0.97, sample_rows: int = SAMPLE_ROWS, scratch: Scratch | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``vectors(vec_id, embedding)`` that ``queries`` (a condition) selects, its nearest other rows found."""
     spark, scratch = vectors.sparkSession, scratch or Scratch(vectors.sparkSession)
@@ -138,10 +155,7 @@ def search(vectors: DataFrame, queries, k: int = 20, recall: float = 0.97, sampl
                     if len(rows) >= k or reach >= _BITS:
                         break
                     reach += 8
-                score = v[rows] @ q[i]
-                if len(rows) > k:  # everything that ties with the k-th stays for the choice by id
-                    edge = np.partition(score, len(score) - k)[len(score) - k]
-                    rows, score = rows[score >= edge], score[score >= edge]
+                rows, score = best_scores(v, rows, q[i], k)
                 best = np.lexsort((uids[rows], ids[rows], -score))[:k]
                 found.append((np.full(len(best), own_ids[i]), np.full(len(best), own_uids[i]), ids[rows[best]], uids[rows[best]], score[best]))
         cat = lambda j, kind: np.concatenate([f[j] for f in found]) if found else np.zeros(0, kind)

@@ -147,7 +147,8 @@ def estimate_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows
     total = docs.count()
     atomic = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (ArrayType, MapType, StructType))]
     share = min(1.0, 0.8 * sample_rows / max(total, 1))
-    sample = docs.filter(F.pmod(F.xxhash64(*atomic), F.lit(1_000_000)) < int(share * 1_000_000)).select("text").limit(sample_rows)
+    # the whole hash decides, so that a share of any smallness holds rows
+    sample = (docs if share == 1 else docs.filter(F.xxhash64(*atomic) < int(share * 2**64) - 2**63)).select("text").limit(sample_rows)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spent, thrown = np.zeros(len(rules), np.int64), np.zeros(len(rules), np.int64)

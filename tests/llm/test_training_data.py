@@ -172,6 +172,31 @@ def test_nearest_neighbours_are_ranked_row_by_row(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out) == [(0, 1, 0, 0.0), (0, 1, 3, 1.0), (0, 2, 3, 0.0), (0, 2, 7, 1.0), (0, 3, 0, 0.0), (0, 3, 5, 0.0)]
 
 
+def test_equal_vectors_have_equal_scores_wherever_they_lie(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    kinds = rng.normal(size=(40, 33)).astype(np.float32)
+    own = rng.integers(0, 40, 900)
+    rows = [(int(i), [float(x) for x in kinds[j]]) for i, j in zip(rng.permutation(900), own)]
+    monkeypatch.setattr(ann_mih, "BLOCK_ROWS", 100)
+    got = ann_mih.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6), F.expr("vec_id % 20 = 0")).toPandas()
+    vector = {i: np.array(v, np.float32).astype(float) for i, v in rows}
+    for q, g in got.groupby("query_id"):
+        listed = [(-(vector[i] * vector[q]).sum(), i) for i in vector if i != q]
+        assert g.sort_values("rank").vec_id.tolist() == [i for _, i in sorted(listed)[:20]]
+        assert len({(r.vec_id, r.score) for r in g.itertuples()}) == 20
+
+
+def test_cascade_sample_of_a_very_large_table(spark):
+    """The share of a table of two billion rows still holds rows of this one, as far as their hashes go."""
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit("some words here").alias("text"))
+    share = 0.8 * 2000 / 2e9
+    assert int(share * 2**64) - 2**63 > -(2**63)
+    seen = docs.filter(F.xxhash64("doc_id", "text") < int(0.01 * 2**64) - 2**63).count()
+    assert 1700 < seen < 2300
+    order = quality_cascade.estimate_order(docs, sample_rows=500)
+    assert sorted(order) == sorted(r.name for r in quality_cascade.RULES) and order[0] == "few_words"
+
+
 def test_multi_index_finds_every_code_within_the_radius():
     codes = np.random.default_rng(0).integers(0, 2**63, (500, 2), dtype=np.uint64)
     codes[:50, 0] = codes[0, 0] ^ (np.uint64(1) << np.arange(50, dtype=np.uint64))
