@@ -16,7 +16,9 @@ once for every ``QUERY_ROWS`` queries.
 Defined results: vectors that are null, zero, of another length than the sample's or that hold
 null or non-finite components take no part; every row is a query and a candidate
 of its own, whatever its id, and meets all rows but itself (of repeated ids each
-has its own list); fewer than k candidates give them all; ties go to the smaller id.
+has its own list); fewer than k candidates give them all; ties go to the smaller id,
+and equal vectors always tie; other columns than vec_id and embedding are left out; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ these messages the pieces' counts and likelihoods are those of the whole text.
 
 Defined results: null and empty texts hold the end token only; repeated rows are
 scored one by one; a null doc_id counts as empty text for the fold; with no
-training text at all every word is unseen.
+training text at all every word is unseen; other columns than doc_id and text are left
+out; a very long text is a block of its own.
 """
 
 from __future__ import annotations
@@ -339,8 +340,10 @@ def _word_counts(blocks: DataFrame, shards: int) -> DataFrame:
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, words, seen in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                cut = np.concatenate([[0], np.searchsorted(np.frombuffer(words, np.uint64), edges, "right")]).tolist()
-                parts = [(s, a, b) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+                # words are sorted: a step for each shard that the block has words of, however many there are
+                shard = np.searchsorted(edges, np.frombuffer(words, np.uint64))
+                cut = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]]).tolist() if len(shard) else []
+                parts = [(int(shard[a]), a, b) for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([s for s, _, _ in parts], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([words[8 * a : 8 * b] for _, a, b in parts], pa.binary()), pa.array([seen[4 * a : 4 * b] for _, a, b in parts], pa.binary())],
                     names=["shard", "block", "words", "seen"],

@@ -22,7 +22,9 @@ cut into pairs of blocks of like sizes.  Copies with one set are one class throu
 Defined results: null and empty texts have no shingles and link with nothing (a
 component of their own); repeated rows are copies; a null doc_id takes part like
 any other but is never the smallest.  Every row has a written key of its own, so
-that one doc_id may stand for several texts.  Sets are compared by 64-bit hashes.
+that one doc_id may stand for several texts.  Sets are compared by 64-bit hashes.  An
+empty table gives an empty table; ``link_components`` leaves other columns out,
+``one_of_each_group`` passes them through; a very long text is one set, held whole in a task.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ under a third of them hold, must be matched, so that no licence is taken for ano
 
 Defined results: null, empty and unlicensed texts have no row; repeated rows are
 scanned one by one; equal finds (ties) go to the first licence by name; a template
-shorter than K words is never found; an empty table gives an empty table.
+shorter than K words is never found; an empty table gives an empty table; other columns
+than doc_id and text are left out; a very long text is scanned whole, with memory in
+proportion to its length.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ follows another character, so the text falls into segments that are encoded on
 their own; equal segments are encoded once per batch.
 
 Defined results: a null text counts as empty; an empty text has no pieces (only
-begin and end ids where asked for); repeated rows are encoded alike.
+begin and end ids where asked for); repeated rows are encoded alike; an empty table
+gives an empty table; other columns pass through, new ones get an underscore where a name
+is taken; a very long text is encoded whole, with memory in proportion to its length.
 """
 
 from __future__ import annotations

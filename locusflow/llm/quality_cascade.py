@@ -10,7 +10,8 @@ is kept when no rule rejects it.
 Defined results: a null text counts as empty; an empty text has no words and is
 rejected by ``few_words``; repeated rows are judged one by one; rules that tie run in
 the order of their names; an empty table gives an empty table; other columns are
-passed through untouched.
+passed through untouched, new ones get an underscore where a name is taken; a very long
+text is measured whole, with memory in proportion to its length.
 """
 
 from __future__ import annotations
