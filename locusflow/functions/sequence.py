@@ -176,11 +176,14 @@ def match_places(seq: Column | str, motif: Column | str) -> Column:
 
 
 def motif_mask(seq: Column | str, motif: Column | str, mark: int = 1) -> Column:
-    """``mark`` at all positions that matches cover, 0 elsewhere."""
+    """``mark`` at all positions that matches cover (from the left, without overlap), 0 elsewhere: one pass over the stretches between matches."""
     seq, motif = _col(seq), _col(motif)
-    places = match_places(seq, motif)
-    inside = lambda i: F.exists(places, lambda p: (p <= i) & (i < p + F.length(motif)))
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.length(seq) - 1, F.lit(0))), lambda i: F.when(inside(i), mark).otherwise(0))
+    fill = lambda x, n: F.array_repeat(F.lit(x), n)
+
+    def marked(gaps: Column) -> Column:
+        return F.flatten(F.transform(gaps, lambda g, i: F.concat(fill(0, F.length(g)), F.when(i < F.size(gaps) - 1, fill(mark, F.length(motif))).otherwise(fill(mark, F.lit(0))))))
+
+    return let(F.split(seq, F.concat(F.lit(r"\Q"), motif, F.lit(r"\E")), -1), marked)
 
 
 def uniformity(seq: Column | str) -> Column:

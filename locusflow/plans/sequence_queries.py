@@ -255,3 +255,85 @@ def motif_hits(spark: SparkSession, folder: str) -> DataFrame:
 def motif_places(spark: SparkSession, folder: str) -> DataFrame:
     places = sequences(spark, folder).select("doc_id", sq.match_places("seq", F.lit("ACG")).alias("p"))
     return places.select("doc_id", F.size("p").cast("long").alias("n"), F.get("p", F.lit(0)).cast("long").alias("first_place"))
+
+
+# -- edits, masks and fields of a sequence -----------------------------------------------------------------------------
+
+_SPOT = "(doc_id % 10)"
+_MARKED = f"substr(seq, 1, {_SPOT}) || lower(substr(seq, {_SPOT} + 1, 3)) || substr(seq, {_SPOT} + 4)"
+
+
+@query(
+    f"""select doc_id, md5(seq) as dna, md5(replace(replace(seq, 'AC', '-'), '-', '')) as stripped, md5(replace(seq, 'AC', '-')) as gapped, md5(case when doc_id % 7 < 3 then repeat('N', (3 - doc_id % 7)::int) || seq else substr(seq, (doc_id % 7 - 3)::int + 1) end) as shifted,
+  {_SPOT} as first_lower, {_SPOT} + 1 as median_lower, md5(substr(seq, 1, {_SPOT}) || '---' || substr(seq, {_SPOT} + 4)) as hidden, doc_id || '_' || length(seq) || '_A' as key,
+  length(seq) as n_hot, (doc_id % 20) // 7 as first_token, (doc_id % 20 + 4) // 7 + 1 as stop_token from {S} where length(seq) >= 40"""
+)
+def sequence_edits(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.col("doc_id")
+    s = sequences(spark, folder).filter("length(seq) >= 40")
+    marked = sq.lower_at(sq.lower_at(sq.lower_at("seq", k % 10), k % 10 + 1), k % 10 + 2)
+    window = sq.tokens_of_window(sq.chunks("seq", 7), k % 20, k % 20 + 5)
+    hot = F.aggregate(F.flatten(sq.one_hot("seq")), F.lit(0), lambda t, x: t + x)
+    return s.withColumn("marked", marked).select(
+        "doc_id", F.md5(sq.dna(F.translate("seq", "T", "U"))).alias("dna"), F.md5(sq.strip_gaps(F.replace("seq", F.lit("AC"), F.lit("-")))).alias("stripped"), F.md5(sq.gap_strangers(F.replace("seq", F.lit("AC"), F.lit("X")))).alias("gapped"),
+        F.md5(sq.shift("seq", k % 7 - 3)).alias("shifted"), sq.first_lower("marked").cast("long").alias("first_lower"), sq.median_lower("marked").cast("long").alias("median_lower"), F.md5(sq.mask_repeats("marked")).alias("hidden"),
+        sq.variant_key(k, F.length("seq"), F.lit("A")).alias("key"), hot.cast("long").alias("n_hot"), window["first"].cast("long").alias("first_token"), window["stop"].cast("long").alias("stop_token"),
+    )
+
+
+@query(
+    f"""with hits as (select doc_id, length(seq) as n, i - 1 as at_ from (select doc_id, seq, unnest(range(1, length(seq) - 1)) as i from {S}) where substr(seq, i, 3) = 'ACG'),
+covered as (select doc_id, n, at_ + j as p from hits, (select unnest([0, 1, 2]) as j)), near as (select distinct doc_id, p + j as p from covered, (select unnest([-2, -1, 0, 1, 2, 3]) as j) where p + j >= 0 and p + j < n)
+select doc_id, coalesce(c, 0) as covered, coalesce(m, 0) as near from {S} left join (select doc_id, count(*) as c from covered group by 1) using (doc_id) left join (select doc_id, count(*) as m from near group by 1) using (doc_id) where seq <> ''"""
+)
+def motif_masks(spark: SparkSession, folder: str) -> DataFrame:
+    """How many places a motif's matches cover, and how many lie near them."""
+    m = sequences(spark, folder).filter("seq <> ''").withColumn("mask", sq.motif_mask("seq", F.lit("ACG")))
+    ones = lambda c: F.size(F.filter(c, lambda x: x == 1)).cast("long")
+    return m.select("doc_id", ones("mask").alias("covered"), ones(arrays.spread_mask("mask")).alias("near"))
+
+
+@query("select event_id, (event_id % 9)::varchar as depth, case when event_id % 2 = 0 then event_type end as state from events")
+def format_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Values of a sample by the keys of its format; keys without a value are null."""
+    e = table(spark, folder, "events")
+    even, depth = F.col("event_id") % 2 == 0, (F.col("event_id") % 9).cast("string")
+    form, sample = F.when(even, "GT:DP:ST").otherwise("DP:GT:ST"), F.when(even, F.concat_ws(":", F.lit("0/1"), depth, "event_type")).otherwise(F.concat_ws(":", depth, F.lit("0/1")))
+    return e.select("event_id", sq.format_value(form, sample, F.lit("DP")).alias("depth"), sq.format_value(form, sample, F.lit("ST")).alias("state"))
+
+
+@query("select l_suppkey, l_linenumber, avg(l_quantity) as mean from lineitem group by 1, 2")
+def segment_means(spark: SparkSession, folder: str) -> DataFrame:
+    return ordered.segment_means(table(spark, folder, "lineitem"), ["l_suppkey"], "l_linenumber", "l_quantity")
+
+
+_LINKS = "(select user_id, event_id * 10 as start, case when event_id % 4 = 0 then 9 else (lead(event_id) over (partition by user_id order by event_id) - event_id) * 10 end as length from events)"
+
+
+@query(f"""with l as (select *, case when lag(start + length) over w <> start then 1 else 0 end as gap from {_LINKS} window w as (partition by user_id order by start)),
+b as (select *, sum(gap) over (partition by user_id order by start rows unbounded preceding) as g from l) select user_id, start, length from b where g = 0""")
+def contiguous_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of each user up to the first gap."""
+    e = table(spark, folder, "events")
+    following = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = e.select("user_id", (F.col("event_id") * 10).alias("start"), F.when(F.col("event_id") % 4 == 0, 9).otherwise((following - F.col("event_id")) * 10).alias("length"))
+    return ordered.contiguous_chain(rows, ["user_id"], "start", "length").select("user_id", "start", "length")
+
+
+@query(
+    """select coalesce(c.k, o.k, s.k) as k, coalesce(c.bal, 0) as base__bal, coalesce(o.n, 0)::double as orders__n, coalesce(s.cost, 0) as supply__cost from (select c_custkey as k, c_acctbal as bal from customer) c
+full join (select o_custkey as k, count(*) as n from orders group by 1) o on o.k = c.k full join (select s_suppkey * 3 as k, s_acctbal as cost from supplier) s on s.k = coalesce(c.k, o.k)"""
+)
+def named_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Feature tables by name side by side as one vector, nulls as 0."""
+    from pyspark.ml.functions import vector_to_array
+
+    from ..operators import evaluate as ev
+
+    tables = {
+        "base": table(spark, folder, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal")), "orders": table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n")),
+        "supply": table(spark, folder, "supplier").select((F.col("s_suppkey") * 3).alias("k"), F.col("s_acctbal").alias("cost")), "unused": table(spark, folder, "nation").select(F.col("n_nationkey").alias("k")),
+    }
+    joined, names = ev.features_by_name(tables, ["base", "orders", "supply"], "k")
+    x = ev.assembled(joined, names).select("k", vector_to_array("features").alias("x"))
+    return x.select("k", *(F.get("x", F.lit(i)).alias(n) for i, n in enumerate(names)))
