@@ -26,26 +26,57 @@ def _binned(df: DataFrame, start: str, end: str, size: int, tag: str) -> DataFra
     return df.filter(F.col(start) < F.col(end)).withColumn(f"{tag}_first", first).withColumn("bin", F.explode(F.sequence(first, last)))
 
 
+#: Bins of one level in one of the next, and so about the most bins that an interval is listed in.
+LEVEL_BINS = 64
+
+
+def _levelled(df: DataFrame, start: str, end: str, size: int, tag: str, levels: int) -> DataFrame:
+    """A row for each (level, bin): an interval's own level is the first at which it touches ``LEVEL_BINS`` bins at most (the last, if none is); it is listed there and at all coarser levels."""
+    a, b = F.col(start), F.col(end)
+    width = [size * LEVEL_BINS**i for i in range(levels)]
+    own = F.lit(levels - 1)
+    for i in range(levels - 2, -1, -1):
+        own = F.when(b - a <= width[i] * (LEVEL_BINS - 1), i).otherwise(own)
+    none = F.array().cast("array<struct<level:int,bin:bigint>>")
+
+    def at(i: int, w: int) -> Column:
+        bins = F.transform(F.sequence(_bin(a, w), _bin(b - 1, w)), lambda x: F.struct(F.lit(i).alias("level"), x.alias("bin")))
+        return F.when(own <= i, bins).otherwise(none)
+
+    listed = [at(i, w) for i, w in enumerate(width)]
+    return df.filter(a < b).withColumn(f"{tag}_level", own).withColumn("_x", F.explode(F.flatten(F.array(*listed)))).withColumn("level", F.col("_x.level")).withColumn("bin", F.col("_x.bin")).drop("_x")
+
+
 def _prefixed(df: DataFrame, prefix: str, keys: Sequence[str]) -> DataFrame:
     return df.select(*(F.col(c).alias(c if c in keys else prefix + c) for c in df.columns))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("contig",), bin_size: int = 4096, how: str = "inner", min_overlap: int = 1) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("contig",), bin_size: int = 4096, how: str = "inner", min_overlap: int = 1, levels: int = 1) -> DataFrame:
     """All pairs of overlapping intervals (columns l_*, r_*, overlap).  ``how``: inner, or left_semi for the left rows alone.
 
-    Add the strand to ``keys`` for a strand-aware join.
+    Add the strand to ``keys`` for a strand-aware join.  With ``levels``, bins grow by
+    ``LEVEL_BINS`` from level to level and a pair meets at the coarser level of its two, so that
+    an interval as long as a contig is listed in a few dozen bins, not in all of them.
     """
-    a = _binned(_prefixed(left, "l_", keys), "l_start", "l_end", bin_size, "l")
-    b = _binned(_prefixed(right, "r_", keys), "r_start", "r_end", bin_size, "r")
     overlap = F.least("l_end", "r_end") - F.greatest("l_start", "r_start")
-    on = [a[k] == b[k] for k in keys] + [a["bin"] == b["bin"], a["bin"] == F.greatest("l_first", "r_first"), overlap >= min_overlap]
+    if levels == 1:
+        a = _binned(_prefixed(left, "l_", keys), "l_start", "l_end", bin_size, "l")
+        b = _binned(_prefixed(right, "r_", keys), "r_start", "r_end", bin_size, "r")
+        on = [a[k] == b[k] for k in keys] + [a["bin"] == b["bin"], a["bin"] == F.greatest("l_first", "r_first"), overlap >= min_overlap]
+    else:
+        a = _levelled(_prefixed(left, "l_", keys), "l_start", "l_end", bin_size, "l", levels)
+        b = _levelled(_prefixed(right, "r_", keys), "r_start", "r_end", bin_size, "r", levels)
+        width = F.element_at(F.array(*(F.lit(bin_size * LEVEL_BINS**i).cast("long") for i in range(levels))), a["level"] + 1)
+        both = F.floor(F.greatest("l_start", "r_start") / width)  # the first bin that both touch
+        on = [a[k] == b[k] for k in keys] + [a["level"] == b["level"], a["bin"] == b["bin"], a["level"] == F.greatest("l_level", "r_level"), a["bin"] == both, overlap >= min_overlap]
     condition = on[0]
     for c in on[1:]:
         condition = condition & c
     if how == "left_semi":
-        return a.join(b, condition, "left_semi").drop("bin", "l_first").select(*(F.col(c if c in keys else "l_" + c).alias(c) for c in left.columns))
+        return a.join(b, condition, "left_semi").select(*(F.col(c if c in keys else "l_" + c).alias(c) for c in left.columns))
     joined = a.join(b, condition, "inner")
-    return joined.select(*(a[k] for k in keys), *(a[c] for c in a.columns if c.startswith("l_") and c != "l_first"), *(b[c] for c in b.columns if c.startswith("r_") and c != "r_first"), overlap.alias("overlap"))
+    made = {"l_first", "r_first", "l_level", "r_level"}
+    return joined.select(*(a[k] for k in keys), *(a[c] for c in a.columns if c.startswith("l_") and c not in made), *(b[c] for c in b.columns if c.startswith("r_") and c not in made), overlap.alias("overlap"))
 
 
 def point_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str] = ("contig",), bin_size: int = 4096, how: str = "inner") -> DataFrame:

@@ -60,21 +60,27 @@ def roc_auc(df: DataFrame, groups: Sequence[str], score: str, label: str, weight
     return out.withColumn("auc", F.try_divide(F.col("_w"), F.col("n_pos") * F.col("n_neg"))).drop("_w")
 
 
-def ranged_roc_auc(df: DataFrame, groups: Sequence[str], score: str, label: str, partitions: int = 200, weight: Column | None = None) -> DataFrame:
-    """AUC of groups of any size, with no window over a whole group: distinct scores are range-partitioned, totals of partitions give each its offset.
+def ranged_sums(counts: DataFrame, groups: Sequence[str], order: str, values: Sequence[str], partitions: int = 200) -> DataFrame:
+    """Rows of distinct (groups, order) with ``below_v``, the sum of v over the group's rows of smaller order, and ``all_v``, the whole group's: no window over a whole group.
 
-    The counts are written to the checkpoint folder, so that both passes see one partitioning.
+    Rows are range-partitioned and written to the checkpoint folder, so that both passes see one partitioning; totals of partitions give each its offset.
     """
-    checkpoints(df.sparkSession)
-    counts = score_counts(df, groups, score, label, weight).repartitionByRange(partitions, *groups, "score").checkpoint().withColumn("part", F.spark_partition_id())
-    inside = Window.partitionBy("part", *groups).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    checkpoints(counts.sparkSession)
+    dealt = counts.repartitionByRange(partitions, *groups, order).checkpoint().withColumn("_p", F.struct(F.spark_partition_id().alias("part"), *groups))
+    inside = Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     # one row for each partition and group in it: at most partitions + groups
-    totals = counts.groupBy("part", *groups).agg(F.sum("neg").alias("part_neg"))
-    sofar = Window.partitionBy(*groups).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("before", F.coalesce(F.sum("part_neg").over(sofar), F.lit(0.0))).drop("part_neg")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in groups]
-    wins = counts.withColumn("own", F.coalesce(F.sum("neg").over(inside), F.lit(0.0))).alias("a").join(offsets.alias("b"), [F.col("a.part") == F.col("b.part"), *same]).select("a.*", "b.before")
-    out = wins.groupBy(*groups).agg(F.sum(F.col("pos") * (F.col("before") + F.col("own") + F.col("neg") / 2)).alias("w"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    totals = dealt.groupBy("_p").agg(*(F.sum(v).alias(v) for v in values))
+    group = [F.col(f"_p.{g}") for g in groups]
+    sofar, whole = Window.partitionBy(*group).orderBy("_p.part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*group)
+    offsets = totals.select("_p", *(F.coalesce(F.sum(v).over(sofar), F.lit(0)).alias(f"_b_{v}") for v in values), *(F.sum(v).over(whole).alias(f"all_{v}") for v in values))
+    own = dealt.withColumns({f"_o_{v}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
+    return own.join(offsets, "_p").select(*counts.columns, *((F.col(f"_b_{v}") + F.col(f"_o_{v}")).alias(f"below_{v}") for v in values), *(f"all_{v}" for v in values))
+
+
+def ranged_roc_auc(df: DataFrame, groups: Sequence[str], score: str, label: str, partitions: int = 200, weight: Column | None = None) -> DataFrame:
+    """AUC of groups of any size, from sums over ranges of scores."""
+    wins = ranged_sums(score_counts(df, groups, score, label, weight), groups, "score", ["pos", "neg"], partitions)
+    out = wins.groupBy(*groups).agg(F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / 2)).alias("w"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return out.select(*groups, F.try_divide(F.col("w"), F.col("n_pos") * F.col("n_neg")).alias("auc"), "n_pos", "n_neg")
 
 
@@ -83,14 +89,11 @@ def global_roc_auc(df: DataFrame, score: str, label: str, partitions: int = 200)
     return ranged_roc_auc(df, [], score, label, partitions)
 
 
-def roc_curve(df: DataFrame, groups: Sequence[str], score: str, label: str) -> DataFrame:
-    """(threshold, fpr, tpr) for each distinct score, highest first."""
-    counts = score_counts(df, groups, score, label)
-    down, whole = Window.partitionBy(*groups).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*groups)
-    return counts.select(
-        *groups, F.col("score").alias("threshold"),
-        F.try_divide(F.sum("neg").over(down), F.sum("neg").over(whole)).alias("fpr"), F.try_divide(F.sum("pos").over(down), F.sum("pos").over(whole)).alias("tpr"),
-    )
+def roc_curve(df: DataFrame, groups: Sequence[str], score: str, label: str, partitions: int = 200) -> DataFrame:
+    """(threshold, fpr, tpr) for each distinct score: the shares of both classes that score as much or more."""
+    sums = ranged_sums(score_counts(df, groups, score, label), groups, "score", ["pos", "neg"], partitions)
+    above = lambda c: F.try_divide(F.col(f"all_{c}") - F.col(f"below_{c}"), F.col(f"all_{c}"))
+    return sums.select(*groups, F.col("score").alias("threshold"), above("neg").alias("fpr"), above("pos").alias("tpr"))
 
 
 def either_way(auc: Column) -> Column:
@@ -164,8 +167,8 @@ def uniform(hashed: Column, replicate: Column) -> Column:
     low = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
     fold = lambda x, n: x.bitwiseXOR(F.shiftright(x, n))
     x = low(hashed + replicate.cast("long") * F.lit(_STEP))
-    for n, factor in zip((16, 13), _FACTORS, strict=True):
-        x = let(x, lambda v, n=n, factor=factor: low(fold(v, n) * F.lit(factor)))
+    x = let(x, lambda v: low(fold(v, 16) * F.lit(_FACTORS[0])))
+    x = let(x, lambda v: low(fold(v, 13) * F.lit(_FACTORS[1])))
     return let(x, lambda v: fold(v, 16)) / F.lit(4294967296.0)
 
 
@@ -388,10 +391,10 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, gro
     return inside.groupBy(*groups, F.least(F.width_bucket(F.col(value).cast("double"), F.lit(float(low)), F.lit(float(high)), F.lit(bins)), F.lit(bins)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def cumulative_counts(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
-    """For each distinct value, how many rows have at most it."""
+def cumulative_counts(df: DataFrame, value: str, groups: Sequence[str] = (), partitions: int = 200) -> DataFrame:
+    """For each distinct value, how many rows have at most it, in groups of any size."""
     n = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("cumulative", F.sum("n").over(Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    return ranged_sums(n, groups, value, ["n"], partitions).select(*groups, value, "n", (F.col("below_n") + F.col("n")).alias("cumulative"))
 
 
 def duplicated_out(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -22,9 +22,14 @@ def shuffled(df: DataFrame, key: str, seed: str | int = 0) -> DataFrame:
 
 
 def sample_per_group(df: DataFrame, groups: Sequence[str], key: str, n: int, seed: str | int = 0) -> DataFrame:
-    """At most n rows of each group, without replacement."""
-    order = Window.partitionBy(*groups).orderBy(hash_order(key, seed), key)
-    return df.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_r")
+    """At most n rows of each group, without replacement.
+
+    Only rows whose hash is under their group's share are ranked, so that a group's rank is over about n rows, however large it is.
+    """
+    sizes = df.groupBy(F.struct(*groups).alias("_g")).agg(F.count(F.lit(1)).alias("_size"))
+    near = df.withColumn("_g", F.struct(*groups)).join(sizes, "_g").filter(hash_fraction(key, seed) <= _below(F.lit(float(n)), F.col("_size")))
+    order = Window.partitionBy("_g").orderBy(hash_order(key, seed), key)
+    return near.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).select(*df.columns)
 
 
 def sample_at_most(df: DataFrame, key: str, n: int, seed: str | int = 0) -> DataFrame:

@@ -35,6 +35,13 @@ def interval_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return iv.overlap_join(intervals(spark, folder, "signup", 6), intervals(spark, folder, "purchase", 3), bin_size=_BIN).select("contig", "l_name", "r_name", "overlap")
 
 
+@query(f'select a.name as l_name, b.name as r_name, least(a."end", b."end") - greatest(a.start, b.start) as overlap from (select contig, name, start, case when name::bigint % 50 = 0 then "end" + 2000000 else "end" end as "end" from {A}) a join {B} b on a.contig = b.contig and a.start < b."end" and b.start < a."end"')
+def long_interval_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlaps where some intervals are hundreds of times longer than the others."""
+    a = intervals(spark, folder, "signup", 6).withColumn("end", F.when(F.col("name").cast("long") % 50 == 0, F.col("end") + 2000000).otherwise(F.col("end")))
+    return iv.overlap_join(a, intervals(spark, folder, "purchase", 3), bin_size=HOUR, levels=3).select("l_name", "r_name", "overlap")
+
+
 @query(
     f"""with grown as (select name, contig, strand, case when strand = '-' then start else greatest(start - 50, 0) end as start, case when strand = '-' then "end" + 50 else "end" end as "end" from {B})
 select g.contig, g.strand, g.name as l_name, a.name as r_name, greatest(g.start, a.start) as start, least(g."end", a."end") as "end"

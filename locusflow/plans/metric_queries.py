@@ -39,7 +39,7 @@ def roc_auc_all(spark: SparkSession, folder: str) -> DataFrame:
 select lang, threshold, sum(neg) over w / nullif(sum(neg) over (partition by lang), 0)::double as fpr, sum(pos) over w / nullif(sum(pos) over (partition by lang), 0)::double as tpr from c window w as (partition by lang order by threshold desc)"""
 )
 def roc_curve(spark: SparkSession, folder: str) -> DataFrame:
-    return mt.roc_curve(labelled(spark, folder), ["lang"], "score", "quality")
+    return mt.roc_curve(labelled(spark, folder), ["lang"], "score", "quality", 16)
 
 
 _GRID = f"(select lang, quality, n_chars::double as n_chars, length(source)::double as source_length, (doc_id % 97)::double as arbitrary from {L})"
@@ -181,7 +181,7 @@ def histogram_quantity(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("select l_returnflag, l_quantity, n, sum(n) over (partition by l_returnflag order by l_quantity) as cumulative from (select l_returnflag, l_quantity, count(*) as n from lineitem group by 1, 2)")
 def ecdf(spark: SparkSession, folder: str) -> DataFrame:
-    return mt.cumulative_counts(table(spark, folder, "lineitem"), "l_quantity", ["l_returnflag"])
+    return mt.cumulative_counts(table(spark, folder, "lineitem"), "l_quantity", ["l_returnflag"], 16)
 
 
 @query(

@@ -95,6 +95,11 @@ def test_bins_do_not_change_pairs(spark):
     a = spark.createDataFrame([("c", str(i), i * 3 % 50, i * 3 % 50 + 1 + i % 17) for i in range(60)], "contig string, name string, start long, end long")
     pairs = {n: sorted(map(tuple, intervals.overlap_join(a, a, bin_size=n).select("l_name", "r_name").collect())) for n in (1, 5, 64)}
     assert pairs[1] == pairs[5] == pairs[64]
+    long = a.union(spark.createDataFrame([("c", f"long{i}", 3 * i, 20_000 * i + 50) for i in range(4)], a.schema))
+    listed = lambda **x: sorted(map(tuple, intervals.overlap_join(long, long, **x).select("l_name", "r_name", "overlap").collect()))
+    assert listed(bin_size=1, levels=3) == listed(bin_size=3, levels=2) == listed(bin_size=64)
+    semi = lambda **x: sorted(r.name for r in intervals.overlap_join(long, a, how="left_semi", **x).distinct().collect())
+    assert semi(bin_size=2, levels=3) == semi(bin_size=64)
 
 
 def test_one_to_one_join_fails_on_repeats(spark):
