@@ -186,3 +186,37 @@ def test_flanking_and_islands_against_loops(spark):
             merged[-1] = [merged[-1][0], max(merged[-1][1], e), merged[-1][2] + 1]
         for span in (4, 1 << 18):
             assert sorted([r.start, r.end, r.members] for r in intervals.merge_intervals(table, min_gap=gap, span=span).collect()) == sorted(merged)
+
+
+def test_percentiles_are_selected_exactly(spark):
+    import numpy as np
+
+    from locusflow.operators import metrics
+
+    rnd = random.Random(11)
+    groups = {"even": [float(i) for i in range(997)], "ties": [rnd.choice([1.0, 1.0, 2.0, 5.5]) for _ in range(800)], "skewed": [10.0 ** rnd.uniform(-12, 12) for _ in range(900)], "one": [3.25], None: [rnd.gauss(0, 1) for _ in range(300)]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("even", None), ("even", float("nan")), ("empty", None)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = (0.0, 0.1, 0.5, 0.93, 1.0)
+    for bins, most in ((4096, 200_000), (256, 60)):  # looked up at once, and after several narrowings
+        got = {r.g: r.percentiles for r in metrics.group_percentiles(df, ["g"], "v", shares, bins, most).collect()}
+        assert set(got) == set(groups)
+        for g, vs in groups.items():
+            assert np.allclose(got[g], np.quantile(vs, shares), rtol=1e-12, atol=0)
+    assert np.allclose(metrics.group_percentiles(df, [], "v", (0.5,)).first().percentiles, np.median([v for vs in groups.values() for v in vs]))
+
+
+def test_sums_of_a_bootstrap_equal_repeated_rows(spark):
+    from pyspark.sql import functions as F
+
+    from locusflow.operators import metrics
+
+    df = spark.range(300).select("id", (F.col("id") % 3).alias("g"), (F.col("id") * F.col("id") % 101).cast("double").alias("v"), ((F.col("id") % 5) / F.lit(2.0)).alias("rate")).repartition(6)
+    for mean in (1.0, F.col("rate")):
+        got = {r.g: r for r in metrics.bootstrap_metric(df, ["g"], "id", [F.col("v"), F.lit(1.0)], lambda s: F.try_divide(s[0], s[1]), 50, mean).collect()}
+        each = df.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(50)))).withColumn("w", metrics.poisson_weight(F.col("id"), F.col("r"), mean))
+        draws = each.groupBy("g", "r").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("x"))
+        wanted = draws.groupBy("g").agg(F.avg("x").alias("m"), ((F.percentile("x", 0.975) - F.percentile("x", 0.025)) / 2).alias("h")).collect()
+        for r in wanted:
+            assert abs(got[r.g].replicate_mean - r.m) < 1e-9 and abs(got[r.g].half_width - r.h) < 1e-9
