@@ -21,41 +21,55 @@ def domain(k: int) -> list[str]:
     return ["".join(p) for p in product(BASES, repeat=k)]
 
 
+#: Bases whose words are numbered at once.
+BASES_AT_ONCE = 2_000_000
+
+
 def kmer_counts(df: DataFrame, key: str, seq: str, k: int, unique_key: bool = False) -> DataFrame:
     """(key, kmer, n) of the k-mers that occur; those with other characters than A, C, G, T are left out.
 
-    Each sequence is counted where it lies, as numbers to base 4; only counts are
-    shuffled, and nothing is where every key has one row (``unique_key``).
+    The sequences of a batch are looked at as one array of bytes: words are numbers to base 4,
+    counted together with the row that they lie in.  Only counts are shuffled, and nothing
+    is where every key has one row (``unique_key``).
     """
     if k > 31:
         raise ValueError("k-mers of over 31 bases do not fit 64 bits")
     code = np.full(256, 4, np.int64)
     code[list(BASES.encode())] = np.arange(4)
 
+    def counted(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, word, count) of rows that end at the given places of the bytes."""
+        n = len(data) - k + 1
+        if n < 1:
+            return (np.zeros(0, np.int64),) * 3
+        digits, owner = code[data], np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        value, known = np.zeros(n, np.int64), owner[:n] == owner[k - 1 :]
+        for j in range(k):
+            value = value * 4 + digits[j : j + n]
+            known &= digits[j : j + n] < 4
+        value, row = value[known], owner[:n][known]
+        if len(ends) * 4**k <= 4 * BASES_AT_ONCE:  # a slot for every row and word
+            slots = np.bincount(row * 4**k + value, minlength=len(ends) * 4**k)
+            found = np.flatnonzero(slots)
+            return found // 4**k, found % 4**k, slots[found]
+        order = np.lexsort((value, row))
+        row, value = row[order], value[order]
+        heads = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (value[1:] != value[:-1])])) if len(row) else np.zeros(0, np.int64)
+        return row[heads], value[heads], np.diff(np.append(heads, len(row)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = [(np.zeros(0, np.int64),) * 3]
-            for i in range(batch.num_rows):
-                text = batch.column(1)[i].as_py() or ""
-                digits = code[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
-                if len(digits) < k:
-                    continue
-                n = len(digits) - k + 1
-                value, known = np.zeros(n, np.int64), np.ones(n, bool)
-                for j in range(k):
-                    value = value * 4 + digits[j : j + n]
-                    known &= digits[j : j + n] < 4
-                if k <= 8:  # a slot for every word
-                    slots = np.bincount(value[known], minlength=4**k)
-                    found = np.flatnonzero(slots)
-                    count = slots[found]
-                else:
-                    found, count = np.unique(value[known], return_counts=True)
-                every.append((np.full(len(found), i), found, count))
-            row, value, count = (np.concatenate(x) for x in zip(*every, strict=True))
-            letters = np.frombuffer(BASES.encode(), np.uint8)[(value[:, None] >> (2 * np.arange(k - 1, -1, -1))) & 3]
-            words = pa.Array.from_buffers(pa.string(), len(value), [None, pa.py_buffer((np.arange(len(value) + 1) * k).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(letters))])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), words, pa.array(count.astype(np.int64))], names=["key", "kmer", "n"])
+            texts = batch.column(1).fill_null("").cast(pa.large_string())
+            ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            at = 0
+            while at < len(texts):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + BASES_AT_ONCE, "right")) - 1)
+                row, value, count = counted(data[ends[at] : ends[to]], ends[at + 1 : to + 1] - ends[at])
+                letters = np.frombuffer(BASES.encode(), np.uint8)[(value[:, None] >> (2 * np.arange(k - 1, -1, -1))) & 3]
+                words = pa.Array.from_buffers(pa.string(), len(value), [None, pa.py_buffer((np.arange(len(value) + 1) * k).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(letters))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + at)), words, pa.array(count.astype(np.int64))], names=["key", "kmer", "n"])
+                at = to
 
     counts = df.select(F.col(key).alias("key"), seq).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, kmer string, n long").withColumnRenamed("key", key)
     return counts if unique_key else counts.groupBy(key, "kmer").agg(F.sum("n").alias("n"))

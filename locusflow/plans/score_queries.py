@@ -153,7 +153,7 @@ def log_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return training_log(lines).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("""with h as (select user_id, day(ts) as epoch, min(event_id) as first, min_by(epoch_us(ts) // 1000000, event_id) as sec from events group by 1, 2)
+@query("""with h as (select user_id, day(ts)::int as epoch, min(event_id) as first, min_by(epoch_us(ts) // 1000000, event_id) as sec from events group by 1, 2)
 select user_id, epoch, lead(first) over w - first as length, lead(sec) over w - sec as seconds from h window w as (partition by user_id order by epoch)""")
 def epoch_times(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events").withColumn("epoch", F.dayofmonth("ts"))

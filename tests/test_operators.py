@@ -181,6 +181,20 @@ def test_maf_gtf_log(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
 
+def test_kmers_are_counted_row_by_row(spark, monkeypatch):
+    import random
+    from collections import Counter
+
+    rnd = random.Random(1)
+    seqs = ["".join(rnd.choice("ACGTNé") for _ in range(rnd.randint(0, 40))) for _ in range(60)] + [None, "", "AC", "ACG" * 30]
+    df = spark.createDataFrame(list(enumerate(seqs)), "id int, seq string").repartition(3)
+    for k, at_once in ((1, 2_000_000), (3, 2_000_000), (3, 20), (6, 50), (12, 2_000_000)):
+        monkeypatch.setattr(kmers, "BASES_AT_ONCE", at_once)
+        wanted = Counter((i, s[j : j + k]) for i, s in enumerate(seqs) if s for j in range(len(s) - k + 1) if set(s[j : j + k]) <= set("ACGT"))
+        for unique in (True, False):
+            assert {(r.id, r.kmer): r.n for r in kmers.kmer_counts(df, "id", "seq", k, unique).collect()} == wanted
+
+
 def test_markov_probabilities_sum_to_one(spark):
     df = spark.createDataFrame([(1, "ACGTACGGTN")], "id int, seq string")
     t = kmers.markov_forward(kmers.corpus_kmer_counts(df, "seq", 2, 0.1))
