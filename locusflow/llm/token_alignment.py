@@ -37,6 +37,8 @@ from .piece_codec import codec
 
 #: Groups with more links than this are counted by distinct ids.
 DENSE = 4096
+#: Tokens whose ids are written as text at once.
+TOKENS_AT_ONCE = 400_000
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -77,21 +79,29 @@ class Aligned:
         """sha256 of ``a1,a2|b1;a3|b2,b3`` for each text; an empty string for one without tokens."""
         last_a, last_b = np.ones(len(self.a), bool), np.ones(len(self.b), bool)
         last_a[:-1], last_b[:-1] = self.group_a[1:] != self.group_a[:-1], self.group_b[1:] != self.group_b[:-1]
-        ids = np.empty(len(self.a) + len(self.b), np.int64)
-        mark = np.empty(len(ids), np.uint64)
+        ids = np.empty(len(self.a) + len(self.b), np.int32)
+        mark = np.empty(len(ids), np.uint8)
         place_a = np.arange(len(self.a)) + self.first_b[self.group_a]
         place_b = np.arange(len(self.b)) + (self.first_a + self.size_a)[self.group_b]
         ids[place_a], ids[place_b] = self.a, self.b
         mark[place_a], mark[place_b] = np.where(last_a, ord("|"), ord(",")), np.where(last_b, ord(";"), ord(","))
-        tokens = self.per_doc(self.doc_a) + self.per_doc(self.doc_b)
+        del place_a, place_b, last_a, last_b
+        ends = np.concatenate([[0], np.cumsum(self.per_doc(self.doc_a) + self.per_doc(self.doc_b))])
         words, digits = _decimals(int(ids.max(initial=0)))
-        length = digits[ids]
-        cells = words[ids] | mark << (8 * length).astype(np.uint64)
-        width = length + 1
-        width[np.cumsum(tokens)[tokens > 0] - 1] -= 1  # nothing behind the last one of a text
-        flat = cells.view(np.uint8).reshape(-1, 8)[np.arange(8) < width[:, None]]
-        ends = np.concatenate([[0], np.cumsum(width)])[np.concatenate([[0], np.cumsum(tokens)])].tolist()
-        return [hashlib.sha256(flat[x:y]).hexdigest() if y > x else "" for x, y in zip(ends[:-1], ends[1:], strict=True)]
+        out: list[str] = []
+        while len(out) < self.n:  # some texts at a time: a token takes eight bytes while it is written
+            d = len(out)
+            to = max(d + 1, int(np.searchsorted(ends, ends[d] + TOKENS_AT_ONCE, "right")) - 1)
+            own = slice(int(ends[d]), int(ends[to]))
+            length = digits[ids[own]]
+            cells = words[ids[own]] | mark[own].astype(np.uint64) << (8 * length).astype(np.uint64)
+            width = length + 1
+            last = ends[d + 1 : to + 1][np.diff(ends[d : to + 1]) > 0] - 1 - ends[d]
+            width[last] -= 1  # nothing behind the last one of a text
+            flat = cells.view(np.uint8).reshape(-1, 8)[np.arange(8) < width[:, None]]
+            cut = np.concatenate([[0], np.cumsum(width)])[ends[d : to + 1] - ends[d]].tolist()
+            out += [hashlib.sha256(flat[x:y]).hexdigest() if y > x else "" for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        return out
 
     def pairs(self, bits_a: int, bits_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, pair, times) of every distinct linked id pair of each text; a pair is ``a << bits_b | b``."""
