@@ -61,8 +61,8 @@ def column_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def text_sub_batches(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of a batch holding about ``SUB_BATCH_BYTES`` of text each (a longer text stands alone)."""
+def text_sub_batches(batch: pa.RecordBatch, column: str = "text", size: int = SUB_BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch holding about ``size`` bytes of text each (a longer text stands alone)."""
     texts = batch.column(batch.schema.get_field_index(column))
     if not batch.num_rows:
         return
@@ -71,7 +71,7 @@ def text_sub_batches(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa
     offsets = np.frombuffer(texts.cast(pa.large_string()).buffers()[1], np.int64)[: len(texts) + 1]
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SUB_BATCH_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
 

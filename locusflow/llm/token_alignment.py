@@ -39,6 +39,8 @@ from .piece_codec import codec
 DENSE = 4096
 #: Tokens whose ids are written as text at once.
 TOKENS_AT_ONCE = 400_000
+#: Text of one batch: tokens of both sides, their bytes and their links are held for it at once.
+BATCH_BYTES = 1_500_000
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -176,7 +178,7 @@ def token_groups(docs: DataFrame, a: str, b: str, text: str = "text") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(a, b)
         for batch in batches:
-            for part in text_sub_batches(batch, text):
+            for part in text_sub_batches(batch, text, BATCH_BYTES):
                 x = aligner.align(part.column(part.schema.get_field_index(text)))
                 end = x.end_a[x.first_a + x.size_a - 1] if x.groups else np.zeros(0, np.int64)
                 head = np.flatnonzero(np.diff(x.doc, prepend=-1))  # first group of each text
@@ -200,7 +202,7 @@ def _encoded(docs: DataFrame, a: str, b: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, block = Aligner(a, b), TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in text_sub_batches(batch):
+            for part in text_sub_batches(batch, size=BATCH_BYTES):
                 x = aligner.align(part.column(1))
                 doc, pair, times = x.pairs(aligner.bits_a, aligner.bits_b)
                 listed, place = np.unique(pair, return_inverse=True)
