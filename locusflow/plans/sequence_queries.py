@@ -247,8 +247,7 @@ def _motifs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"select doc_id, target, count(*) as hits, count(distinct kmer) as motifs, min(i) - 1 as first_start from (select doc_id, substr(seq, i, 6) as kmer, i from (select doc_id, seq, unnest(range(1, length(seq) - 4)) as i from {S})) join {_MOTIFS} using (kmer) group by 1, 2")
 def motif_hits(spark: SparkSession, folder: str) -> DataFrame:
-    hits = km.motif_hits(sequences(spark, folder), "doc_id", "seq", _motifs(spark, folder), "target", "motif", 6)
-    return hits.groupBy("doc_id", "target").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("motif").alias("motifs"), F.min("start").alias("first_start"))
+    return km.motif_counts(sequences(spark, folder), "doc_id", "seq", _motifs(spark, folder), "target", "motif", 6)
 
 
 @query(f"select doc_id, len(string_split(seq, 'ACG')) - 1 as n, case when instr(seq, 'ACG') > 0 then instr(seq, 'ACG') - 1 end as first_place from {S}")

@@ -53,3 +53,20 @@ def test_feature_table_stays_in_the_row(spark, odd):
             assert rows[i].uniformity == sum(x == y for x, y in zip(s, s[1:])) and rows[i].run_any == max(runs.get(b, 0) for b in "ACGT")
             assert rows[i].share_A == (s.count("A") / len(s) if s else None) and rows[i].rate_AC == (pairs["AC"] / (len(s) - 1) if len(s) > 1 else (None if len(s) == 1 else 0.0))
     assert "Exchange" not in plan(QUERIES["minimal_features"](spark, FOLDER))
+
+
+def test_motifs_are_counted_in_the_row(spark, odd, monkeypatch):
+    motifs = spark.createDataFrame([("x", "ACG"), ("x", "CCC"), ("y", "ACG"), ("y", "ACG"), ("y", "GNN"), ("z", "TTT")], "t string, m string")
+    wanted = {}
+    for i, s in enumerate(SEQS):
+        for t, own in {"x": {"ACG", "CCC"}, "y": {"ACG"}, "z": {"TTT"}}.items():
+            at = [j for j in range(len(s or "") - 2) if s[j : j + 3] in own]
+            if at:
+                wanted[i, t] = (len(at), len({s[j : j + 3] for j in at}), at[0])
+    for at_once, most in ((2_000_000, 100), (5, 100), (2_000_000, 2)):
+        monkeypatch.setattr(kmers, "BASES_AT_ONCE", at_once)
+        monkeypatch.setattr(kmers, "MOST_MOTIFS", most)
+        assert {(r.id, r.t): (r.hits, r.motifs, r.first_start) for r in kmers.motif_counts(odd, "id", "seq", motifs, "t", "m", 3).collect()} == wanted
+    monkeypatch.setattr(kmers, "MOST_MOTIFS", 100_000)
+    assert kmers.motif_counts(odd, "id", "seq", motifs.filter("false"), "t", "m", 3).count() == 0
+    assert "Exchange" not in plan(QUERIES["motif_hits"](spark, FOLDER))
