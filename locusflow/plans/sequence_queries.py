@@ -83,7 +83,7 @@ join {_MODEL} using (kmer) group by 1"""
 def markov_base_scores(spark: SparkSession, folder: str) -> DataFrame:
     s = sequences(spark, folder)
     model = km.markov_forward(km.corpus_kmer_counts(s, "seq", 3))
-    return km.forward_scores(s, "doc_id", "seq", F.broadcast(model), 2).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.log("p")).alias("log_likelihood"))
+    return km.forward_likelihood(s, "doc_id", "seq", model, 2)
 
 
 _TWO = f"(select left(kmer, k // 2) || '.' || right(kmer, k // 2) as flanks, substr(kmer, k // 2 + 1, 1) as base, n / sum(n) over (partition by k, left(kmer, k // 2), right(kmer, k // 2)) as p from {_all_k(3)} where k % 2 = 1)"
@@ -98,7 +98,7 @@ select avg(h) as accuracy, stddev_pop(h) as deviation, count(*) as n from hit"""
 def markov_accuracy(spark: SparkSession, folder: str) -> DataFrame:
     s = sequences(spark, folder)
     model = km.markov_both_sides(km.corpus_kmer_counts(s, "seq", 3))
-    return km.argmax_accuracy(km.both_sides_scores(s, "doc_id", "seq", model, 1))
+    return km.both_sides_accuracy(s, "seq", model, 1)
 
 
 @query(

@@ -70,3 +70,31 @@ def test_motifs_are_counted_in_the_row(spark, odd, monkeypatch):
     monkeypatch.setattr(kmers, "MOST_MOTIFS", 100_000)
     assert kmers.motif_counts(odd, "id", "seq", motifs.filter("false"), "t", "m", 3).count() == 0
     assert "Exchange" not in plan(QUERIES["motif_hits"](spark, FOLDER))
+
+
+def test_corpus_counts_are_made_in_the_row(spark, odd):
+    wanted = Counter(s[j : j + k] for s in SEQS if s for k in (1, 2, 3) for j in range(len(s) - k + 1) if set(s[j : j + k]) <= set("ACGT"))
+    counts = kmers.corpus_kmer_counts(odd, "seq", 3)
+    assert {r.kmer: r.n for r in counts.collect()} == wanted and "Generate" not in plan(counts)
+
+
+def test_markov_sums_are_those_of_the_scores(spark, odd):
+    counts = kmers.corpus_kmer_counts(odd, "seq", 3)
+    model = kmers.markov_forward(counts).filter("kmer <> 'ACG'")
+    each = kmers.forward_scores(odd, "id", "seq", model, 2).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.log("p")).alias("s"))
+    wanted = {r.id: (r.n, r.s and round(r.s, 9)) for r in each.collect()}
+    got = kmers.forward_likelihood(odd, "id", "seq", model, 2)
+    assert {r.id: (r.n, r.log_likelihood and round(r.log_likelihood, 9)) for r in got.collect()} == wanted
+    two = kmers.markov_both_sides(counts).filter("kmer <> 'CGT'")
+    p = {r.kmer: r.p for r in two.collect()}
+    seen = []
+    for s in SEQS:
+        for i in range(len(s or "")):
+            r = min(1, i, len(s) - 1 - i)
+            w = s[i - r : i + r + 1]
+            if w in p:
+                seen.append(p[w] == max(p.get(w[:r] + b + w[r + 1 :], -1) for b in "ACGT"))
+    out = kmers.both_sides_accuracy(odd, "seq", two, 1).first()
+    assert out.n == len(seen) and abs(out.accuracy - sum(seen) / len(seen)) < 1e-12
+    for name in ("markov_base_scores", "markov_accuracy"):
+        assert "Generate" not in plan(QUERIES[name](spark, FOLDER))
