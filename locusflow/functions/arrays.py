@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,28 +153,56 @@ def rolling_masks(length: Column | str, stride: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(stride - 1)), lambda s: F.transform(places, lambda i: (i % stride == s).cast("int")))
 
 
+#: Rows whose arrays are masked at once.
+ROWS_AT_ONCE = 500
+
+
 def masked_tokens(df: DataFrame, key: str, tokens: str, share: float = 0.15, seed: int = 0, mask: int = 4, classes: int = 4, frame: int = 0) -> DataFrame:
     """Random masking with exact counts among the places inside a frame: of n places, taken in an order by hash, round(0.8 share n)
     become the mask, the next round(0.1 share n), one at least, a random class, and the next round(0.1 share n) stay; labels are -100 elsewhere.
 
-    Halves are rounded to even.  Nothing is masked where the frame leaves no place.  Ranks are taken inside each row's array, so nothing is shuffled.
+    Halves are rounded to even.  Nothing is masked where the frame leaves no place.  Hashes and ranks are taken inside each row's array, so nothing is shuffled.
     """
-    n = F.size(tokens) - 2 * frame
-    part = lambda p: F.rint(F.lit(share * p) * n).cast("int")
-    masked = part(0.8)
-    changed = masked + F.greatest(part(0.1), F.lit(1))
-    chosen = changed + part(0.1)
-    digest = lambda i: F.md5(F.concat_ws(":", F.col(key).cast("string"), i.cast("string"), F.lit(str(seed))))
-    inside = lambda i: (i >= frame) & (i < frame + n)
-    scored = F.array_sort(F.transform(tokens, lambda t, i: F.struct((~inside(i)).alias("out"), digest(i).alias("h"), i.alias("i"))))
-    # the rank of every place, in order of the places: sorted twice instead of searched for each
-    ranks = F.transform(F.array_sort(F.transform(scored, lambda s, r: F.struct(s["i"].alias("i"), F.when(~s["out"], r + 1).otherwise(2_147_483_647).alias("r")))), lambda x: x["r"])
-    out = df.withColumns({"_ranks": ranks, "_cuts": F.array(masked, changed, chosen)})
-    rank, cut = (lambda i: F.get("_ranks", i)), (lambda k: F.get("_cuts", F.lit(k)))
-    other = lambda i: (F.conv(F.substring(digest(i), 14, 8), 16, 10).cast("long") % classes).cast("int")
-    new = F.transform(tokens, lambda t, i: F.when(rank(i) <= cut(0), F.lit(mask)).when(rank(i) <= cut(1), other(i)).otherwise(t))
-    labels = F.transform(tokens, lambda t, i: F.when(rank(i) <= cut(2), t).otherwise(F.lit(-100)))
-    return out.withColumn("masked", new).withColumn("labels", labels).drop("_ranks", "_cuts")
+    kind = df.schema[tokens].dataType.simpleString()
+
+    def hashed(name: str | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The order of the n places inside the frame, and their digests."""
+        head = b"" if name is None else name.encode() + b":"
+        digests = b"".join([md5(b"%b%d:%d" % (head, i, seed)).digest() for i in range(frame, frame + n)])
+        halves = np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2)
+        return np.lexsort((halves[:, 1], halves[:, 0])), np.frombuffer(digests, np.uint8).reshape(-1, 16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                lists, names = part.column(part.num_columns - 2), part.column(part.num_columns - 1).to_pylist()
+                flat = lists.flatten()
+                void, values = flat.is_null().to_numpy(zero_copy_only=False), flat.fill_null(0).to_numpy(zero_copy_only=False)
+                sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                ends = np.cumsum(sizes)
+                masked, labels, gone, hidden = values.copy(), np.full(len(values), -100, values.dtype), void.copy(), np.zeros(len(values), bool)
+                for r, (end, size) in enumerate(zip(ends, sizes, strict=True)):
+                    n = size - 2 * frame
+                    if n < 1:
+                        continue
+                    order, digests = hashed(names[r], n)
+                    first = int(np.rint(share * 0.8 * n))
+                    second = first + max(int(np.rint(share * 0.1 * n)), 1)
+                    third = second + int(np.rint(share * 0.1 * n))
+                    place = end - size + frame + order[:third]
+                    d = digests[order[first:second]].astype(np.int64)
+                    # hexadecimal digits 14 to 21
+                    number = ((d[:, 6] & 15) << 28) | (d[:, 7] << 20) | (d[:, 8] << 12) | (d[:, 9] << 4) | (d[:, 10] >> 4)
+                    masked[place[:first]], masked[place[first:second]] = mask, number % classes
+                    gone[place[:second]] = False
+                    labels[place], hidden[place] = values[place], void[place]
+                bounds = pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.append(lists.is_null().to_numpy(zero_copy_only=False), False))
+                arrays = [pa.ListArray.from_arrays(bounds, pa.array(x, mask=m)) for x, m in ((masked, gone), (labels, hidden))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], *arrays], names=[*part.schema.names[:-2], "masked", "labels"])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.select("*", F.col(tokens).alias("_t"), F.col(key).cast("string").alias("_name")).mapInArrow(run, f"{kept}, masked {kind}, labels {kind}")
 
 
 def spread_mask(mask: Column | str, before: int = 3, behind: int = 2) -> Column:

@@ -98,3 +98,28 @@ def test_markov_sums_are_those_of_the_scores(spark, odd):
     assert out.n == len(seen) and abs(out.accuracy - sum(seen) / len(seen)) < 1e-12
     for name in ("markov_base_scores", "markov_accuracy"):
         assert "Generate" not in plan(QUERIES[name](spark, FOLDER))
+
+
+def test_masks_are_drawn_in_the_row(spark):
+    from hashlib import md5
+
+    from locusflow.functions import arrays
+
+    rows = [("a", [0, 1, 2, 3, 4] * 12), (None, [1] * 11), ("b", None), ("c", []), ("é", [2, None, 3] * 9), ("d", [1] * 10)]
+    df = spark.createDataFrame(rows, "k string, t array<int>").repartition(2)
+    out = arrays.masked_tokens(df, "k", "t", 0.4, seed=7, frame=5)
+    got = {r.k: r for r in out.collect()}
+    assert "Sort" not in plan(out) and "md5" not in plan(out)
+    for k, t in rows:
+        if t is None:
+            assert got[k].masked is None and got[k].labels is None
+            continue
+        n, masked, labels = len(t) - 10, list(t), [-100] * len(t)
+        if n > 0:
+            h = {i: md5(f"{'' if k is None else k + ':'}{i}:7".encode()).hexdigest() for i in range(5, 5 + n)}
+            a = round(0.4 * 0.8 * n)
+            b = a + max(round(0.4 * 0.1 * n), 1)
+            for r, i in enumerate(sorted(h, key=lambda i: (h[i], i))[: b + round(0.4 * 0.1 * n)]):
+                labels[i] = t[i]
+                masked[i] = 4 if r < a else int(h[i][13:21], 16) % 4 if r < b else t[i]
+        assert got[k].masked == masked and got[k].labels == labels
