@@ -88,13 +88,11 @@ def fasta_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"select 'docs:' || doc_id as name, md5(seq) as digest from {S} where seq <> ''")
 def species_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    """A file whose name is its species: names get it in front."""
+    """Files whose name is their species, one from each task: names get it in front."""
     path = scratch_folder(spark, "species")
-    files.write_fasta(_genome(spark, folder).coalesce(1), f"{path}/parts")
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    part = next(str(f.getPath()) for f in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/parts")) if f.getPath().getName().startswith("part-"))
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(part), spark._jvm.org.apache.hadoop.fs.Path(f"{path}/docs.fa"))
-    return files.merged_species(spark, f"{path}/docs.fa").select("name", F.md5("seq").alias("digest"))
+    files.write_fasta(_genome(spark, folder), f"{path}/parts")
+    files.name_parts(spark, f"{path}/parts", path, "docs.fa")
+    return files.merged_species(spark, f"{path}/*/docs.fa").select("name", F.md5("seq").alias("digest"))
 
 
 _A = sql_intervals("signup", 6)

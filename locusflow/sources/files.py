@@ -61,8 +61,18 @@ def sequence_index(df: DataFrame) -> DataFrame:
     return df.select("name", F.length("seq").alias("length"))
 
 
+def name_parts(spark: SparkSession, written: str, path: str, name: str) -> None:
+    """Gives every part file of a written folder one name, in numbered folders below a path: ``path/0/name``, ``path/1/name``, ..."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(written).getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted(f.getPath().toString() for f in fs.listStatus(at(written)) if f.getPath().getName().startswith("part-"))
+    for i, part in enumerate(parts):
+        if not (fs.mkdirs(at(f"{path}/{i}")) and fs.rename(at(part), at(f"{path}/{i}/{name}"))):
+            raise OSError(f"{part} could not be renamed")
+
+
 def merged_species(spark: SparkSession, path: str) -> DataFrame:
-    """One file for each species: names get the species, which is the file's name, in front."""
+    """Files of one species each (a path, or a pattern of them): names get the species, which is the file's name, in front."""
     records = spark.read.option("lineSep", "\n>").text(path).withColumn("species", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^./]+$", 1))
     body = F.regexp_replace("value", r"^>", "")
     return records.select("species", body.alias("t")).select(F.concat_ws(":", "species", F.trim(F.substring_index("t", "\n", 1))).alias("name"), F.regexp_replace(F.regexp_extract("t", r"(?s)^[^\n]*\n(.*)$", 1), r"\n", "").alias("seq"))

@@ -123,3 +123,20 @@ def test_masks_are_drawn_in_the_row(spark):
                 labels[i] = t[i]
                 masked[i] = 4 if r < a else int(h[i][13:21], 16) % 4 if r < b else t[i]
         assert got[k].masked == masked and got[k].labels == labels
+
+
+def test_species_are_written_by_every_task(spark, monkeypatch):
+    from locusflow.plans import source_queries
+    from locusflow.sources import files
+
+    whole = source_queries._genome
+    monkeypatch.setattr(source_queries, "_genome", lambda spark, folder: whole(spark, folder).repartition(3))
+    seen, write = [], files.write_fasta
+
+    def noted(df, path):
+        seen.append(df.rdd.getNumPartitions())
+        write(df, path)
+
+    monkeypatch.setattr(files, "write_fasta", noted)
+    out = QUERIES["species_round_trip"](spark, FOLDER).collect()
+    assert seen == [3] and len({r.name for r in out}) == len(out) == whole(spark, FOLDER).count() and all(r.name.startswith("docs:") for r in out)
