@@ -140,3 +140,16 @@ def test_species_are_written_by_every_task(spark, monkeypatch):
     monkeypatch.setattr(files, "write_fasta", noted)
     out = QUERIES["species_round_trip"](spark, FOLDER).collect()
     assert seen == [3] and len({r.name for r in out}) == len(out) == whole(spark, FOLDER).count() and all(r.name.startswith("docs:") for r in out)
+
+
+def test_bootstrap_draws_are_digests_of_key_and_replicate(spark):
+    from hashlib import md5
+
+    import numpy as np
+
+    from locusflow.operators import metrics as mt
+    from locusflow.plans.registry import ORACLE_SQL
+
+    assert "md5(doc_id || ':' || rep)" in ORACLE_SQL["bootstrap_auc"]
+    wanted = [[int(md5(f"{k}:{r}".encode()).hexdigest()[:13], 16) / 2**52 for r in (1, 2, 3)] for k in (5, 77)]
+    assert mt._digest_uniforms(np.array(["5", "77"], object), 3).tolist() == wanted
