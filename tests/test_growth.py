@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusflow.operators import kmers
-from locusflow.plans import job_queries, sequence_queries  # noqa: F401
+from locusflow.plans import alignment_queries, job_queries, sequence_queries  # noqa: F401
 from locusflow.plans.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -153,3 +153,20 @@ def test_bootstrap_draws_are_digests_of_key_and_replicate(spark):
     assert "md5(doc_id || ':' || rep)" in ORACLE_SQL["bootstrap_auc"]
     wanted = [[int(md5(f"{k}:{r}".encode()).hexdigest()[:13], 16) / 2**52 for r in (1, 2, 3)] for k in (5, 77)]
     assert mt._digest_uniforms(np.array(["5", "77"], object), 3).tolist() == wanted
+
+
+def test_overlaps_are_left_out_in_a_stream(spark):
+    from locusflow.operators import alignment
+
+    rows = [(k, i, (i * 7 + k) % 40, (i * 7 + k) % 40 + 1 + i % 6) for k in range(5) for i in range(30)]
+    wanted = set()
+    for k in range(5):
+        kept = []
+        for r in sorted(r for r in rows if r[0] == k):
+            if all(r[3] <= a or b <= r[2] for *_, a, b in kept):
+                kept.append(r)
+        wanted |= set(kept)
+    out = alignment.exclude_overlaps(spark.createDataFrame(rows, "k int, i int, start long, end long"), ["k"], ["i"])
+    assert {tuple(r) for r in out.collect()} == wanted and out.count() == len(wanted)
+    # no call of Python for each island
+    assert "FlatMapGroups" not in plan(out) and "FlatMapGroups" not in plan(QUERIES["alignment_frequencies"](spark, FOLDER))
