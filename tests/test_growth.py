@@ -170,3 +170,14 @@ def test_overlaps_are_left_out_in_a_stream(spark):
     assert {tuple(r) for r in out.collect()} == wanted and out.count() == len(wanted)
     # no call of Python for each island
     assert "FlatMapGroups" not in plan(out) and "FlatMapGroups" not in plan(QUERIES["alignment_frequencies"](spark, FOLDER))
+
+
+def test_edited_places_are_worked_out_once(spark):
+    from locusflow.functions import sequence as sq
+
+    text = lambda c: plan(spark.createDataFrame([("ACgtN", 1)], "seq string, k int").select(c.alias("c")))
+    nested = sq.lower_at(sq.lower_at(sq.lower_at("seq", F.col("k")), F.col("k") + 1), F.col("k") + 2)
+    assert text(nested).count("seq#") < 27 and "RLIKE" not in text(sq.lower_places("seq"))
+    out = spark.createDataFrame([("ACGTN", 1), ("", 0), ("éACGa", 0)], "seq string, k int").select(nested.alias("low"), sq.median_lower("seq").alias("m"), sq.one_hot("seq").alias("hot")).collect()
+    assert [r.low for r in out] == ["AcgtN", "", "éacGa"] and [r.m for r in out] == [None, None, 4]
+    assert out[0].hot == [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1], [0, 0, 0, 0]]
