@@ -9,13 +9,14 @@ import pandas as pd
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler, Word2Vec
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import bag_groups, balanced_group_folds
+from .word_vectors import word_vectors  # noqa: F401
 
 
 def assembled(df: DataFrame, columns: Sequence[str], to: str = "features") -> DataFrame:
@@ -120,12 +121,6 @@ def bagged(df: DataFrame, group: str, rounds: int, estimator: Callable[[], Estim
     return reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.avg("prediction").alias("prediction"))
 
 
-def word_vectors(df: DataFrame, tokens: str, size: int = 128, window: int = 5, least: int = 1, seed: int = 1, partitions: int | None = None) -> DataFrame:
-    """Mean word2vec (skip-gram) vector of each row's tokens; training runs in ``partitions`` tasks (the shuffle's number by default), whose vectors are put together after each round."""
-    tasks = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return Word2Vec(inputCol=tokens, outputCol="vector", vectorSize=size, windowSize=window, minCount=least, seed=seed, numPartitions=tasks).fit(df).transform(df)
-
-
 #: Groups of a leave-one-group-out, each of which is a model.
 MOST_GROUPS = 1000
 

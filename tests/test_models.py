@@ -118,3 +118,47 @@ def test_scorer_goes_on_where_it_was_stopped(spark, tmp_path):
     out = ev.score_missing(df, "shard", path, scorer, schema)
     assert count.value == 40 and out.count() == 40 and out.select("id").distinct().count() == 40
     assert ev.score_missing(df, "shard", path, scorer, schema).count() == 40 and count.value == 40
+
+
+def test_word_vectors_follow_the_words_and_not_the_partitions(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from locusflow.operators import word_vectors as wv
+
+    rng = np.random.default_rng(3)
+    seqs = ["".join(rng.choice(list("ACGT"), n, p=[0.5, 0.2, 0.2, 0.1])) for n in (0, 1, 2, 5, 60, 300, 2500)]
+    df = spark.createDataFrame(list(enumerate(seqs)), "id int, seq string")
+    get = lambda d: {r.id: np.array(r.v) for r in d.select("id", vector_to_array("vector").alias("v")).collect()}
+    # the same words, as tokens that are made and as words of a text; rows in one partition and in many
+    tokens = spark.createDataFrame([(i, [s[j : j + 2] for j in range(len(s) - 1)]) for i, s in enumerate(seqs)], "id int, t array<string>")
+    one, many, made = get(ev.word_vectors(df.coalesce(1), "seq", size=8, k=2)), get(ev.word_vectors(df.repartition(5), "seq", size=8, k=2, partitions=3)), get(ev.word_vectors(tokens, "t", size=8))
+    for i in range(len(seqs)):
+        assert np.allclose(one[i], many[i], atol=1e-6) and np.allclose(one[i], made[i], atol=1e-6)
+    assert not one[0].any() and not one[1].any() and one[2].any()
+    # pairs at every place, each distance by how often a window reaches it
+    words, window = sorted({s[j : j + 2] for s in seqs for j in range(len(s) - 1)}), 3
+    want: dict = {}
+    for s in seqs:
+        ids = [words.index(s[j : j + 2]) for j in range(len(s) - 1)]
+        for i in range(len(ids)):
+            for d in range(1, min(window, len(ids) - 1 - i) + 1):
+                want[ids[i], ids[i + d]] = want.get((ids[i], ids[i + d]), 0) + window - d + 1
+    got = wv._pair_counts(df, "seq", wv._of_bases(words, 2), len(words), window).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    assert {(r.a, r.b): r.n for r in got.collect()} == want
+
+
+def test_word_vectors_learn_the_pairs(spark):
+    from locusflow.operators import word_vectors as wv
+
+    rng = np.random.default_rng(5)
+    n = rng.integers(1, 100, (6, 6))
+    n = n + n.T
+    pairs = spark.createDataFrame([(a, b, int(n[a, b])) for a in range(6) for b in range(6)], "a long, b long, n long")
+    counts = n.sum(axis=1).tolist()
+    nodes, turns = wv.huffman(counts)
+    assert abs(sum(2.0 ** -len(t) for t in turns) - 1) < 1e-12 and len({tuple(zip(a, b, strict=True)) for a, b in zip(nodes, turns, strict=True)}) == 6
+    # as many dimensions as words: the likelihood comes near that of the pairs' own shares
+    _, seen = wv.trained(pairs, counts, 8, 1, 2, 300)
+    best = float((n * np.log(n / n.sum(axis=1, keepdims=True))).sum() / n.sum())
+    alone = float((n * np.log(n.sum(axis=0) / n.sum())).sum() / n.sum())
+    assert seen[0] < alone < seen[-1] <= best + 1e-9 and seen[-1] > best - 0.1 * (best - alone)
