@@ -287,9 +287,7 @@ select doc_id, coalesce(c, 0) as covered, coalesce(m, 0) as near from {S} left j
 )
 def motif_masks(spark: SparkSession, folder: str) -> DataFrame:
     """How many places a motif's matches cover, and how many lie near them."""
-    m = sequences(spark, folder).filter("seq <> ''").withColumn("mask", sq.motif_mask("seq", F.lit("ACG")))
-    ones = lambda c: F.size(F.filter(c, lambda x: x == 1)).cast("long")
-    return m.select("doc_id", ones("mask").alias("covered"), ones(arrays.spread_mask("mask")).alias("near"))
+    return km.motif_mask_sizes(sequences(spark, folder).filter("seq <> ''"), "doc_id", "seq", "ACG")
 
 
 @query("select event_id, (event_id % 9)::varchar as depth, case when event_id % 2 = 0 then event_type end as state from events")
