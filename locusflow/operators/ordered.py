@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .scans import sorted_stream
 
@@ -100,10 +101,13 @@ def contiguous_chain(df: DataFrame, keys: Sequence[str], start: str, length: str
 
 
 def stitch_chunks(df: DataFrame, key: str, order: str, values: str, shift: str) -> DataFrame:
-    """Arrays of chunk outputs in order as one array; each drops as many head values as its left shift."""
-    kept = F.col(values) if shift is None else F.slice(values, F.col(shift) + 1, F.greatest(F.size(values) - F.col(shift), F.lit(0)))
+    """Chunk outputs in order as one: arrays, or texts with a character for each place; each drops as many head values as its left shift."""
+    is_text = isinstance(df.schema[values].dataType, StringType)
+    size = F.length if is_text else F.size
+    kept = F.col(values) if shift is None else (F.substr if is_text else F.slice)(values, F.col(shift) + 1, F.greatest(size(values) - F.col(shift), F.lit(0)))
     parts = df.select(key, F.struct(F.col(order).alias("o"), kept.alias("v")).alias("p"))
-    return parts.groupBy(key).agg(F.flatten(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["v"])).alias(values))
+    outputs = F.transform(F.sort_array(F.collect_list("p")), lambda p: p["v"])
+    return parts.groupBy(key).agg((F.array_join(outputs, "") if is_text else F.flatten(outputs)).alias(values))
 
 
 def within_tolerances(df: DataFrame, keys: Sequence[str], gap: str, tolerances: Sequence[int]) -> DataFrame:

@@ -139,8 +139,8 @@ def stitch_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks, and their outputs (here the bases themselves) put together again: the input comes back."""
     c = sequences(spark, folder).filter("seq <> ''").select("doc_id", F.posexplode(sq.overlapping_chunks("seq", 128, 16)).alias("chunk", "c"))
     drop = F.when(F.col("chunk") > 0, F.col("c.left_shift") + 16).otherwise(0)
-    parts = c.select("doc_id", "chunk", F.split("c.chunk", "").alias("values"), drop.alias("drop"))
-    out = ordered.stitch_chunks(parts, "doc_id", "chunk", "values", "drop").withColumn("seq", F.concat_ws("", "values"))
+    parts = c.select("doc_id", "chunk", F.col("c.chunk").alias("seq"), drop.alias("drop"))
+    out = ordered.stitch_chunks(parts, "doc_id", "chunk", "seq", "drop")
     return out.select("doc_id", F.length("seq").alias("n"), F.md5("seq").alias("digest"))
 
 

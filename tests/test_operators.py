@@ -199,3 +199,41 @@ def test_markov_probabilities_sum_to_one(spark):
     df = spark.createDataFrame([(1, "ACGTACGGTN")], "id int, seq string")
     t = kmers.markov_forward(kmers.corpus_kmer_counts(df, "seq", 2, 0.1))
     assert all(abs(r.s - 1) < 1e-9 for r in t.groupBy("k", "prefix").agg(F.sum("p").alias("s")).collect())
+
+
+@pytest.mark.parametrize("length, overlap", [(128, 16), (4, 1), (5, 0), (3, 2)])
+def test_chunks_are_those_of_a_loop(spark, length, overlap):
+    texts = ["x" * 0, "a", "ab", *("ACGTTGCAé\n𝄞"[i % 5 :] * (i + 1) for i in range(30)), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: [tuple(c) for c in r.c] for r in df.select("id", sq.overlapping_chunks("t", length, overlap).alias("c")).collect()}
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        want = [(t and t[max(min(s, n - length), 0) :][:length], max(min(s, n - length), 0), s - max(min(s, n - length), 0)) for s in range(0, max(n - overlap, 1), length - overlap)]
+        assert got[i] == want
+
+
+def test_stitched_texts_are_those_of_arrays(spark):
+    df = spark.createDataFrame([(1, 1, "CDE", 1), (1, 0, "ABC", 0), (2, 0, "", 0), (3, 1, "X", 4), (3, 0, "é𝄞", 1)], "k int, o int, v string, d int")
+    got = {r.k: r.v for r in ordered.stitch_chunks(df, "k", "o", "v", "d").collect()}
+    assert got == {1: "ABCDE", 2: "", 3: "𝄞"}
+    split = ordered.stitch_chunks(df.withColumn("v", F.split("v", "")), "k", "o", "v", "d").select("k", F.concat_ws("", "v").alias("v"))
+    assert {r.k: r.v for r in split.collect()} == got
+
+
+@pytest.mark.parametrize("motif, before, behind", [("ACG", 3, 2), ("AA", 0, 0), ("ACA", 1, 4), ("é", 2, 1), (".", 3, 2)])
+def test_mask_sizes_are_those_of_the_masks(spark, motif, before, behind):
+    texts = ["ACGACGTTACG", "AAAAA", "ACACACA", "", "TT", None, "ACGTTTTTTTACG", "xéyé𝄞ACG", "A.C", "G" * 50 + "ACG"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(2)
+    got = {r.id: (r.covered, r.near) for r in kmers.motif_mask_sizes(df, "id", "t", motif, before, behind).collect()}
+    ones = lambda c: F.size(F.filter(c, lambda x: x == 1))
+    mask = df.filter("t is not null").withColumn("m", sq.motif_mask("t", F.lit(motif)))
+    want = {r.id: (r.c, r.n) for r in mask.select("id", ones("m").alias("c"), ones(arrays.spread_mask("m", before, behind)).alias("n")).collect()}
+    assert got == want | {5: (0, 0)}
+
+
+def test_texts_as_bases_are_those_of_the_expression(spark):
+    texts = ["", None, "Hello, World", "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ", "\u212a\u0130\u00e9\u00ff\U0001d11e zz", "\u4e2d\u6587", "12 3\n\tx", None, "x" * 1000]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "id long, t string, s string")
+    for rows in (df.coalesce(1), df.filter("id <> 4").coalesce(1), df.limit(0)):
+        want = {r.id: r.b for r in rows.select("id", sq.as_bases("t").alias("b")).collect()}
+        assert {r.id: r.t for r in kmers.texts_as_bases(rows, "t").select("id", "t", "s").collect()} == want
