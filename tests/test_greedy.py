@@ -220,3 +220,20 @@ def test_sums_of_a_bootstrap_equal_repeated_rows(spark):
         wanted = draws.groupBy("g").agg(F.avg("x").alias("m"), ((F.percentile("x", 0.975) - F.percentile("x", 0.025)) / 2).alias("h")).collect()
         for r in wanted:
             assert abs(got[r.g].replicate_mean - r.m) < 1e-9 and abs(got[r.g].half_width - r.h) < 1e-9
+
+
+def test_fragments_are_chained_once_and_across_batches(spark, capsys):
+    import random
+
+    rng = random.Random(4)
+    rows = [(d, b, r, 4, rng.choice(["s", "t"]), rng.choice(["a", "b"]), rng.randrange(b * 20, b * 20 + 60), 4, rng.choice("+-"), "ACGT") for d in range(6) for b in range(5) for r in range(rng.randrange(1, 7))]
+    df = spark.createDataFrame(rows, "k long, block int, row int, width int, species string, contig string, start int, size int, strand string, seq string")
+    whole = sorted(alignment.chain_fragments(df, "k").collect())
+    alignment.chain_fragments(df, "k").explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert sorted(alignment.chain_fragments(df, "k").collect()) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.k, len(r.seq)) for r in whole} == {(d, 20) for d in range(6)}
