@@ -19,6 +19,10 @@ it are connected already, so only the others are verified against all members, b
 scanning the local inverted lists of the members' full sets; large neighbourhoods are
 cut into pairs of blocks of like sizes.  Copies with one set are one class throughout.
 
+Before texts are moved to be verified, members meet by *parities*, about a bit for
+each shingle: two sets differ in at least as many shingles as their parities differ
+in bits.  A member whose parities rule out its centre, or all it meets, is not moved.
+
 Defined results: null and empty texts have no shingles and link with nothing (a
 component of their own); repeated rows are copies; a null doc_id takes part like
 any other but is never the smallest.  Every row has a written key of its own, so
@@ -117,16 +121,28 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.RecordBatch, list[
         yield part, [shingle_set(words.hash[words.of(d)], k) for d in range(len(words))]
 
 
+def _parities(values: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each of as many bits as there are shingles, rounded up to a power of two (64 at least)."""
+    bits = max(64, 1 << (len(values) - 1).bit_length())
+    odd = np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _folded(parities: np.ndarray, words: int) -> np.ndarray:
+    """Parities over fewer bits."""
+    return np.bitwise_xor.reduce(parities.reshape(-1, words), axis=0)
+
+
 def _cell(values: np.ndarray) -> np.ndarray:
     return (values >> np.uint64(44)).astype(np.int64)
 
 
 def _summaries(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of two kinds: (uid, doc_id, digest, n) of each of ``docs(uid, doc_id, text)``, and partial cell counts of each task."""
+    """Rows of two kinds: (uid, doc_id, digest, n, parities) of each of ``docs(uid, doc_id, text)``, and partial cell counts of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int32)
-        schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("n", pa.int64()), ("row", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("n", pa.int64()), ("row", pa.int32()), ("counts", pa.binary()), ("parities", pa.binary())])
         for batch in batches:
             for part, sets in _sets(batch, k):
                 full = [s for s in sets if len(s)]
@@ -134,14 +150,14 @@ def _summaries(docs: DataFrame, k: int) -> DataFrame:
                     cells += np.bincount(_cell(np.concatenate(full)), minlength=CELLS).astype(np.int32)
                 n = len(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([_digest(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema
+                    [part.column(0), part.column(1), pa.array([_digest(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array([_parities(s).tobytes() if len(s) else None for s in sets], pa.binary())], schema=schema
                 )
         if cells.any():
             rows = cells.reshape(-1, CELLS_A_ROW)
             n = len(rows)
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) for _ in range(4)), pa.array(np.arange(n, dtype=np.int32)), pa.array([r.tobytes() for r in rows], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) for _ in range(4)), pa.array(np.arange(n, dtype=np.int32)), pa.array([r.tobytes() for r in rows], pa.binary()), pa.nulls(n, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "uid long, doc_id long, digest long, n long, row int, counts binary")
+    return docs.mapInArrow(run, "uid long, doc_id long, digest long, n long, row int, counts binary, parities binary")
 
 
 def _cell_counts(parts: DataFrame) -> np.ndarray:
@@ -279,6 +295,74 @@ def _local_links(ids: list[int], sets: list[np.ndarray], left: np.ndarray, right
     return us, vs
 
 
+def _near(rows: DataFrame, at: Threshold) -> DataFrame:
+    """(centre, salt, member, size, near): whether parities let members link to their centre, whose row comes first as in ``_starred``."""
+    ordered = rows.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "lead")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, centre_size = None, 0
+        for batch in batches:
+            lead, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+            near = np.zeros(batch.num_rows, bool)
+            for i, packed in enumerate(batch.column(5)):
+                own = np.frombuffer(packed.as_buffer(), np.uint64)
+                if not lead[i]:
+                    centre, centre_size = own.copy(), int(size[i])
+                else:
+                    words = min(len(own), len(centre))
+                    differ = int(np.bitwise_count(_folded(own, words) ^ _folded(centre, words)).sum())
+                    near[i] = at.links((centre_size + int(size[i]) - differ) // 2, centre_size, int(size[i]))
+            some = pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), batch.column(4), pa.array(near)], names=["centre", "salt", "member", "size", "near"])
+            yield some.filter(pa.array(lead != 0))
+
+    return ordered.select("centre", "salt", "member", "lead", "size", "parities").mapInArrow(run, "centre long, salt int, member long, size int, near boolean")
+
+
+def _with_partner(sides: np.ndarray, sizes: np.ndarray, parities: list[np.ndarray], at: Threshold) -> np.ndarray:
+    """Mask of the members of a cell whose parities let them link to one on the other side."""
+    left, right, words, keep = sides != 1, sides != 0, np.array([len(p) for p in parities]), np.zeros(len(sizes), bool)
+    for w in np.unique(words):
+        short = np.flatnonzero(words == w)
+        # sets over more bits that are not too large to link
+        others = np.flatnonzero((words >= w) & (sizes <= at.most(int(sizes[short].max()))))
+        folded = np.stack([_folded(parities[j], w) for j in others])
+        for i, own in zip(short, folded[words[others] == w], strict=True):
+            meets = ((left[i] & right[others]) | (right[i] & left[others])) & (others != i)
+            differ = np.bitwise_count(folded ^ own).sum(axis=1, dtype=np.int64)
+            meets &= at.links((sizes[i] + sizes[others] - differ) // 2, sizes[i], sizes[others])
+            if meets.any():
+                keep[i] = True
+                keep[others[meets]] = True
+    return keep
+
+
+def _may_meet(members: DataFrame, at: Threshold) -> DataFrame:
+    """The rows of cells, as for ``_verified``, without the members whose parities rule out all that they meet."""
+    ordered = members.repartition("centre", "cell").sortWithinPartitions("centre", "cell")
+    names = ["centre", "cell", "member", "side"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def flush() -> pa.RecordBatch | None:
+            keep = _with_partner(np.array([r["side"] for r in rows]), np.array([r["size"] for r in rows], np.int64), [np.frombuffer(r["parities"], np.uint64) for r in rows], at) if len(rows) > 1 else np.zeros(0, bool)
+            kept = [rows[i] for i in np.flatnonzero(keep)]
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in kept], t) for c, t in zip(names, (pa.int64(), pa.string(), pa.int64(), pa.int32()), strict=True)], names=names) if kept else None
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                now = (r["centre"], r["cell"])
+                if now != key:
+                    if (made := flush()) is not None:
+                        yield made
+                    key, rows = now, []
+                rows.append(r)
+        if (made := flush()) is not None:
+            yield made
+
+    return ordered.select(*names, "size", "parities").mapInArrow(run, "centre long, cell string, member long, side int")
+
+
 def _starred(rows: DataFrame, k: int, at: Threshold) -> DataFrame:
     """(centre, member, size, linked): members against their centre, whose row (``lead`` 0) comes first in each ``(centre, salt)``; nothing but the centre's set is held."""
     ordered = rows.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "lead")
@@ -373,8 +457,9 @@ def _linked(docs: DataFrame, k: int, at: Threshold, scratch: Scratch) -> DataFra
     open_ = spokes.filter("not exact").select("centre", "member")
     wanted = scratch.save(open_.select(F.explode(F.array("centre", "member")).alias("digest")).distinct())
     # copies are folded before anything is dealt by digest: one text may hold a third of all rows
-    chosen = scratch.save(own.filter("digest is not null").groupBy("digest").agg(F.min("uid").alias("uid")).join(wanted, "digest", "left_semi"))
-    chosen = chosen.withColumnRenamed("digest", "member")
+    of_classes = summaries.filter("digest is not null").groupBy("digest").agg(F.min("uid").alias("uid"), F.max("n").cast("int").alias("size"), F.max("parities").alias("parities"))
+    classes_wanted = scratch.save(of_classes.join(wanted, "digest", "left_semi").withColumnRenamed("digest", "member"))
+    chosen, sketches = classes_wanted.select("member", "uid"), classes_wanted.select("member", "size", "parities")
 
     def with_texts(rows: DataFrame) -> DataFrame:
         """Rows with the text of their member; a text is only moved to where it is compared."""
@@ -385,9 +470,13 @@ def _linked(docs: DataFrame, k: int, at: Threshold, scratch: Scratch) -> DataFra
     around = open_.groupBy("centre").agg(F.count(F.lit(1)).alias("size")).select("centre", F.ceil(F.col("size") / BLOCK).cast("int").alias("salts"))
     salted = join_checked(open_, scratch.save(around.filter("salts > 1")), "centre", "left", BROADCAST_ROWS)
     salted = salted.select("centre", F.pmod(F.xxhash64("member"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), "member", F.lit(1).alias("lead"))
-    leads = salted.select("centre", "salt").distinct().select("centre", "salt", F.col("centre").alias("member"), F.lit(0).alias("lead"))
-    stars = scratch.save(_starred(with_texts(salted.unionByName(leads)).select("centre", "salt", "member", "lead", "text"), k, at))
-    found = _verified(with_texts(_open_cells(stars, at, scratch)).select("centre", "cell", "member", "side", "text"), k, at)
+    led = lambda rows: rows.unionByName(rows.select("centre", "salt").distinct().select("centre", "salt", F.col("centre").alias("member"), F.lit(0).alias("lead")))
+    near = scratch.save(_near(led(salted).join(sketches, "member"), at))
+    to_verify = near.filter("near").select("centre", "salt", "member", F.lit(1).alias("lead"))
+    starred = _starred(with_texts(led(to_verify)).select("centre", "salt", "member", "lead", "text"), k, at)
+    stars = scratch.save(starred.unionByName(near.filter("not near").select("centre", "member", "size", F.lit(False).alias("linked"))))
+    cells_left = scratch.save(_may_meet(_open_cells(stars, at, scratch).join(sketches, "member"), at))
+    found = _verified(with_texts(cells_left).select("centre", "cell", "member", "side", "text"), k, at)
     edges = scratch.save(exact.unionByName(stars.filter("linked").select(F.col("centre").alias("u"), F.col("member").alias("v"))).unionByName(found).distinct())
     roots = connected_components(edges, scratch)
     classes = own.filter("digest is not null").groupBy("digest").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "uid")).alias("low"), F.count(F.lit(1)).alias("copies"))

@@ -335,6 +335,39 @@ def test_jaccard_members_that_their_centre_leaves_open(spark, monkeypatch, block
     assert out == component and 4 < len(set(out.values())) < len(out)
 
 
+def test_jaccard_moves_no_text_that_parities_rule_out(spark, monkeypatch):
+    # pairs that meet by rare shared words, but differ in most others, and pairs that link
+    words = lambda p, n: [f"{p}w{j}" for j in range(n)]
+    texts = [(10 * g + i, " ".join(words(f"g{g}", 20) + words(f"g{g}i{i}", 60 + 30 * g))) for g in range(20) for i in range(2)]
+    texts += [(1000 + 10 * g + i, " ".join(words(f"c{g}", 90 + i))) for g in range(3) for i in range(2)]
+    moved = []
+    for name in ("_starred", "_verified"):
+        step = getattr(jaccard_join, name)
+        monkeypatch.setattr(jaccard_join, name, lambda rows, *rest, step=step: moved.append({r.member for r in rows.select("member").collect()}) or step(rows, *rest))
+    out = {r.doc_id: r.component_id for r in jaccard_join.link_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert out == {i: i // 10 * 10 if i >= 1000 else i for i, _ in texts}
+    assert [len(m) for m in moved] == [6, 0]
+
+
+@pytest.mark.parametrize("num", [40, 80, 95])
+def test_parities_never_rule_out_a_link(num):
+    at, rng = jaccard_join.Threshold(num, 100), np.random.default_rng(num)
+    sets = []
+    for n in (1, 3, 30, 63, 64, 65, 120, 130, 500):
+        base = rng.integers(0, 2**64, n, dtype=np.uint64)
+        for share in (0, 0.02, 0.1, 0.3, 0.6):
+            sets.append(np.unique(np.concatenate([base[int(share * n) :], rng.integers(0, 2**64, int(rng.integers(0, 2) * share * n), dtype=np.uint64)])))
+    sizes, parities = np.array([len(s) for s in sets]), [jaccard_join._parities(s) for s in sets]
+    links = np.array([[at.links(len(np.intersect1d(a, b)), len(a), len(b)) for b in sets] for a in sets])
+    ruled_out = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            may = jaccard_join._with_partner(np.array([0, 1]), sizes[[i, j]], [parities[i], parities[j]], at)
+            assert may.all() if links[i, j] else may.all() == may.any()
+            ruled_out += not may.any()
+    assert ruled_out > 100 and links.sum() > 2 * len(sets)
+
+
 def test_language_model(spark, docs):
     import zlib
 
