@@ -162,3 +162,37 @@ def test_word_vectors_learn_the_pairs(spark):
     best = float((n * np.log(n / n.sum(axis=1, keepdims=True))).sum() / n.sum())
     alone = float((n * np.log(n.sum(axis=0) / n.sum())).sum() / n.sum())
     assert seen[0] < alone < seen[-1] <= best + 1e-9 and seen[-1] > best - 0.1 * (best - alone)
+
+
+def test_logistic_models_of_all_folds_are_trained_together(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from locusflow.operators.logistic import logistic_out_of_fold
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(240, 3)) * [1, 20, 0.1] + [0, 1000, 3]
+    y = (x @ [1.0, 0.05, 5.0] + rng.normal(size=240) > 65).astype(float)
+    rows = [(i, [*(float(v) for v in r), 4.0], float(t), i % 2) for i, (r, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y double, fold int").repartition(3)
+    cs, sc = (0.003, 0.3, 10.0), spark.sparkContext
+    sc.setJobGroup("together", "")
+    got = {r.id: r for r in logistic_out_of_fold(df, "fold", [0, 1], "y", "id", ["id"], cs).collect()}
+    jobs = len(sc.statusTracker().getJobIdsForGroup("together"))
+    sc.setJobGroup("alone", "")
+    inner = df.withColumn("inner", F.floor(sp.hash_fraction("id", 1) * 3).cast("int")).withColumn("features", array_to_vector("x")).cache()
+    for k in (0, 1):
+        train = inner.filter(F.col("fold") != k)
+        model = ev.logistic("y", train, cs=cs, inner=("inner", 3)).fit(train)
+        for r in model.transform(inner.filter(F.col("fold") == k)).select("id", vector_to_array("probability")[1].alias("p")).collect():
+            assert got[r.id].fold == k and abs(got[r.id].score - r.p) < 1e-3
+    alone = len(sc.statusTracker().getJobIdsForGroup("alone"))
+    assert len(got) == 240 and jobs < 80 < alone
+    # twice as many penalties take no more jobs for each model
+    sc.setJobGroup("more", "")
+    logistic_out_of_fold(df, "fold", [0, 1], "y", "id", ["id"], (0.003, 0.01, 0.1, 0.3, 1.0, 10.0)).collect()
+    assert len(sc.statusTracker().getJobIdsForGroup("more")) < jobs + 20
+    sc.setJobGroup("", "")
+    # one class, and no rows
+    one = logistic_out_of_fold(df.withColumn("y", F.lit(1.0)), "fold", [0, 1], "y", "id", ["id"], cs).toPandas()
+    assert len(one) == 240 and (one.score > 0.999).all()
+    assert logistic_out_of_fold(df.limit(0), "fold", [0, 1], "y", "id", ["id"], cs).count() == 0
